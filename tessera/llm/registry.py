@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality
+from tessera.llm import bpe, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc.op1_warc,
+        "op2_sharding": sharding.op2_sharding,
+        "op5_bpe": bpe.op5_bpe,
         "op6_quality_rules": quality.op6_quality_rules,
     }
 
