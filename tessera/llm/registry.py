@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, quality, sharding, warc
+from tessera.llm import bpe, quality, sharding, tokenbin, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.op2_sharding,
         "op5_bpe": bpe.op5_bpe,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_token_binary": tokenbin.op7_token_binary,
     }
 
 
