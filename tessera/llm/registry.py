@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, pitman_yor, quality, sharding, tokenbin, warc
+from tessera.llm import bpe, pitman_yor, quality, secrets, sharding, tokenbin, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_token_binary": tokenbin.op7_token_binary,
         "op9_lm_scoring": pitman_yor.op9_lm_scoring,
+        "op10_secret_scans": secrets.op10_secret_scans,
     }
 
 
