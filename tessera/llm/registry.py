@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, pitman_yor, quality, secrets, sharding, tokenbin, warc
+from tessera.llm import bpe, jaccard, pitman_yor, quality, secrets, sharding, tokenbin, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1_warc,
         "op2_sharding": sharding.op2_sharding,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op5_bpe": bpe.op5_bpe,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_token_binary": tokenbin.op7_token_binary,
