@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, jaccard, pitman_yor, quality, secrets, sharding, tokenbin, warc
+from tessera.llm import bpe, decontaminate, jaccard, pitman_yor, quality, secrets, sharding, token_counts, tokenbin, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1_warc,
         "op2_sharding": sharding.op2_sharding,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op5_bpe": bpe.op5_bpe,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_token_binary": tokenbin.op7_token_binary,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op9_lm_scoring": pitman_yor.op9_lm_scoring,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
@@ -24,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontamination": decontaminate.ORACLE,
         "op6_quality_rules": quality.ORACLE,
     }
