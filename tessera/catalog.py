@@ -17,9 +17,15 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
         _ORACLES[name] = oracle
 
 
+def _load() -> None:
+    from tessera.plans import aggregates, joins, scalars, statistics  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
