@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, jaccard, pitman_yor, quality, secrets, sharding, token_counts, tokenbin, warc
+from tessera.llm import bpe, decontaminate, jaccard, pitman_yor, quality, secret_scan, sharding, token_counts, tokenbin, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,7 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_binary": tokenbin.op7_token_binary,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_lm_scoring": pitman_yor.op9_lm_scoring,
-        "op10_secret_scans": secrets.op10_secret_scans,
+        "op10_secret_scans": secret_scan.op10_secret_scans,
     }
 
 
