@@ -13,6 +13,7 @@ the encoder. Repeated rows are counted one by one; other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -45,6 +46,12 @@ class Counter:
         return n
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str) -> Counter:
+    """One for each Python worker and all its tasks."""
+    return Counter(Merges(path))
+
+
 class CountTree:
     """Token counts of one text under edits."""
 
@@ -183,7 +190,7 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter(Merges(public_tokenizers.path(tokenizer)))
+        count = counter_of(public_tokenizers.path(tokenizer))
         for batch in batches:
             for lo in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
                 part, rows = batch.slice(lo, MAX_ROWS_PER_SLICE), []

@@ -21,6 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm.bpe import DIGITS, LETTERS, OTHER, byte_alphabet
 from tessera.llm.common import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -44,15 +46,13 @@ LEVEL = 3
 #: Documents in a file, about, and files at most.
 FILE_ROWS = 8192
 MAX_FILES = 100_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 MAGIC = b"TOKB"
 #: struct formats.
 HEADER, ENTRY, FOOTER = "<4sHH32s", "<?qIQI", "<QQ4s"
 
-#: A text with none of these is lower-cased, in NFC, and cut by _WORDS just as the library does it.
-_OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\u012f\u0131-\u017e]")
-_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORDS = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_DIGITS}]|[^\\t\\n\\r {_LETTERS}{_DIGITS}]+")
+#: A text without OTHER characters is lower-cased, in NFC, and cut by _WORDS just as the library does it.
+_WORDS = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGITS}]|[^\\t\\n\\r {LETTERS}{DIGITS}]+")
 
 
 class WordEncoder:
@@ -65,9 +65,10 @@ class WordEncoder:
         self.kind = id_type(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.byte_char = {v: k for k, v in byte_alphabet().items()}
 
     def encode(self, text: str) -> bytes:
-        if _OTHER.search(text) or any(s in text for s in self.special):
+        if OTHER.search(text) or any(s in text for s in self.special):
             return self._whole(text)
         get, new = self.words.get, self._new
         return b"".join([get(w) or new(w) for w in _WORDS.findall(text.lower())])
@@ -76,7 +77,8 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _new(self, word: str) -> bytes:
-        ids = self._whole(word)
+        spelled = word if word.isascii() else "".join(map(self.byte_char.__getitem__, word.encode()))
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.kind).tobytes()
         if len(word) <= 40:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
@@ -84,6 +86,12 @@ class WordEncoder:
         return ids
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """One for each Python worker and all its tasks."""
+    return WordEncoder(path)
+
+
 def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
@@ -98,7 +106,7 @@ def train_dictionary(docs: DataFrame, key: str, text: str, path: str) -> bytes:
     share = min(1.0, 4 * SAMPLE_ROWS / max(n, 1))
     spread = docs.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     rows = spread.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 1 << 16)).limit(SAMPLE_ROWS).collect()
-    encoder, samples, size = WordEncoder(path), [], 0
+    encoder, samples, size = encoder_of(path), [], 0
     end = np.array([END_ID], encoder.kind).tobytes()
     for (t,) in rows:
         samples.append(encoder.encode(t) + end)
@@ -129,7 +137,7 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     kind = id_type(where)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(where)
+        encoder = encoder_of(where)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True).compress
         bounds, end = np.array(splits, np.int64), np.array([END_ID], kind).tobytes()
