@@ -1,0 +1,263 @@
+"""Composed pipelines on model catalogues (Z10-Z17, G20-G45, P4-P6): tables in, ranked and audited tables out.
+
+Inputs are DataFrames with the columns named in each docstring; a reference date is an argument, never the clock.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import dates, numeric, rules, text
+from tessera.operators import aggregate as agg
+from tessera.operators import joins, match, ranking, simulate
+from tessera.operators.skyline import skyline
+from tessera.sources.readers import resolve
+
+# Weights of the index and of its sensitivity sets, and of the simulation's scenarios by horizon.
+COMPONENTS = {
+    "performance_component": 0.31,
+    "release_velocity_component": 0.16,
+    "ecosystem_component": 0.17,
+    "capability_surface_component": 0.17,
+    "cost_efficiency_component": 0.11,
+    "openness_component": 0.08,
+}
+SENSITIVITY = {
+    "baseline": (0.31, 0.16, 0.17, 0.17, 0.11, 0.08),
+    "no_ecosystem": (0.38, 0.19, 0.0, 0.21, 0.13, 0.09),
+    "no_price": (0.35, 0.18, 0.19, 0.19, 0.0, 0.09),
+    "equal_weight": (1 / 6, 1 / 6, 1 / 6, 1 / 6, 1 / 6, 1 / 6),
+}
+LEADERSHIP = {
+    "frontier_quality": {2: (0.46, 0.22, 0.07, 0.20, 0.02, 0.03), 5: (0.42, 0.20, 0.09, 0.21, 0.03, 0.05), 10: (0.38, 0.18, 0.11, 0.22, 0.04, 0.07)},
+    "balanced_lab_execution": {2: (0.38, 0.22, 0.13, 0.18, 0.04, 0.05), 5: (0.34, 0.20, 0.15, 0.18, 0.06, 0.07), 10: (0.30, 0.18, 0.17, 0.18, 0.07, 0.10)},
+    "open_ecosystem_upside": {2: (0.32, 0.18, 0.18, 0.15, 0.08, 0.09), 5: (0.28, 0.16, 0.21, 0.15, 0.09, 0.11), 10: (0.25, 0.14, 0.23, 0.14, 0.10, 0.14)},
+}
+#: Forecast multipliers of compute, context, price, adoption, gap; caps of compute and context.
+FORECAST = {
+    "conservative": (0.55, 0.45, 0.55, 0.55, 0.45, 80.0, 16.0),
+    "base": (1.0, 1.0, 1.0, 1.0, 1.0, 400.0, 64.0),
+    "aggressive": (1.45, 1.50, 1.35, 1.55, 1.35, 1200.0, 128.0),
+}
+CLUSTER_RULES = (
+    ("replacement-prone clerical/transaction work", lambda c: c("full_job_automation_feasibility_index") >= 18),
+    ("augmentation-heavy expert work", lambda c: c("augmentation_index") >= c("substitution_pressure_index") + 8),
+    ("trust/physical bottleneck work", lambda c: c("human_bottleneck_index") >= 22),
+    ("technical analysis work", lambda c: (c("code_task_share") >= 0.08) | (c("analysis_task_share") >= 0.12)),
+    ("coordination and management work", lambda c: c("agentic_task_share") >= 0.10),
+)
+
+
+def research_models(raw: DataFrame) -> DataFrame:
+    """One row per research model, from columns found by alias in any case."""
+    r = lambda *names: resolve(raw, names)
+    name, org = text.clean_text(r("Model", "name")), text.clean_text(r("Organization", "org"))
+    day = dates.parse_date(r("Publication date", "date"))
+    entity = rules.classify_entity(name, org)
+    return raw.select(
+        F.concat(F.lit("epoch::"), text.slug(name)).alias("model_id"), name.alias("canonical_model"), entity["vendor"].alias("vendor"),
+        entity["model_family"].alias("model_family"), entity["product_line"].alias("product_line"), day["date"].alias("release_date"),
+        day["precision"].alias("release_precision"), text.clean_text(r("Domain")).alias("domain"), text.clean_text(r("Task")).alias("task"),
+        text.safe_float(r("Parameters")).alias("parameters"), text.active_parameters(r("Parameters notes")).alias("active_parameters"),
+        text.safe_float(r("Training compute (FLOP)")).alias("training_compute_flop"), text.safe_float(r("Training dataset size (total)")).alias("training_tokens"),
+        rules.classify_access(name, org, r("Model accessibility"), r("Open model weights?")).alias("access_class"), text.clean_text(r("Link", "Reference")).alias("source_url"),
+    )
+
+
+def api_catalogue(items: DataFrame) -> DataFrame:
+    """P5: one row per catalogue item (id, name, created, context_length, pricing, architecture)."""
+    vendor = F.substring_index("id", "/", 1)
+    price = lambda c: text.price_per_million(F.col(f"pricing.{c}"))
+    family = rules.family_of_model(F.col("name"), F.col("id"), vendor)
+    return items.select(
+        F.concat(F.lit("openrouter::"), text.slug(F.col("id"))).alias("model_id"), F.col("id").alias("openrouter_id"), F.col("name").alias("canonical_model"),
+        rules.canonical_vendor(vendor, F.col("name")).alias("vendor"), family.alias("model_family"), dates.epoch_date(F.col("created")).alias("release_date"),
+        F.when(F.col("created").isNotNull(), "day").otherwise("missing").alias("release_precision"), F.col("context_length").cast("double").alias("context_window"),
+        price("prompt").alias("input_usd_per_1m"), price("completion").alias("output_usd_per_1m"), F.array_join("architecture.input_modalities", ",").alias("input_modalities"),
+        rules.classify_access(F.col("name"), vendor, F.lit("api"), F.lit("")).alias("access_class"),
+    )
+
+
+def hub_models(items: DataFrame, collection: str) -> DataFrame:
+    """One row per hub model (id, author, tags, downloads, likes)."""
+    return items.select(
+        "id", "author", F.lit(collection).alias("collection"), F.col("downloads").cast("double").alias("downloads"), F.col("likes").cast("double").alias("likes"),
+        text.tagged_value(F.col("tags"), "license:").alias("license"), F.size("tags").alias("tags_count"), text.inferred_parameters(F.col("id")).alias("parameters"),
+        F.array_join(F.filter("tags", lambda t: F.startswith(t, F.lit("arxiv:"))), ",").alias("arxiv_tags"),
+    )
+
+
+def file_rollup(models: DataFrame, files: DataFrame) -> DataFrame:
+    """Models with counts and bytes of their files, 0 without any."""
+    weight = F.regexp_extract(F.lower("path"), r"\.([a-z0-9]+)$", 1).isin("safetensors", "bin", "gguf", "pt")
+    rolled = files.groupBy("id").agg(F.count(F.lit(1)).alias("file_count"), agg.sum0(F.col("size")).alias("total_bytes"), agg.sum0(weight.cast("long")).alias("weight_files"))
+    return joins.left_fill(models, rolled, ["id"], ["file_count", "total_bytes", "weight_files"])
+
+
+def components(features: DataFrame) -> DataFrame:
+    """Six components, index, rank and evidence of families (features by family; missing ones may be null)."""
+    zero_free = features.withColumn("output_price_min", F.nullif(F.col("output_price_min"), F.lit(0.0)))
+    raw = {
+        "_lm": ("lmarena_best", ""), "_swe": ("swebench_best", ""), "_llm": ("openllm_top_mean", ""), "_api": ("recent_api_releases", ""), "_ep": ("epoch_recent_releases", ""),
+        "_dl": ("hf_downloads", "log"), "_gh": ("github_model_mentions", "log"), "_pa": ("openalex_paper_mentions", "log"), "_li": ("hf_likes", "log"),
+        "_ctx": ("context_window_max", "log"), "_out": ("max_output_tokens", "log"), "_mm": ("multimodal_models", ""), "_cp": ("training_compute_max", "log"),
+        "cost_efficiency_component": ("output_price_min", "log invert"), "_op": ("open_api_models", ""),
+    }
+    c = F.col
+    scaled = numeric.minmax(zero_free, raw)
+    share = F.coalesce(c("hf_open_weight_share"), F.lit(0.0)) * 55 + F.coalesce(c("open_weight_epoch_share"), F.lit(0.0)) * 35 + c("_op") * 0.10
+    built = (
+        scaled.withColumn("performance_component", c("_lm") * 0.45 + c("_swe") * 0.30 + c("_llm") * 0.25)
+        .withColumn("release_velocity_component", c("_api") * 0.55 + c("_ep") * 0.45)
+        .withColumn("ecosystem_component", c("_dl") * 0.40 + c("_gh") * 0.25 + c("_pa") * 0.25 + c("_li") * 0.10)
+        .withColumn("capability_surface_component", c("_ctx") * 0.35 + c("_out") * 0.20 + c("_mm") * 0.20 + c("_cp") * 0.25)
+        .withColumn("openness_component", numeric.clip(share, 0, 100))
+        .withColumn("index", F.bround(numeric.weighted_index(COMPONENTS), 2))
+    )
+    return built.withColumn("rank", ranking.rank_min(c("index"))).drop(*(k for k in raw if k.startswith("_")))
+
+
+def sensitivity(scores: DataFrame) -> DataFrame:
+    """Index and rank per weight set."""
+    sets = joins.scenarios(scores.sparkSession, {s: dict(zip(COMPONENTS, w)) for s, w in SENSITIVITY.items()})
+    each = simulate.sensitivity(scores.drop("index", "rank"), sets, list(COMPONENTS)).withColumn("index", F.bround("index", 2))
+    return each.withColumn("rank", ranking.rank_min(F.col("index"), "scenario"))
+
+
+def vendor_scores(scores: DataFrame) -> DataFrame:
+    """0.65 of the best family and 0.35 of the evidence-weighted mean, per vendor."""
+    w = numeric.clip(F.coalesce(F.col("evidence_count"), F.lit(0)).cast("double"), 1)
+    mix = F.max("index") * 0.65 + agg.weighted_mean(F.col("index"), w) * 0.35
+    by = joins.with_lookup(scores, "model_family", rules.FAMILY_VENDOR, "vendor", F.col("model_family")).groupBy("vendor").agg(
+        F.max_by("model_family", "index").alias("flagship_family"), agg.sorted_join(F.col("model_family"), sep=", ").alias("portfolio_families"),
+        F.count(F.lit(1)).alias("family_count"), F.bround(mix, 2).alias("score"),
+    )
+    return by.withColumn("rank", ranking.rank_min(F.col("score")))
+
+
+def open_closed_gap(board: DataFrame) -> DataFrame:
+    """Best closed and open rating per category, gap and share (category, access_class, rating)."""
+    bucket = F.when(F.col("access_class").isin("open_weight", "likely_open_weight"), "open_weight").otherwise("closed_or_api")
+    by = board.withColumn("bucket", bucket).groupBy("category").pivot("bucket", ["closed_or_api", "open_weight"]).agg(F.max("rating"))
+    gap = F.col("closed_or_api") - F.col("open_weight")
+    return by.withColumn("gap", gap).withColumn("gap_share", F.coalesce(F.try_divide(gap, F.col("closed_or_api")), F.lit(0.0)))
+
+
+def category_leaders(board: DataFrame, top: int = 1) -> DataFrame:
+    """Leading model of each category and access class."""
+    w = Window.partitionBy("category", "access_class").orderBy(F.desc_nulls_last("rating"), "model_name")
+    return board.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+
+def price_performance(models: DataFrame, direct: bool) -> DataFrame:
+    """Blended price, index and frontier (model_id, rating, context_window, input/output prices)."""
+    a, b, c = (0.76, 0.12, 0.12) if direct else (0.70, 0.15, 0.15)
+    priced = models.withColumn("price", numeric.price_blend(F.col("input_usd_per_1m"), F.col("output_usd_per_1m")))
+    scaled = numeric.minmax(priced, {"_r": ("rating", ""), "_p": ("price", "log invert"), "_c": ("context_window", "log")})
+    front = skyline(priced.where("price > 0"), "rating", "price").select("model_id").withColumn("on_frontier", F.lit(True))
+    out = scaled.withColumn("index", F.bround(F.col("_r") * a + F.col("_p") * b + F.col("_c") * c, 2)).drop("_r", "_p", "_c")
+    return out.join(front, "model_id", "left").withColumn("on_frontier", F.coalesce("on_frontier", F.lit(False)))
+
+
+def match_audit(catalogue: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every catalogue model against every benchmark source, with the tier of its best match.
+
+    candidates: benchmark_source, name, family, sort_score. Sources are a few; models meet candidates by alias only.
+    """
+    sources = candidates.select("benchmark_source").distinct()
+    asked = catalogue.select(F.col("model_id").alias("mid"), F.col("canonical_model").alias("name"), F.col("openrouter_id").alias("model_id"), F.col("model_family").alias("family"))
+    asked = asked.withColumn("aliases", rules.alias_set(F.col("name"), F.col("model_id"), F.col("family"))).crossJoin(F.broadcast(sources))
+    tag = lambda c: F.concat_ws("\x01", "benchmark_source", c)
+    tagged = lambda aliases, family: F.transform(aliases, lambda a: F.concat_ws("\x01", "benchmark_source", a))
+    q = asked.select(F.struct("mid", "benchmark_source").alias("id"), tag("name").alias("name"), tag("model_id").alias("model_id"), tag("family").alias("family"), tagged(F.filter("aliases", lambda a: a != F.lower("family")), None).alias("aliases"))
+    known = candidates.withColumn("aliases", rules.alias_set(F.col("name"), F.lit(""), F.col("family")))
+    c = known.select(tag("name").alias("name"), tag("family").alias("family"), tagged(F.filter("aliases", lambda a: a != F.lower("family")), None).alias("aliases"), "sort_score")
+    bare = lambda x: F.substring_index(x, "\x01", -1)
+    return match.tiered_match(q, c).select(
+        F.col("id.mid").alias("model_id"), F.col("id.benchmark_source").alias("benchmark_source"), "match_confidence",
+        bare(F.col("candidate_name")).alias("benchmark_model"), bare(F.col("match_key")).alias("match_key"), "direct",
+    )
+
+
+def family_coverage(catalogue: DataFrame, audit: DataFrame) -> DataFrame:
+    """Per family, coverage of four fields and of matches, their mean and the number of gaps."""
+    c = F.col
+    base = catalogue.groupBy("model_family").agg(
+        F.count(F.lit(1)).alias("models"),
+        agg.field_coverage(c("input_usd_per_1m"), c("output_usd_per_1m"), positive=True).alias("price_coverage"),
+        agg.field_coverage(c("release_date")).alias("release_date_coverage"),
+        F.avg((F.coalesce(c("access_class"), F.lit("unknown")) != "unknown").cast("double")).alias("access_class_coverage"),
+        agg.field_coverage(c("context_window"), positive=True).alias("context_window_coverage"),
+    )
+    found = audit.join(catalogue.select("model_id", "model_family"), "model_id").groupBy("model_family").agg(
+        F.count_if("direct").alias("direct_matches"), F.count_if(c("match_confidence") == "family_only").alias("proxy_matches")
+    )
+    out = joins.left_fill(base, found, ["model_family"], ["direct_matches", "proxy_matches"])
+    parts = [c(k) for k in ("price_coverage", "release_date_coverage", "access_class_coverage", "context_window_coverage")]
+    parts += [F.least(F.lit(1.0), c("direct_matches") / 3), F.least(F.lit(1.0), c("proxy_matches") / 5)]
+    gaps = sum(((p < 0.5).cast("int") for p in parts), F.lit(0))
+    return out.withColumn("coverage_score", F.round(numeric.row_mean(*parts) * 100, 2)).withColumn("source_gap_count", gaps)
+
+
+def release_cadence(research: DataFrame, catalogue: DataFrame, by: str, reference: str) -> DataFrame:
+    """Cadence over distinct releases of both sources, with the mix of sources."""
+    cols = ["model_family", "vendor", "canonical_model", "release_date"]
+    every = research.select(*cols, F.lit("research").alias("source")).unionByName(catalogue.select(*cols, F.lit("api").alias("source")))
+    every = every.where(~F.coalesce(F.col("model_family"), F.lit("")).isin("", "Other", "unknown")).dropDuplicates([*cols, "source"])
+    mix = every.groupBy(by, "source").count().groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "source", "count"))), "; ").alias("source_mix"))
+    return ranking.cadence(every, [by], F.col("release_date"), reference).join(mix, by)
+
+
+def underobserved(scores: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Families with thin evidence and why."""
+    middle = scores.agg(F.median("evidence_count").alias("middle"))
+    rows = scores.join(coverage.select("model_family", "direct_matches", "coverage_score"), "model_family", "left").crossJoin(F.broadcast(middle))
+    why = agg.reasons(few_direct_matches=F.coalesce("direct_matches", F.lit(0)) < 3, low_source_coverage=F.coalesce("coverage_score", F.lit(0.0)) < 60, below_median_evidence=F.col("evidence_count") < F.col("middle"))
+    return rows.select("model_family", "evidence_count", "direct_matches", "coverage_score", why.alias("reasons"), (why != "none").alias("underobserved"))
+
+
+def leadership(scores: DataFrame, draws: int = 6000) -> DataFrame:
+    """Z3 with the fixed scenarios."""
+    plan = [(s, h, list(w)) for s, by in LEADERSHIP.items() for h, w in by.items()]
+    return simulate.leadership(scores.select("model_family", *COMPONENTS), "model_family", list(COMPONENTS), plan, draws)
+
+
+def rank_intervals(scores: DataFrame, draws: int = 700) -> DataFrame:
+    """Bootstrap intervals beside the current rank, with a label."""
+    drawn = simulate.bootstrap_ranks(scores.select("model_family", "evidence_count", *COMPONENTS), "model_family", list(COMPONENTS), list(COMPONENTS.values()), "evidence_count", draws)
+    label = F.when(F.col("rank_iqr") <= 1, "stable").when(F.col("rank_iqr") <= 2.5, "moderate").otherwise("volatile")
+    return drawn.join(scores.select("model_family", F.col("rank").alias("current_rank")), "model_family", "left").withColumn("rank_stability_label", label)
+
+
+def cluster_label(of=F.col) -> Column:
+    """The first rule that holds for a cluster's means."""
+    case = None
+    for name, test in CLUSTER_RULES:
+        case = (F if case is None else case).when(F.coalesce(test(of), F.lit(False)), F.lit(name))
+    return case.otherwise(F.lit("mixed redesign work"))
+
+
+def transparency(models: DataFrame, fields: list[str], key: str = "vendor", since: int = 2020) -> DataFrame:
+    """Mean share of known fields per vendor with at least two models since a year."""
+    recent = models.where(F.year("release_date") >= since)
+    shares = {f: F.avg(F.col(f).isNotNull().cast("double")) for f in fields}
+    by = recent.groupBy(key).agg(F.count(F.lit(1)).alias("models"), *(s.alias(f) for f, s in shares.items())).where("models >= 2")
+    return by.withColumn("transparency_index", F.bround(numeric.row_mean(*(F.col(f) for f in fields)) * 100, 2))
+
+
+def instance_outcomes(submissions: DataFrame, instances: DataFrame) -> DataFrame:
+    """Every submission against every instance with exclusive flags (submission; resolved, no_generation, no_logs arrays)."""
+    rows = submissions.crossJoin(F.broadcast(instances.select("instance_id").distinct()))
+    flag = {c: F.coalesce(F.array_contains(c, F.col("instance_id")), F.lit(False)) for c in ("resolved", "no_generation", "no_logs")}
+    none = ~flag["resolved"] & ~flag["no_generation"] & ~flag["no_logs"]
+    return rows.select("submission", "instance_id", F.substring_index("instance_id", "-", 1).alias("repo"), *(c.alias(k) for k, c in flag.items()), none.alias("unresolved_or_not_listed"))
+
+
+def unified_index(*parts: tuple[str, DataFrame]) -> DataFrame:
+    """Entities of sources with different columns, ids by namespace."""
+    out = None
+    for namespace, df in parts:
+        one = df.withColumn("entity_id", F.concat(F.lit(namespace + "::"), text.slug(F.col("name")))).withColumn("source_namespace", F.lit(namespace))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
