@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +14,21 @@ from pyspark.sql import functions as F
 #: The six characters of [\x20\x09-\x0D], which part words.
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-#: Fills for the hash of a null or empty text stay apart from these ids.
+#: Rows that Python code takes from a batch at a time.
 MAX_ROWS_PER_SLICE = 512
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or one of our own where the setting is absent (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    """The folder of spark.checkpoint.dir as a full URI; a folder of our own where the setting is absent (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", full.rstrip("/"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
