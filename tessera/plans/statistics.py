@@ -33,7 +33,7 @@ def composite(spark, d):
 
 
 def _scaled(c: str, mode: str) -> str:
-    v = f"ln(1 + greatest({c}, 0))" if "log" in mode else c
+    v = f"CASE WHEN {c} IS NOT NULL THEN ln(1 + greatest({c}, 0)) END" if "log" in mode else c  # greatest() skips nulls
     s = f"({v} - min({v}) OVER ()) / (max({v}) OVER () - min({v}) OVER ()) * 100"
     s = f"100 - {s}" if "invert" in mode else s
     return f"CASE WHEN max({v}) OVER () = min({v}) OVER () OR max({v}) OVER () IS NULL THEN 50.0 ELSE least(greatest(coalesce({s}, 0), 0), 100) END::DOUBLE"
