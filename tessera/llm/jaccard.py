@@ -20,11 +20,13 @@ an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,8 @@ from tessera.llm.common import MAX_ROWS_PER_SLICE, save, table
 from tessera.llm.components import components
 
 WORDS, PERCENT = 3, 90
-BUCKETS = 1 << 20
+#: Counters for shingles (one byte each where they are used), in chunks; tasks whose counts are merged first.
+BUCKETS, CHUNK, MERGE = 1 << 24, 1 << 16, 512
 BLOCK = 128
 #: Bits of the filter that picks the texts of classes with a family; a fixed 4 MB.
 FILTER_BITS = 1 << 25
@@ -82,24 +85,45 @@ def prefix_size(n: int, percent: int) -> int:
     return n - int(required(n, percent)) + 1
 
 
+def _summed(blobs: list[bytes]) -> np.ndarray:
+    """Sum of packed arrays of counts, saturated."""
+    total = np.zeros(CHUNK, np.uint32)
+    for blob in blobs:
+        total += np.frombuffer(zlib.decompress(blob), np.uint16)
+    return np.minimum(total, 2**16 - 1).astype(np.uint16)
+
+
 def shingle_counts(rows: DataFrame) -> np.ndarray:
-    """Count of shingles in each of BUCKETS buckets over all rows of (id, text)."""
+    """Count of shingles, at most 255, in each of BUCKETS buckets over all rows of (id, text).
+
+    Tasks hand on their counts as packed arrays of CHUNK buckets, which are summed by chunk, first within MERGE tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, total = Shingler(), np.zeros(BUCKETS, np.int64)
+        sets, total = Shingler(), np.zeros(BUCKETS, np.uint16)
         for batch in batches:
             for lo in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
                 found = [sets(t) for t in batch.column(1).slice(lo, MAX_ROWS_PER_SLICE).to_pylist()]
-                total += np.bincount((np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        for lo in range(0, len(used), 1 << 16):
-            part = used[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
+                at, n = np.unique((np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)
+                total[at] = np.minimum(total[at] + n, 2**16 - 1)
+        parts = [(k, total[k * CHUNK : (k + 1) * CHUNK]) for k in range(BUCKETS // CHUNK)]
+        packed = [(k, zlib.compress(x.tobytes(), 1)) for k, x in parts if x.any()]
+        lot = TaskContext.get().partitionId() // MERGE
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in packed], pa.int32()), pa.array([lot] * len(packed), pa.int32()), pa.array([b for _, b in packed], pa.binary())],
+            ["chunk", "lot", "counts"],
+        )
+
+    def merge(group: pa.Table) -> pa.Table:
+        packed = zlib.compress(_summed(group["counts"].to_pylist()).tobytes(), 1)
+        return pa.table({"chunk": pa.array(group["chunk"][:1].to_pylist(), pa.int32()), "counts": pa.array([packed], pa.binary())})
 
-    found = rows.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
-    out = np.zeros(BUCKETS, np.int64)
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(out, 2**31 - 1).astype(np.uint32)
+    lots = rows.mapInArrow(run, "chunk int, lot int, counts binary").groupBy("chunk", "lot").applyInArrow(merge, "chunk int, counts binary")
+    lots = lots.groupBy("chunk").applyInArrow(merge, "chunk int, counts binary")
+    out = np.zeros(BUCKETS, np.uint8)
+    for chunk, counts in lots.collect():  # one packed row per chunk, BUCKETS / CHUNK in all
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.minimum(_summed([counts]), 255)
+    return out
 
 
 def _digests(s: np.ndarray) -> tuple[int, int]:
@@ -122,7 +146,7 @@ def signatures(rows: DataFrame, counts: object, percent: int) -> DataFrame:
                     digests.append(_digests(s))
                     if len(s):
                         p = prefix_size(len(s), percent)
-                        order = rarity[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | s >> np.uint64(32)
+                        order = rarity[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
                         s = s[np.argpartition(order, p - 1)[:p]] if p < len(s) else s
                     prefixes.append(s.view(np.int64))
                 d1, d2 = zip(*digests)
