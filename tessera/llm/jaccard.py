@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MAX_ROWS_PER_SLICE, save, table
+from tessera.llm.common import MAX_ROWS_PER_SLICE, drop, save, table
 from tessera.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -85,12 +85,17 @@ def prefix_size(n: int, percent: int) -> int:
     return n - int(required(n, percent)) + 1
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts, saturated at 255, compressed."""
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 6)
+
+
 def _summed(blobs: list[bytes]) -> np.ndarray:
-    """Sum of packed arrays of counts, saturated."""
+    """Sum of packed arrays of counts."""
     total = np.zeros(CHUNK, np.uint32)
     for blob in blobs:
-        total += np.frombuffer(zlib.decompress(blob), np.uint16)
-    return np.minimum(total, 2**16 - 1).astype(np.uint16)
+        total += np.frombuffer(zlib.decompress(blob), np.uint8)
+    return total
 
 
 def shingle_counts(rows: DataFrame) -> np.ndarray:
@@ -107,7 +112,7 @@ def shingle_counts(rows: DataFrame) -> np.ndarray:
                 at, n = np.unique((np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)
                 total[at] = np.minimum(total[at] + n, 2**16 - 1)
         parts = [(k, total[k * CHUNK : (k + 1) * CHUNK]) for k in range(BUCKETS // CHUNK)]
-        packed = [(k, zlib.compress(x.tobytes(), 1)) for k, x in parts if x.any()]
+        packed = [(k, _packed(x)) for k, x in parts if x.any()]
         lot = TaskContext.get().partitionId() // MERGE
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in packed], pa.int32()), pa.array([lot] * len(packed), pa.int32()), pa.array([b for _, b in packed], pa.binary())],
@@ -115,7 +120,7 @@ def shingle_counts(rows: DataFrame) -> np.ndarray:
         )
 
     def merge(group: pa.Table) -> pa.Table:
-        packed = zlib.compress(_summed(group["counts"].to_pylist()).tobytes(), 1)
+        packed = _packed(_summed(group["counts"].to_pylist()))
         return pa.table({"chunk": pa.array(group["chunk"][:1].to_pylist(), pa.int32()), "counts": pa.array([packed], pa.binary())})
 
     lots = rows.mapInArrow(run, "chunk int, lot int, counts binary").groupBy("chunk", "lot").applyInArrow(merge, "chunk int, counts binary")
@@ -298,13 +303,14 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def class_links(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between classes of ``members`` (cid, id, d1, d2, n, family), enough to join what is linked."""
-    met = member_sets(rows, members).dropDuplicates(["id", "d1", "d2"]).join(block_pairs(members, percent), ["id", "d1", "d2"])
+    met = member_sets(rows, members).join(block_pairs(members, percent), ["id", "d1", "d2"])
 
     def verify(group: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
-        links = verified_links(
-            group["cid"].to_pylist(), sets, group["left"].to_pylist(), group["right"].to_pylist(), percent
-        )
+        found = {}  # repeated rows of a document count once
+        for cid, left, right, shingles in zip(*(group[c].to_pylist() for c in ("cid", "left", "right", "shingles"))):
+            found[cid] = (np.frombuffer(shingles, np.uint64), left, right)
+        sets, left, right = zip(*found.values())
+        links = verified_links(list(found), list(sets), list(left), list(right), percent)
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -316,16 +322,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(rows))
-    each, _ = save(signatures(rows, counts, percent), "jaccard-signatures")
+    full, full_path = save(signatures(rows, counts, percent), "jaccard-signatures")
+    each, _ = save(full.drop("prefix"), "jaccard-documents")
     classes = (
-        each.where("n > 0")
+        full.where("n > 0")
         .groupBy("d1", "d2", "n")
         .agg(F.min("id").alias("id"), F.any_value("prefix").alias("prefix"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    classes, _ = save(classes, "jaccard-classes")
-    families = components(family_edges(classes, percent), "cid", "lead")
-    members = classes.drop("prefix").join(
+    with_prefix, prefix_path = save(classes, "jaccard-prefixes")
+    drop(spark, full_path)
+    families = components(family_edges(with_prefix, percent), "cid", "lead")
+    classes, _ = save(with_prefix.drop("prefix"), "jaccard-classes")
+    drop(spark, prefix_path)  # its rows are edges now
+    members = classes.join(
         families.select(F.col("node").alias("cid"), F.col("root").alias("family")), "cid"
     )
     joined = components(class_links(rows, members, percent), "a", "b").withColumnRenamed("node", "cid")
