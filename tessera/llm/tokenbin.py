@@ -122,7 +122,6 @@ def train_dictionary(docs: DataFrame, key: str, text: str, path: str) -> bytes:
 def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> list[tuple[str, int, int]]:
     """Write the token files of ``docs`` under ``path``: (name, documents, ids) of each file, in key order."""
     where = public_tokenizers.path(tokenizer)
-    spark = docs.sparkSession
     keys = docs.select(F.col(key).cast("long").alias("key"))
     n_files = min(MAX_FILES, max(1, -(-keys.count() // FILE_ROWS)))
     splits = []
@@ -191,8 +190,7 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     packed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
         compress, "part int, key long, n long, frame binary"
     )
-    tasks = min(n_files, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = packed.repartition(tasks, "part").sortWithinPartitions("part", "key")
+    ordered = packed.repartition(n_files, "part").sortWithinPartitions("part", "key")
     files = ordered.mapInArrow(write, "name string, documents long, ids long").collect()  # one row per file
     return sorted(tuple(r) for r in files)
 
