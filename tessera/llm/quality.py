@@ -126,11 +126,7 @@ def failed_rules(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def filter_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns unchanged."""
-    mark = "m"
-    while mark in docs.columns:
-        mark += "_"
-    judged = docs.withColumn(mark, measures(docs[text]))
-    return judged.where(kept(judged[mark], rules)).drop(mark)
+    return docs.where(let(measures(docs[text]), lambda m: kept(m, rules)))  # bound once: a filter on a column of measures would repeat them
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
