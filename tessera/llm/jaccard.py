@@ -1,7 +1,8 @@
 """N-gram Jaccard join (3): rare-first prefix filtering with length, positional and suffix filters.
 
-Texts are lower-cased (A-Z), cut into words [^\\x20\\x09-\\x0D]+, and become sets of 64-bit hashes of 3-word shingles
-(the whole sequence for one or two words). Two sets link when 100 * intersection >= PERCENT * union.
+Texts are lower-cased (A-Z), cut into words [^\\x20\\x09-\\x0D]+, and become sets of 64-bit hashes of shingles of
+WORDS words, or as many as the caller says (the whole sequence for texts of fewer words). Two sets link when
+100 * intersection >= PERCENT * union, or the caller's percentage; figures below are for PERCENT.
 
 1. Frequencies: shingles are counted in BUCKETS hash buckets over all documents; the counts (a fixed size) go to all tasks.
 2. Classes: documents with equal sets are one class from here on, so copies cost one row each and are never paired.
@@ -98,14 +99,14 @@ def _summed(blobs: list[bytes]) -> np.ndarray:
     return total
 
 
-def shingle_counts(rows: DataFrame) -> np.ndarray:
+def shingle_counts(rows: DataFrame, words: int = WORDS) -> np.ndarray:
     """Count of shingles, at most 255, in each of BUCKETS buckets over all rows of (id, text).
 
     Tasks hand on their counts as packed arrays of CHUNK buckets, which are summed by chunk, first within MERGE tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, total = Shingler(), np.zeros(BUCKETS, np.uint16)
+        sets, total = Shingler(words), np.zeros(BUCKETS, np.uint16)
         for batch in batches:
             for lo in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
                 found = [sets(t) for t in batch.column(1).slice(lo, MAX_ROWS_PER_SLICE).to_pylist()]
@@ -136,11 +137,11 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(data, 1) - 2**63, xxhash.xxh64_intdigest(data, 2) - 2**63
 
 
-def signatures(rows: DataFrame, counts: object, percent: int) -> DataFrame:
+def signatures(rows: DataFrame, counts: object, percent: int, words: int = WORDS) -> DataFrame:
     """(id, d1, d2, n, prefix): digests and size of each row's set, and its rarest shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, rarity = Shingler(), counts.value
+        sets, rarity = Shingler(words), counts.value
         for batch in batches:
             for lo in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
                 part = batch.slice(lo, MAX_ROWS_PER_SLICE)
@@ -252,12 +253,12 @@ def verified_links(names: list[int], sets: list[np.ndarray], left: list[bool], r
     return links
 
 
-def member_sets(rows: DataFrame, members: DataFrame) -> DataFrame:
+def member_sets(rows: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, d1, d2, shingles) of the rows that may stand for a member: computed again from the texts, not carried along."""
     wanted = rows.sparkSession.sparkContext.broadcast(member_filter(members))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, bits = Shingler(), wanted.value
+        sets, bits = Shingler(words), wanted.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part, found = batch.slice(lo, 64), []
@@ -301,9 +302,9 @@ def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def class_links(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def class_links(rows: DataFrame, members: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """(a, b): links between classes of ``members`` (cid, id, d1, d2, n, family), enough to join what is linked."""
-    met = member_sets(rows, members).join(block_pairs(members, percent), ["id", "d1", "d2"])
+    met = member_sets(rows, members, words).join(block_pairs(members, percent), ["id", "d1", "d2"])
 
     def verify(group: pa.Table) -> pa.Table:
         found = {}  # repeated rows of a document count once
@@ -317,12 +318,12 @@ def class_links(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("g", "i", "j").applyInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    counts = spark.sparkContext.broadcast(shingle_counts(rows))
-    full, full_path = save(signatures(rows, counts, percent), "jaccard-signatures")
+    counts = spark.sparkContext.broadcast(shingle_counts(rows, words))
+    full, full_path = save(signatures(rows, counts, percent, words), "jaccard-signatures")
     each, _ = save(full.drop("prefix"), "jaccard-documents")
     classes = (
         full.where("n > 0")
@@ -338,7 +339,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = classes.join(
         families.select(F.col("node").alias("cid"), F.col("root").alias("family")), "cid"
     )
-    joined = components(class_links(rows, members, percent), "a", "b").withColumnRenamed("node", "cid")
+    joined = components(class_links(rows, members, percent, words), "a", "b").withColumnRenamed("node", "cid")
     least = classes.select("cid", "id").join(joined, "cid")
     least = joined.join(least.groupBy("root").agg(F.min("id").alias("component")), "root").select("cid", "component")
     named = (
@@ -354,12 +355,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``docs`` with the row of the smallest key of each component; of rows with that key one stays.
 
     Rows with empty sets and rows with a null key stay.
     """
-    marks = near_duplicates(docs, key, text, percent).where(F.col(key) == F.col("component_id")).select(
+    marks = near_duplicates(docs, key, text, percent, words).where(F.col(key) == F.col("component_id")).select(
         F.col(key).alias("__kept")
     ).distinct()
     kept = docs.join(marks, docs[key] == F.col("__kept"), "left_semi")

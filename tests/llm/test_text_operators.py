@@ -206,3 +206,26 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    def copies(k):
+        """A text of 200 words and its copy with one changed run of 12, 14 or 16 words: 0.80 to 0.85 of 5 words, below 0.9 of 3."""
+        w = [f"d{k}w{j}" for j in range(200)]
+        changed = list(w)
+        n = 12 + k % 3 * 2
+        changed[90 : 90 + n] = [f"x{k}y{j}" for j in range(n)]
+        return " ".join(w), " ".join(changed)
+
+    rows = [(2 * k + side, text) for k in range(9) for side, text in enumerate(copies(k))]
+    w = copies(20)[0].split()
+    rows += [(100, " ".join(w)), (101, " ".join(w[:80] + [f"z{j}" for j in range(30)] + w[110:]))]  # below 0.8: both stay
+    for a, b in zip(rows[:18:2], rows[1:18:2]):
+        sets = [{n: {tuple(t.split()[i : i + n]) for i in range(201 - n)} for n in (3, 5)} for _, t in (a, b)]
+        five, three = (len(sets[0][n] & sets[1][n]) / len(sets[0][n] | sets[1][n]) for n in (5, 3))
+        assert 0.8 <= five <= 0.85 and three < 0.9
+    want = {c for _, c in brute_links(rows, 5, 80).values()}
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, df.repartition(3), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == want and len(want) < len(rows)
+    assert {100, 101} <= want
