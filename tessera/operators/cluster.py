@@ -17,23 +17,27 @@ def _nearest(features: Sequence[str], centres: list[tuple[float, ...]]) -> Colum
     return F.array_min(F.array(*far))["k"]
 
 
-def kmeans(df: DataFrame, key: str, features: Sequence[str], k: int = 7, iterations: int = 20) -> DataFrame:
+def kmeans(df: DataFrame, key: str, features: Sequence[str], k: int = 7, iterations: int = 80) -> DataFrame:
     """``df`` with ``cluster``: first centres are the k rows with the smallest hashes of the key; an empty cluster keeps its centre.
 
-    Only k rows of sums come to the driver per iteration. Fewer than k rows are all in cluster 0.
+    Rows are assigned ``iterations`` times, or until no assignment changes. Only k rows of sums come to the driver per
+    iteration. Fewer than k rows are all in cluster 0.
     """
     seeds = df.orderBy(F.xxhash64(key), key).limit(k).select(*features).collect()
     if len(seeds) < k:
         return df.withColumn("cluster", F.lit(0))
-    centres = [tuple(float(x or 0.0) for x in r) for r in seeds]
-    for _ in range(iterations):
-        means = df.groupBy(_nearest(features, centres).alias("cluster")).agg(*(F.avg(F.coalesce(f, F.lit(0.0))).alias(f) for f in features)).collect()
-        moved = list(centres)
-        for r in means:
-            moved[r["cluster"]] = tuple(float(r[f]) for f in features)
-        if all(abs(a - b) < 1e-12 for x, y in zip(moved, centres) for a, b in zip(x, y)):
+    centres, before = [tuple(float(x or 0.0) for x in r) for r in seeds], None
+    rows = df.select(*features).persist()
+    for _ in range(iterations - 1):
+        here = _nearest(features, centres)
+        changed = F.lit(True) if before is None else here != _nearest(features, before)
+        means = rows.groupBy(here.alias("cluster")).agg(F.bool_or(changed).alias("__changed"), *(F.avg(F.coalesce(f, F.lit(0.0))).alias(f) for f in features)).collect()
+        if not any(r["__changed"] for r in means):
             break
-        centres = moved
+        before, centres = centres, list(centres)
+        for r in means:
+            centres[r["cluster"]] = tuple(float(r[f]) for f in features)
+    rows.unpersist()
     return df.withColumn("cluster", _nearest(features, centres))
 
 

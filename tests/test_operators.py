@@ -1,5 +1,6 @@
 """Operators against small expectations and definitions."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,20 @@ def test_kmeans(spark):
     assert {r.cluster for r in cluster.kmeans(spark.createDataFrame(rows[:2], "k long, x double"), "k", ["x"], k=3).collect()} == {0}
 
 
+def test_kmeans_runs_until_stable(spark):
+    rows = [(k, float((k * 7919) % 1500) ** 1.3) for k in range(1500)]
+    df = spark.createDataFrame(rows, "k long, x double")
+    points = np.array([x for _, x in rows])
+    centres = np.array([r.x for r in df.orderBy(F.xxhash64("k"), "k").limit(7).collect()])
+    labels = []
+    while len(labels) < 80 and (len(labels) < 2 or (labels[-1] != labels[-2]).any()):
+        labels.append(((points[:, None] - centres) ** 2).argmin(axis=1))
+        centres = np.array([points[labels[-1] == c].mean() if (labels[-1] == c).any() else centres[c] for c in range(7)])
+    assert len(labels) > 22 and (labels[20] != labels[-1]).any()
+    got = {r.k: r.cluster for r in cluster.kmeans(df, "k", ["x"]).collect()}
+    assert [got[k] for k, _ in rows] == labels[-1].tolist()
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('k,v,t\n1,nan,"x, ""y""\nz"\n2,1.5,\nbad,oops,q\n')
     got = readers.read_csv(spark, str(tmp_path / "a.csv"), "k long, v double, t string").cache()
