@@ -1,4 +1,4 @@
-"""Random studies (Z1-Z3, Z6-Z8): every draw has its own seed, so results don't depend on partitions or retries."""
+"""Random studies (Z1-Z3, Z6, Z7): every draw has its own seed, so results don't depend on partitions or retries."""
 
 from __future__ import annotations
 

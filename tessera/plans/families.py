@@ -1,4 +1,6 @@
-"""Composed pipelines on model catalogues (Z10-Z17, G20-G45, P4-P6): tables in, ranked and audited tables out.
+"""Composed pipelines on model catalogues (Z12-Z16, G20-G45, P4-P6): tables in, ranked and audited tables out.
+
+Not built: Z11, Z17, G41, G43, G45, and of Z10 the table of six metrics (FORECAST has its multipliers); the README lists them.
 
 Inputs are DataFrames with the columns named in each docstring; a reference date is an argument, never the clock.
 """
