@@ -39,6 +39,7 @@ from tessera.llm.common import new_path, table
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Rows and bytes of ids that the dictionary is trained on at most.
+#: Of each sampled text only the first 65,536 characters are trained on.
 SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
