@@ -4,12 +4,16 @@ A merge list has a *sufficient lookahead*: a number of bytes such that, once so
 known, nothing that follows can change the token. `sufficient_lookahead` computes a bound from the list: text to
 the right can undo the merge (u, v) only through an earlier merge (x, y) whose left part ends where v ends, and
 that one only through a still earlier merge, so the bound is the heaviest chain of such merges by bytes of y.
-`WordStream` holds at most a few lookaheads of bytes of a pre-token and emits tokens as soon as they are stable;
-`TextEncoder` cuts a text, fed in pieces, into pre-tokens in the same way; `TextDecoder` is the inverse: a state
-machine from ids to text that keeps at most an unfinished UTF-8 sequence. Memory doesn't grow with the text.
+`WordStream` holds at most a few lookaheads of bytes of a pre-token and emits tokens as soon as they are stable; it
+remembers what it emitted for short pre-tokens, in a memo of bounded bytes. `TextEncoder` cuts a text, fed in pieces,
+into pre-tokens in the same way; `TextDecoder` is the inverse: a state machine from ids to text that keeps at most an
+unfinished UTF-8 sequence. Every text takes this way, in pieces of PIECE characters; a pre-token that outgrows half a
+piece is fed to its stream as it arrives. Memory doesn't grow with the text, however long.
 
 A null text is the empty one: no ids. Strings of special tokens in a text become their ids, as the tokenizer
-file's flags say. Repeated rows, ties and other columns don't matter: each text is encoded by itself.
+file's flags say. Repeated rows, ties and other columns don't matter: each text is encoded by itself. An empty table
+gives an empty result. The table of newer characters is for the Unicode version in NEW_UNICODE: with another version of
+`regex`, `check_unicode` refuses to run rather than cut such characters differently.
 """
 
 from __future__ import annotations
@@ -28,13 +32,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MAX_ROWS_PER_SLICE, table
+from tessera.llm.common import MAX_ROWS_PER_SLICE, Memo, frugal, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters fed at once; any other number gives the same ids.
-PIECE = 1 << 16
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+PIECE = 1 << 13
+#: Bytes that a task's memo of pre-tokens takes.
+MEMO_BYTES = 32 << 20
 #: Ids are below 2**BITS; NEVER is beyond every rule.
 BITS = 20
 MASK, NEVER = (1 << BITS) - 1, 1 << 62
@@ -75,6 +79,8 @@ _EXACT = regex.compile(
     rf"| ?(?:[^{WS}\p{{L}}\p{{N}}]|[{TOO_NEW}])+|[{WS}]+(?![^{WS}])|[{WS}]+"
 )
 _NEW = regex.compile(f"[{TOO_NEW}]")
+#: A letter that Unicode 17 has and Unicode 16 hasn't: what TOO_NEW was taken from.
+NEW_UNICODE = "\u088f"
 _KINDS = tuple(
     regex.compile(x)
     for x in (
@@ -125,10 +131,17 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     return best + max(len(u) + len(v) for u, v in merges) if merges else 0
 
 
+def check_unicode() -> None:
+    """Raise if `regex` knows another version of Unicode than TOO_NEW was made for."""
+    if not regex.fullmatch(r"\p{L}", NEW_UNICODE):
+        raise RuntimeError("TOO_NEW must be made anew: this version of regex knows other letters")
+
+
 class Merges:
     """Vocabulary and merge list of a byte-level tokenizer file."""
 
     def __init__(self, path: str):
+        check_unicode()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -193,17 +206,33 @@ class Merges:
 
 
 @lru_cache(maxsize=2)
-def merges_of(path: str) -> tuple[Merges, dict[str, list[int]]]:
-    """Merges of a file and the ids of words seen, once for each Python worker and all its tasks."""
-    return Merges(path), {}
+def merges_of(path: str) -> Merges:
+    """Merges of a file, once for each Python worker and all its tasks."""
+    return Merges(path)
 
 
 class WordStream:
-    """Ids of one pre-token whose bytes arrive in pieces."""
+    """Ids of pre-tokens, one after the other, whose bytes arrive in pieces."""
 
-    def __init__(self, merges: Merges):
+    def __init__(self, merges: Merges, memo: Memo | None = None):
         self.merges, self.held = merges, b""
+        self.memo = Memo(MEMO_BYTES) if memo is None else memo
         self.window = 4 * max(merges.lookahead, 64)
+        self.fed = 0  # pre-tokens that went through feed and finish, not through the memo
+
+    def word(self, text: str) -> list[int]:
+        """Ids of a whole pre-token."""
+        ids = self.feed(text.encode()) + self.finish()
+        self.fed += 1
+        if len(text) <= 40:
+            self.memo.put(text, ids, 100 + 36 * len(ids))
+        return ids
+
+    def words(self, texts: list[str], out: list[int]) -> None:
+        """Append the ids of whole pre-tokens; what the stream has emitted for the same bytes is emitted again."""
+        get, word = self.memo.get, self.word
+        for t in texts:
+            out += get(t) or word(t)
 
     def feed(self, piece: bytes) -> list[int]:
         self.held += piece
@@ -230,57 +259,42 @@ class WordStream:
 
 
 class TextEncoder:
-    """Ids of a text whose characters arrive in pieces: ``feed`` them, then ``finish``."""
+    """Ids of a text whose characters arrive in pieces: ``feed`` them, then ``finish``. Then the next text may follow."""
 
-    def __init__(self, merges: Merges, cache: dict[str, list[int]] | None = None):
-        self.merges, self.cache = merges, {} if cache is None else cache
+    def __init__(self, merges: Merges, memo: Memo | None = None):
+        self.merges, self.stream = merges, WordStream(merges, memo)
         self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
+        self.starts = {s[0] for s in merges.special}
         self.longest = max(map(len, merges.special), default=1) - 1
-        self.buffer, self.word, self.kind = "", None, None
-
-    def _encode(self, word: str) -> list[int]:
-        ids = self.merges.merge(word.encode())
-        if len(word) <= 40:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = ids
-        return ids
-
-    def _words(self, words: list[str], out: list[int]) -> None:
-        get, encode = self.cache.get, self._encode
-        for w in words:
-            out += get(w) or encode(w)
+        self.buffer, self.open, self.kind = "", False, None
 
     def _cut(self, text: str, last: bool, out: list[int]) -> str:
         """Emit the pre-tokens of ``text`` that are settled; return the rest. With ``last`` all are."""
-        if self.word is not None:  # a pre-token longer than a piece is under way
+        if self.open:  # a pre-token longer than half a piece is under way
             end = self.kind.match(text).end()
             if end == len(text) and not last:
                 hold = 1 if self.kind is _KINDS[3] else 0
-                out += self.word.feed(text[: end - hold].encode())
+                out += self.stream.feed(text[: end - hold].encode())
                 return text[end - hold :]
             if self.kind is _KINDS[3] and end < len(text):
                 end = max(0, end - 1)
-            out += self.word.feed(text[:end].encode())
-            out += self.word.finish()
-            self.word, text = None, text[end:]
-        pattern = pattern_for(text)
+            out += self.stream.feed(text[:end].encode())
+            out += self.stream.finish()
+            self.open, text = False, text[end:]
+        words = pattern_for(text).findall(text)  # these tile the text
         if last:
-            self._words(pattern.findall(text), out)
+            self.stream.words(words, out)
             return ""
-        stop, settled, words = 0, len(text) - PATTERN_LOOKAHEAD, []
-        for m in pattern.finditer(text):
-            if m.end() > settled:
-                break
-            stop = m.end()
-            words.append(m.group())
-        self._words(words, out)
+        stop, settled = len(text), len(text) - PATTERN_LOOKAHEAD
+        while words and stop > settled:
+            stop -= len(words.pop())
+        self.stream.words(words, out)
         rest = text[stop:]
         if len(rest) > PIECE // 2:  # one long run of letters, digits, signs or spaces
-            self.word = WordStream(self.merges)
+            self.open = True
             lead = 1 if rest[0] == " " and _KINDS[3].match(rest).end() == 1 else 0
             self.kind = next(k for k in _KINDS if k.match(rest, lead).end() > lead)
-            out += self.word.feed(rest[:lead].encode())
+            out += self.stream.feed(rest[:lead].encode())
             return self._cut(rest[lead:], last, out)
         return rest
 
@@ -291,12 +305,11 @@ class TextEncoder:
             self._cut(self.buffer[: m.start()], True, out)
             out.append(self.merges.special[m.group()])
             self.buffer = self.buffer[m.end() :]
-        ready = len(self.buffer) - self.longest  # a special token may begin in the last characters
-        if ready > 0:
-            tail = self.buffer[ready:]
-            if self.special and self.longest and "<" not in tail:
-                ready, tail = len(self.buffer), ""
-            self.buffer = self._cut(self.buffer[:ready], False, out) + tail
+        ready = len(self.buffer)
+        if self.special and self.longest:  # a special token may begin in the last characters
+            low = max(0, ready - self.longest)
+            ready = min((at for s in self.starts if (at := self.buffer.find(s, low)) >= 0), default=ready)
+        self.buffer = self._cut(self.buffer[:ready], False, out) + self.buffer[ready:]
         return out
 
     def finish(self) -> list[int]:
@@ -320,25 +333,19 @@ class TextDecoder:
         return self.state.decode(b"", True)
 
 
-def encode_pieces(merges: Merges, text: str, cache: dict[str, list[int]], piece: int = PIECE) -> Iterator[list[int]]:
-    """Ids of a text, list after list."""
-    encoder = TextEncoder(merges, cache)
-    if len(text) <= piece:
-        if encoder.special is None or not encoder.special.search(text):
-            out: list[int] = []
-            encoder._words(pattern_for(text).findall(text), out)
-            yield out
-            return
+def encode_pieces(encoder: TextEncoder, text: str, piece: int | None = None) -> Iterator[list[int]]:
+    """Ids of a text, fed to the transducer piece after piece."""
+    piece = piece or PIECE
     for at in range(0, len(text), piece):
         yield encoder.feed(text[at : at + piece])
     yield encoder.finish()
 
 
-def digest(merges: Merges, text: str, cache: dict[str, list[int]]) -> tuple[int, str, str]:
+def digest(encoder: TextEncoder, text: str) -> tuple[int, str, str]:
     """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text; in constant memory."""
-    ids_hash, text_hash, decoder, n = hashlib.sha256(), hashlib.sha256(), TextDecoder(merges), 0
-    name = merges.id_text.__getitem__
-    for ids in encode_pieces(merges, text, cache):
+    ids_hash, text_hash, decoder, n = hashlib.sha256(), hashlib.sha256(), TextDecoder(encoder.merges), 0
+    name = encoder.merges.id_text.__getitem__
+    for ids in encode_pieces(encoder, text):
         if ids:
             ids_hash.update((("," if n else "") + ",".join(map(name, ids))).encode())
             n += len(ids)
@@ -352,13 +359,14 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, cache = merges_of(public_tokenizers.path(tokenizer))
+        merges = merges_of(public_tokenizers.path(tokenizer))
+        encoder = TextEncoder(merges)
         for batch in batches:
             for at in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
                 part = batch.slice(at, MAX_ROWS_PER_SLICE)
                 ids, decoded = [], []
                 for t in part.column(1).to_pylist():
-                    mine = [k for piece in encode_pieces(merges, t or "", cache) for k in piece]
+                    mine = [k for piece in encode_pieces(encoder, t or "") for k in piece]
                     decoder = TextDecoder(merges)
                     ids.append(mine)
                     decoded.append(decoder.feed(mine) + decoder.finish())
@@ -368,7 +376,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                 )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    return rows.mapInArrow(frugal(run), f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -376,9 +384,9 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, cache = merges_of(public_tokenizers.path(tokenizer))
+        encoder = TextEncoder(merges_of(public_tokenizers.path(tokenizer)))
         for batch in batches:
-            found = [digest(merges, t.as_py() or "", cache) for t in batch.column(1)]
+            found = [digest(encoder, t.as_py() or "") for t in batch.column(1)]
             n, ids, texts = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
@@ -386,7 +394,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
             )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return rows.mapInArrow(frugal(run), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,12 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir as a full URI; a folder of our own where the setting is absent (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()
+    """The folder of spark.checkpoint.dir as a full URI; in local mode (tests) a folder of our own where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = _own_dir()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return re.sub(r"^file:/+", "file:///", full.rstrip("/"))
@@ -53,6 +59,57 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row: rows that agree in both are equal in every column."""
+    return [F.xxhash64(*df.columns), F.xxhash64(F.lit("row"), *df.columns)]
+
+
+class Memo(dict):
+    """Results by string key, of at most about ``limit`` bytes: emptied when full. Holding less only costs time."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.used = limit, 0
+
+    def put(self, key: str | bytes, value: object, size: int) -> None:
+        """Remember ``value`` of about ``size`` bytes; keys are charged with 160 bytes of overhead."""
+        size += 160 + len(key)
+        if self.used + size > self.limit:
+            self.clear()
+            self.used = 0
+        self.used += size
+        self[key] = value
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with freed memory given back when the task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row, also where a lambda inside refers to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

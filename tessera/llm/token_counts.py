@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import CACHE_WORDS, PATTERN_LOOKAHEAD, TOKENIZER, Merges, pattern_for
-from tessera.llm.common import MAX_ROWS_PER_SLICE, table
+from tessera.llm.bpe import MEMO_BYTES, PATTERN_LOOKAHEAD, TOKENIZER, Merges, pattern_for
+from tessera.llm.common import MAX_ROWS_PER_SLICE, Memo, frugal, table
 
 #: Pre-tokens of a block at most; a block of more is cut in two.
 BLOCK = 64
@@ -33,16 +33,14 @@ class Counter:
     """Tokens of pre-tokens, remembered."""
 
     def __init__(self, merges: Merges):
-        self.merges, self.known = merges, {}
+        self.merges, self.known = merges, Memo(MEMO_BYTES)
 
     def __call__(self, word: str) -> int:
         n = self.known.get(word)
         if n is None:
             n = 1 if word in self.merges.special else len(self.merges.merge(word.encode()))
             if len(word) <= 40:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = n
+                self.known.put(word, n, 32)
         return n
 
 

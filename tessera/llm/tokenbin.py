@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.bpe import DIGITS, LETTERS, OTHER, byte_alphabet
-from tessera.llm.common import new_path, table
+from tessera.llm.bpe import DIGITS, LETTERS, MEMO_BYTES, OTHER, byte_alphabet
+from tessera.llm.common import Memo, frugal, new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -47,7 +47,6 @@ LEVEL = 3
 #: Documents in a file, about, and files at most.
 FILE_ROWS = 8192
 MAX_FILES = 100_000
-CACHE_WORDS = 600_000
 MAGIC = b"TOKB"
 #: struct formats.
 HEADER, ENTRY, FOOTER = "<4sHH32s", "<?qIQI", "<QQ4s"
@@ -65,7 +64,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.kind = id_type(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.words = Memo(MEMO_BYTES)
         self.byte_char = {v: k for k, v in byte_alphabet().items()}
 
     def encode(self, text: str) -> bytes:
@@ -81,9 +80,7 @@ class WordEncoder:
         spelled = word if word.isascii() else "".join(map(self.byte_char.__getitem__, word.encode()))
         ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.kind).tobytes()
         if len(word) <= 40:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = ids
+            self.words.put(word, ids, 40 + len(ids))
         return ids
 
 

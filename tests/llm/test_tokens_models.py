@@ -31,14 +31,14 @@ def random_texts(n, seed, top=60):
 
 @pytest.fixture(scope="module")
 def merges():
-    return bpe.merges_of(public_tokenizers.path(bpe.TOKENIZER))[0]
+    return bpe.merges_of(public_tokenizers.path(bpe.TOKENIZER))
 
 
 def test_encoder_is_the_library(merges):
     lib, rng = library(bpe.TOKENIZER), random.Random(1)
     for x in random_texts(1200, 3):
         want = lib.encode(x, add_special_tokens=False).ids
-        got = [k for p in bpe.encode_pieces(merges, x, {}, piece=rng.choice([1, 2, 3, 5, 8, 1000])) for k in p]
+        got = [k for p in bpe.encode_pieces(bpe.TextEncoder(merges), x, piece=rng.choice([1, 2, 3, 5, 8, 1000])) for k in p]
         assert got == want, repr(x)
         decoder = bpe.TextDecoder(merges)
         assert "".join([*(decoder.feed([k]) for k in got), decoder.finish()]) == lib.decode(want, skip_special_tokens=False)
@@ -48,7 +48,7 @@ def test_long_runs_stream(merges, monkeypatch):
     monkeypatch.setattr(bpe, "PIECE", 256)
     lib, rng = library(bpe.TOKENIZER), random.Random(2)
     for x in ("a" * 30000, " " * 20000 + "x", "".join(rng.choice("etaoin") for _ in range(40000)), "\n" * 3000 + "a" * 3000 + "1" * 3000 + "!" * 3000 + "中" * 3000):
-        assert [k for p in bpe.encode_pieces(merges, x, {}, piece=256) for k in p] == lib.encode(x, add_special_tokens=False).ids
+        assert [k for p in bpe.encode_pieces(bpe.TextEncoder(merges), x, piece=256) for k in p] == lib.encode(x, add_special_tokens=False).ids
 
 
 def test_lookahead_settles_tokens(merges):
@@ -61,8 +61,27 @@ def test_lookahead_settles_tokens(merges):
         assert {e for e in ends(merges.merge(word)) if e <= settled} == {e for e in ends(merges.merge(word[:cut])) if e <= settled}
 
 
+def test_every_text_takes_the_transducer(merges, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE", 64)
+    encoder, lib, fed = bpe.TextEncoder(merges), library(bpe.TOKENIZER), []
+    feed = encoder.feed
+    monkeypatch.setattr(encoder, "feed", lambda x: fed.append(x) or feed(x))
+    for x in ["short words", "b" * 5000, *random_texts(200, 9)]:
+        fed.clear()
+        assert bpe.digest(encoder, x)[0] == len(lib.encode(x, add_special_tokens=False).ids)
+        assert "".join(fed) == x and all(len(p) <= 64 for p in fed)
+    stream = encoder.stream
+    assert set(stream.memo) and stream.fed >= len(stream.memo)
+    small = bpe.WordStream(merges, bpe.Memo(2000))
+    for k in range(500):
+        small.words([f"w{k}"], [])
+        assert small.memo.used <= 2000
+    assert bpe.sufficient_lookahead([]) == 0
+
+
 def test_digests(spark, merges):
-    rows = [(k, t, "clash") for k, t in enumerate([None, *random_texts(40, 5)])]
+    rows = [(k, t, "clash") for k, t in enumerate([None, "a long text, " * 40_000, "x" * 100_000, *random_texts(40, 5)])]
+    rows += rows[:5]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     lib = library(bpe.TOKENIZER)
     got = {r.doc_id: r for r in bpe.digests(df).collect()}
@@ -108,7 +127,8 @@ def test_edits(merges, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK", 4)
     monkeypatch.setattr(token_counts, "REACH", 8)
     count, rng = token_counts.Counter(merges), random.Random(2)
-    full = lambda t: sum(len(p) for p in bpe.encode_pieces(merges, t, {}))
+    encoder = bpe.TextEncoder(merges)
+    full = lambda t: sum(len(p) for p in bpe.encode_pieces(encoder, t))
     for t in random_texts(300, 8):
         tree = token_counts.CountTree(t, count)
         for _ in range(5):
