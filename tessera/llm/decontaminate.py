@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, save, table, words_of
+from tessera.llm.common import fresh, let, save, table, words_of
 
 WORDS, PERCENT = 5, 80
 #: Rows of sketches or pairs that are sent to all executors at most (16 bytes each).
@@ -111,10 +111,17 @@ def contained_items(
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose key holds an item."""
-    found, _ = save(contained_items(docs, items, key, text).select(F.col(key).alias("__leak")).distinct(), "decontaminate-found")
+    """``docs`` without the rows whose text holds an item, whatever their key, which may repeat or be null.
+
+    Texts are told apart by two 64-bit hashes.
+    """
+    body = F.col(text)
+    mark = F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit("text"), body).alias("b"))
+    leak = fresh(docs, "leak")
+    rows = docs.where(body.isNotNull()).select(mark.alias("mark"), body.alias("text"))
+    found, _ = save(contained_items(rows, items, "mark", "text").select(F.col("mark").alias(leak)).distinct(), "decontaminate-found")
     few = found.count() <= SENT_ROWS
-    return docs.join(F.broadcast(found) if few else found, docs[key].eqNullSafe(F.col("__leak")), "left_anti")
+    return docs.join(F.broadcast(found) if few else found, mark == F.col(leak), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,15 +8,18 @@ WORDS words, or as many as the caller says (the whole sequence for texts of fewe
 2. Classes: documents with equal sets are one class from here on, so copies cost one row each and are never paired.
 3. Prefix join: of each class the n - ceil(0.9 n) + 1 rarest shingles are its prefix; linked sets share one of those.
    Classes that share a prefix shingle, in a chain of lengths each at least 0.9 of the next, are one *family*;
-   they are tied to the first of the chain, so a shingle of k classes makes k rows, not k * k pairs.
-4. Verification: sets meet by family, in blocks of at most BLOCK classes (block pairs whose lengths can't link don't
-   meet), so no task holds more than two blocks. Within a block pair, the prefix index with length, positional and
+   they are tied to the first of the chain, so a shingle of k classes makes k rows, not k * k pairs. Chains of common
+   shingles (whose counter is full) are built in SALTS parts, and the parts' ranges of lengths are tied afterwards.
+4. Verification: sets meet by family, in blocks of about BLOCK_SHINGLES shingles (block pairs whose lengths can't link
+   don't meet), so a task holds two blocks, or two sets that are longer. Blocks are ranges of lengths, dealt from counts
+   by length and, among equal lengths, by hash: no task sorts a family. Within a block pair, the prefix index with length, positional and
    suffix filters yields pairs, each verified once by exact intersection, and not at all if both ends are joined already.
    Links within a block pair are reported as a spanning forest, which keeps the components whole.
 
 Null or blank texts have empty sets, are linked with nothing and are their own component. Rows with a null id take part;
-a component of such rows alone has a null id. Repeated rows are copies. Other columns aren't read. An empty table gives
-an empty result.
+a component of such rows alone has a null id. Repeated rows are copies; rows that repeat an id with another text are
+rows of their own. A very long text is one set, held whole by the task that reads it. Other columns aren't read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,19 +31,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MAX_ROWS_PER_SLICE, drop, save, table
+from tessera.llm.common import MAX_ROWS_PER_SLICE, SPACE_CHARS, drop, fresh, frugal, row_hashes, save, table
 from tessera.llm.components import components
 
 WORDS, PERCENT = 3, 90
 #: Counters for shingles (one byte each where they are used), in chunks; tasks whose counts are merged first.
 BUCKETS, CHUNK, MERGE = 1 << 24, 1 << 16, 512
-BLOCK = 128
+#: Shingles of a block of sets, 8 bytes each; a set counts as LEAST_WEIGHT at least, so a block has 128 sets at most or so.
+BLOCK_SHINGLES, LEAST_WEIGHT = 1 << 17, 1 << 10
+#: Parts in which the chains of a common shingle are built.
+SALTS = 64
+FULL = 255
 #: Bits of the filter that picks the texts of classes with a family; a fixed 4 MB.
 FILTER_BITS = 1 << 25
-CACHE_WORDS = 300_000
+CACHE_WORDS = 60_000
 #: Stands for a null id: the largest, so that a known id wins.
 NO_ID = 2**63 - 1
 
@@ -87,8 +94,8 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts, saturated at 255, compressed."""
-    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 6)
+    """Counts, saturated at FULL, compressed."""
+    return zlib.compress(np.minimum(counts, FULL).astype(np.uint8).tobytes(), 6)
 
 
 def _summed(blobs: list[bytes]) -> np.ndarray:
@@ -106,12 +113,12 @@ def shingle_counts(rows: DataFrame, words: int = WORDS) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, total = Shingler(words), np.zeros(BUCKETS, np.uint16)
+        sets, total = Shingler(words), np.zeros(BUCKETS, np.uint8)
         for batch in batches:
             for lo in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
                 found = [sets(t) for t in batch.column(1).slice(lo, MAX_ROWS_PER_SLICE).to_pylist()]
                 at, n = np.unique((np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)
-                total[at] = np.minimum(total[at] + n, 2**16 - 1)
+                total[at] = np.minimum(total[at] + n, FULL)
         parts = [(k, total[k * CHUNK : (k + 1) * CHUNK]) for k in range(BUCKETS // CHUNK)]
         packed = [(k, _packed(x)) for k, x in parts if x.any()]
         lot = TaskContext.get().partitionId() // MERGE
@@ -124,11 +131,11 @@ def shingle_counts(rows: DataFrame, words: int = WORDS) -> np.ndarray:
         packed = _packed(_summed(group["counts"].to_pylist()))
         return pa.table({"chunk": pa.array(group["chunk"][:1].to_pylist(), pa.int32()), "counts": pa.array([packed], pa.binary())})
 
-    lots = rows.mapInArrow(run, "chunk int, lot int, counts binary").groupBy("chunk", "lot").applyInArrow(merge, "chunk int, counts binary")
+    lots = rows.select("id", "text").mapInArrow(frugal(run), "chunk int, lot int, counts binary").groupBy("chunk", "lot").applyInArrow(merge, "chunk int, counts binary")
     lots = lots.groupBy("chunk").applyInArrow(merge, "chunk int, counts binary")
     out = np.zeros(BUCKETS, np.uint8)
     for chunk, counts in lots.collect():  # one packed row per chunk, BUCKETS / CHUNK in all
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.minimum(_summed([counts]), 255)
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.minimum(_summed([counts]), FULL)
     return out
 
 
@@ -138,46 +145,63 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(rows: DataFrame, counts: object, percent: int, words: int = WORDS) -> DataFrame:
-    """(id, d1, d2, n, prefix): digests and size of each row's set, and its rarest shingles."""
+    """(id, d1, d2, n, prefix, common): digests and size of each row's set, and its rarest shingles.
+
+    Those whose counter is full are in ``common``. Columns of ``rows`` beyond id and text come first.
+    """
+    extra = rows.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, rarity = Shingler(words), counts.value
         for batch in batches:
             for lo in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
                 part = batch.slice(lo, MAX_ROWS_PER_SLICE)
-                digests, sizes, prefixes = [], [], []
+                digests, sizes, prefixes, commons = [], [], [], []
                 for t in part.column(1).to_pylist():
                     s = sets(t)
                     sizes.append(len(s))
                     digests.append(_digests(s))
+                    rare = rarity[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
                     if len(s):
                         p = prefix_size(len(s), percent)
-                        order = rarity[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
-                        s = s[np.argpartition(order, p - 1)[:p]] if p < len(s) else s
-                    prefixes.append(s.view(np.int64))
+                        if p < len(s):
+                            at = np.argpartition(rare.astype(np.uint64) << np.uint64(56) | s >> np.uint64(8), p - 1)[:p]
+                            s, rare = s[at], rare[at]
+                    prefixes.append(s[rare < FULL].view(np.int64))
+                    commons.append(s[rare == FULL].view(np.int64))
                 d1, d2 = zip(*digests)
+                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["id", "d1", "d2", "n", "prefix"],
+                    [*part.columns[2:], part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(commons, longs)],
+                    [*extra, "id", "d1", "d2", "n", "prefix", "common"],
                 )
 
-    return rows.mapInArrow(run, "id long, d1 long, d2 long, n long, prefix array<long>")
+    more = "".join(f"{c} long, " for c in extra)
+    return rows.mapInArrow(frugal(run), more + "id long, d1 long, d2 long, n long, prefix array<long>, common array<long>")
+
+
+def _chained(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """``rows`` (keys, cid, low, high) with ``lead``: the first of the chain of overlapping or near ranges of lengths."""
+    order = Window.partitionBy(*keys).orderBy("low", "cid")
+    before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = before.isNull() | (100 * before < percent * F.col("low"))
+    marked = rows.withColumn("first", F.when(first, F.col("cid")))
+    return marked.withColumn("lead", F.last("first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("first")
 
 
 def family_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """(cid, lead): classes with a prefix shingle in common, each tied to the first of its chain of lengths."""
-    rows = classes.select("cid", "n", F.explode("prefix").alias("h"))
-    order = Window.partitionBy("h").orderBy("n", "cid")
-    before = F.lag("n").over(order)
-    first = before.isNull() | (100 * before < percent * F.col("n"))
-    lead = F.last(F.when(F.col("first"), F.col("cid")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        rows.withColumn("first", first)
-        .withColumn("lead", lead)
-        .where(F.col("lead") != F.col("cid"))
-        .select("cid", "lead")
-        .distinct()
-    )
+    """(cid, lead): classes with a prefix shingle in common, each tied to the first of its chain of lengths.
+
+    Chains of a common shingle come from SALTS parts, whose pieces (first class and range of lengths) are chained again.
+    """
+    sized = lambda h: classes.select("cid", F.col("n").alias("low"), F.col("n").alias("high"), F.explode(h).alias("h"))
+    rare = _chained(sized("prefix"), ["h"], percent)
+    salted = sized("common").withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
+    common = _chained(salted, ["h", "salt"], percent)
+    pieces = common.groupBy("h", "salt", F.col("lead").alias("cid")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = [rare, common, _chained(pieces, ["h"], percent)]
+    edges = [x.where(F.col("lead") != F.col("cid")).select("cid", "lead") for x in found]
+    return edges[0].unionByName(edges[1]).unionByName(edges[2]).distinct()
 
 
 def member_filter(members: DataFrame) -> np.ndarray:
@@ -255,7 +279,7 @@ def verified_links(names: list[int], sets: list[np.ndarray], left: list[bool], r
 
 def member_sets(rows: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, d1, d2, shingles) of the rows that may stand for a member: computed again from the texts, not carried along."""
-    wanted = rows.sparkSession.sparkContext.broadcast(member_filter(members))
+    wanted = rows.sparkSession.sparkContext.broadcast(member_filter(members))  # a fixed 4 MB
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, bits = Shingler(words), wanted.value
@@ -272,18 +296,23 @@ def member_sets(rows: DataFrame, members: DataFrame, words: int = WORDS) -> Data
                     columns = zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["id", "d1", "d2", "shingles"])
 
-    return rows.mapInArrow(pick, "id long, d1 long, d2 long, shingles binary")
+    return rows.select("id", "text").mapInArrow(frugal(pick), "id long, d1 long, d2 long, shingles binary")
 
 
 def block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(cid, id, d1, d2, left, right, g, i, j): members under the key of each block pair they take part in.
 
-    Families of one block are put together by hash into groups of about BLOCK members.
+    A member's place in its family is the weight of all shorter members and, among equal lengths, one by hash. Families
+    of one block are put together by hash into groups of about a block.
     """
-    order = Window.partitionBy("family").orderBy("n", "cid")
-    placed = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    weight = F.greatest(F.col("n"), F.lit(LEAST_WEIGHT))
+    shorter = Window.partitionBy("family").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = members.groupBy("family", "n").agg(F.count(F.lit(1)).alias("k"))
+    lengths = lengths.withColumn("before", F.coalesce(F.sum(F.col("k") * weight).over(shorter), F.lit(0)))
+    place = F.col("before") + F.pmod(F.xxhash64("cid"), F.col("k")) * weight
+    placed = members.join(lengths, ["family", "n"]).withColumn("block", F.floor(place / BLOCK_SHINGLES).cast("int")).drop("k", "before")
     placed, _ = save(placed, "jaccard-members")
-    groups = max(1, -(-placed.count() // BLOCK))
+    groups = max(1, -(-(placed.agg(F.sum(weight)).first()[0] or 0) // BLOCK_SHINGLES))
     blocks = placed.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = blocks.alias("l"), blocks.alias("r")
     pairs = left.join(
@@ -318,53 +347,70 @@ def class_links(rows: DataFrame, members: DataFrame, percent: int, words: int =
     return met.groupBy("g", "i", "j").applyInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+def _linked(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (id, text, more): the sets of rows (more, id, d1, d2, n), and (d1, d2, cid, component) of classes.
+
+    ``cid`` names the component, ``component`` is its smallest id.
+    """
+    spark = rows.sparkSession
     counts = spark.sparkContext.broadcast(shingle_counts(rows, words))
     full, full_path = save(signatures(rows, counts, percent, words), "jaccard-signatures")
-    each, _ = save(full.drop("prefix"), "jaccard-documents")
+    counts.destroy()
+    each, _ = save(full.drop("prefix", "common"), "jaccard-documents")
     classes = (
         full.where("n > 0")
         .groupBy("d1", "d2", "n")
-        .agg(F.min("id").alias("id"), F.any_value("prefix").alias("prefix"))
+        .agg(F.min("id").alias("id"), F.any_value("prefix").alias("prefix"), F.any_value("common").alias("common"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
     with_prefix, prefix_path = save(classes, "jaccard-prefixes")
     drop(spark, full_path)
     families = components(family_edges(with_prefix, percent), "cid", "lead")
-    classes, _ = save(with_prefix.drop("prefix"), "jaccard-classes")
+    classes, _ = save(with_prefix.drop("prefix", "common"), "jaccard-classes")
     drop(spark, prefix_path)  # its rows are edges now
     members = classes.join(
         families.select(F.col("node").alias("cid"), F.col("root").alias("family")), "cid"
     )
     joined = components(class_links(rows, members, percent, words), "a", "b").withColumnRenamed("node", "cid")
     least = classes.select("cid", "id").join(joined, "cid")
-    least = joined.join(least.groupBy("root").agg(F.min("id").alias("component")), "root").select("cid", "component")
+    least = joined.join(least.groupBy("root").agg(F.min("id").alias("component")), "root").select("cid", "root", "component")
     named = (
         classes.select("cid", "d1", "d2", "id")
         .join(least, "cid", "left")
-        .select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    )
-    known = lambda c: F.nullif(c, F.lit(NO_ID))
-    return each.select("id", "d1", "d2", "n").join(named, ["d1", "d2"], "left").select(
-        known(F.col("id")).alias(key),
-        F.col("n").alias("n_shingles"),
-        known(F.coalesce("component", "id")).alias("component_id"),
+        .select("d1", "d2", F.coalesce("root", "cid").alias("cid"), F.coalesce("component", "id").alias("component"))
     )
+    return each, named
+
+
+def _known(c: str) -> Column:
+    return F.nullif(F.col(c), F.lit(NO_ID))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, component_id."""
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+    each, named = _linked(rows, percent, words)
+    filled = each.where("n > 0").join(named, ["d1", "d2"]).select("id", "n", "component")
+    empty = each.where("n = 0").select("id", "n", F.col("id").alias("component"))
+    return filled.unionByName(empty).select(_known("id").alias(key), F.col("n").alias("n_shingles"), _known("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """``docs`` with the row of the smallest key of each component; of rows with that key one stays.
+    """``docs`` with one row of each component: that of the smallest key (null last), by a hash of the row among equal keys.
 
-    Rows with empty sets and rows with a null key stay.
+    Rows are told apart by all their columns, so a row that repeats a key, or has none, stays if its text is no near
+    copy; of rows equal in every column one stays. Rows with empty sets are linked with nothing and all stay.
     """
-    marks = near_duplicates(docs, key, text, percent, words).where(F.col(key) == F.col("component_id")).select(
-        F.col(key).alias("__kept")
-    ).distinct()
-    kept = docs.join(marks, docs[key] == F.col("__kept"), "left_semi")
-    return kept.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    h1, h2 = row_hashes(docs)
+    a, b = fresh(docs, "row_a"), fresh(docs, "row_b")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"), h1.alias("h1"), h2.alias("h2"))
+    each, named = _linked(rows, percent, words)
+    counted = each.where("n > 0").join(named.select("d1", "d2", "cid"), ["d1", "d2"]).groupBy("cid", "id", "h1", "h2").count()
+    first = counted.groupBy("cid").agg(F.min(F.struct("id", "h1", "h2", "count")).alias("row"))
+    marks, _ = save(first.select(F.col("row.h1").alias(a), F.col("row.h2").alias(b), F.col("row.count").alias("times")), "jaccard-kept")
+    held = lambda of: docs.join(marks.where(of).drop("times"), (h1 == F.col(a)) & (h2 == F.col(b)), "left_semi")
+    blank = docs.where(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE_CHARS)) == "")
+    return held("times = 1").unionByName(held("times > 1").dropDuplicates()).unionByName(blank)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,8 +88,14 @@ def near_copies(n, seed):
     return rows
 
 
-def test_jaccard(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+@pytest.mark.parametrize("buckets", [jaccard.BUCKETS, jaccard.CHUNK])
+def test_jaccard(spark, monkeypatch, buckets):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 16 * 32)
+    monkeypatch.setattr(jaccard, "LEAST_WEIGHT", 32)
+    if buckets != jaccard.BUCKETS:  # nearly all shingles are common: their chains are built in parts
+        monkeypatch.setattr(jaccard, "BUCKETS", buckets)
+        monkeypatch.setattr(jaccard, "FULL", 2)
+        monkeypatch.setattr(jaccard, "SALTS", 3)
     rows = near_copies(260, 4)
     df = spark.createDataFrame([(k, t, 0, "p") for k, t in rows] + [(None, rows[0][1], 0, "p"), (None, "only here at all", 0, "p")], "doc_id long, text string, n int, prefix string")
     got = jaccard.near_duplicates(df.repartition(3)).collect()
@@ -98,10 +104,21 @@ def test_jaccard(spark, monkeypatch):
     assert sorted(str(r.component_id) for r in got if r.doc_id is None) == sorted(["None", str(want[rows[0][0]][1])])
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()} | {None}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*(str(c) for c in {c for _, c in want.values()}), "None"])
     assert jaccard.near_duplicates(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    a, b, c = ("one two three four five six", "completely other words here now", "nothing like the rest of them")
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (2, a, "y"), (None, a, "x"), (None, c, "x"), (None, c, "x"), (3, None, "x"), (3, " ", "x"), (None, None, "x"), (4, b, "z")]
+    rows += [(5, "long text " * 60_000, "x"), (6, "long text " * 60_000, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __kept string").withColumn("row_a", F.lit(1))
+    kept = jaccard.keep_one(df.repartition(3))
+    got = collections.Counter((r.doc_id, (r.text or "")[:20]) for r in kept.collect())
+    assert kept.columns == df.columns
+    assert got == collections.Counter([(1, a[:20]), (1, b[:20]), (None, c[:20]), (3, ""), (3, " "), (None, ""), (5, ("long text " * 2)[:20])])
+
+
 def test_suffix_bound():
     import numpy as np
 
@@ -149,11 +166,21 @@ def test_decontamination(spark, monkeypatch, limit):
     assert {tuple(r) for r in decontaminate.contained_items(d, i).collect()} == want
     clean = decontaminate.clean_documents(d, i)
     assert clean.columns == d.columns
-    assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((k for k, _ in docs if k not in {w[0] for w in want}), key=str)
+    dirty = {t for k, t in docs for w in want if w[0] == k and t is not None}
+    assert sorted((str(r.doc_id) for r in clean.collect())) == sorted(str(k) for k, t in docs if t not in dirty)
     assert decontaminate.clean_documents(d, spark.createDataFrame([], i.schema)).count() == len(docs)
     assert decontaminate.contained_items(spark.createDataFrame([], d.schema), i).count() == 0
 
 
+def test_clean_documents_decides_by_text(spark):
+    item = "zz yy xx ww vv uu"
+    rows = [(None, item + " tt"), (None, "a clean text"), (None, None), (7, item), (7, "another clean text"), (8, "w " * 200_000 + item)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __leak string").withColumn("leak", F.lit(1))
+    clean = decontaminate.clean_documents(df, spark.createDataFrame([(1, item), (1, item)], "item_id long, text string"))
+    assert clean.columns == df.columns
+    assert sorted(str(r.text) for r in clean.collect()) == ["None", "a clean text", "another clean text"]
+
+
 def test_secret_spans(spark):
     assign = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
