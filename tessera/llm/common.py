@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import re
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path within it, for Python code on executors."""
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores as keep it apart from the columns of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, jaccard, pitman_yor, quality, secret_scan, sharding, token_counts, tokenbin, warc
+from tessera.llm import bpe, contexts, decontaminate, jaccard, quality, secret_scan, sharding, token_counts, tokenbin, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,7 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_token_binary": tokenbin.op7_token_binary,
         "op8_token_counts": token_counts.op8_token_counts,
-        "op9_lm_scoring": pitman_yor.op9_lm_scoring,
+        "op9_lm_scoring": contexts.op9_lm_scoring,
         "op10_secret_scans": secret_scan.op10_secret_scans,
     }
 

@@ -16,7 +16,6 @@ other than key and text aren't read.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import struct
 import zlib
@@ -27,14 +26,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm.bpe import DIGITS, LETTERS, MEMO_BYTES, OTHER, byte_alphabet
-from tessera.llm.common import Memo, frugal, new_path, table
+from tessera.llm.common import Memo, frugal, new_path, open_store, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -94,10 +92,6 @@ def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
-
-
 def train_dictionary(docs: DataFrame, key: str, text: str, path: str) -> bytes:
     """Dictionary for the arrays of a sample spread over the corpus by a hash of the key; empty for tiny corpora."""
     n = docs.count()
@@ -127,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         shares = [k / n_files for k in range(1, n_files)]
         splits = sorted(set(keys.agg(F.percentile_approx("key", shares, max(10_000, 10 * n_files))).first()[0] or []))
     dictionary = train_dictionary(docs, key, text, where)
-    store, root = _store(path)
+    store, root = open_store(path)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/dictionary") as f:
         f.write(dictionary)
@@ -152,7 +146,7 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(path)
+        store, root = open_store(path)
         attempt = TaskContext.get().taskAttemptId()
         done: list[tuple[str, int, int]] = []
         out, part, index, at, total = None, None, [], 0, 0
@@ -197,7 +191,7 @@ class TokenFile:
     """Random and sequential access to one file."""
 
     def __init__(self, path: str, dictionary: bytes):
-        store, name = _store(path)
+        store, name = open_store(path)
         self.source = store.open_input_file(name)
         magic, version, width, digest = struct.unpack(HEADER, self.source.read_at(struct.calcsize(HEADER), 0))
         if magic != MAGIC or version != 1:
@@ -229,7 +223,7 @@ class TokenFile:
 
 
 def read_dictionary(path: str) -> bytes:
-    store, root = _store(path)
+    store, root = open_store(path)
     with store.open_input_stream(f"{root}/dictionary") as f:
         return f.read()
 

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, pitman_yor, token_counts, tokenbin
+from tessera.llm import bpe, contexts, pitman_yor, token_counts, tokenbin
 
 PIECES = ["<|endoftext|>", "<|endof", "text|>", "'re", "'ll", "'", " ", "   ", "\n\n", "the", "zzzz", "ab" * 30, "é", "中文", "1234", "!!!", "՘x", "\x1c", " ", " hello", "İ", "ǅ", "­"]
 
@@ -157,58 +157,118 @@ def test_spelling_is_a_distribution():
     triples, starts = pitman_yor.spell(words)
     keys, n = np.unique(triples, return_counts=True)
     model = pitman_yor.Spelling(keys, n)
-    rng = np.random.default_rng(1)
-    for _ in range(4):
-        model.sweep(rng)
+    for sweep in range(4):
+        model.sweep(sweep)
         assert all((t >= 1).all() and (t <= c).all() for c, t in zip(model.c, model.t))
     table = model.table()
     for context in (0x2020, 0x2074, 0x7468, 0x0000):
         assert table.p((context << 8) + np.arange(256)).sum() == pytest.approx(1.0, abs=1e-5)
     assert len(starts) == len(words) and triples[starts[1]] >> 8 == 0x2020
+    one = [pitman_yor.spelled([t], words) for t in (table, model.table())]
+    assert pitman_yor.spelled([table, model.table()], words) == pytest.approx((one[0] + one[1]) / 2)
 
 
-def test_table_counts_follow_their_distribution():
-    rng = np.random.default_rng(5)
-    c, d = np.full(4000, 6), 0.5
-    t = pitman_yor.sample_tables(c, np.full(4000, 10), np.full(4000, 0.05), d, rng)
-    s, weight = pitman_yor.log_stirling(d)[6], []
-    for k in range(1, 7):
-        weight.append(math.exp(s[k]) * math.prod(pitman_yor.STRENGTH + d * (10 + j) for j in range(k)) * 0.05**k)
+@pytest.mark.parametrize("customers", [2, 6, 40])
+def test_table_counts_follow_their_distribution(customers):
+    n, d, p0 = 6000, 0.5, 0.05
+    t = pitman_yor.sample_tables(np.full(n, customers), np.full(n, 10), np.full(n, p0), d, pitman_yor.mix(np.arange(n, dtype=np.uint64)), 3)
+    s, weight = pitman_yor.log_stirling(d)[customers], []
+    for k in range(1, customers + 1):
+        weight.append(math.exp(s[k]) * math.prod(pitman_yor.STRENGTH + d * (10 + j) for j in range(k)) * p0**k)
     want = np.array(weight) / sum(weight)
-    assert np.abs(np.bincount(t, minlength=7)[1:] / 4000 - want).max() < 0.03
+    assert np.abs(np.bincount(t, minlength=customers + 1)[1:] / n - want).max() < 0.03
+    many = pitman_yor.sample_tables(np.full(50, 5000), np.full(50, 10), np.full(50, p0), d, np.arange(50, dtype=np.uint64), 0)
+    assert (many >= 1).all() and (many < 5000).all()
+
+
+def brute_predictions(rows, p1, t3, t2, d2, d3):
+    """P(w | u2, u1) of each row by dictionaries over (u1, u2, w) customers and given tables."""
+    c3, c2 = collections.Counter(), collections.Counter()
+    n3, s3, n2, s2 = (collections.Counter() for _ in range(4))
+    for (u1, u2, w, c), t in zip(rows, t3):
+        c3[u1, u2, w] += c
+        n3[u1, u2] += c
+        s3[u1, u2] += t
+        c2[u1, w] += t
+        n2[u1] += t
+    for (u1, w), t in t2.items():
+        s2[u1] += t
+    theta, out = pitman_yor.STRENGTH, []
+    for (u1, u2, w, c), t in zip(rows, t3):
+        short = (c2[u1, w] - d2 * t2[u1, w] + (theta + d2 * s2[u1]) * p1[w]) / (theta + n2[u1])
+        out.append((c - d3 * t + (theta + d3 * s3[u1, u2]) * short) / (theta + n3[u1, u2]))
+    return out
+
+
+def test_context_restaurants():
+    rng = random.Random(11)
+    seen = collections.Counter((rng.randrange(3), rng.randrange(4), rng.randrange(6)) for _ in range(400))
+    rows = [(a, b, w, seen[a, b, w]) for a in range(3) for b in range(5) for w in range(6)]  # context 4 is never seen
+    p1 = np.array([0.3, 0.25, 0.2, 0.15, 0.06, 0.04])
+    a, b, w, c = (np.array(x) for x in zip(*rows))
+    as_code = lambda x: x.astype(np.uint64)
+    rooms = contexts.Rooms(pitman_yor.mix(as_code(a)), as_code(b), as_code(w), c, p1[w])
+    for sweep in range(5):
+        got = rooms.predict(0.4, 0.6)
+        short = {(a[k], w[k]): int(rooms.t2[rooms.up[k]]) for k in range(len(rows))}
+        assert got == pytest.approx(brute_predictions(rows, p1, rooms.t3.tolist(), short, 0.4, 0.6))
+        assert np.bincount(a * 5 + b, got) == pytest.approx(np.ones(15))  # each context has a distribution
+        assert (rooms.t3 <= rooms.c).all() and ((rooms.t3 > 0) == (rooms.c > 0)).all()
+        assert (rooms.t2 <= rooms.c2).all() and ((rooms.t2 > 0) == (rooms.c2 > 0)).all()
+        rooms.sweep(0.4, 0.6, sweep)
+    assert np.bincount(a * 5 + b, rooms.averaged(0.4, 0.6)) == pytest.approx(np.ones(15))
 
 
 def test_scores(spark, monkeypatch):
     rng = random.Random(7)
     vocabulary = ["w" + "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 4))) for _ in range(300)]
-    # an open vocabulary, as in a corpus: one word in eight is new; on a closed one without order the base is as good
     new = lambda: "".join(rng.choice("ghijkl") for _ in range(6))
     draw = lambda: new() if rng.random() < 0.12 else vocabulary[min(299, int(rng.expovariate(0.02)))]
     rows = [(k, " ".join(draw() for _ in range(rng.randint(0, 40)))) for k in range(150)]
-    rows += [(900, None), (901, " \n"), (902, "Never Seen Before"), (903, "THE É x")]
+    rows += [(900, None), (901, " \n"), (902, "Never Seen Before"), (903, "THE É x"), (None, "a null key"), (5, rows[5][1]), (904, "very long " * 30_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, row string")
     word, low = re.compile(r"[^\x20\x09-\x0D]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = {k: [*word.findall((t or "").translate(low)), None] for k, t in rows}
-    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in tokens}
-    counts = collections.Counter(w for k, v in tokens.items() if not held[k] for w in v)
+    mine_of = [(k, [*word.findall((t or "").translate(low)), None]) for k, t in rows]
+    held = {k: zlib.crc32(("null" if k is None else str(k)).encode()) % 7 == 2 for k, _ in rows}
+    counts = collections.Counter(w for k, v in mine_of if not held[k] for w in v)
     n, v = sum(counts.values()), len(counts)
     results = []
-    for head in (1_000_000, 20):
-        monkeypatch.setattr(pitman_yor, "head_of", lambda words, size=head: original(words, size))
-        got = {r.doc_id: r for r in pitman_yor.score(df).collect()}
-        for k, mine in tokens.items():
-            r = got[k]
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(mine), sum(counts[w] > 0 for w in mine), n)
+    for head, chunk, part, split in ((1 << 19, 1 << 20, 1 << 21, 2), (1 << 19, 300, 5000, 5), (20, 300, 5000, 3)):
+        monkeypatch.setattr(pitman_yor, "HEAD_WORDS", head)
+        monkeypatch.setattr(contexts, "CHUNK_TOKENS", chunk)
+        monkeypatch.setattr(contexts, "PART_TOKENS", part)
+        got = contexts.score(df.repartition(split)).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            mine = dict(mine_of)[r.doc_id]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(mine), sum(counts[w] > 0 for w in mine), n)
             assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in mine))
-        results.append({k: r.score for k, r in got.items()})
-    assert all(results[0][k] == pytest.approx(results[1][k]) for k in tokens)
-    out = [k for k in tokens if held[k]]
-    assert sum(results[0][k] for k in out) > sum(got[k].base_score for k in out)
+        results.append({r.doc_id: r for r in got})
+    assert all(results[0][k].score == pytest.approx(results[1][k].score, rel=1e-5) for k in held)  # whatever the parts
+    assert all(results[0][k].score == pytest.approx(results[2][k].score, rel=0.1) for k in held)  # other codes, other draws
+    for side in (True, False):
+        of = [r for r in results[0].values() if r.held_out == side and r.doc_id != 904]
+        assert sum(r.score for r in of) > sum(r.base_score for r in of)
 
 
-original = pitman_yor.head_of
+def test_word_order_and_copies_matter(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") for _ in range(30)) for _ in range(140)]
+    train = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    rows = [(train[k], t) for k, t in enumerate(texts + texts[:40])]
+    out = next(k for k in range(5000, 6000) if zlib.crc32(str(k).encode()) % 7 == 2)
+    out2 = next(k for k in range(out + 1, 6000) if zlib.crc32(str(k).encode()) % 7 == 2)
+    rows += [(out, texts[50]), (out2, " ".join(reversed(texts[50].split())))]
+    monkeypatch.setattr(contexts, "ROOM", 500)  # frequent words have several restaurants
+    got = {r.doc_id: r.score for r in contexts.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[out] > got[out2] + 5
+    twice, once = [got[train[k]] for k in range(40)], [got[train[k]] for k in range(40, 140)]
+    assert min(twice) > max(once)  # documents that occur twice stand apart
 
 
 def test_scores_without_training_rows(spark):
-    got = pitman_yor.score(spark.createDataFrame([], "doc_id long, text string"))
+    got = contexts.score(spark.createDataFrame([], "doc_id long, text string"))
     assert got.count() == 0 and got.columns[0] == "doc_id"
+    out = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    only = contexts.score(spark.createDataFrame([(out, "never trained")], "doc_id long, text string")).first()
+    assert only.n_known == 0 and only.train_tokens == 0 and only.score < -20 and only.base_score == 0
