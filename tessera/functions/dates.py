@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_text
+from tessera.functions.text import bind, clean_text
 
 # Ages in days below which a phase holds, and yearly windows (month, day) to (month, day).
 MOON_PHASES = (
@@ -26,12 +26,15 @@ WINDOWS = (("01-01", "01-18"), ("04-01", "04-25"), ("08-01", "08-25"), ("11-20",
 
 def parse_date(c: Column) -> Column:
     """T-a: struct of date and precision (day, month, year, timestamp, missing, unparsed)."""
-    text = clean_text(c)
+    return bind(clean_text(c), _parsed)
+
+
+def _parsed(text: Column) -> Column:
     precision = (
         F.when(text == "", F.lit("missing"))
         .when(text.rlike(r"^\d{4}$"), F.lit("year"))
-        .when(text.rlike(r"^\d{4}-\d{1,2}$"), F.lit("month"))
-        .when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$|^\d{8}$"), F.lit("day"))
+        .when(text.rlike(r"^\d{4}-\d{2}$"), F.lit("month"))
+        .when(text.rlike(r"^\d{4}-\d$|^\d{4}-\d{1,2}-\d{1,2}$|^\d{8}$"), F.lit("day"))
         .when(F.try_to_timestamp(text).isNotNull(), F.lit("timestamp"))
         .otherwise(F.lit("unparsed"))
     )

@@ -11,6 +11,21 @@ def listify(c: Column) -> Column:
     return F.coalesce(c, F.array().cast("array<string>"))
 
 
+def scalar_or_list(c: Column) -> Column:
+    """JSON text of a list, or of one value, as an array of text; null and blank give an empty one."""
+    bare = F.trim(c)
+    many = F.from_json(bare, "array<string>")
+    one = F.array(F.regexp_replace(bare, '^"(.*)"$', "$1"))
+    none = F.array().cast("array<string>")
+    return F.when(bare.isNull() | bare.isin("", "null"), none).when(F.startswith(bare, F.lit("[")), F.coalesce(many, none)).otherwise(one)
+
+
+def child_table(df: DataFrame, key: str, items: str, joined: str, fields: list[str]) -> DataFrame:
+    """One row per element of an array of structs, with its place, fields and an inner array joined by commas."""
+    each = df.select(key, F.posexplode(items).alias("place", "item"))
+    return each.select(key, "place", *(F.col(f"item.{f}").alias(f) for f in fields), F.array_join(f"item.{joined}", ",").alias(joined))
+
+
 def map_of_maps(df: DataFrame, column: str, outer: str, inner: str) -> DataFrame:
     """JSON map of maps to long rows with number and raw text of each value."""
     parsed = df.withColumn("__m", F.from_json(column, "map<string,map<string,string>>"))

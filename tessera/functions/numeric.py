@@ -45,10 +45,30 @@ def rounded(c: Column, digits: int, parity: bool = False) -> Column:
     return F.bround(c, digits) if parity else F.round(c, digits)
 
 
-def capped_growth(raw: Column, cap: float) -> tuple[Column, Column]:
+def capped_growth(raw: Column, cap: float | Column) -> tuple[Column, Column]:
     """M5: (value, whether the cap was hit); not finite counts as hit."""
-    known = finite(raw)
-    return F.coalesce(F.least(known, F.lit(float(cap))), F.lit(float(cap))), known.isNull() | (known > cap)
+    known, most = finite(raw), cap if isinstance(cap, Column) else F.lit(float(cap))
+    return F.coalesce(F.least(known, most), most), known.isNull() | (known > most)
+
+
+def within(c: Column, low: float, high: float) -> Column:
+    """both ends included, null is outside."""
+    return F.coalesce(c.between(low, high), F.lit(False))
+
+
+def ensured(df: DataFrame, columns: list[str], default: float = 0.0) -> DataFrame:
+    """Columns that a table lacks, with a default."""
+    return df.select("*", *(F.lit(default).alias(c) for c in columns if c not in df.columns))
+
+
+def named_by_place(df: DataFrame, *names: str) -> DataFrame:
+    """The first columns renamed by their place."""
+    return df.toDF(*names, *df.columns[len(names) :])
+
+
+def column_list(df: DataFrame, limit: int = 40) -> str:
+    """Names of the first columns as text."""
+    return ",".join(df.columns[:limit])
 
 
 def cut(c: Column, edges: list[float], labels: list[str], parity: bool = False) -> Column:

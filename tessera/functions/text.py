@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SENTINELS = ("", "nan", "none", "null")
 NUMBER = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slug(c: Column) -> Column:
     """Lower-case words joined by hyphens; 'unknown' if nothing is left."""
     bare = F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-")
@@ -17,8 +24,7 @@ def slug(c: Column) -> Column:
 
 def clean_text(c: Column, fallback: str = "") -> Column:
     """Trimmed text; null, blank and the words nan, none, null give the fallback."""
-    bare = F.trim(c)
-    return F.when(bare.isNull() | F.lower(bare).isin(*SENTINELS), F.lit(fallback)).otherwise(bare)
+    return bind(F.trim(c), lambda bare: F.when(bare.isNull() | F.lower(bare).isin(*SENTINELS), F.lit(fallback)).otherwise(bare))
 
 
 def clean_label(parts: Column) -> Column:
@@ -28,16 +34,17 @@ def clean_label(parts: Column) -> Column:
 
 def safe_float(c: Column) -> Column:
     """Number of a text without its commas, else the first number in it; null for sentinels."""
-    bare = F.nullif(clean_text(F.regexp_replace(c, ",", "")), F.lit(""))
-    first = F.nullif(F.regexp_extract(bare, NUMBER, 0), F.lit(""))
-    found = F.coalesce(bare.try_cast("double"), first.try_cast("double"))
-    return F.nullif(found, F.lit(float("nan")))
+
+    def number(bare: Column) -> Column:
+        first = F.regexp_extract(bare, NUMBER, 0)
+        return F.coalesce(F.when(bare != "", bare.try_cast("double")), F.when(bare != "", first.try_cast("double")))
+
+    return bind(clean_text(F.replace(c, F.lit(","), F.lit(""))), lambda bare: bind(number(bare), lambda x: F.when(~F.isnan(x), x)))
 
 
 def price_per_million(c: Column) -> Column:
     """Unit price times a million; negative or missing gives null."""
-    value = safe_float(c)
-    return F.when(value >= 0, value * 1_000_000)
+    return bind(safe_float(c), lambda value: F.when(value >= 0, value * 1_000_000))
 
 
 def code_prefix(c: Column, pattern: str = r"\d{2}-\d{4}", length: int = 7) -> Column:
@@ -53,15 +60,18 @@ def sentence_join(parts: Column, limit: int = 4) -> Column:
 
 def after_first(c: Column, mark: str) -> Column:
     """Text after the first ``mark``, or all of it."""
-    at = F.locate(mark, c)
-    return F.when(at > 0, F.substring(c, at + 1, F.length(c))).otherwise(c)
+
+    def rest(x: Column) -> Column:
+        at = F.locate(mark, x)
+        return F.when(at > 0, F.substring(x, at + 1, F.length(x))).otherwise(x)
+
+    return bind(c, rest)
 
 
 def normalize_name(c: Column, noise: tuple[str, ...], prefixes: tuple[str, ...]) -> Column:
     """Comparable form of a name: no vendor prefix, brackets, dates or noise words; letters and digits alone."""
-    text = after_first(F.lower(clean_text(c)), ":")
-    head = F.substring_index(text, "/", 1)
-    text = F.when(F.contains(text, F.lit("/")) & head.isin(*prefixes), after_first(text, "/")).otherwise(text)
+    bare = lambda x: F.when(F.contains(x, F.lit("/")) & F.substring_index(x, "/", 1).isin(*prefixes), after_first(x, "/")).otherwise(x)
+    text = bind(after_first(F.lower(clean_text(c)), ":"), bare)
     for pattern in (
         r"\([^)]*\)",
         r"\b20\d{2}[-_ ]?(?:0[1-9]|1[0-2])[-_ ]?(?:0[1-9]|[12]\d|3[01])\b",
@@ -132,3 +142,70 @@ def escape_html(c: Column) -> Column:
 def format_share(c: Column) -> Column:
     """A share as a percentage with one digit; 'n/a' if missing."""
     return F.coalesce(F.format_string("%.1f%%", F.round(c * 100, 1)), F.lit("n/a"))
+
+
+def format_number(c: Column, digits: int = 2) -> Column:
+    """Thousands separated; scientific from 1e15 on; 'n/a' for missing and not finite."""
+
+    def shown(x: Column) -> Column:
+        known = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        return F.when(known & (F.abs(x) >= 1e15), F.format_string("%.2e", x)).when(known, F.format_number(x, digits)).otherwise(F.lit("n/a"))
+
+    return bind(c.cast("double"), shown)
+
+
+def file_timestamp(path: Column) -> Column:
+    """What stands between 'results_' and '.json' in a file's name."""
+    return F.nullif(F.regexp_extract(path, r"results_(.*?)\.json$", 1), F.lit(""))
+
+
+def title_case(c: Column) -> Column:
+    """Underscores as spaces, words capitalized."""
+    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def wrapped(c: Column, width: int) -> Column:
+    """Lines of at most ``width`` characters, cut between words; a longer word has its own line."""
+    words = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
+
+    def add(state: Column, w: Column) -> Column:
+        fits = F.length(state["line"]) + 1 + F.length(w) <= width
+        line = F.when(state["line"] == "", w).when(fits, F.concat(state["line"], F.lit(" "), w)).otherwise(w)
+        done = F.when((state["line"] != "") & ~fits, F.concat(state["done"], state["line"], F.lit("\n"))).otherwise(state["done"])
+        return F.struct(done.alias("done"), line.alias("line"))
+
+    return F.aggregate(words, start, add, lambda s: F.concat(s["done"], s["line"]))
+
+
+def inline_markdown(c: Column) -> Column:
+    """Escaped text with links, bold and code as HTML."""
+    out = escape_html(c)
+    for pattern, made in ((r"\[([^\]]+)\]\(([^)]+)\)", '<a href="$2">$1</a>'), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"`([^`]+)`", "<code>$1</code>")):
+        out = F.regexp_replace(out, pattern, made)
+    return out
+
+
+def unique_ids(df: DataFrame, title: str, order: str, name: str = "html_id") -> DataFrame:
+    """Slugs of titles; the second and later ones of a slug get -2, -3 and so on, in the given order."""
+    place = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    base = df.withColumn(name, slug(F.col(title))).withColumn("__n", place)
+    return base.withColumn(name, F.when(F.col("__n") > 1, F.concat_ws("-", name, F.col("__n"))).otherwise(F.col(name))).drop("__n")
+
+
+def url_quoted(c: Column) -> Column:
+    """Percent-encoded, slashes kept."""
+    out = F.url_encode(c)
+    for a, b in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def composite_key(a: Column, b: Column, c: Column) -> Column:
+    """Parts joined by '::', the middle one as a slug; missing parts are empty."""
+    return F.concat_ws("::", F.coalesce(a, F.lit("")), slug(b), F.coalesce(c, F.lit("")))
+
+
+def hub_license(tags: Column, card: Column) -> Column:
+    """The first license tag, else the card's licenses joined by commas."""
+    return F.coalesce(tagged_value(tags, "license:"), F.nullif(F.array_join(card, ","), F.lit("")))

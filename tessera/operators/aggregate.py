@@ -66,7 +66,7 @@ def field_coverage(*fields: Column, positive: bool = False) -> Column:
 
 def latest_date(df: DataFrame, *columns: str) -> DataFrame:
     """The latest of all dates in the columns, one row."""
-    return df.agg(F.greatest(*(F.max(F.to_date(c)) for c in columns), *([F.lit(None).cast("date")] if len(columns) < 2 else [])).alias("latest_date"))
+    return df.agg(F.greatest(*(F.max(F.col(c).try_cast("date")) for c in columns), *([F.lit(None).cast("date")] if len(columns) < 2 else [])).alias("latest_date"))
 
 
 def most_frequent(df: DataFrame, key: str) -> DataFrame:
@@ -96,3 +96,26 @@ def reasons(**conditions: Column) -> Column:
     """Names of the conditions that hold, joined by ','; 'none' without."""
     found = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in conditions.items())))
     return F.when(F.size(found) == 0, F.lit("none")).otherwise(F.array_join(found, ","))
+
+
+def mean_and_size(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Mean of a number and size of each group, by any list of keys; text that is no number is left out of the mean."""
+    return df.groupBy(*keys).agg(F.avg(F.col(value).try_cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def class_medians(df: DataFrame, kind: str, value: str, top: str, bottom: str) -> DataFrame:
+    """One row with the medians of two classes and their ratio."""
+    of = lambda k: F.median(F.when(F.col(kind) == k, F.col(value)))
+    return df.agg(of(top).alias("top_median"), of(bottom).alias("bottom_median")).withColumn("ratio", F.try_divide("top_median", "bottom_median"))
+
+
+def leaders(df: DataFrame, group: str, key: str, value: str, n: int = 10) -> DataFrame:
+    """The n keys with the highest maximum, and in each group the leader among these."""
+    best = df.groupBy(key).agg(F.max(value).alias("__best")).orderBy(F.desc("__best"), key).limit(n)
+    kept = df.join(F.broadcast(best.select(key)), key, "left_semi")  # n rows
+    return kept.groupBy(group).agg(F.max_by(key, F.struct(value, F.col(key))).alias("leader"), F.max(value).alias("best"))
+
+
+def pick_rows(df: DataFrame, fixed: Sequence[str], key: str, metric: str, least: float, never: str) -> DataFrame:
+    """rows whose key is in a fixed list or whose metric is large enough, but never one key."""
+    return df.where((F.col(key).isin(*fixed) | (F.col(metric) >= least)) & (F.col(key) != never))

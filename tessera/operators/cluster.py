@@ -8,37 +8,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _nearest(features: Sequence[str], centres: list[tuple[float, ...]]) -> Column:
-    """Index of the nearest centre, the first among equals; centres are k literals."""
+def _nearest(features: Sequence[str], k: int, mark: str) -> Column:
+    """Index of the nearest of k centres in columns of ``mark``, the first among equals."""
     far = [
-        F.struct(sum(((F.coalesce(F.col(f), F.lit(0.0)) - F.lit(float(c))) ** 2 for f, c in zip(features, centre)), F.lit(0.0)).alias("d"), F.lit(k).alias("k"))
-        for k, centre in enumerate(centres)
+        F.struct(sum(((F.coalesce(F.col(f), F.lit(0.0)) - F.col(f"{mark}_{c}_{j}")) ** 2 for j, f in enumerate(features)), F.lit(0.0)).alias("d"), F.lit(c).alias("k"))
+        for c in range(k)
     ]
     return F.array_min(F.array(*far))["k"]
 
 
+def _centres(df: DataFrame, centres: list[tuple[float, ...]], mark: str) -> DataFrame:
+    """One row with every coordinate of every centre: plans stay the same from one iteration to the next."""
+    names = [f"{mark}_{c}_{j} double" for c, centre in enumerate(centres) for j in range(len(centre))]
+    return F.broadcast(df.sparkSession.createDataFrame([[float(x) for centre in centres for x in centre]], ", ".join(names)))
+
+
 def kmeans(df: DataFrame, key: str, features: Sequence[str], k: int = 7, iterations: int = 80) -> DataFrame:
     """``df`` with ``cluster``: first centres are the k rows with the smallest hashes of the key; an empty cluster keeps its centre.
 
     Rows are assigned ``iterations`` times, or until no assignment changes. Only k rows of sums come to the driver per
-    iteration. Fewer than k rows are all in cluster 0.
+    iteration; the features are computed once. Fewer than k rows are all in cluster 0.
     """
-    seeds = df.orderBy(F.xxhash64(key), key).limit(k).select(*features).collect()
+    rows = df.select(key, *features).persist()
+    seeds = rows.orderBy(F.xxhash64(key), key).limit(k).select(*features).collect()
     if len(seeds) < k:
+        rows.unpersist()
         return df.withColumn("cluster", F.lit(0))
     centres, before = [tuple(float(x or 0.0) for x in r) for r in seeds], None
-    rows = df.select(*features).persist()
     for _ in range(iterations - 1):
-        here = _nearest(features, centres)
-        changed = F.lit(True) if before is None else here != _nearest(features, before)
-        means = rows.groupBy(here.alias("cluster")).agg(F.bool_or(changed).alias("__changed"), *(F.avg(F.coalesce(f, F.lit(0.0))).alias(f) for f in features)).collect()
-        if not any(r["__changed"] for r in means):
+        here = _nearest(features, k, "__now")
+        changed = here != _nearest(features, k, "__was")
+        both = rows.crossJoin(_centres(df, centres, "__now")).crossJoin(_centres(df, before or centres, "__was"))
+        means = both.groupBy(here.alias("cluster")).agg(F.bool_or(changed).alias("__changed"), *(F.avg(F.coalesce(f, F.lit(0.0))).alias(f) for f in features)).collect()
+        if before is not None and not any(r["__changed"] for r in means):
             break
         before, centres = centres, list(centres)
         for r in means:
             centres[r["cluster"]] = tuple(float(r[f]) for f in features)
     rows.unpersist()
-    return df.withColumn("cluster", _nearest(features, centres))
+    placed = df.crossJoin(_centres(df, centres, "__now")).withColumn("cluster", _nearest(features, k, "__now"))
+    return placed.select(*df.columns, "cluster")
 
 
 def profile(clustered: DataFrame, features: Sequence[str]) -> DataFrame:

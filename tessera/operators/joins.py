@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import first_per_group
-
 
 def left_fill(left: DataFrame, right: DataFrame, on: Sequence[str], fill: Sequence[str]) -> DataFrame:
     """Left join, missing measures 0."""
@@ -44,12 +42,34 @@ def with_lookup(df: DataFrame, key: str, table: dict, name: str, default) -> Dat
 
 
 def upsert(df: DataFrame, keys: Sequence[str], order: Sequence[Column], provenance: str, sep: str = "|") -> DataFrame:
-    """The last row of each key, with all of its provenance values in order of appearance."""
-    last = first_per_group(df, keys, *(c.desc() for c in order))
-    trail = df.groupBy(*keys).agg(
-        F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_set(F.struct(*order, F.col(provenance).alias("__p")))), lambda x: x["__p"])), sep).alias("provenance")
-    )
-    return last.join(trail, list(keys))
+    """The last row of each key, with all of its provenance values in order of first appearance; null is a key, too.
+
+    One row per key and provenance value is kept before the values meet, so a key's list is as long as its values are many.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    at = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)))
+    each = df.groupBy(*keys, F.col(provenance).alias("__value")).agg(F.min(at).alias("__first"), F.max(at).alias("__at"), F.max_by(F.struct(*rest), at).alias("__last"))
+    seen = F.transform(F.array_sort(F.collect_list(F.struct("__first", "__value"))), lambda x: x["__value"].cast("string"))
+    out = each.groupBy(*keys).agg(F.max_by("__last", "__at").alias("__last"), F.array_join(seen, sep).alias("__trail"))
+    return out.select(*keys, "__last.*", F.col("__trail").alias("provenance"))
+
+
+def with_proxy(detail: DataFrame, groups: DataFrame, key: str, own: str, group_value: str, name: str) -> DataFrame:
+    """A detail row's own value, else that of its group; and which of them it is."""
+    proxy = groups.select(key, F.col(group_value).alias("__proxy"))
+    kind = F.when(F.col(own).isNotNull(), "own").when(F.col("__proxy").isNotNull(), "group_proxy").otherwise("none")
+    return detail.join(proxy, key, "left").withColumn(name, F.coalesce(own, "__proxy")).withColumn(f"{name}_source", kind).drop("__proxy")
+
+
+def compared(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], prefix: str) -> DataFrame:
+    """Columns of another table beside one's own, under prefixed names."""
+    return left.join(right.select(key, *(F.col(c).alias(prefix + c) for c in columns)), key, "left")
+
+
+def rank_shift(left: DataFrame, right: DataFrame, key: str, rank: str = "rank") -> DataFrame:
+    """How many places a key is lower in ``left`` than in ``right``; null where either lacks it."""
+    other = right.select(key, F.col(rank).alias("__other"))
+    return left.join(other, key, "left").withColumn("rank_shift", F.col(rank) - F.col("__other")).drop("__other")
 
 
 def membership(left: DataFrame, right: DataFrame, on: Sequence[str], flag: str) -> DataFrame:

@@ -9,36 +9,36 @@ TIERS = ("exact", "normalized_exact", "alias_match", "family_only", "unmatched")
 
 
 def tiered_match(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row per query: match_confidence, candidate_name, match_key, direct.
+    """One row per query: id, match_confidence, match_rank, match_key, direct, record (the candidate's row, or null).
 
-    queries: id, name, model_id, family, aliases; candidates: name, family, aliases, sort_score. Tier 0: the candidate's
-    name is the query's name or id (any case); tier 1: they share an alias other than the family's own name; tier 3:
-    best candidate of the family by score. Within tiers 0 and 1 the first name wins. Aliases are hashed and joined, so
-    work grows with the aliases, not with queries times candidates; the best is kept while aggregating.
+    queries: id, name, model_id, family, aliases; candidates: ord (their order), name, family, aliases, sort_score, and
+    what else the record shall have. Aliases don't include the family's own name. Tier 0: the candidate's name is the
+    query's name or id (any case); tier 1: they share an alias; in both the first candidate by ``ord`` wins. Tier 3: the
+    candidate of the family with the highest score, the first among equals; missing scores count as 0.
+
+    Every key (name, alias, family) is reduced to its first candidate before queries meet it, so work grows with keys
+    and aliases, not with queries times candidates; no key brings more than one row to a query.
     """
     low = lambda c: F.lower(F.trim(c))
+    first = lambda rows: rows.groupBy("k").agg(F.min("ord").alias("ord"))
     names = queries.select("id", F.explode(F.array_distinct(F.array(low("name"), low("model_id")))).alias("k")).where("k <> ''")
-    exact = names.join(candidates.select(low("name").alias("k"), F.col("name").alias("c")), "k").select(
-        "id", F.lit(0).alias("tier"), F.lit(0.0).alias("o"), "c", F.col("k").alias("key")
-    )
-    own = lambda d: F.filter("aliases", lambda a: a != F.lower(d["family"]))
-    left = queries.select("id", F.explode(own(queries)).alias("k"))
-    right = candidates.select(F.col("name").alias("c"), F.explode(own(candidates)).alias("k"))
-    alias = left.join(right, "k").groupBy("id", "c").agg(F.min("k").alias("key")).select(
-        "id", F.lit(1).alias("tier"), F.lit(0.0).alias("o"), "c", "key"
-    )
-    best = candidates.groupBy("family").agg(F.max(F.struct(F.coalesce("sort_score", F.lit(float("-inf"))).alias("s"), F.col("name").alias("c"))).alias("b"))
-    top = candidates.join(best, "family").where(F.coalesce("sort_score", F.lit(float("-inf"))) == F.col("b.s")).groupBy("family").agg(F.min("name").alias("c"))
-    family = queries.select("id", "family").join(top, "family").select(
-        "id", F.lit(3).alias("tier"), F.lit(0.0).alias("o"), "c", F.col("family").alias("key")
-    )
-    found = exact.unionByName(alias).unionByName(family)
-    chosen = found.groupBy("id").agg(F.min(F.struct("tier", "o", "c", "key")).alias("m"))
+    exact = names.join(first(candidates.select(low("name").alias("k"), "ord")), "k").select("id", F.lit(0).alias("tier"), "ord")
+    words = queries.select("id", F.explode("aliases").alias("k"))
+    alias = words.join(first(candidates.select(F.explode("aliases").alias("k"), "ord")), "k").select("id", F.lit(1).alias("tier"), "ord")
+    score = F.coalesce(F.col("sort_score").cast("double"), F.lit(0.0))
+    best = candidates.where("family IS NOT NULL").groupBy("family").agg(F.max_by("ord", F.struct(score, -F.col("ord"))).alias("ord"))
+    family = queries.select("id", "family").join(best, "family").select("id", F.lit(3).alias("tier"), "ord")
+    chosen = exact.unionByName(alias).unionByName(family).groupBy("id").agg(F.min(F.struct("tier", "ord")).alias("m"))
+    record = candidates.select("ord", F.struct(*candidates.columns).alias("record"))
     tier = F.coalesce(F.col("m.tier"), F.lit(4))
-    return queries.join(chosen, "id", "left").select(
+    shared = F.array_min(F.array_intersect("aliases", "record.aliases"))
+    key = F.when(tier == 0, low("record.name")).when(tier == 1, shared).when(tier == 3, F.col("family"))
+    found = queries.join(chosen, "id", "left").withColumn("ord", F.col("m.ord")).join(record, "ord", "left")
+    return found.select(
         "id",
         F.get(F.array(*(F.lit(t) for t in TIERS)), tier).alias("match_confidence"),
-        F.col("m.c").alias("candidate_name"),
-        F.col("m.key").alias("match_key"),
+        tier.alias("match_rank"),
+        key.alias("match_key"),
         (tier <= 2).alias("direct"),
+        "record",
     )

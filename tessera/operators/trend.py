@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import capped_growth
+
 
 def yearly_quantile(df: DataFrame, day: str, value: str, q: float) -> DataFrame:
     """Exact interpolated quantile per year of positive values."""
@@ -22,6 +24,6 @@ def log_slope(yearly: DataFrame, least: int = 3) -> DataFrame:
 
 
 def forecast(slope: Column, latest: Column, horizon: Column, scale: Column, cap: Column) -> tuple[Column, Column]:
-    """latest times the growth over the horizon, growth at most ``cap``; (value, whether capped)."""
-    growth = F.pow(F.lit(10.0), slope * scale * horizon)
-    return latest * F.least(growth, cap), growth > cap
+    """latest times the growth over the horizon, growth at most ``cap``; (value, whether capped). Not finite is capped."""
+    growth, capped = capped_growth(F.pow(F.lit(10.0), slope * scale * horizon), cap)
+    return latest * growth, capped

@@ -156,7 +156,7 @@ def q_lag_cadence(spark, d):
     return ranking.cadence(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderdate"), REFERENCE).select("o_custkey", F.col("total").cast("long").alias("total"), F.col("recent").cast("long").alias("recent"), F.round("median_gap_days", 4).alias("gap"), F.col("days_since_latest").cast("long").alias("since"), "cadence_label")
 
 
-register("q_lag_cadence", q_lag_cadence, f"WITH e AS (SELECT o_custkey, o_orderdate::DATE AS d, count(*) AS n FROM orders WHERE o_orderdate::DATE <= DATE '{REFERENCE}' GROUP BY ALL), g AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY o_custkey ORDER BY d), d) AS gap FROM e), a AS (SELECT o_custkey, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (d >= DATE '{REFERENCE}' - INTERVAL 365 DAY), 0)::BIGINT AS recent, median(gap) AS m, date_diff('day', max(d), DATE '{REFERENCE}')::BIGINT AS since FROM g GROUP BY o_custkey) SELECT o_custkey, total, recent, round(m, 4) AS gap, since, CASE WHEN recent >= 5 OR m <= 75 THEN 'fast' WHEN recent >= 2 THEN 'steady' ELSE 'slow' END AS cadence_label FROM a")
+register("q_lag_cadence", q_lag_cadence, f"WITH e AS (SELECT o_custkey, o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY ALL), g AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY o_custkey ORDER BY d), d) AS gap FROM e), a AS (SELECT o_custkey, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (d >= DATE '{REFERENCE}' - INTERVAL 365 DAY), 0)::BIGINT AS recent, round(median(gap), 1) AS m, date_diff('day', max(d), DATE '{REFERENCE}')::BIGINT AS since FROM g GROUP BY o_custkey) SELECT o_custkey, total, recent, round(m, 4) AS gap, since, CASE WHEN recent >= 5 OR m <= 75 THEN 'fast' WHEN recent >= 2 THEN 'steady' ELSE 'slow_or_sparse' END AS cadence_label FROM a")
 
 
 def q_minmax(spark, d):
@@ -169,11 +169,17 @@ register("q_minmax", q_minmax, "WITH b AS (SELECT min(s_acctbal) AS lo, max(s_ac
 
 
 def q_sort_mixed_nulls(spark, d):
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return rows.orderBy(F.desc_nulls_last("quality"), F.asc_nulls_last("toxic"), "doc_id").select("doc_id", F.col("quality").cast("long").alias("quality")).limit(500)
+    """O1, O2: all rows with their place in a sort of mixed directions; one partition per value of the first key, as its places start after those before."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.col("quality").cast("long").alias("quality"), "toxic")
+    sizes = rows.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(F.desc_nulls_last("quality"), F.asc_nulls_last("toxic")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("quality").alias("q"), F.col("toxic").alias("t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # one row per pair of values
+    placed = rows.join(F.broadcast(sizes), F.col("quality").eqNullSafe(F.col("q")) & F.col("toxic").eqNullSafe(F.col("t")))
+    place = F.row_number().over(Window.partitionBy("quality", "toxic").orderBy("doc_id"))
+    return placed.select("doc_id", "quality", (F.col("before") + place).alias("place")).orderBy("place")
 
 
-register("q_sort_mixed_nulls", q_sort_mixed_nulls, "SELECT doc_id, quality::BIGINT AS quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality DESC NULLS LAST, toxic ASC NULLS LAST, doc_id LIMIT 500")
+register("q_sort_mixed_nulls", q_sort_mixed_nulls, "SELECT doc_id, quality::BIGINT AS quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, toxic ASC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id)")
 
 
 def q_topk(spark, d):

@@ -1,6 +1,4 @@
-"""Composed pipelines on model catalogues (Z12-Z16, G20-G45, P4-P6): tables in, ranked and audited tables out.
-
-Not built: Z11, Z17, G41, G43, G45, and of Z10 the table of six metrics (FORECAST has its multipliers); the README lists them.
+"""Composed pipelines on model catalogues (Z10, Z13-Z17, G20-G45, P4-P6): tables in, ranked and audited tables out.
 
 Inputs are DataFrames with the columns named in each docstring; a reference date is an argument, never the clock.
 """
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates, numeric, rules, text
 from tessera.operators import aggregate as agg
-from tessera.operators import joins, match, ranking, simulate
+from tessera.operators import joins, match, ranking, simulate, trend
 from tessera.operators.skyline import skyline
 from tessera.sources.readers import resolve
 
@@ -42,6 +40,7 @@ FORECAST = {
     "base": (1.0, 1.0, 1.0, 1.0, 1.0, 400.0, 64.0),
     "aggressive": (1.45, 1.50, 1.35, 1.55, 1.35, 1200.0, 128.0),
 }
+# Labels of clusters and their bounds, the first that holds.
 CLUSTER_RULES = (
     ("replacement-prone clerical/transaction work", lambda c: c("full_job_automation_feasibility_index") >= 18),
     ("augmentation-heavy expert work", lambda c: c("augmentation_index") >= c("substitution_pressure_index") + 8),
@@ -52,41 +51,75 @@ CLUSTER_RULES = (
 
 
 def research_models(raw: DataFrame) -> DataFrame:
-    """One row per research model, from columns found by alias in any case."""
+    """25 fields per research model, from columns found by alias in any case."""
     r = lambda *names: resolve(raw, names)
     name, org = text.clean_text(r("Model", "name")), text.clean_text(r("Organization", "org"))
-    day = dates.parse_date(r("Publication date", "date"))
-    entity = rules.classify_entity(name, org)
+    day, entity = dates.parse_date(r("Publication date", "date")), rules.classify_entity(name, org)
     return raw.select(
         F.concat(F.lit("epoch::"), text.slug(name)).alias("model_id"), name.alias("canonical_model"), entity["vendor"].alias("vendor"),
-        entity["model_family"].alias("model_family"), entity["product_line"].alias("product_line"), day["date"].alias("release_date"),
-        day["precision"].alias("release_precision"), text.clean_text(r("Domain")).alias("domain"), text.clean_text(r("Task")).alias("task"),
-        text.safe_float(r("Parameters")).alias("parameters"), text.active_parameters(r("Parameters notes")).alias("active_parameters"),
+        entity["model_family"].alias("model_family"), entity["product_line"].alias("product_line"), entity["model_family"].alias("family"), org.alias("source_vendor"),
+        day["date"].alias("release_date"), day["precision"].alias("release_precision"), text.clean_text(r("Domain")).alias("domain"), text.clean_text(r("Task")).alias("task"),
+        r("Country (of organization)").alias("country"), text.safe_float(r("Parameters")).alias("parameters"), text.active_parameters(r("Parameters notes")).alias("active_parameters"),
         text.safe_float(r("Training compute (FLOP)")).alias("training_compute_flop"), text.safe_float(r("Training dataset size (total)")).alias("training_tokens"),
-        rules.classify_access(name, org, r("Model accessibility"), r("Open model weights?")).alias("access_class"), text.clean_text(r("Link", "Reference")).alias("source_url"),
+        text.safe_float(r("Training compute cost (2023 USD)")).alias("training_compute_cost_2023_usd"), r("Model accessibility").alias("model_accessibility"), r("Open model weights?").alias("open_model_weights"),
+        rules.classify_access(name, org, r("Model accessibility"), r("Open model weights?")).alias("access_class"), F.trim(F.coalesce(r("Frontier model"), F.lit(""))).alias("frontier_model"),
+        r("Reference").alias("reference"), text.clean_text(r("Link", "Reference")).alias("source_url"), F.lit("research_models").alias("source_id"), r("Confidence").alias("confidence"),
     )
 
 
+def _field(df: DataFrame, path: str, kind: str = "string") -> Column:
+    """A nested field, or null where the schema hasn't got it."""
+    node = df.schema
+    for part in path.split("."):
+        names = [f.name for f in getattr(node, "fields", [])]
+        if part not in names:
+            return F.lit(None).cast(kind)
+        node = node[part].dataType
+    return F.col(path)
+
+
 def api_catalogue(items: DataFrame) -> DataFrame:
-    """P5: one row per catalogue item (id, name, created, context_length, pricing, architecture)."""
-    vendor = F.substring_index("id", "/", 1)
-    price = lambda c: text.price_per_million(F.col(f"pricing.{c}"))
-    family = rules.family_of_model(F.col("name"), F.col("id"), vendor)
+    """P5: 22 fields per catalogue item (id, name, created, context_length, top_provider, pricing, architecture)."""
+    of = lambda path, kind="string": _field(items, path, kind)
+    vendor = F.when(F.contains("id", F.lit("/")), F.substring_index("id", "/", 1)).otherwise(F.substring_index("name", ":", 1))
+    name, day = F.coalesce("name", "id"), dates.epoch_date(F.col("created"))
+    family = rules.family_of_model(name, F.col("id"), vendor)
+    price = lambda c: text.price_per_million(of(f"pricing.{c}"))
+    listed = lambda c: F.coalesce(F.array_join(of(f"architecture.{c}", "array<string>"), ","), F.lit(""))
     return items.select(
         F.concat(F.lit("openrouter::"), text.slug(F.col("id"))).alias("model_id"), F.col("id").alias("openrouter_id"), F.col("name").alias("canonical_model"),
-        rules.canonical_vendor(vendor, F.col("name")).alias("vendor"), family.alias("model_family"), dates.epoch_date(F.col("created")).alias("release_date"),
-        F.when(F.col("created").isNotNull(), "day").otherwise("missing").alias("release_precision"), F.col("context_length").cast("double").alias("context_window"),
-        price("prompt").alias("input_usd_per_1m"), price("completion").alias("output_usd_per_1m"), F.array_join("architecture.input_modalities", ",").alias("input_modalities"),
-        rules.classify_access(F.col("name"), vendor, F.lit("api"), F.lit("")).alias("access_class"),
+        rules.canonical_vendor(vendor, name).alias("vendor"), vendor.alias("source_vendor"), family.alias("model_family"), family.alias("product_line"), family.alias("family"),
+        day.alias("release_date"), F.when(F.col("created").isNotNull(), "timestamp").otherwise("missing").alias("release_precision"),
+        F.col("context_length").cast("double").alias("context_window"), of("top_provider.max_completion_tokens", "long").cast("double").alias("max_output_tokens"),
+        price("prompt").alias("input_usd_per_1m"), price("completion").alias("output_usd_per_1m"), price("input_cache_read").alias("cache_read_usd_per_1m"), price("input_cache_write").alias("cache_write_usd_per_1m"),
+        of("architecture.modality").alias("modality"), listed("input_modalities").alias("input_modalities"), listed("output_modalities").alias("output_modalities"),
+        rules.classify_access(name, vendor, F.lit("api"), F.lit("")).alias("access_class"), F.concat(F.lit("https://"), F.col("id")).alias("source_url"), F.lit("models_api").alias("source_id"),
     )
 
 
+PRICING = ["model_id", "openrouter_id", "canonical_model", "vendor", "model_family", "product_line", "family", "context_window", "input_usd_per_1m", "output_usd_per_1m", "cache_read_usd_per_1m", "cache_write_usd_per_1m", "source_url"]
+
+
+def pricing(catalogue: DataFrame) -> DataFrame:
+    """P5: the 13 pricing fields of the catalogue."""
+    return catalogue.select(*PRICING)
+
+
 def hub_models(items: DataFrame, collection: str) -> DataFrame:
-    """One row per hub model (id, author, tags, downloads, likes)."""
+    """26 fields per hub model (id, author, tags, downloads, likes, cardData and more, where there)."""
+    of = lambda path, kind="string": _field(items, path, kind)
+    author = F.coalesce(F.nullif(text.clean_text(of("author")), F.lit("")), F.substring_index("id", "/", 1))
+    tags, entity = F.coalesce("tags", F.array().cast("array<string>")), rules.classify_entity(F.col("id"), author)
+    listed = lambda c: F.coalesce(F.array_join(of(f"cardData.{c}", "array<string>"), ","), F.lit(""))
+    plain = lambda c: text.clean_text(of(c).cast("string"))
+    license_ = text.hub_license(tags, of("cardData.license", "array<string>"))
     return items.select(
-        "id", "author", F.lit(collection).alias("collection"), F.col("downloads").cast("double").alias("downloads"), F.col("likes").cast("double").alias("likes"),
-        text.tagged_value(F.col("tags"), "license:").alias("license"), F.size("tags").alias("tags_count"), text.inferred_parameters(F.col("id")).alias("parameters"),
-        F.array_join(F.filter("tags", lambda t: F.startswith(t, F.lit("arxiv:"))), ",").alias("arxiv_tags"),
+        "id", author.alias("author"), F.lit(collection).alias("collection"), entity["vendor"].alias("vendor"), entity["model_family"].alias("model_family"), entity["product_line"].alias("product_line"),
+        entity["model_family"].alias("family"), rules.classify_access(F.col("id"), author, F.lit(""), license_).alias("access_class"), F.col("downloads").cast("double").alias("downloads"), F.col("likes").cast("double").alias("likes"),
+        plain("pipeline_tag").alias("pipeline_tag"), plain("library_name").alias("library_name"), plain("createdAt").alias("created_at"), plain("lastModified").alias("last_modified"),
+        of("private", "boolean").alias("private"), of("gated", "boolean").alias("gated"), of("disabled", "boolean").alias("disabled"), plain("sha").alias("sha"), license_.alias("license"),
+        plain("cardData.base_model").alias("base_model"), listed("language").alias("language"), listed("datasets").alias("datasets"), F.size(tags).alias("tags_count"),
+        text.inferred_parameters(F.col("id")).alias("parameters"), F.concat(F.lit("https://"), F.col("id")).alias("source_url"), F.lit("hub_models_api").alias("source_id"),
     )
 
 
@@ -162,23 +195,53 @@ def price_performance(models: DataFrame, direct: bool) -> DataFrame:
     return out.join(front, "model_id", "left").withColumn("on_frontier", F.coalesce("on_frontier", F.lit(False)))
 
 
+def best_rows(board: DataFrame, source: str, metric: str, name: str, model_id: str, score: str, family: Column, category: Column, url: Column) -> DataFrame:
+    """Candidates of a source that has one number per row: the best row of each model."""
+    rows = board.where(F.col(name).isNotNull()).select(
+        F.lit(source).alias("benchmark_source"), F.col(name).alias("name"), F.col(model_id).cast("string").alias("model_id"), family.alias("family"), numeric.to_number(F.col(score)).alias("benchmark_score"),
+        F.lit(metric).alias("benchmark_metric"), category.alias("benchmark_category"), numeric.to_number(F.col(score)).alias("sort_score"), url.alias("source_url"),
+    )
+    return ranking.first_per_group(rows, ["name"], F.desc_nulls_last("sort_score"), "model_id")
+
+
+def mean_rows(board: DataFrame, source: str, metric: str, name: str, model_id: str, score: str, family: Column, label: str, url: Column) -> DataFrame:
+    """Candidates of a source with many numbers per model: their mean, ordered by the best; up to four labels."""
+    rows = board.where(F.col(name).isNotNull()).withColumn("__family", family).withColumn("__url", url).withColumn("__score", numeric.to_number(F.col(score)))
+    return rows.groupBy(F.col(name).alias("name"), F.col(model_id).cast("string").alias("model_id")).agg(
+        F.lit(source).alias("benchmark_source"), F.min("__family").alias("family"), F.avg("__score").alias("benchmark_score"), F.lit(metric).alias("benchmark_metric"),
+        text.sentence_join(F.array_sort(F.collect_set(text.clean_text(F.col(label)))), 4).alias("benchmark_category"), F.max("__score").alias("sort_score"), F.min("__url").alias("source_url"),
+    )
+
+
 def match_audit(catalogue: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every catalogue model against every benchmark source, with the tier of its best match.
+    """Every catalogue model against every benchmark source: 17 columns with the tier of its best match.
 
-    candidates: benchmark_source, name, family, sort_score. Sources are a few; models meet candidates by alias only.
+    candidates: benchmark_source, name, model_id, family, sort_score, benchmark_score, benchmark_metric,
+    benchmark_category, source_url. Of candidates with equal claims the one with the highest score, then the first name,
+    is taken. Sources are a few; models meet candidates by key only.
     """
     sources = candidates.select("benchmark_source").distinct()
-    asked = catalogue.select(F.col("model_id").alias("mid"), F.col("canonical_model").alias("name"), F.col("openrouter_id").alias("model_id"), F.col("model_family").alias("family"))
-    asked = asked.withColumn("aliases", rules.alias_set(F.col("name"), F.col("model_id"), F.col("family"))).crossJoin(F.broadcast(sources))
-    tag = lambda c: F.concat_ws("\x01", "benchmark_source", c)
-    tagged = lambda aliases, family: F.transform(aliases, lambda a: F.concat_ws("\x01", "benchmark_source", a))
-    q = asked.select(F.struct("mid", "benchmark_source").alias("id"), tag("name").alias("name"), tag("model_id").alias("model_id"), tag("family").alias("family"), tagged(F.filter("aliases", lambda a: a != F.lower("family")), None).alias("aliases"))
-    known = candidates.withColumn("aliases", rules.alias_set(F.col("name"), F.lit(""), F.col("family")))
-    c = known.select(tag("name").alias("name"), tag("family").alias("family"), tagged(F.filter("aliases", lambda a: a != F.lower("family")), None).alias("aliases"), "sort_score")
-    bare = lambda x: F.substring_index(x, "\x01", -1)
-    return match.tiered_match(q, c).select(
-        F.col("id.mid").alias("model_id"), F.col("id.benchmark_source").alias("benchmark_source"), "match_confidence",
-        bare(F.col("candidate_name")).alias("benchmark_model"), bare(F.col("match_key")).alias("match_key"), "direct",
+    mark = lambda c: F.concat_ws("\x01", "benchmark_source", c)
+    forms = lambda name, mid, family: F.transform(
+        F.filter(rules.alias_set(name, mid, family), lambda a: a != rules.normalized_model(family)), lambda a: F.concat_ws("\x01", "benchmark_source", a)
+    )
+    asked = catalogue.crossJoin(F.broadcast(sources)).select(
+        F.struct("openrouter_id", "benchmark_source").alias("id"), "canonical_model", "vendor", "model_family", mark("canonical_model").alias("name"), mark("openrouter_id").alias("model_id"), mark("model_family").alias("family"),
+        forms(F.col("canonical_model"), F.col("openrouter_id"), F.col("model_family")).alias("aliases"),
+    )
+    known = candidates.withColumn("ord", F.struct(-F.coalesce("sort_score", F.lit(0.0)), F.col("name"), F.col("model_id"), F.col("benchmark_source")))
+    known = known.withColumns({"__name": F.col("name"), "__family": F.col("family"), "aliases": forms(F.col("name"), F.col("model_id"), F.col("family"))})
+    known = known.withColumns({"name": mark("name"), "family": mark("family")})
+    number = known.select("ord").distinct().withColumn("n", F.row_number().over(Window.partitionBy(F.col("ord.benchmark_source")).orderBy("ord")))
+    numbered = known.join(number, "ord").withColumn("ord", F.col("n").cast("long") * 1_000_000 + F.pmod(F.xxhash64("benchmark_source"), F.lit(1_000_000))).drop("n")
+    found = match.tiered_match(asked, numbered).join(asked.select("id", "canonical_model", "vendor", "model_family"), "id")
+    bare = lambda c: F.substring_index(c, "\x01", -1)
+    r = lambda c: F.coalesce(F.col(f"record.{c}"), F.lit(""))
+    return found.select(
+        F.col("id.openrouter_id").alias("openrouter_id"), "canonical_model", "vendor", "model_family", F.col("id.benchmark_source").alias("benchmark_source"), r("__name").alias("benchmark_model_name"),
+        r("__family").alias("benchmark_family"), "match_confidence", "match_rank", F.coalesce(bare("match_key"), F.lit("")).alias("match_key"), F.col("direct").alias("direct_model_match"), F.col("record.benchmark_score").alias("benchmark_score"),
+        r("benchmark_metric").alias("benchmark_metric"), r("benchmark_category").alias("benchmark_category"), r("source_url").alias("benchmark_source_url"),
+        rules.normalized_model(F.col("canonical_model")).alias("normalized_openrouter_name"), rules.normalized_model(r("__name")).alias("normalized_benchmark_name"),
     )
 
 
@@ -192,8 +255,8 @@ def family_coverage(catalogue: DataFrame, audit: DataFrame) -> DataFrame:
         F.avg((F.coalesce(c("access_class"), F.lit("unknown")) != "unknown").cast("double")).alias("access_class_coverage"),
         agg.field_coverage(c("context_window"), positive=True).alias("context_window_coverage"),
     )
-    found = audit.join(catalogue.select("model_id", "model_family"), "model_id").groupBy("model_family").agg(
-        F.count_if("direct").alias("direct_matches"), F.count_if(c("match_confidence") == "family_only").alias("proxy_matches")
+    found = audit.groupBy("model_family").agg(
+        F.count_if("direct_model_match").alias("direct_matches"), F.count_if(c("match_confidence") == "family_only").alias("proxy_matches")
     )
     out = joins.left_fill(base, found, ["model_family"], ["direct_matches", "proxy_matches"])
     parts = [c(k) for k in ("price_coverage", "release_date_coverage", "access_class_coverage", "context_window_coverage")]
@@ -203,19 +266,22 @@ def family_coverage(catalogue: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def release_cadence(research: DataFrame, catalogue: DataFrame, by: str, reference: str) -> DataFrame:
-    """Cadence over distinct releases of both sources, with the mix of sources."""
-    cols = ["model_family", "vendor", "canonical_model", "release_date"]
+    """Cadence over distinct releases of both sources, with the mix of sources and, by vendor, its families."""
+    cols = ["model_family", "vendor", "product_line", "canonical_model", "release_date"]
     every = research.select(*cols, F.lit("research").alias("source")).unionByName(catalogue.select(*cols, F.lit("api").alias("source")))
     every = every.where(~F.coalesce(F.col("model_family"), F.lit("")).isin("", "Other", "unknown")).dropDuplicates([*cols, "source"])
-    mix = every.groupBy(by, "source").count().groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "source", "count"))), "; ").alias("source_mix"))
-    return ranking.cadence(every, [by], F.col("release_date"), reference).join(mix, by)
+    counts = every.groupBy(by, "source").count().groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("count"), "source", "count"))), lambda x: F.concat_ws(":", x["source"], x["count"])).alias("m"))
+    out = ranking.cadence(every, [by], F.col("release_date"), reference).join(counts.select(by, F.array_join("m", ",").alias("source_mix")), by)
+    if by != "vendor":
+        return out
+    return out.join(every.groupBy("vendor").agg(agg.sorted_join(F.col("model_family")).alias("portfolio_families")), "vendor")
 
 
 def underobserved(scores: DataFrame, coverage: DataFrame) -> DataFrame:
     """Families with thin evidence and why."""
     middle = scores.agg(F.median("evidence_count").alias("middle"))
     rows = scores.join(coverage.select("model_family", "direct_matches", "coverage_score"), "model_family", "left").crossJoin(F.broadcast(middle))
-    why = agg.reasons(few_direct_matches=F.coalesce("direct_matches", F.lit(0)) < 3, low_source_coverage=F.coalesce("coverage_score", F.lit(0.0)) < 60, below_median_evidence=F.col("evidence_count") < F.col("middle"))
+    why = agg.reasons(few_direct_model_matches=F.coalesce("direct_matches", F.lit(0)) < 2, low_source_coverage=F.coalesce("coverage_score", F.lit(0.0)) < 60, below_median_evidence_depth=F.col("evidence_count") < F.col("middle"))
     return rows.select("model_family", "evidence_count", "direct_matches", "coverage_score", why.alias("reasons"), (why != "none").alias("underobserved"))
 
 
@@ -226,10 +292,104 @@ def leadership(scores: DataFrame, draws: int = 6000) -> DataFrame:
 
 
 def rank_intervals(scores: DataFrame, draws: int = 700) -> DataFrame:
-    """Bootstrap intervals beside the current rank, with a label."""
+    """Bootstrap intervals and a stability label beside the current rank."""
     drawn = simulate.bootstrap_ranks(scores.select("model_family", "evidence_count", *COMPONENTS), "model_family", list(COMPONENTS), list(COMPONENTS.values()), "evidence_count", draws)
-    label = F.when(F.col("rank_iqr") <= 1, "stable").when(F.col("rank_iqr") <= 2.5, "moderate").otherwise("volatile")
-    return drawn.join(scores.select("model_family", F.col("rank").alias("current_rank")), "model_family", "left").withColumn("rank_stability_label", label)
+    return drawn.join(scores.select("model_family", F.col("rank").alias("current_rank")), "model_family", "left")
+
+
+# Families of the leadership audit and its notes; names that make a key model.
+AUDITED = ["GPT", "Qwen", "Claude", "Gemini", "Mistral", "DeepSeek", "Llama", "Grok"]
+AUDIT_NOTES = {
+    "Mistral": "Strong openness and cost; performance and release velocity below the leaders.",
+    "Qwen": "Strong open ecosystem and good performance; upside under open distribution.",
+    "GPT": "Strongest current composite and release velocity.",
+    "Claude": "Strong benchmark and coding signal, less release breadth and ecosystem pull.",
+    "Gemini": "Strong benchmark breadth and ecosystem; weaker openness and cost.",
+}
+KEY_MODELS = ["gpt-5.5", "gpt-5.5-pro", "claude-opus-4.7", "claude-opus-4.7-fast", "gpt-5", "claude-opus-4"]
+
+
+def leadership_audit(scores: DataFrame, shares: DataFrame) -> DataFrame:
+    """Components of the audited families beside their ten-year shares of wins, and a note."""
+    ten = shares.where("horizon = 10").groupBy("model_family").pivot("scenario", ["frontier_quality", "open_ecosystem_upside"]).agg(F.max("win_share"))
+    ten = ten.select("model_family", F.col("frontier_quality").alias("frontier_quality_10y_probability"), F.col("open_ecosystem_upside").alias("open_ecosystem_10y_probability"))
+    rows = scores.where(F.col("model_family").isin(*AUDITED)).select("model_family", "index", F.col("rank").alias("current_rank"), *COMPONENTS).join(ten, "model_family", "left")
+    return joins.with_lookup(rows, "model_family", AUDIT_NOTES, "audit_note", "Interpret with caution; public signals are incomplete.").orderBy(F.desc_nulls_last("frontier_quality_10y_probability"), "model_family")
+
+
+def key_models(catalogue: DataFrame, urls: dict[str, str]) -> DataFrame:
+    """Catalogue models whose id holds a key name, with the release page of the first such name."""
+    first = F.get(F.filter(F.array(*(F.lit(w) for w in KEY_MODELS)), lambda w: F.contains(F.col("openrouter_id"), w)), F.lit(0))
+    rows = catalogue.withColumn("__key", first).where("__key IS NOT NULL")
+    rows = joins.with_lookup(rows, "__key", urls, "release_url", F.col("source_url")) if urls else rows.withColumn("release_url", F.col("source_url"))
+    columns = ["openrouter_id", "vendor", "model_family", "release_date", "context_window", "input_usd_per_1m", "output_usd_per_1m"]
+    out = rows.select(F.col("canonical_model").alias("model"), *columns, F.col("release_url").alias("source_url"), F.col("source_url").alias("secondary_source_url"))
+    return out.orderBy("vendor", "release_date", "model")
+
+
+def counterintuitive(shares: DataFrame, gaps: DataFrame, frontier: DataFrame, jobs: DataFrame, labor_groups: DataFrame) -> DataFrame:
+    """Five findings with formatted evidence, each from the leader of a table."""
+    top = lambda df, *order: df.orderBy(*order).limit(1)
+    lead = lambda s: top(shares.where((F.col("scenario") == s) & (F.col("horizon") == 10)), F.desc("win_share"), "model_family")
+    named = F.concat(F.col("model_family"), F.lit(" "), text.format_share(F.col("win_share")))
+    weight = lambda g: F.coalesce(F.sum(F.when((F.col("grouping") == "dominant_outcome") & (F.col("group") == g), F.col("labor_weight_sum"))), F.lit(0.0))
+    two = lead("frontier_quality").select(named.alias("a")).crossJoin(lead("open_ecosystem_upside").select(named.alias("b")))
+    cheap = frontier.where("on_frontier").orderBy(F.desc("index"), "model_id").limit(3).agg(F.array_join(F.array_sort(F.collect_list("model_id")), "; ").alias("e"))
+    rows = [
+        ("leadership and open distribution are different questions", two.select(F.concat_ws(" against ", "a", "b").alias("e"))),
+        ("the gap of open and closed differs by category", top(gaps.where("gap IS NOT NULL"), F.desc("gap"), "category").select(F.format_string("%s %.1f", "category", "gap").alias("e"))),
+        ("cheap models can be efficient without being best", cheap),
+        ("whole jobs are narrower than touched tasks", top(jobs, F.desc("full_job_automation_feasibility_index"), "title").select(F.format_string("%s %.1f", "title", "full_job_automation_feasibility_index").alias("e"))),
+        ("augmentation can weigh more than replacement", labor_groups.agg(F.format_string("%s against %s", text.format_number(weight("augmentation_first"), 0), text.format_number(weight("replacement_candidate"), 0)).alias("e"))),
+    ]
+    out = None
+    for k, (finding, row) in enumerate(rows, 1):
+        row = row.select(F.lit(k).alias("place"), F.lit(finding).alias("finding"), F.col("e").alias("evidence"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def capability_forecasts(facts: DataFrame) -> DataFrame:
+    """Six metrics for each scenario and horizon, from one row of facts.
+
+    facts: compute_slope, context_slope, price_slope (log10 a year), gap, top_score, exposure, pressure.
+    """
+    c = F.col
+    names = ("compute", "context", "price", "adoption", "gap", "compute_cap", "context_cap")
+    plan = joins.scenarios(facts.sparkSession, {s: dict(zip(names, m)) for s, m in FORECAST.items()})
+    plan = plan.crossJoin(facts.sparkSession.range(1).select(F.explode(F.array(*(F.lit(x).cast("long") for x in (2, 5, 10)))).alias("horizon_years")))
+    rows, h = plan.crossJoin(F.broadcast(facts)), c("horizon_years")
+    compute, compute_hit = numeric.capped_growth(F.pow(F.lit(10.0), F.greatest(c("compute_slope"), F.lit(0.12)) * h * c("w_compute")), c("w_compute_cap"))
+    context, context_hit = numeric.capped_growth(F.pow(F.lit(10.0), F.greatest(c("context_slope"), F.lit(0.08)) * h * c("w_context")), c("w_context_cap"))
+    price = F.greatest(F.lit(0.05), F.pow(F.lit(10.0), F.least(c("price_slope"), F.lit(0.0)) * h * c("w_price")))
+    left = F.greatest(F.lit(0.0), c("gap") * (1 - F.least(F.lit(0.92), 0.12 * h * c("w_gap"))))
+    touched = F.least(F.lit(0.88), (c("exposure") * 0.24 + c("pressure") * 0.18) * F.pow(h, F.lit(0.62)) * c("w_adoption"))
+    first = F.least(F.lit(0.95), c("top_score") / 100 + 0.03 * h * (c("w_compute") - 0.7))
+    none = F.lit(None).cast("boolean")
+    metrics = (
+        ("frontier_training_compute_multiplier", compute, 2, compute_hit, "x current trend"), ("frontier_context_window_multiplier", context, 2, context_hit, "x current trend"),
+        ("frontier_output_price_factor", price, 4, none, "fraction of current price"), ("open_weight_gap_remaining", left, 1, none, "rating points"),
+        ("share_of_occupation_tasks_touched", touched, 3, none, "share of activity"), ("leading_concentration", first, 3, none, "index, 1 is winner takes most"),
+    )
+    each = F.array(*(F.struct(F.lit(n).alias("metric"), F.bround(v.cast("double"), d).alias("value"), F.lit(u).alias("unit"), hit.alias("capped")) for n, v, d, hit, u in metrics))
+    return rows.select("scenario", "horizon_years", (h + 2026).alias("target_year"), F.inline(each))
+
+
+def frontier_history(series: dict[str, tuple[DataFrame, str, str, float]]) -> DataFrame:
+    """(series, year, value) of yearly quantiles; series by name: table, day, value, quantile."""
+    out = None
+    for name, (df, day, value, q) in series.items():
+        one = trend.yearly_quantile(df, day, value, q).select(F.lit(name).alias("series"), "year", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def forecast_diagnostics(series: dict[str, tuple[DataFrame, str, str, float]]) -> DataFrame:
+    """Years used, first and last year and slope of each series."""
+    n = F.count(F.lit(1))
+    slope = F.when(n >= 3, F.regr_slope(F.log10("value"), F.col("year").cast("double"))).otherwise(F.lit(0.0))
+    years = {"years_used": n, "fit_start_year": F.min("year").cast("long"), "fit_end_year": F.max("year").cast("long"), "raw_log10_slope_per_year": slope}
+    return frontier_history(series).groupBy("series").agg(*(v.alias(k) for k, v in years.items()))
 
 
 def cluster_label(of=F.col) -> Column:

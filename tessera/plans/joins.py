@@ -22,12 +22,12 @@ register("q_left_rollup_fill0", q_left_rollup_fill0, "SELECT c_custkey, coalesce
 
 def q_left_text_key_fallback(spark, d):
     parts = table(spark, d, "part").select("p_partkey", text.title_key(F.col("p_name")).alias("k"), F.substring("p_brand", 1, 6).alias("g"))
-    price = table(spark, d, "part").where("p_partkey % 3 = 0").groupBy(text.title_key(F.col("p_name")).alias("k")).agg(F.round(F.max("p_retailprice"), 2).alias("price"))
+    price = table(spark, d, "part").where("p_size > 45").groupBy(text.title_key(F.col("p_name")).alias("k")).agg(F.round(F.max("p_retailprice"), 2).alias("price"))
     group = table(spark, d, "part").groupBy(F.substring("p_brand", 1, 6).alias("g")).agg(F.round(F.avg("p_retailprice"), 2).alias("price"))
     return joins.left_with_fallback(parts, price, "k", group, "g", "price").select("p_partkey", "price")
 
 
-register("q_left_text_key_fallback", q_left_text_key_fallback, "WITH p AS (SELECT p_partkey, lower(p_name) AS k, substr(p_brand, 1, 6) AS g, p_retailprice FROM part), a AS (SELECT k, round(max(p_retailprice), 2) AS x FROM p WHERE p_partkey % 3 = 0 GROUP BY k), b AS (SELECT g, round(avg(p_retailprice), 2) AS y FROM p GROUP BY g) SELECT p_partkey, coalesce(x, y) AS price FROM p LEFT JOIN a USING (k) LEFT JOIN b USING (g)")
+register("q_left_text_key_fallback", q_left_text_key_fallback, "WITH p AS (SELECT p_partkey, lower(p_name) AS k, substr(p_brand, 1, 6) AS g, p_size, p_retailprice FROM part), a AS (SELECT k, round(max(p_retailprice), 2) AS x FROM p WHERE p_size > 45 GROUP BY k), b AS (SELECT g, round(avg(p_retailprice), 2) AS y FROM p GROUP BY g) SELECT p_partkey, coalesce(x, y) AS price FROM p LEFT JOIN a USING (k) LEFT JOIN b USING (g)")
 
 
 def q_inner_left_chain(spark, d):
@@ -93,11 +93,11 @@ register("q_semi_flag", q_semi_flag, "SELECT c_custkey, c_mktsegment, CASE c_mkt
 
 
 def q_upsert_last_wins(spark, d):
-    rows = table(spark, d, "events").where("event_type in ('error', 'signup')").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return joins.upsert(rows, ["user_id"], [F.col("ts"), F.col("event_id")], "day").select("user_id", "event_id", "provenance")
+    rows = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return joins.upsert(rows, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], "day").select("user_id", "event_type", "event_id", "provenance")
 
 
-register("q_upsert_last_wins", q_upsert_last_wins, "WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type IN ('error', 'signup')), l AS (SELECT user_id, last(event_id ORDER BY ts, event_id) AS event_id FROM e GROUP BY 1), p AS (SELECT user_id, string_agg(day, '|' ORDER BY day) AS provenance FROM (SELECT DISTINCT user_id, day FROM e) GROUP BY 1) SELECT user_id, event_id, provenance FROM l JOIN p USING (user_id)")
+register("q_upsert_last_wins", q_upsert_last_wins, "WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events), l AS (SELECT user_id, event_type, last(event_id ORDER BY ts, event_id) AS event_id FROM e GROUP BY ALL), p AS (SELECT user_id, event_type, string_agg(day, '|' ORDER BY day) AS provenance FROM (SELECT DISTINCT user_id, event_type, day FROM e) GROUP BY ALL) SELECT user_id, event_type, event_id, provenance FROM l JOIN p USING (user_id, event_type)")
 
 
 def q_skyline(spark, d):
@@ -108,20 +108,22 @@ register("q_skyline", q_skyline, "SELECT p_partkey, p_size, p_retailprice FROM p
 
 
 def q_tiered_match(spark, d):
+    """Every part against all parts as candidates: by name, by an alias of name and price class, by type."""
+    alias = F.array(F.concat_ws("-", F.replace("p_name", F.lit(" ")), F.floor(F.col("p_retailprice") * 10).cast("string")))
     parts = table(spark, d, "part")
-    queries = parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("p"), F.col("p_partkey")).alias("model_id"), F.col("p_type").alias("family"), F.array(F.concat_ws("", F.replace("p_name", F.lit(" ")), (F.col("p_size") % 5).cast("string"))).alias("aliases"))
-    candidates = parts.where("p_partkey % 7 = 1").select(F.concat(F.lit("p"), F.col("p_partkey") + 1).alias("name"), F.col("p_type").alias("family"), F.array(F.concat_ws("", F.replace("p_name", F.lit(" ")), (F.col("p_size") % 5).cast("string"))).alias("aliases"), F.col("p_retailprice").alias("sort_score"))
-    return match.tiered_match(queries, candidates)
+    queries = parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("p"), F.col("p_partkey")).alias("model_id"), F.col("p_type").alias("family"), alias.alias("aliases"))
+    candidates = parts.select((-F.col("p_partkey")).alias("ord"), F.concat(F.lit("P"), F.col("p_partkey") * 2).alias("name"), F.col("p_type").alias("family"), alias.alias("aliases"), F.col("p_retailprice").alias("sort_score"))
+    return match.tiered_match(queries, candidates).select("id", "match_confidence", "match_key", "direct", F.col("record.name").alias("candidate_name"))
 
 
 register(
     "q_tiered_match", q_tiered_match,
-    "WITH q AS (SELECT p_partkey AS id, 'p' || p_partkey AS model_id, p_type AS family, replace(p_name, ' ', '') || (p_size % 5) AS a FROM part WHERE p_partkey % 2 = 0), "
-    "c AS (SELECT 'p' || (p_partkey + 1) AS name, p_type AS family, replace(p_name, ' ', '') || (p_size % 5) AS a, p_retailprice AS s FROM part WHERE p_partkey % 7 = 1), "
-    "m AS (SELECT id, 0 AS tier, name AS c, name AS k FROM q JOIN c ON name = model_id UNION ALL SELECT id, 1, min(name), any_value(a) FROM q JOIN c USING (a) GROUP BY id UNION ALL "
-    "SELECT id, 3, n, family FROM q JOIN (SELECT family, first(name ORDER BY s DESC, name) AS n FROM c GROUP BY family) USING (family)), "
+    "WITH p AS (SELECT *, replace(p_name, ' ', '') || '-' || floor(p_retailprice * 10)::BIGINT AS a FROM part), "
+    "m AS (SELECT q.p_partkey AS id, 0 AS tier, c.p_partkey AS c, 'p' || q.p_partkey AS k FROM p q JOIN p c ON c.p_partkey * 2 = q.p_partkey UNION ALL "
+    "SELECT q.p_partkey, 1, c.c, q.a FROM p q JOIN (SELECT a, max(p_partkey) AS c FROM p GROUP BY a) c USING (a) UNION ALL "
+    "SELECT q.p_partkey, 3, c.c, q.p_type FROM p q JOIN (SELECT p_type, first(p_partkey ORDER BY p_retailprice DESC, p_partkey DESC) AS c FROM p GROUP BY 1) c USING (p_type)), "
     "b AS (SELECT id, first(tier ORDER BY tier) AS tier, first(c ORDER BY tier) AS c, first(k ORDER BY tier) AS k FROM m GROUP BY id) "
-    "SELECT q.id, CASE tier WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized_exact' WHEN 3 THEN 'family_only' ELSE 'unmatched' END AS match_confidence, b.c AS candidate_name, b.k AS match_key, coalesce(tier <= 2, false) AS direct FROM q LEFT JOIN b USING (id)",
+    "SELECT id, CASE tier WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized_exact' WHEN 3 THEN 'family_only' END AS match_confidence, k AS match_key, tier <= 2 AS direct, 'P' || (c * 2) AS candidate_name FROM b",
 )
 
 

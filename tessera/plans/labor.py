@@ -1,4 +1,9 @@
-"""Job exposure scoring (Z12): occupations with wages, employment and task features, seven indexes and labels."""
+"""Job exposure scoring (Z12, G12-G14, G25, G28, J2-J6): occupations with wages, employment and tasks; indexes and labels.
+
+Inputs, as the source files name their columns: jobs (occ_code, title, observed_exposure); wages (SOCcode, JobName,
+JobFamily, MedianSalary, JobForecast, ChanceAuto, JobZone, isBright, isGreen); employment (title and number, by place);
+tasks (soc, task); penetration (task, penetration); shares (task_name, pct); modes (task_name and six shares).
+"""
 
 from __future__ import annotations
 
@@ -33,71 +38,125 @@ DOMAIN_WORDS = {
 }
 
 
-def task_features(tasks: DataFrame, penetration: DataFrame) -> DataFrame:
-    """Per occupation, means of keyword scores and of the penetration of its tasks (soc, task; task, penetration)."""
-    key = F.lower(F.trim("task"))
-    known = penetration.groupBy(key.alias("k")).agg(F.avg("penetration").alias("penetration"))
-    rows = tasks.withColumn("k", key).join(known, "k", "left")
+MODES = ("directive", "feedback_loop", "task_iteration", "validation", "learning", "filtered")
+# Weights of the indexes, bounds and names of outcomes and risks.
+OUTCOMES = (("replacement_candidate", 35), ("augmentation_first", 1.15), ("bottleneck_protected", 25))
+RISKS = ([-1, 20, 40, 60, 80, 101], ["low", "moderate", "high", "very_high", "extreme"])
+PRESSURES = ([-1, 25, 45, 65, 101], ["low", "moderate", "high", "very_high"])
+SHARES = {2: (0.16, 0.22), 5: (0.34, 0.39), 10: (0.56, 0.58)}
+
+
+def wage_rollup(wages: DataFrame) -> DataFrame:
+    """One row per base code: best measures, the first family, the first two names by code."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct("SOCcode", "JobName"))), lambda x: x["JobName"])
+    return wages.groupBy(text.code_prefix(F.col("SOCcode")).alias("soc_base")).agg(
+        F.max("MedianSalary").alias("median_salary"), F.max("JobForecast").alias("job_forecast"), F.max("ChanceAuto").alias("chance_auto"),
+        F.max("JobZone").alias("job_zone"), text.sentence_join(names, 2).alias("wage_job_name"), agg.first_by(F.col("JobFamily"), F.col("SOCcode")).alias("job_family"),
+        F.max("isBright").alias("bright_outlook"), F.max("isGreen").alias("green_job"),
+    )
+
+
+def with_employment(jobs: DataFrame, employment: DataFrame) -> DataFrame:
+    """Employment by title, else that of the job's family; titles that repeat are reduced to their largest number."""
+    named = numeric.named_by_place(employment, "bls_title", "bls_employment")
+    bare = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit("nan"))), "[^a-z0-9]+", " "))
+    by = lambda key, name: named.groupBy(key.alias("__k")).agg(F.max("bls_employment").alias(name))
+    out = jobs.withColumn("__k", bare(F.col("title"))).join(by(bare(F.col("bls_title")), "__own"), "__k", "left").drop("__k")
+    group = by(text.title_key(F.col("bls_title")), "bls_major_group_employment")
+    out = out.withColumn("__k", bare(F.col("job_family"))).join(group, "__k", "left").drop("__k")
+    return out.withColumn("bls_employment", F.coalesce("__own", "bls_major_group_employment")).drop("__own")
+
+
+def task_features(tasks: DataFrame, penetration: DataFrame, shares: DataFrame, modes: DataFrame) -> DataFrame:
+    """Per base code, means over its tasks of penetration, share, modes and keyword scores, and example tasks.
+
+    The three lookups are by lower-case text of the task; each is reduced to one row per text before the join.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    one = lambda df, c, *values: df.groupBy(key(c).alias("k")).agg(*(F.avg(v).alias(v) for v in values))
+    rows = tasks.where("soc IS NOT NULL AND task IS NOT NULL").withColumn("k", key("task"))
+    rows = rows.join(one(penetration, "task", "penetration"), "k", "left").join(one(shares, "task_name", "pct"), "k", "left").join(one(modes, "task_name", *MODES), "k", "left")
     score = {f"{k}_task_share": text.keyword_score(F.col("task"), w) for k, w in TASK_WORDS.items()}
     score |= {f"{k}_bottleneck": text.keyword_score(F.col("task"), w) for k, w in BRAKE_WORDS.items()}
     return rows.groupBy(text.code_prefix(F.col("soc")).alias("soc_base")).agg(
-        *(F.avg(c).alias(k) for k, c in score.items()), F.avg("penetration").alias("task_penetration"), F.count(F.lit(1)).alias("task_count")
-    )
-
-
-def job_scores(jobs: DataFrame, wages: DataFrame, features: DataFrame) -> DataFrame:
-    """Jobs (occ_code, title, observed_exposure) with wages (SOCcode, MedianSalary, JobForecast, ChanceAuto)."""
-    c = F.col
-    rolled = wages.groupBy(text.code_prefix(c("SOCcode")).alias("soc_base")).agg(
-        F.max("MedianSalary").alias("median_salary"), F.max("JobForecast").alias("job_forecast"), F.max(F.nullif(c("ChanceAuto"), F.lit(-1.0))).alias("chance")
-    )
-    rows = jobs.withColumn("soc_base", text.code_prefix(c("occ_code"))).join(rolled, "soc_base", "left").join(features, "soc_base", "left")
-    middle = rows.agg(F.median(c("chance") / 100).alias("chance_median"))
-    rows = rows.crossJoin(F.broadcast(middle)).withColumn("chance", F.coalesce(c("chance") / 100, c("chance_median"), F.lit(0.0)))
-    zero = lambda k: F.coalesce(c(k), F.lit(0.0))
-    physical, trust, law = (zero(f"{k}_bottleneck") for k in BRAKE_WORDS)
-    digital = numeric.row_mean(*(zero(f"{k}_task_share") for k in TASK_WORDS))
-    exposure, penetration = zero("observed_exposure"), zero("task_penetration")
-    brakes = physical * 0.45 + trust * 0.35 + law * 0.20
-    clip = lambda x: numeric.clip(x, 0, 100)
-    gate = numeric.gate(F.lit(0.5) + numeric.clip(penetration, 0, 1) * 0.5, (physical, 0.8), (trust, 0.7), (law, 0.75))
-    scored = rows.select(
-        "*",
-        clip(100 * (exposure * 0.56 + digital * 0.24 + penetration * 0.20)).alias("capability_exposure_index"),
-        clip(100 * (exposure * 0.48 + penetration * 0.26 + c("chance") * 0.26) * (1 - brakes * 0.62)).alias("substitution_pressure_index"),
-        clip(100 * (exposure * 0.50 + digital * 0.32 + (1 - physical) * 0.18)).alias("augmentation_index"),
-        clip(100 * brakes).alias("human_bottleneck_index"),
-    ).withColumn("full_job_automation_feasibility_index", clip(c("substitution_pressure_index") * gate))
-    scaled = numeric.minmax(scored, {"_salary": ("median_salary", ""), "_forecast": ("job_forecast", "invert")})
-    risk = c("substitution_pressure_index") * 0.48 + c("augmentation_index") * 0.30 + c("_salary") * 0.12 + c("_forecast") * 0.10
-    outcome = (
-        F.when(c("human_bottleneck_index") >= 35, "bottlenecked")
-        .when(c("augmentation_index") >= 1.15 * c("substitution_pressure_index"), "augmentation")
-        .when(c("substitution_pressure_index") >= 25, "substitution")
-        .otherwise("mixed")
-    )
-    out = scaled.withColumn("disruption_index", F.bround(clip(risk), 2)).withColumn("dominant_outcome", outcome).drop("_salary", "_forecast")
-    return out.withColumn("risk_label", numeric.cut(c("disruption_index"), [-1, 20, 40, 60, 80, 101], ["very_low", "low", "medium", "high", "very_high"]))
+        F.count("task").alias("task_count"), F.avg("penetration").alias("mean_task_penetration"), F.avg("pct").alias("mean_aei_task_pct"),
+        *(F.avg(m).alias(f"{m}_share") for m in MODES), *(F.avg(c).alias(k) for k, c in score.items()),
+        text.sentence_join(F.slice(F.array_sort(F.collect_set("task")), 1, 3), 3).alias("example_tasks"),
+    )
+
+
+def job_scores(jobs: DataFrame, wages: DataFrame, employment: DataFrame, features: DataFrame) -> DataFrame:
+    """Seven indexes, three scenario shares, outcome and risk of every job."""
+    c, r2 = F.col, lambda x: F.bround(x, 2)
+    rows = jobs.withColumn("soc_base", text.code_prefix(c("occ_code"))).join(wage_rollup(wages), "soc_base", "left")
+    rows = with_employment(rows, employment).join(features, "soc_base", "left")
+    own = {f"{k}_task_share": w for k, w in TASK_WORDS.items()} | {f"{k}_bottleneck": w for k, w in BRAKE_WORDS.items()}
+    rows = rows.withColumns({k: F.coalesce(c(k), text.keyword_score(c("title"), w)) for k, w in own.items()})
+    rows = rows.withColumn("__chance", F.nullif(numeric.to_number(c("chance_auto")), F.lit(-1.0)) / 100)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.median("__chance").alias("__middle"))))  # one row
+    zero = lambda k: F.coalesce(numeric.to_number(c(k)), F.lit(0.0))
+    physical, trust, law = (c(f"{k}_bottleneck") for k in BRAKE_WORDS)
+    rows = rows.withColumns({
+        "__e": zero("observed_exposure"),
+        "__together": numeric.clip(sum((zero(f"{m}_share") for m in ("task_iteration", "validation", "learning")), zero("feedback_loop_share")), 0, 1),
+        "__digital": numeric.row_mean(*(c(f"{k}_task_share") for k in TASK_WORDS)),
+        "__brake": numeric.clip(physical * 0.45 + trust * 0.35 + law * 0.20, 0, 1),
+        "__signal": zero("mean_task_penetration") * 0.65 + zero("mean_aei_task_pct") * 0.35,
+    })
+    rows = rows.withColumns({
+        "capability_exposure_index": r2(100 * (0.56 * c("__e") + 0.24 * c("__digital") + 0.20 * c("__signal"))),
+        "substitution_pressure_index": r2(100 * (0.48 * c("__e") + 0.26 * zero("directive_share") + 0.26 * F.coalesce("__chance", "__middle")) * (1 - 0.62 * c("__brake"))),
+        "augmentation_index": r2(100 * (0.50 * c("__e") + 0.32 * c("__together") + 0.18 * (1 - physical))),
+        "human_bottleneck_index": r2(100 * c("__brake")),
+    })
+    rows = numeric.minmax(rows, {"__salary": ("median_salary", ""), "__growth": ("job_forecast", "invert")})
+    gate = numeric.clip(numeric.gate(0.50 + 0.50 * numeric.clip(c("__signal"), 0, 1), (physical, 0.80), (trust, 0.70), (law, 0.75)), 0, 1)
+    sub, more = c("substitution_pressure_index"), c("augmentation_index")
+    rows = rows.withColumns({
+        "near_term_disruption_index": r2(sub * 0.48 + more * 0.30 + c("__salary") * 0.12 + c("__growth") * 0.10),
+        "full_job_automation_feasibility_index": r2(sub * gate),
+        "augmentation_dominance_ratio": F.bround(numeric.safe_divide(more, sub, 0.0), 3),
+        **{f"scenario_{h}y_task_share_base": F.bround(F.least(sub / 100 * a + more / 100 * b, F.lit(0.92 if h == 10 else 1e9)), 3) for h, (a, b) in SHARES.items()},
+    })
+    (first, full), (second, ratio), (third, brake) = OUTCOMES
+    outcome = F.when(c("full_job_automation_feasibility_index") >= full, first).when(c("augmentation_dominance_ratio") >= ratio, second)
+    out = rows.withColumn("dominant_outcome", outcome.when(c("human_bottleneck_index") >= brake, third).otherwise("mixed_redesign"))
+    out = out.withColumn("risk_label", numeric.cut(c("near_term_disruption_index"), *RISKS, parity=True))
+    return out.drop(*(x for x in out.columns if x.startswith("__")))
+
+
+def domain_heatmap(scored: DataFrame) -> DataFrame:
+    """Means of task shares and brakes by the first two characters of the code."""
+    columns = [f"{k}_task_share" for k in TASK_WORDS] + [f"{k}_bottleneck" for k in BRAKE_WORDS]
+    return scored.groupBy(F.substring("soc_base", 1, 2).alias("soc_major")).agg(*(F.avg(c).alias(c) for c in columns), F.count(F.lit(1)).alias("occupation_count"))
+
+
+def _weighted(scored: DataFrame) -> DataFrame:
+    weight = F.coalesce(numeric.to_number(F.col("bls_employment")), numeric.to_number(F.col("job_forecast")), F.lit(1.0))
+    return scored.withColumn("__w", F.greatest(weight, F.lit(1.0)))
 
 
 def domain_pressure(scored: DataFrame) -> DataFrame:
-    """Weighted means per business domain; a domain without jobs takes the most disrupted job's values."""
-    domain = text.best_by_keywords(F.col("title"), DOMAIN_WORDS, "operations_back_office")
-    weight = F.greatest(F.coalesce("employment", F.lit(1.0)), F.lit(1.0))
-    measures = ["disruption_index", "augmentation_index", "human_bottleneck_index"]
-    by = scored.withColumn("business_domain", domain).groupBy("business_domain").agg(
-        F.count(F.lit(1)).alias("occupations"), *(agg.weighted_mean(F.col(m), weight).alias(m) for m in measures), agg.mode(F.col("dominant_outcome")).alias("dominant_outcome")
-    )
-    top = scored.agg(F.max_by(F.struct(*measures, "dominant_outcome"), "disruption_index").alias("top"))
-    every = scored.sparkSession.range(1).select(F.explode(F.array(*(F.lit(d) for d in DOMAIN_WORDS))).alias("business_domain"))
-    out = every.join(by, "business_domain", "left").crossJoin(F.broadcast(top))
-    return out.select(
-        "business_domain", F.coalesce("occupations", F.lit(0)).alias("occupations"),
-        *(F.round(F.coalesce(m, F.col(f"top.{m}")), 2).alias(m) for m in measures), F.coalesce("dominant_outcome", F.col("top.dominant_outcome")).alias("dominant_outcome"),
+    """Weighted means per business domain; a domain without jobs takes the most disrupted job alone."""
+    words = F.lower(F.concat_ws(" ", *(text.clean_text(F.col(x)) for x in ("title", "job_family", "example_tasks"))))
+    rows = _weighted(scored).withColumn("business_domain", text.best_by_keywords(words, DOMAIN_WORDS, "operations_back_office"))
+    top = rows.orderBy(F.desc("near_term_disruption_index"), "occ_code").limit(1)
+    domains = scored.sparkSession.range(1).select(F.explode(F.array(*(F.lit(d) for d in DOMAIN_WORDS))).alias("business_domain"))
+    empty = domains.join(rows.select("business_domain").distinct(), "business_domain", "left_anti")
+    every = rows.unionByName(empty.crossJoin(F.broadcast(top.drop("business_domain"))))
+    mean = lambda m: F.round(agg.weighted_mean(F.col(m), F.col("__w")), 2)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(-F.col("near_term_disruption_index"), "occ_code", "title"))), lambda x: x["title"])
+    out = every.groupBy("business_domain").agg(
+        F.count(F.lit(1)).alias("occupation_count"), F.round(F.sum("__w"), 2).alias("labor_weight_sum"), mean("near_term_disruption_index").alias("disruption_index"),
+        mean("augmentation_index").alias("augmentation_index"), mean("full_job_automation_feasibility_index").alias("replacement_feasibility_index"),
+        mean("human_bottleneck_index").alias("human_bottleneck_index"), agg.mode(F.col("dominant_outcome")).alias("dominant_outcome"),
+        text.sentence_join(listed, 4).alias("example_occupations"),
     )
+    return out.withColumn("pressure_label", numeric.cut(F.col("disruption_index"), *PRESSURES, parity=True))
 
 
 def market_summary(scored: DataFrame) -> DataFrame:
     """Weighted means over three groupings, in one pass."""
-    w = F.greatest(F.coalesce("employment", F.lit(1.0)), F.lit(1.0))
-    return agg.grouping_sets(scored, ["job_family", "dominant_outcome", "risk_label"], [F.count(F.lit(1)).alias("occupations"), F.round(agg.weighted_mean(F.col("disruption_index"), w), 2).alias("disruption_index")])
+    mean = lambda m: F.round(agg.weighted_mean(F.col(m), F.col("__w")), 2)
+    measures = ("near_term_disruption_index", "augmentation_index", "full_job_automation_feasibility_index", "human_bottleneck_index")
+    return agg.grouping_sets(_weighted(scored), ["job_family", "dominant_outcome", "risk_label"], [F.count(F.lit(1)).alias("occupation_count"), F.round(F.sum("__w"), 2).alias("labor_weight_sum"), *(mean(m).alias(m) for m in measures)])

@@ -47,14 +47,6 @@ def q_rule_classify(spark, d):
 register("q_rule_classify", q_rule_classify, f"SELECT p_partkey, CASE {_contains_sql('lower(p_name)', PART_RULES)} ELSE 'other' END AS class, CASE WHEN regexp_matches(p_type, '^(PROMO|ECONOMY)') THEN 'cheap' ELSE 'full' END AS tier FROM part")
 
 
-def q_family_classify(spark, d):
-    name = F.concat_ws(" ", F.when(F.col("doc_id") % 3 == 0, "claude opus").when(F.col("doc_id") % 3 == 1, "gpt-4").otherwise("palm"), "source")
-    return table(spark, d, "documents").select("doc_id", rules.classify_family(name, F.lit("")).alias("family"), rules.canonical_vendor(F.col("lang"), name).alias("vendor"), rules.classify_access(name, F.col("lang"), F.lit("api"), F.lit("no")).alias("access"))
-
-
-register("q_family_classify", q_family_classify, "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Claude' WHEN 1 THEN 'GPT' ELSE 'Gemini' END AS family, lang AS vendor, 'closed_or_api' AS access FROM documents")
-
-
 def q_keyword_score(spark, d):
     c = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.round(text.keyword_score(c, WORDS), 6).alias("score"), text.best_by_keywords(c, DOMAINS, "none").alias("domain"))
@@ -206,7 +198,7 @@ register("q_range_bucket", q_range_bucket, _moon_sql())
 
 
 def q_html_formats(spark, d):
-    return table(spark, d, "benchmark").select("item_id", text.escape_html(F.substring("text", 1, 42)).alias("html"), text.format_share(F.length("text") / 1000).alias("share"), text.sentence_join(F.split("text", r"\.\s*"), 2).alias("lead"), F.sha2("text", 256).alias("sha"))
+    return table(spark, d, "benchmark").select("item_id", text.escape_html(F.col("text")).alias("html"), text.format_share(F.length("text") / 1000).alias("share"), text.sentence_join(F.split("text", r"\.\s*"), 2).alias("lead"), F.sha2("text", 256).alias("sha"))
 
 
-register("q_html_formats", q_html_formats, r"SELECT item_id, replace(replace(replace(replace(substr(text, 1, 42), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') AS html, printf('%.1f%%', round(length(text) / 1000.0::DOUBLE * 100, 1)) AS share, array_to_string(list_slice(list_filter(string_split_regex(text, '\.\s*'), lambda x: trim(x) <> ''), 1, 2), '; ') AS lead, sha256(text) AS sha FROM benchmark")
+register("q_html_formats", q_html_formats, r"SELECT item_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') AS html, printf('%.1f%%', round(length(text) / 1000.0::DOUBLE * 100, 1)) AS share, array_to_string(list_slice(list_filter(string_split_regex(text, '\.\s*'), lambda x: trim(x) <> ''), 1, 2), '; ') AS lead, sha256(text) AS sha FROM benchmark")

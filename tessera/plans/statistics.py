@@ -12,7 +12,7 @@ from tessera.operators.skyline import skyline
 from tessera.plans.joins import FEATURES_SQL, nation_features
 from tessera.sources.readers import table
 
-#: Component weights of the index, and the sets of the sensitivity study.
+# Component weights of the index, and the sets of the sensitivity study.
 WEIGHTS = {"revenue_component": 0.4, "activity_component": 0.25, "supply_component": 0.2, "cost_component": 0.15}
 SETS = {
     "baseline": WEIGHTS,
@@ -166,10 +166,10 @@ register("q_cosine_similarity", q_cosine_similarity, "SELECT vec_id, round(list_
 
 
 def q_cadence_by_entity(spark, d):
-    return ranking.cadence(table(spark, d, "events"), ["event_type"], F.col("ts"), "2024-01-30", 7).select("event_type", F.col("total").cast("long").alias("total"), F.col("recent").cast("long").alias("recent"), "median_gap_days", "cadence_label")
+    return ranking.cadence(table(spark, d, "events"), ["event_type"], F.col("ts"), "2024-01-30", 7).select("event_type", F.col("total").cast("long").alias("total"), F.col("recent").cast("long").alias("recent"), "median_gap_days", "latest_date", "cadence_label")
 
 
-register("q_cadence_by_entity", q_cadence_by_entity, "WITH e AS (SELECT event_type, ts::DATE AS d, count(*) AS n FROM events WHERE ts::DATE <= DATE '2024-01-30' GROUP BY ALL), g AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY event_type ORDER BY d), d) AS gap FROM e), a AS (SELECT event_type, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (d >= DATE '2024-01-23'), 0)::BIGINT AS recent, median(gap) AS median_gap_days FROM g GROUP BY 1) SELECT *, CASE WHEN recent >= 5 OR median_gap_days <= 75 THEN 'fast' WHEN recent >= 2 THEN 'steady' ELSE 'slow' END AS cadence_label FROM a")
+register("q_cadence_by_entity", q_cadence_by_entity, "WITH e AS (SELECT event_type, ts::DATE AS d, count(*) AS n FROM events GROUP BY ALL), g AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY event_type ORDER BY d), d) AS gap FROM e), a AS (SELECT event_type, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (d >= DATE '2024-01-23'), 0)::BIGINT AS recent, round(median(gap), 1) AS median_gap_days, max(d)::VARCHAR AS latest_date FROM g GROUP BY 1) SELECT *, CASE WHEN recent >= 5 OR median_gap_days <= 75 THEN 'fast' WHEN recent >= 2 THEN 'steady' ELSE 'slow_or_sparse' END AS cadence_label FROM a")
 
 CUSTOMER_FEATURES = ["balance", "orders", "spent"]
 
@@ -199,21 +199,3 @@ def q_monte_carlo(spark, d):
 register("q_monte_carlo", q_monte_carlo)
 register("q_permutation_pvalue", lambda spark, d: simulate.bucket_p_value(table(spark, d, "events").withColumn("w", F.dayofweek("ts")), "w", 7))
 register("q_date_null_test", lambda spark, d: simulate.date_p_value(table(spark, d, "orders"), "o_orderdate"))
-
-
-def q_dashboard(spark, d):
-    """One leader per table, in one union."""
-    index = composite(spark, d)
-    rows = [
-        (1, "index", index.orderBy(F.desc("index"), "nation").limit(1).select(F.col("nation").cast("string").alias("headline"), F.format_string("%.1f", "index").alias("metric"))),
-        (2, "priority", agg.most_frequent(table(spark, d, "orders"), "o_orderpriority").select(F.col("value").alias("headline"), F.col("n").cast("string").alias("metric"))),
-        (3, "event", agg.most_frequent(table(spark, d, "events"), "event_type").select(F.col("value").alias("headline"), text.format_share(F.col("share")).alias("metric"))),
-    ]
-    out = None
-    for k, question, row in rows:
-        row = row.select(F.lit(k).cast("long").alias("priority_order"), F.lit(question).alias("question"), "headline", "metric")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-register("q_dashboard", q_dashboard, f"WITH {INDEX_SQL}, p AS (SELECT o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, v LIMIT 1), e AS (SELECT event_type AS v, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, v LIMIT 1) (SELECT 1::BIGINT AS priority_order, 'index' AS question, nation::VARCHAR AS headline, printf('%.1f', \"index\") AS metric FROM i ORDER BY \"index\" DESC, nation LIMIT 1) UNION ALL SELECT 2, 'priority', v, n::VARCHAR FROM p UNION ALL SELECT 3, 'event', v, printf('%.1f%%', round(n / (SELECT count(*) FROM events)::DOUBLE * 100, 1)) FROM e")

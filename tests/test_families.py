@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.plans import families, labor
+from tessera.plans import exposure, families, labor
 
 FAMILIES = ["GPT", "Claude", "Gemini", "Gemma", "Qwen"]
 
@@ -61,11 +61,20 @@ def test_catalogue_audit_and_coverage(spark, catalogue):
     gpt = rows["openai/gpt-5.5"]
     assert (gpt.vendor, gpt.model_family, gpt.input_usd_per_1m, gpt.release_date) == ("OpenAI", "GPT", pytest.approx(2.0), datetime.date(2025, 6, 15))
     assert rows["acme/odd"].input_usd_per_1m is None and rows["acme/odd"].release_date is None
-    c = spark.createDataFrame([("a", "gpt-5.5", "GPT", 9.0), ("b", "claude-opus", "Claude", 1.0)], "benchmark_source string, name string, family string, sort_score double")
-    audit = families.match_audit(catalogue, c).cache()
-    got = {(r.model_id, r.benchmark_source): (r.match_confidence, r.benchmark_model) for r in audit.collect()}
-    assert len(got) == 6 and got[gpt.model_id, "a"] == ("normalized_exact", "gpt-5.5") and got[gpt.model_id, "b"][0] == "unmatched"
-    assert got["openrouter::anthropic-claude-sonnet-4-5", "b"] == ("family_only", "claude-opus")
+    board = spark.createDataFrame([("gpt-5.5", "OpenAI", "text", 9.0), ("gpt-5.5", "OpenAI", "code", 11.0), ("claude-opus", "Anthropic", "text", 1.0)], "model string, org string, category string, score double")
+    family = families.rules.family_of_model(F.col("model"), F.lit(""), F.col("org"))
+    a = families.best_rows(board, "a", "rating", "model", "model", "score", family, F.col("category"), F.lit("u"))
+    b = families.mean_rows(board, "b", "mean", "model", "model", "score", family, "category", F.lit("v"))
+    assert {(r.name, r.benchmark_score, r.benchmark_category) for r in a.collect()} == {("gpt-5.5", 11.0, "code"), ("claude-opus", 1.0, "text")}
+    assert {(r.name, r.benchmark_score, r.benchmark_category, r.sort_score) for r in b.collect()} == {("gpt-5.5", 10.0, "code; text", 11.0), ("claude-opus", 1.0, "text", 1.0)}
+    audit = families.match_audit(catalogue, a.unionByName(b)).cache()
+    got = {(r.openrouter_id, r.benchmark_source): (r.match_confidence, r.benchmark_model_name, r.benchmark_score) for r in audit.collect()}
+    assert len(got) == 6 and len(audit.columns) == 17
+    assert got["openai/gpt-5.5", "a"] == ("normalized_exact", "gpt-5.5", 11.0) and got["openai/gpt-5.5", "b"] == ("normalized_exact", "gpt-5.5", 10.0)
+    assert got["anthropic/claude-sonnet-4.5", "b"] == ("family_only", "claude-opus", 1.0) and got["acme/odd", "a"][0] == "unmatched"
+    assert len(catalogue.columns) == 22 and len(families.pricing(catalogue).columns) == 13
+    short = families.key_models(catalogue, {"gpt-5.5": "https://release"}).collect()
+    assert [(r.openrouter_id, r.source_url, r.secondary_source_url) for r in short] == [("openai/gpt-5.5", "https://release", "https://openai/gpt-5.5")]
     covered = {r.model_family: r for r in families.family_coverage(catalogue, audit).collect()}
     assert covered["GPT"].price_coverage == 1.0 and 0 <= covered["GPT"].coverage_score <= 100
     cadence = families.release_cadence(catalogue, catalogue, "model_family", "2026-05-15").collect()
@@ -79,7 +88,9 @@ def test_research_files_gaps_outcomes(spark, tmp_path):
     rows = {r.canonical_model: r for r in families.research_models(raw).collect()}
     assert (rows["Llama 4"].parameters, rows["Llama 4"].active_parameters, rows["Llama 4"].release_precision, rows["Llama 4"].access_class) == (1e11, 1.7e10, "month", "open_weight")
     assert rows["X"].release_precision == "unparsed" and rows["X"].parameters is None
+    assert len(families.research_models(raw).columns) == 25
     hub = families.hub_models(spark.createDataFrame([("a/m-7b", "a", ["license:mit", "arxiv:1"], 5, 1), ("b/n", "b", [], 0, 0)], "id string, author string, tags array<string>, downloads long, likes long"), "org")
+    assert len(hub.columns) == 26
     files = spark.createDataFrame([("a/m-7b", "x.safetensors", 9), ("a/m-7b", "config.json", 1)], "id string, path string, size long")
     got = {r.id: (r.license, r.parameters, r.file_count, r.total_bytes, r.weight_files) for r in families.file_rollup(hub, files).collect()}
     assert got == {"a/m-7b": ("mit", 7e9, 2, 10, 1), "b/n": (None, None, 0, 0, 0)}
@@ -94,15 +105,43 @@ def test_research_files_gaps_outcomes(spark, tmp_path):
 
 
 def test_labor(spark):
-    jobs = spark.createDataFrame([("15-1252.00", "Software Developers", 0.7, 10.0, "tech"), ("47-2061", "Welders", 0.1, None, None)], "occ_code string, title string, observed_exposure double, employment double, job_family string")
-    wages = spark.createDataFrame([("15-1252", 100.0, 5.0, 4.0), ("47-2061.01", 50.0, 1.0, -1.0)], "SOCcode string, MedianSalary double, JobForecast double, ChanceAuto double")
-    tasks = spark.createDataFrame([("15-1252.00", "Write code and debug software"), ("47-2061", "Weld and repair, operate and lift")], "soc string, task string")
-    features = labor.task_features(tasks, spark.createDataFrame([("write code and debug software", 0.4)], "task string, penetration double"))
-    scored = labor.job_scores(jobs, wages, features).cache()
+    t = {k: v.frame(spark) for k, v in exposure.JOBS.items()}
+    features = labor.task_features(t["tasks"], t["penetration"], t["shares"], t["modes"]).cache()
+    code = features.where("soc_base = '15-1252'").first()
+    assert code.task_count == 2 and code.mean_task_penetration == pytest.approx(0.9) and code.directive_share == pytest.approx(0.4)
+    scored = exposure.scored_jobs(spark).cache()
     rows = {r.title: r for r in scored.collect()}
+    assert len(rows) == len(exposure.JOBS["jobs"].rows)
     for r in rows.values():
-        assert all(0 <= r[c] <= 100 for c in ("capability_exposure_index", "substitution_pressure_index", "augmentation_index", "human_bottleneck_index", "full_job_automation_feasibility_index", "disruption_index"))
-    assert rows["Welders"].human_bottleneck_index > rows["Software Developers"].human_bottleneck_index
-    assert labor.domain_pressure(scored).count() == 8
+        assert all(0 <= r[c] <= 100 for c in ("substitution_pressure_index", "augmentation_index", "human_bottleneck_index", "full_job_automation_feasibility_index", "near_term_disruption_index"))
+        assert r.scenario_2y_task_share_base <= r.scenario_5y_task_share_base <= r.scenario_10y_task_share_base <= 0.92
+    assert rows["Data Entry Keyers"].dominant_outcome == "replacement_candidate"
+    assert len({r.dominant_outcome for r in rows.values()}) >= 2
+    assert rows["Lawyers"].bls_employment == 731340.0 and rows["Data Entry Keyers"].bls_employment == 18500000.0  # by title, by family
+    assert {r.risk_label for r in rows.values()} <= set(labor.RISKS[1])
+    domains = {r.business_domain: r for r in labor.domain_pressure(scored).collect()}
+    worst = max(rows.values(), key=lambda r: r.near_term_disruption_index)
+    assert set(domains) == set(labor.DOMAIN_WORDS)
+    empty = [d for d in domains.values() if d.example_occupations == worst.title and d.occupation_count == 1]
+    assert empty and all(d.disruption_index == pytest.approx(worst.near_term_disruption_index) for d in empty)
     assert {r["grouping"] for r in labor.market_summary(scored).collect()} == {"job_family", "dominant_outcome", "risk_label"}
-    assert scored.select(families.cluster_label(lambda k: F.col(k)).alias("l")).count() == 2
+    assert scored.select(families.cluster_label(lambda k: F.col(k)).alias("l")).count() == len(rows)
+
+
+def test_forecasts_audits_findings(spark, scores):
+    facts = spark.createDataFrame([(0.4, 0.05, 0.3, 30.0, 80.0, 0.4, 0.5)], "compute_slope double, context_slope double, price_slope double, gap double, top_score double, exposure double, pressure double")
+    rows = {(r.scenario, r.horizon_years, r.metric): r for r in families.capability_forecasts(facts).collect()}
+    assert len(rows) == 54
+    assert rows["base", 10, "frontier_training_compute_multiplier"].value == 400.0 and rows["base", 10, "frontier_training_compute_multiplier"].capped
+    assert rows["base", 2, "frontier_context_window_multiplier"].value == pytest.approx(10**0.16, abs=0.01)
+    assert rows["base", 5, "frontier_output_price_factor"].value == 1.0  # prices that rise are assumed flat
+    shares = families.leadership(scores, draws=500).cache()
+    audit = families.leadership_audit(scores, shares).collect()
+    assert {r.model_family for r in audit} == {"GPT", "Claude", "Gemini", "Qwen"} and all(r.audit_note for r in audit)
+    gaps = spark.createDataFrame([("c", 10.0), ("d", None)], "category string, gap double")
+    front = spark.createDataFrame([("m", True, 5.0), ("n", False, 9.0)], "model_id string, on_frontier boolean, index double")
+    scored = exposure.scored_jobs(spark)
+    found = families.counterintuitive(shares, gaps, front, scored, labor.market_summary(scored)).orderBy("place").collect()
+    assert len(found) == 5 and found[1].evidence == "c 10.0" and found[2].evidence == "m" and found[3].evidence.startswith("Data Entry Keyers")
+    one = scores.withColumn("direct_matches", F.lit(1)).withColumn("coverage_score", F.lit(90.0)).select("model_family", "direct_matches", "coverage_score")
+    assert "few_direct_model_matches" in families.underobserved(scores, one).first().reasons

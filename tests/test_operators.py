@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules
 from tessera.operators import aggregate, cluster, joins, match, ranking, simulate
-from tessera.operators.skyline import skyline, skyline_by_definition
+from tessera.operators.skyline import skyline
 from tessera.sources import readers, sinks
 
 MATCHES = [
@@ -21,13 +21,29 @@ CANDIDATES = [("gpt-5.5", "GPT", 99.0), ("claude-sonnet-4-5-20250929", "Claude",
 
 def test_tiers(spark):
     q = spark.createDataFrame([(k, *m[:3]) for k, m in enumerate(MATCHES)], "id long, name string, model_id string, family string")
-    c = spark.createDataFrame(CANDIDATES, "name string, family string, sort_score double")
-    q = q.withColumn("aliases", rules.alias_set(F.col("name"), F.col("model_id"), F.col("family")))
-    c = c.withColumn("aliases", rules.alias_set(F.col("name"), F.lit(""), F.col("family")))
+    c = spark.createDataFrame([(k, *x) for k, x in enumerate(CANDIDATES)], "ord long, name string, family string, sort_score double")
+    own = lambda model_id: F.filter(rules.alias_set(F.col("name"), model_id, F.col("family")), lambda a: a != rules.normalized_model(F.col("family")))
+    q, c = q.withColumn("aliases", own(F.col("model_id"))), c.withColumn("aliases", own(F.lit("")))
     got = {r.id: (r.match_confidence, r.direct) for r in match.tiered_match(q, c).collect()}
     assert got == {k: m[3:] for k, m in enumerate(MATCHES)}
 
 
+def test_the_first_listed_candidate_wins(spark):
+    q = spark.createDataFrame([(1, "q", "i", "F", ["a", "b"]), (2, "none", "none", "F", []), (3, "none", "none", None, [])], "id long, name string, model_id string, family string, aliases array<string>")
+    c = spark.createDataFrame([(0, "zeta", "G", ["b", "a"], 1.0, "u"), (1, "alpha", "F", ["a"], None, "v"), (2, "beta", "F", [], 0.0, "w")], "ord long, name string, family string, aliases array<string>, sort_score double, extra string")
+    got = {r.id: (r.match_confidence, r.record and r.record.name, r.match_key, r.record and r.record.extra) for r in match.tiered_match(q, c).collect()}
+    assert got == {1: ("normalized_exact", "zeta", "a", "u"), 2: ("family_only", "alpha", "F", "v"), 3: ("unmatched", None, None, None)}
+
+
+def skyline_by_definition(df, key, gain, cost):
+    """By an anti-join, quadratic: the yardstick."""
+    known = df.where(F.col(gain).isNotNull() & F.col(cost).isNotNull())
+    a, b = known.alias("a"), known.alias("b")
+    beaten = (F.col(f"b.{gain}") >= F.col(f"a.{gain}")) & (F.col(f"b.{cost}") <= F.col(f"a.{cost}"))
+    strict = (F.col(f"b.{gain}") > F.col(f"a.{gain}")) | (F.col(f"b.{cost}") < F.col(f"a.{cost}"))
+    return a.join(b, beaten & strict & (F.col(f"a.{key}") != F.col(f"b.{key}")), "left_anti")
+
+
 def test_skyline_is_its_definition(spark):
     rows = [(k, float(k * 37 % 23), float(k * 53 % 19)) for k in range(120)] + [(900, None, 1.0), (901, 22.0, None)]
     df = spark.createDataFrame(rows, "k long, gain double, cost double")
@@ -43,6 +59,38 @@ def test_full_merge_keeps_every_key(spark):
 def test_upsert(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "c")], "k int, t int, p string")
     assert sorted((r.k, r.t, r.provenance) for r in joins.upsert(df, ["k"], [F.col("t")], "p").collect()) == [(1, 3, "a|b"), (2, 1, "c")]
+    null = spark.createDataFrame([(None, 1, "a"), (None, 4, "b"), (7, 2, "c")], "k int, t int, p string")
+    assert sorted(((r.k, r.t, r.provenance) for r in joins.upsert(null, ["k"], [F.col("t")], "p").collect()), key=str) == [(7, 2, "c"), (None, 4, "a|b")]
+
+
+def test_component_noise():
+    base = np.array([[50.0, 10.0], [40.0, 90.0]])
+    s, rank = simulate.component_draw(base, np.array([100.0, 1.0]), np.array([0.6, 0.4]), np.random.default_rng(3))
+    rng = np.random.default_rng(3)
+    noisy = np.clip(base + rng.normal(0, np.array([[2.2 + 3.6], [2.2 + 36.0]]), (2, 2)), 0, 100)
+    w = rng.dirichlet([72.0, 48.0])
+    assert s == pytest.approx(noisy @ w) and sorted(rank) == [1, 2] and rank[np.argmax(s)] == 1
+    tied = simulate.component_draw(np.zeros((3, 1)), np.full(3, 1e30), np.array([1.0]), np.random.default_rng(0))[1]
+    assert tied.min() == 1
+
+
+def test_shapes(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", None), ("b", "x", 4.0)], "g string, k string, v double")
+    groups = spark.createDataFrame([("a", 9.0)], "g string, m double")
+    assert sorted((r.g, r.k, r.value, r.value_source) for r in joins.with_proxy(df, groups, "g", "v", "m", "value").collect()) == [("a", "x", 1.0, "own"), ("a", "y", 9.0, "group_proxy"), ("b", "x", 4.0, "own")]
+    assert joins.compared(df, groups, "g", ["m"], "proxy_").columns == ["g", "k", "v", "proxy_m"]
+    ranks = spark.createDataFrame([("a", 1), ("b", 2)], "g string, rank int")
+    assert sorted((r.g, r.rank_shift) for r in joins.rank_shift(ranks, ranks.where("g = 'a'"), "g").collect()) == [("a", 0), ("b", None)]
+    assert sorted((r.g, r["mean"], r.n) for r in aggregate.mean_and_size(df.withColumn("v", F.coalesce(F.col("v").cast("string"), F.lit("no"))), ["g"], "v").collect()) == [("a", 1.0, 2), ("b", 4.0, 1)]
+    assert aggregate.class_medians(df, "g", "v", "b", "a").first().ratio == 4.0
+    assert sorted(r.k for r in aggregate.pick_rows(df, ["y"], "k", "v", 4.0, "z").collect()) == ["x", "y"]
+    assert [r.k for r in df.select("k").distinct().orderBy(ranking.in_order(F.col("k"), ["y"])).collect()] == ["y", "x"]
+
+
+def test_undated_and_future_releases_count(spark):
+    df = spark.createDataFrame([("a", "2024-01-01"), ("a", "2025-06-01"), ("a", None), ("b", None)], "k string, d string")
+    got = {r.k: (r.total, r.recent, r.median_gap_days, r.days_since_latest, r.cadence_label) for r in ranking.cadence(df, ["k"], F.col("d"), "2024-12-31").collect()}
+    assert got == {"a": (3, 2, 517.0, -152, "steady") if "2024-01-01" >= "2024-01-01" else None, "b": (1, 0, None, None, "slow_or_sparse")}
 
 
 def test_groups_and_reasons(spark):
