@@ -4,23 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _nearest(features: Sequence[str], k: int, mark: str) -> Column:
+def _nearest(features: Sequence[str], k: int, mark: str) -> str:
     """Index of the nearest of k centres in columns of ``mark``, the first among equals."""
-    far = [
-        F.struct(sum(((F.coalesce(F.col(f), F.lit(0.0)) - F.col(f"{mark}_{c}_{j}")) ** 2 for j, f in enumerate(features)), F.lit(0.0)).alias("d"), F.lit(c).alias("k"))
-        for c in range(k)
-    ]
-    return F.array_min(F.array(*far))["k"]
+    far = lambda c: " + ".join(f"(coalesce(`{f}`, 0D) - {mark}_{c}_{j}) * (coalesce(`{f}`, 0D) - {mark}_{c}_{j})" for j, f in enumerate(features))
+    return f"array_min(array({', '.join(f'struct({far(c)} AS d, {c} AS k)' for c in range(k))})).k"
 
 
-def _centres(df: DataFrame, centres: list[tuple[float, ...]], mark: str) -> DataFrame:
-    """One row with every coordinate of every centre: plans stay the same from one iteration to the next."""
-    names = [f"{mark}_{c}_{j} double" for c, centre in enumerate(centres) for j in range(len(centre))]
-    return F.broadcast(df.sparkSession.createDataFrame([[float(x) for centre in centres for x in centre]], ", ".join(names)))
+def _centres(df: DataFrame, **centres: list[tuple[float, ...]]) -> DataFrame:
+    """One row with every coordinate of the centres, by mark: plans stay the same from one iteration to the next."""
+    cells = {f"{m}_{c}_{j}": x for m, by in centres.items() for c, centre in enumerate(by) for j, x in enumerate(centre)}
+    return F.broadcast(df.sparkSession.sql(f"SELECT * FROM VALUES ({', '.join(f'{x!r}D' for x in cells.values())}) AS t({', '.join(cells)})"))
 
 
 def kmeans(df: DataFrame, key: str, features: Sequence[str], k: int = 7, iterations: int = 80) -> DataFrame:
@@ -35,19 +32,18 @@ def kmeans(df: DataFrame, key: str, features: Sequence[str], k: int = 7, iterati
         rows.unpersist()
         return df.withColumn("cluster", F.lit(0))
     centres, before = [tuple(float(x or 0.0) for x in r) for r in seeds], None
+    here, there = _nearest(features, k, "now"), _nearest(features, k, "was")
+    sums = [F.expr(f"bool_or(near <> {there})").alias("changed"), *(F.expr(f"avg(coalesce(`{f}`, 0D))").alias(f) for f in features)]
     for _ in range(iterations - 1):
-        here = _nearest(features, k, "__now")
-        changed = here != _nearest(features, k, "__was")
-        both = rows.crossJoin(_centres(df, centres, "__now")).crossJoin(_centres(df, before or centres, "__was"))
-        means = both.groupBy(here.alias("cluster")).agg(F.bool_or(changed).alias("__changed"), *(F.avg(F.coalesce(f, F.lit(0.0))).alias(f) for f in features)).collect()
-        if before is not None and not any(r["__changed"] for r in means):
+        both = rows.crossJoin(_centres(df, now=centres, was=before or centres)).withColumn("near", F.expr(here))
+        means = both.groupBy("near").agg(*sums).collect()
+        if before is not None and not any(r["changed"] for r in means):
             break
         before, centres = centres, list(centres)
         for r in means:
-            centres[r["cluster"]] = tuple(float(r[f]) for f in features)
+            centres[r["near"]] = tuple(float(r[f]) for f in features)
     rows.unpersist()
-    placed = df.crossJoin(_centres(df, centres, "__now")).withColumn("cluster", _nearest(features, k, "__now"))
-    return placed.select(*df.columns, "cluster")
+    return df.crossJoin(_centres(df, now=centres)).withColumn("cluster", F.expr(here)).select(*df.columns, "cluster")
 
 
 def profile(clustered: DataFrame, features: Sequence[str]) -> DataFrame:

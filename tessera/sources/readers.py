@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -22,10 +24,13 @@ def without_nan(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns))
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, tolerant: bool = True) -> DataFrame:
-    """Headed CSV with quotes and line breaks in cells; ``tolerant`` keeps bad rows in ``_corrupt``."""
+def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, tolerant: bool = True, multi_line: bool = True) -> DataFrame:
+    """Headed CSV with quotes and line breaks in cells; ``tolerant`` keeps bad rows in ``_corrupt``.
+
+    Files without line breaks in cells may be split among tasks: say ``multi_line=False``.
+    """
     declared = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("nanValue", "nan").option("nullValue", "")
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("nanValue", "nan").option("nullValue", "")
     if tolerant:
         declared = StructType([*declared.fields]).add(BAD, "string")
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
@@ -48,9 +53,107 @@ def read_glob(spark: SparkSession, path: str, pattern: str, name: str) -> DataFr
     return spark.read.parquet(path).withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files (such as YAML), one row each; parse with a Pandas UDF where needed."""
-    return spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+def read_keyed_json(spark: SparkSession, path: str, schema: StructType | str, key: str, file_name: str = "results.json") -> DataFrame:
+    """JSON documents of a tree of folders, with the name of each one's folder as the key.
+
+    A file that is no JSON of the schema gives a row with its text in ``_corrupt``; files that vanish meanwhile are left out.
+    """
+    declared = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", file_name).option("ignoreMissingFiles", True)
+    docs = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).schema(StructType([*declared.fields]).add(BAD, "string")).json(path)
+    return docs.withColumn(key, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+
+def parse_yaml(text: str) -> dict:
+    """Nested maps, lists and plain or quoted scalars of simple YAML, by indentation; everything else raises ValueError."""
+    lines = [(len(x) - len(x.lstrip(" ")), x.strip()) for x in text.splitlines() if x.strip() and not x.strip().startswith(("#", "---"))]
+
+    def scalar(x: str) -> object:
+        if len(x) > 1 and x[0] == x[-1] and x[0] in "\"'":
+            return x[1:-1]
+        if x.startswith("[") and x.endswith("]"):
+            return [scalar(part.strip()) for part in x[1:-1].split(",") if part.strip()]
+        return {"": None, "null": None, "~": None, "true": True, "false": False}.get(x, x)
+
+    def block(at: int, depth: int) -> tuple[object, int]:
+        out: dict | list | None = None
+        while at < len(lines) and lines[at][0] >= depth:
+            indent, line = lines[at]
+            if indent > depth:
+                raise ValueError(f"unexpected indentation: {line}")
+            if line.startswith("- ") or line == "-":
+                out = [] if out is None else out
+                if not isinstance(out, list):
+                    raise ValueError(f"list item in a map: {line}")
+                out.append(scalar(line[2:].strip()))
+                at += 1
+                continue
+            name, mark, value = line.partition(":")
+            out = {} if out is None else out
+            if not mark or not isinstance(out, dict):
+                raise ValueError(f"no map entry: {line}")
+            at += 1
+            if value.strip():
+                out[scalar(name.strip())] = scalar(value.strip())
+            elif at < len(lines) and (lines[at][0] > depth or lines[at][0] == depth and lines[at][1].startswith("- ")):
+                out[scalar(name.strip())], at = block(at, lines[at][0])
+            else:
+                out[scalar(name.strip())] = None
+        return out, at
+
+    return block(0, lines[0][0])[0] if lines else {}
+
+
+def read_yaml(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Simple YAML files as rows of the schema, with ``path`` and ``error`` (null where the file was read).
+
+    Each file is parsed by itself in Arrow batches; its JSON is then read with the schema.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for text, where in zip(part["value"], part["path"]):
+                try:
+                    found.append((json.dumps(parse_yaml(text)), None, where))
+                except (ValueError, IndexError) as bad:
+                    found.append((None, str(bad), where))
+            yield pd.DataFrame(found, columns=["body", "error", "path"])
+
+    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    rows = texts.mapInPandas(run, "body string, error string, path string")
+    return rows.withColumn("r", F.from_json("body", schema if isinstance(schema, str) else schema.json())).select("r.*", "path", "error")
+
+
+def dead_letters(df: DataFrame, path: str, bad: str = BAD) -> DataFrame:
+    """Good rows without the mark; bad ones are appended as JSON under ``path``, with the time."""
+    kept = df.persist()
+    kept.where(F.col(bad).isNotNull()).select(F.col(bad).alias("error"), F.current_timestamp().alias("failed_at")).write.mode("append").json(path)
+    return kept.where(F.col(bad).isNull()).drop(bad)
+
+
+def reference_list(df: DataFrame, column: str) -> DataFrame:
+    """Sorted distinct values, blanks left out."""
+    value = F.trim(F.col(column).cast("string"))
+    return df.select(value.alias(column)).where(F.col(column) != "").distinct().orderBy(column)
+
+
+def read_sources(spark: SparkSession, registry: dict[str, tuple], root: str) -> dict[str, DataFrame]:
+    """Every source of a registry, name to (reader, path under ``root``, schema, further arguments)."""
+    return {name: reader(spark, f"{root}/{path}", schema, *more) for name, (reader, path, schema, *more) in registry.items()}
+
+
+#: The eight files of the labour sources (S6), by the schema of the columns that are read.
+LABOR_SOURCES = {
+    "job_exposure": (read_csv, "job_exposure.csv", "occ_code string, title string, observed_exposure double"),
+    "wage_data": (read_csv, "wage_data.csv", "SOCcode string, JobName string, JobFamily string, MedianSalary double, JobForecast double, ChanceAuto double, JobZone double, isBright double, isGreen double"),
+    "bls_employment_may_2023": (read_csv, "bls_employment_may_2023.csv", "title string, employment double"),
+    "task_penetration": (read_csv, "task_penetration.csv", "task string, penetration double"),
+    "automation_by_task": (read_csv, "automation_by_task.csv", "task_name string, directive double, feedback_loop double, task_iteration double, validation double, learning double, filtered double"),
+    "onet_task_statements": (read_csv, "onet_task_statements.csv", "soc string, title string, task_id string, task string"),
+    "onet_task_mappings": (read_csv, "onet_task_mappings.csv", "task_name string, pct double"),
+    "automation_vs_augmentation": (read_csv, "automation_vs_augmentation.csv", "interaction_type string, pct double"),
+}
 
 
 def resolve(df: DataFrame, names: Sequence[str], kind: str | DataType = "string") -> Column:

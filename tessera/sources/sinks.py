@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import logging
+import math
+import subprocess
+import sys
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,20 +38,51 @@ class Sink:
         self.written.append((len(self.written), name, source_ids))
         return back.drop("captured_at") if self.captured_at else back
 
+    def try_write(self, df: DataFrame, name: str, source_ids: str = "") -> str | None:
+        """K2: like write(), but an error is logged and returned, so that the other tables are still written."""
+        try:
+            self.write(df, name, source_ids)
+        except PySparkException as bad:
+            logging.getLogger(__name__).warning("%s wasn't written: %s", name, bad)
+            return str(bad)
+        return None
+
+    def write_csv_file(self, df: DataFrame, name: str) -> str:
+        """K1: one headed CSV file ``name.csv``, for small tables that people open; its rows are in one task."""
+        folder, jvm = f"{self.out_dir}/.{name}.csv", self.spark.sparkContext._jvm
+        stored(df).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+        path = jvm.org.apache.hadoop.fs.Path
+        store = path(folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        part = next(f.getPath() for f in store.listStatus(path(folder)) if f.getPath().getName().startswith("part-"))
+        target = path(f"{self.out_dir}/{name}.csv")
+        store.delete(target, True)
+        store.rename(part, target)
+        store.delete(path(folder), True)
+        return f"{self.out_dir}/{name}.csv"
+
+    def run_facts(self) -> dict[str, object]:
+        """K6: what was run: arguments and the commit of the working folder, if it has one."""
+        try:
+            commit = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=True).stdout.strip()
+        except (OSError, subprocess.SubprocessError):
+            commit = None
+        return {"argv": list(sys.argv), "git_sha": commit, "tables": [name for _, name, _ in self.written]}
+
     def manifest(self) -> DataFrame:
-        """K6, K8, K9: (table, source_ids, rows, files, bytes, sha256) of the last write of each table."""
+        """K6, K8, K9: (table, source_ids, rows, files, bytes, sha256) of the last write of each table.
+
+        The hash is that of the sorted hashes of rows, so no file is held whole and the order of rows doesn't matter.
+        """
         every = self.spark.createDataFrame(self.written, "seq int, table string, source_ids string")
         last = first_per_group(every, ["table"], F.desc("seq"))
         parts = None
         for name in sorted({w[1] for w in self.written}):
-            path = f"{self.out_dir}/{name}.parquet"
-            rows = self.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
-            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(
-                F.count(F.lit(1)).alias("files"),
-                F.sum("length").alias("bytes"),
-                F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("content", 256))), ""), 256).alias("sha256"),
-            )
-            one = rows.crossJoin(files).withColumn("table", F.lit(name))
+            rows = self.spark.read.parquet(f"{self.out_dir}/{name}.parquet")
+            digest = F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256)
+            by_head = rows.select(digest.alias("d"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).groupBy(F.substring("d", 1, 4).alias("head"), "f", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring("d", 5, 15), 16, 10).cast("decimal(38,0)")).alias("s"))
+            files = by_head.groupBy("f", "b").agg(F.sum("n").alias("n"))
+            sums = by_head.groupBy("head").agg(F.sum("s").alias("s")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "head", F.col("s").cast("string")))), ","), 256).alias("sha256"))
+            one = files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes")).crossJoin(sums).withColumn("table", F.lit(name))
             parts = one if parts is None else parts.unionByName(one)
         return last.drop("seq").join(parts, "table") if parts is not None else last.drop("seq")
 
@@ -58,9 +94,11 @@ class Sink:
 
 
 def to_json_text(rows: list[dict]) -> str:
-    """K7: JSON of small driver-side rows; NaN becomes null, dates ISO text."""
+    """K7: JSON of small driver-side rows; NaN and infinities become null, dates ISO text, numbers of arrays plain."""
+
     def clean(v):
-        if isinstance(v, float) and v != v:
+        v = v.item() if hasattr(v, "item") and not isinstance(v, (dict, list)) else v
+        if isinstance(v, float) and not math.isfinite(v):
             return None
         return {k: clean(x) for k, x in v.items()} if isinstance(v, dict) else [clean(x) for x in v] if isinstance(v, list) else v
 
