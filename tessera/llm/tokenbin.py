@@ -2,14 +2,15 @@
 
 Documents are encoded with a tokenizers-library file, an end id is appended, and the ids become little-endian unsigned
 integers (two bytes where the vocabulary fits, else four). A zstandard dictionary is trained on the serialized arrays of
-a documented sample (SAMPLE_ROWS rows, at most SAMPLE_BYTES), and every document is compressed separately with it, so a
+a documented sample (SAMPLE_ROWS rows, at most SAMPLE_BYTES of whole texts, long ones in pieces), and every document is compressed separately with it, so a
 short document is read without its neighbours. A file holds a header (magic, version, id width, SHA-256 of the
 dictionary), the frames, an index (key, id count, frame offset and length per document) and a footer with the index's
 place; the dictionary is stored once beside the files, and a reader refuses a file whose hash differs.
 
-Files and documents are in ascending key order: split points come from quantiles of the keys, every split is one file,
-and only compressed frames are shuffled. Equal keys (repeated rows) share a file, in an arbitrary order among equals. A
-null key comes first; a null text is the empty one and has the end id alone. An empty table gives no files. Columns
+Files and documents are in ascending key order. Only compressed frames are shuffled: they are range-partitioned and
+sorted by key, text length and checksum, so rows that repeat one key, or have none, spread over several tasks, too, and
+every task writes files of about FILE_ROWS documents or FILE_BYTES. A null key comes first; a null text is the empty one
+and has the end id alone; a very long text is encoded whole and is one frame. An empty table gives no files. Columns
 other than key and text aren't read.
 """
 
@@ -27,24 +28,24 @@ import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm.bpe import DIGITS, LETTERS, MEMO_BYTES, OTHER, byte_alphabet
-from tessera.llm.common import Memo, frugal, new_path, open_store, table
+from tessera.llm.common import Memo, drop, frugal, new_path, open_store, save, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Rows and bytes of ids that the dictionary is trained on at most.
-#: Of each sampled text only the first 65,536 characters are trained on.
+#: Rows and bytes of texts that the dictionary is trained on at most, and bytes of ids in one training sample.
 SAMPLE_ROWS = 2000
-SAMPLE_BYTES = 8 << 20
+SAMPLE_BYTES = 16 << 20
+PIECE_BYTES = 64 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-#: Documents in a file, about, and files at most.
+#: Documents and bytes of a file, about.
 FILE_ROWS = 8192
-MAX_FILES = 100_000
+FILE_BYTES = 64 << 20
 MAGIC = b"TOKB"
 #: struct formats.
 HEADER, ENTRY, FOOTER = "<4sHH32s", "<?qIQI", "<QQ4s"
@@ -93,20 +94,24 @@ def id_type(path: str) -> str:
 
 
 def train_dictionary(docs: DataFrame, key: str, text: str, path: str) -> bytes:
-    """Dictionary for the arrays of a sample spread over the corpus by a hash of the key; empty for tiny corpora."""
-    n = docs.count()
-    share = min(1.0, 4 * SAMPLE_ROWS / max(n, 1))
-    spread = docs.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = spread.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 1 << 16)).limit(SAMPLE_ROWS).collect()
-    encoder, samples, size = encoder_of(path), [], 0
+    """Dictionary for the arrays of a sample spread over the corpus by a hash of the key; empty for tiny corpora.
+
+    Sampled texts are taken in the order of another hash, whole, until their bytes reach SAMPLE_BYTES.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()
+    share = min(1.0, 2 * SAMPLE_ROWS / max(n, 1), 2 * SAMPLE_BYTES / max(size, 1))
+    spread = docs.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    picked = spread.select(body.alias("body"), F.octet_length(body).cast("long").alias("size"), F.xxhash64(key, F.lit("order")).alias("o")).orderBy("o", "size").limit(SAMPLE_ROWS)
+    before = Window.orderBy("o", "size").rowsBetween(Window.unboundedPreceding, -1)  # over SAMPLE_ROWS rows at most
+    rows = picked.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") + F.col("size") <= SAMPLE_BYTES).select("body").collect()
+    encoder, samples = encoder_of(path), []
     end = np.array([END_ID], encoder.kind).tobytes()
     for (t,) in rows:
-        samples.append(encoder.encode(t) + end)
-        size += len(samples[-1])
-        if size > SAMPLE_BYTES:
-            break
+        ids = encoder.encode(t) + end
+        samples += [ids[at : at + PIECE_BYTES] for at in range(0, len(ids), PIECE_BYTES)]
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 8)), samples).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
     except zstandard.ZstdError:  # too few or too short samples
         return b""
 
@@ -114,12 +119,7 @@ def train_dictionary(docs: DataFrame, key: str, text: str, path: str) -> bytes:
 def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> list[tuple[str, int, int]]:
     """Write the token files of ``docs`` under ``path``: (name, documents, ids) of each file, in key order."""
     where = public_tokenizers.path(tokenizer)
-    keys = docs.select(F.col(key).cast("long").alias("key"))
-    n_files = min(MAX_FILES, max(1, -(-keys.count() // FILE_ROWS)))
-    splits = []
-    if n_files > 1:
-        shares = [k / n_files for k in range(1, n_files)]
-        splits = sorted(set(keys.agg(F.percentile_approx("key", shares, max(10_000, 10 * n_files))).first()[0] or []))
+    tasks = max(1, -(-docs.count() // FILE_ROWS))
     dictionary = train_dictionary(docs, key, text, where)
     store, root = open_store(path)
     store.create_dir(root, recursive=True)
@@ -131,25 +131,22 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         encoder = encoder_of(where)
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True).compress
-        bounds, end = np.array(splits, np.int64), np.array([END_ID], kind).tobytes()
+        end = np.array([END_ID], kind).tobytes()
         for batch in batches:
             counts, frames = [], []
             for t in batch.column(1):
                 ids = encoder.encode(t.as_py() or "") + end
                 counts.append(len(ids) // len(end))
                 frames.append(pack(ids))
-            at = batch.column(0)
-            part = np.searchsorted(bounds, at.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), at, pa.array(counts, pa.int64()), pa.array(frames, pa.binary())],
-                ["part", "key", "n", "frame"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["key", "n", "frame"])
+        encoder.words.clear()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(path)
-        attempt = TaskContext.get().taskAttemptId()
+        task = TaskContext.get()
+        attempt, place = task.taskAttemptId(), task.partitionId()
         done: list[tuple[str, int, int]] = []
-        out, part, index, at, total = None, None, [], 0, 0
+        out, index, at, total = None, [], 0, 0
 
         def close() -> None:
             for row in index:
@@ -160,11 +157,11 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             done.append((name.rpartition("/")[2], len(index), total))
 
         for batch in batches:
-            for p, k, n, frame in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != part:
+            for k, n, frame in zip(*(c.to_pylist() for c in batch.columns)):
+                if out is None or len(index) >= 2 * FILE_ROWS or at >= FILE_BYTES:
                     if out is not None:
                         close()
-                    part, name, index, total = p, f"{root}/part-{p:06d}.tokens", [], 0
+                    name, index, total = f"{root}/part-{place:06d}-{len(done):04d}.tokens", [], 0
                     out = store.open_output_stream(f"{name}.attempt-{attempt}")
                     out.write(struct.pack(HEADER, MAGIC, 1, int(kind[2]), hashlib.sha256(dictionary).digest()))
                     at = struct.calcsize(HEADER)
@@ -179,11 +176,12 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             ["name", "documents", "ids"],
         )
 
-    packed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
-        compress, "part int, key long, n long, frame binary"
-    )
-    ordered = packed.repartition(n_files, "part").sortWithinPartitions("part", "key")
+    packed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(frugal(compress), "key long, n long, frame binary")
+    packed, packed_path = save(packed, "token-frames")  # ranges are sampled from it, so texts are encoded once
+    order = ["key", "n", F.crc32("frame")]
+    ordered = packed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     files = ordered.mapInArrow(write, "name string, documents long, ids long").collect()  # one row per file
+    drop(docs.sparkSession, packed_path)
     return sorted(tuple(r) for r in files)
 
 
