@@ -6,27 +6,35 @@ could be a lookahead of, and re-encodes from there until a pre-token ends where
 the pattern reads from left to right and remembers nothing, all later pre-tokens are the old ones. Only the changed
 blocks and the sums on their way to the root are updated.
 
+Trees are stored with their texts, a few bytes for each pre-token; a later run loads them and encodes only what its
+edits touch. A very long text has a deeper tree; each is held whole by one task. An empty table gives an empty result.
+
 A null text is the empty one. Edits outside a text are clipped to it. Special tokens' strings are cut and counted as in
 the encoder. Repeated rows are counted one by one; other columns aren't read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import MEMO_BYTES, PATTERN_LOOKAHEAD, TOKENIZER, Merges, pattern_for
-from tessera.llm.common import MAX_ROWS_PER_SLICE, Memo, frugal, table
+from tessera.llm.common import MAX_ROWS_PER_SLICE, Memo, frugal, save, table
 
 #: Pre-tokens of a block at most; a block of more is cut in two.
 BLOCK = 64
 #: Characters that are re-encoded at a time while looking for an old boundary.
 REACH = 256
+#: Edits (start, end, replacement) of a text by its key.
+Edits = Callable[[str, int], list[tuple[int, int, str]]]
 
 
 class Counter:
@@ -176,6 +184,31 @@ class CountTree:
         return (block, place) if before == at else None
 
 
+    def stored(self) -> bytes:
+        """Characters and tokens of the pre-tokens, block by block: what load() makes the tree of without encoding."""
+        out = [struct.pack("<I", len(self.blocks))]
+        for b in self.blocks:
+            out.append(struct.pack("<I", len(b)) + np.array(b, "<u4").reshape(-1, 2).T.tobytes())
+        return zlib.compress(b"".join(out), 1)
+
+    @classmethod
+    def load(cls, text: str, data: bytes, count: Counter) -> CountTree:
+        """The tree of ``text`` as stored(); only sums are computed."""
+        tree = cls.__new__(cls)
+        tree.text, tree.count, tree.encoded, tree.special = text, count, 0, tuple(count.merges.special)
+        raw, at = zlib.decompress(data), 4
+        blocks = []
+        for _ in range(struct.unpack_from("<I", raw)[0]):
+            (n,) = struct.unpack_from("<I", raw, at)
+            pairs = np.frombuffer(raw, "<u4", 2 * n, at + 4).reshape(2, n).T
+            blocks.append(list(map(tuple, pairs.tolist())))
+            at += 4 + 8 * n
+        tree._plant(blocks)
+        if tree.chars[1] != len(text):
+            raise ValueError("a stored tree doesn't belong to its text")
+        return tree
+
+
 def sample_edits(text: str, key: int) -> list[tuple[int, int, str]]:
     """Three edits fixed by key and length: a deletion, an insertion and a replacement."""
     n = len(text)
@@ -183,8 +216,8 @@ def sample_edits(text: str, key: int) -> list[tuple[int, int, str]]:
     return [(a, a + 5, ""), (b, b, " inserted words, it's 42"), (c, c + 9, "X" if key % 2 else "\n\n")]
 
 
-def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, edits=sample_edits) -> DataFrame:
-    """One row per row: key, n_tokens, n_tokens_edited after ``edits(text, key)``, n_pretokens, n_reencoded."""
+def plant(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+    """One row per row: key, text, n_tokens, n_pretokens and the stored tree: save it, edit it later."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,20 +225,63 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
         for batch in batches:
             for lo in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
                 part, rows = batch.slice(lo, MAX_ROWS_PER_SLICE), []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for t in part.column(1).to_pylist():
                     tree = CountTree(t or "", count)
-                    before, n = tree.total, tree.pretokens
+                    rows.append((tree.total, tree.pretokens, tree.stored()))
+                n, words, trees = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(trees, pa.binary())], ["key", "text", "n_tokens", "n_pretokens", "tree"])
+        count.known.clear()
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(frugal(run), f"key {kind}, text string, n_tokens long, n_pretokens long, tree binary")
+
+
+def edited(trees: DataFrame, edits: Edits = sample_edits, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Rows of plant(), or of this, after ``edits(text, key)``: texts, counts and trees, and the pre-tokens that were encoded anew."""
+    kind = trees.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter_of(public_tokenizers.path(tokenizer))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
+                part, rows = batch.slice(lo, MAX_ROWS_PER_SLICE), []
+                for k, t, data in zip(*(part.column(c).to_pylist() for c in (0, 1, 2))):
+                    tree = CountTree.load(t or "", data, count)
                     for edit in edits(t or "", k or 0):
                         tree.edit(*edit)
-                    rows.append((before, tree.total, n, tree.encoded))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows))],
-                    ["key", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded"],
-                )
+                    rows.append((tree.text, tree.total, tree.pretokens, tree.stored(), tree.encoded))
+                columns = zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in columns)], ["key", "text", "n_tokens", "n_pretokens", "tree", "n_reencoded"])
+        count.known.clear()
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {kind}, n_tokens long, n_tokens_edited long, n_pretokens long, n_reencoded long"
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    schema = f"key {kind}, text string, n_tokens long, n_pretokens long, tree binary, n_reencoded long"
+    return trees.select("key", "text", "tree", F.col("n_tokens").alias("before"), F.col("n_pretokens").alias("words")).mapInArrow(frugal(_with(run)), schema + ", n_tokens_before long, n_pretokens_before long")
+
+
+def _with(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with the counts before the edits beside its rows."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for out in run(iter([batch])):
+                old = batch.slice(at, out.num_rows)
+                at += out.num_rows
+                yield pa.RecordBatch.from_arrays([*out.columns, old.column(3), old.column(4)], [*out.schema.names, "n_tokens_before", "n_pretokens_before"])
+
+    return both
+
+
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, edits: Edits = sample_edits) -> DataFrame:
+    """One row per row: key, n_tokens, n_tokens_edited after ``edits(text, key)``, n_pretokens, n_reencoded.
+
+    Trees are stored first; the edits are made on loaded trees, which encode only what they touch.
+    """
+    trees, _ = save(plant(docs, key, text, tokenizer), "count-trees")
+    return edited(trees, edits, tokenizer).select(
+        F.col("key").alias(key), F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"),
+        F.col("n_pretokens_before").alias("n_pretokens"), "n_reencoded",
+    )
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
