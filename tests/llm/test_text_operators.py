@@ -196,8 +196,11 @@ def test_secret_spans(spark):
         x = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
         assert sorted(secret_scan.base_spans(x), key=lambda s: (s[0], secret_scan.KINDS.index(s[2]))) == brute(x)
     rows = [(1, "é token = 'abcd1234efgh' end", 30), (2, None, None), (3, "", 0), (4, "key ghp_a8Fk29dLq0ZtX7vB4nM1cR6yW3eS5uJ2 " * 2, 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
-    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    rows += [rows[0], (9, "x " * 200_000 + "token = 'abcd1234efgh'", 5)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n_chars long, spans string")
+    every = secret_scan.scan(df).collect()
+    got = {r.doc_id: r for r in every}
+    assert len(every) == len(rows) and got[9].spans == "assign:400000:400021"
     assert got[1].spans == "assign:2:23" and got[2].spans == "" and got[3].n_hex == 0
     clean = {r.doc_id: r for r in secret_scan.redact_documents(df).collect()}
     assert clean[1].text == "é [REDACTED]' end" and clean[1].n_chars == 17 and clean[2].text is None and clean[2].n_chars is None
@@ -212,6 +215,11 @@ def test_network_on_unseen_findings():
     recall = sum(h for h, f in zip(hit, found) if f[3]) / sum(f[3] for f in found)
     precision = sum(f[3] for h, f in zip(hit, found) if h) / max(1, sum(hit))
     assert recall > 0.93 and precision > 0.93
+    net_spans = lambda t: [t[a:b] for a, b, k in secret_scan.find_all([t], net)[0] if k == "net"]
+    assert net_spans("our key = correcthorsebatterystaple for now") == ["correcthorsebatterystaple"]
+    assert net_spans("see postgres://admin:S3cr3tPassw0rd@db.host.com/x") == ["S3cr3tPassw0rd"]
+    plain = "The committee met in 2019, and the key point was: nothing changes. Internationalization2020 is a word. Page http://example.com/a-long-path/to/page-2019"
+    assert not net_spans(plain)
     long = "x" * 30 + " " + "A1b2C3d4" * 500 + " end"
     assert 0 <= net.probabilities([(long, 31, 31 + 4000)])[0] <= 1
 
