@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.ORACLE,
         "op4_decontamination": decontaminate.ORACLE,
         "op6_quality_rules": quality.ORACLE,
     }

@@ -8,7 +8,7 @@ stores the edited map as the next version. No record is hashed anew, and only re
 The law is ``bytes``: shards hold nearly equal bytes, to within the smallest slot of the heaviest shard. A record's
 size is its text's UTF-8 bytes (null: none) plus 1. A null key has a slot like any other. Rows with the same key
 share a slot; repeated rows are dealt like others and get positions of their own in arbitrary order among equals.
-An empty table gives an empty result. Columns other than key and text aren't read.
+A text counts whole, however long. An empty table gives an empty result. Columns other than key and text aren't read.
 """
 
 from __future__ import annotations
@@ -74,6 +74,7 @@ class SlotMap:
         return spark.range(0, SLOTS, 1, 1).select(
             F.col("id").cast("int").alias("virtual_slot"),
             F.get(shards, F.col("id").cast("int")).cast("int").alias("shard"),
+            F.lit(self.shards).alias("shards"),
         )
 
     def store(self, spark: SparkSession, path: str) -> None:
@@ -85,9 +86,9 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     """A stored map, the latest by default."""
     rows = spark.read.parquet(path)
     version = version or rows.agg(F.max("version")).first()[0]
-    found = rows.where(F.col("version") == version).select("virtual_slot", "shard").collect()  # SLOTS rows
-    shard_of = dict(found)
-    return SlotMap(version, max(shard_of.values()) + 1, tuple(shard_of[k] for k in range(SLOTS)))
+    found = rows.where(F.col("version") == version).select("virtual_slot", "shard", "shards").collect()  # SLOTS rows
+    shard_of = {slot: shard for slot, shard, _ in found}
+    return SlotMap(version, found[0][2], tuple(shard_of[k] for k in range(SLOTS)))
 
 
 def slot_loads(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -97,16 +98,18 @@ def slot_loads(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, path: str | None = None) -> DataFrame:
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, path: str | None = None, former: SlotMap | None = None) -> DataFrame:
     """One row per record: key, size, text_crc32, law, shard, slot (its position in the shard), grown_shard, virtual_slot.
 
-    Both versions of the map are stored under ``path``.
+    A ``former`` map (as load_map() gives) is edited; without one the first version is made and stored, too. The edited
+    version is stored under ``path``.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "slot-map")
     loads = {r[0]: (r[1], r[2]) for r in slot_loads(docs, key, text).collect()}  # at most SLOTS rows
-    first = SlotMap.initial(shards)
-    first.store(spark, path)
+    first = former or SlotMap.initial(shards)
+    if former is None:
+        first.store(spark, path)
     edited = first.rebalanced({slot: x[0] for slot, x in loads.items()})
     edited.store(spark, path)
     before, placed = [0] * shards, [0] * SLOTS
@@ -114,7 +117,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         placed[slot] = before[shard]
         before[shard] += loads.get(slot, (0, 0))[1]
     starts = F.split(F.lit(",".join(map(str, placed))), ",")
-    mapped = edited.frame(spark).withColumn("start", F.get(starts, F.col("virtual_slot")).cast("long"))
+    mapped = edited.frame(spark).withColumn("start", F.get(starts, F.col("virtual_slot")).cast("long")).drop("shards")
     records = docs.select(
         docs[key].alias("key"),
         record_size(docs[text]).alias("size"),

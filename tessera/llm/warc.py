@@ -28,9 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, save, table
+from tessera.llm.common import new_path, open_store, save, table
 
 PIECE = 1 << 16
+#: Bytes of an HTTP header at most.
+MAX_HEADER = 1 << 20
 #: A new archive begins beyond so many bytes.
 ARCHIVE_BYTES = 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -182,8 +184,10 @@ def read_records(source: BinaryIO, keep_payload: bool = False) -> Iterator[Recor
             block.update(piece)
             if http is None:
                 head += piece
-                end = head.find(b"\r\n\r\n")
+                end = head.find(b"\r\n\r\n", max(0, len(head) - len(piece) - 3))
                 if end < 0:
+                    if len(head) > MAX_HEADER:
+                        raise WarcError(f"no end of an HTTP header at byte {offset}")
                     continue
                 http, piece = _headers(head[:end].split(b"\r\n")[1:]), head[end + 4 :]
             payload.update(piece)
@@ -203,16 +207,12 @@ def read_records(source: BinaryIO, keep_payload: bool = False) -> Iterator[Recor
         pending, offset = member.pending, offset + member.read
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
-
-
 def write_archives(rows: DataFrame, path: str, level: int = 3) -> list[str]:
     """Write rows of (key, url, payload, revisit, refers_to) as archives under ``path``; their names, one per file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, root = _store(path)
+        store, root = open_store(path)
         out, names, size = None, [], 0
 
         def close() -> None:
@@ -252,7 +252,7 @@ def read_archives(spark: SparkSession, paths: list[str], keep_payload: bool = Fa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, name = _store(path)
+                store, name = open_store(path)
                 rows: list[tuple] = []
                 with store.open_input_stream(name, compression=None) as source:
                     for r in read_records(source, keep_payload):
@@ -273,6 +273,14 @@ def read_archives(spark: SparkSession, paths: list[str], keep_payload: bool = Fa
     return files.mapInArrow(run, schema)
 
 
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """Revisits whose size or digest isn't that of the response they refer to, or that refer to none."""
+    found = records.where("record_type = 'response'").select(F.col("key").alias("refers_to"), F.col("payload_bytes").alias("size"), F.col("payload_digest").alias("digest"))
+    same = (F.col("payload_bytes") == F.col("size")) & (F.col("payload_digest") == F.col("digest"))
+    rows = records.where("record_type = 'revisit'").join(found, "refers_to", "left")
+    return rows.where(~F.coalesce(same, F.lit(False))).select("key", "refers_to")
+
+
 def with_revisits(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int = 0) -> DataFrame:
     """Rows of (key, url, payload, revisit, refers_to): of equal payloads, that with the largest key is the response.
 
@@ -314,3 +322,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, paths).select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+#: Base32 of a SHA-1, five bits at a time from its hexadecimal digits.
+_BITS = "(({0}) * 16 + ({1})) // (1 << (3 - (5 * i) % 4)) % 32"
+_DIGIT = "(strpos('0123456789abcdef', substr(h, {0}, 1)) - 1)"
+ORACLE = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), s AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
+l AS (SELECT h, max(page_id) AS lead FROM s GROUP BY h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({_BITS.format(_DIGIT.format('5 * i // 4 + 1'), _DIGIT.format('5 * i // 4 + 2'))})::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead THEN lead END AS refers_to FROM s JOIN l USING (h)
+"""

@@ -104,7 +104,8 @@ def test_word_encoder_is_the_library():
 
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(tokenbin, "FILE_ROWS", 20)
-    rows = [(k * 7 % 101, t) for k, t in enumerate(random_texts(100, 6))] + [(None, "null key"), (3, None)]
+    rows = [(k * 7 % 101, t) for k, t in enumerate(random_texts(100, 6))] + [(None, "null key"), (3, None), (4, "very long " * 30_000)]
+    rows += [(50, f"one key of many rows {k % 40}") for k in range(90)]  # equal keys fill several files
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, part int").repartition(3)
     path = tokenbin.new_path(spark, "tokens-test")
     files = tokenbin.write_tokens(df, path)
@@ -147,9 +148,36 @@ def test_edits_are_local(merges):
 
 
 def test_counts(spark, merges):
-    df = spark.createDataFrame([(1, "hello world", "x"), (None, None, "x"), (3, "", "x")], "doc_id long, text string, n_tokens string")
-    got = {r.doc_id: r for r in token_counts.counted(df).collect()}
-    assert got[1].n_tokens == 2 and got[None].n_tokens == 0 and len(got) == 3
+    """The query's columns against the library on whole texts before and after the edits."""
+    lib = library(bpe.TOKENIZER)
+    texts = [None, "", "hello world", "hello world", "a long text, with words " * 20_000, *random_texts(30, 12)]
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(None, "no key", "x"), (3, "hello world", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+
+    def after(t, k):
+        for start, end, new in token_counts.sample_edits(t, k):
+            start = max(0, min(start, len(t)))
+            t = t[:start] + new + t[max(start, min(end, len(t))) :]
+        return t
+
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    want = collections.Counter((k, n(t or ""), n(after(t or "", k or 0))) for k, t, _ in rows)
+    got = token_counts.counted(df.repartition(2)).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, r.n_tokens_edited) for r in got) == want
+    assert all(r.n_reencoded < 2000 for r in got) and max(r.n_pretokens for r in got) > 90_000  # edits are local, trees are loaded
+    assert token_counts.counted(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_stored_trees(merges):
+    count, text = token_counts.Counter(merges), "some words in a row, " * 300
+    tree = token_counts.CountTree(text, count)
+    again = token_counts.CountTree.load(text, tree.stored(), count)
+    assert (again.total, again.pretokens, again.blocks) == (tree.total, tree.pretokens, tree.blocks)
+    again.edit(5, 9, "x")
+    tree.edit(5, 9, "x")
+    assert again.total == tree.total and 0 < again.encoded < 200
+    with pytest.raises(ValueError, match="belong"):
+        token_counts.CountTree.load(text + "x", tree.stored(), count)
 
 
 def test_spelling_is_a_distribution():

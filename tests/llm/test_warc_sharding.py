@@ -83,6 +83,9 @@ def test_sharding(spark):
     assert sizes[-2] - sizes[0] <= 200
     null = [r for r in got if r.doc_id is None][0]
     assert (null.size, null.text_crc32) == (3, zlib.crc32("é".encode()))
+    ninth = sharding.SlotMap(7, 9, sharding.SlotMap.initial().shard_of)
+    ninth.store(spark, path + '-nine')
+    assert sharding.load_map(spark, path + '-nine') == ninth  # an empty shard is one
     first, last = sharding.load_map(spark, path, 1), sharding.load_map(spark, path)
     assert (first.version, last.version) == (1, 2) and first == sharding.SlotMap.initial()
     grown = last.rebalanced(dict.fromkeys(range(sharding.SLOTS), 5), shards=9)
@@ -96,3 +99,19 @@ def test_sharding_is_native(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string").where(F.col("doc_id") > 0)
     plan = sharding.assign(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "u", "<p>x</p>"), (2, "u", None), (3, "u", ""), (4, "v", "<p>x</p>"), (5, None, "é" * 50_000), (6, "w", "<p>x</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet").toPandas()  # noqa: F841
+    got = warc.op1_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(warc.ORACLE).fetchall())
+
+
+def test_broken_revisits(spark):
+    schema = "key long, refers_to long, record_type string, payload_bytes long, payload_digest string"
+    rows = [(1, None, "response", 3, "A"), (2, 1, "revisit", 3, "A"), (3, 1, "revisit", 4, "A"), (4, 9, "revisit", 3, "A"), (5, 1, "revisit", 3, "B")]
+    assert sorted(r.key for r in warc.broken_revisits(spark.createDataFrame(rows, schema)).collect()) == [3, 4, 5]
