@@ -16,13 +16,13 @@ the encoder. Repeated rows are counted one by one; other columns aren't read.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,36 +37,62 @@ REACH = 256
 Edits = Callable[[str, int], list[tuple[int, int, str]]]
 
 
+class Known(Memo):
+    """Tokens of pre-tokens: looked up, or encoded and remembered."""
+
+    def __init__(self, merges: Merges):
+        super().__init__(MEMO_BYTES)
+        self.merges = merges
+
+    def __missing__(self, word: str) -> int:
+        n = 1 if word in self.merges.special else len(self.merges.merge(word.encode()))
+        if len(word) <= 40:
+            self.put(word, n, 32)
+        return n
+
+
 class Counter:
     """Tokens of pre-tokens, remembered."""
 
     def __init__(self, merges: Merges):
-        self.merges, self.known = merges, Memo(MEMO_BYTES)
+        self.merges, self.known = merges, Known(merges)
 
     def __call__(self, word: str) -> int:
-        n = self.known.get(word)
-        if n is None:
-            n = 1 if word in self.merges.special else len(self.merges.merge(word.encode()))
-            if len(word) <= 40:
-                self.known.put(word, n, 32)
-        return n
+        return self.known[word]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def counter_of(path: str) -> Counter:
     """One for each Python worker and all its tasks."""
     return Counter(Merges(path))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype("u1") if not len(x) or x.max() < 256 else x.astype("<u4")
+
+
 class CountTree:
-    """Token counts of one text under edits."""
+    """Token counts of one text under edits.
+
+    A block is an array of (characters, tokens) rows until an edit touches it, then a list of pairs.
+    """
 
     def __init__(self, text: str, count: Counter):
         self.text, self.count, self.encoded = text, count, 0
         self.special = tuple(count.merges.special)
-        words = self._cut(text, 0, True)
+        whole = self._rows(text)
         self.encoded = 0
-        self._plant([words[k : k + BLOCK] for k in range(0, len(words), BLOCK)] or [[]])
+        self._plant([whole[k : k + BLOCK] for k in range(0, len(whole), BLOCK)] or [whole])
+
+    def _rows(self, text: str) -> np.ndarray:
+        """All pre-tokens of a text as rows."""
+        if any(s in text for s in self.special):
+            return np.array(self._cut(text, 0, True), np.int64).reshape(-1, 2)
+        words = pattern_for(text).findall(text)
+        out = np.empty((len(words), 2), np.int64)
+        out[:, 0] = np.fromiter(map(len, words), np.int64, len(words))
+        out[:, 1] = np.fromiter(map(self.count.known.__getitem__, words), np.int64, len(words))
+        return out
 
     # pre-tokens are (characters, tokens)
     def _cut(self, text: str, start: int, whole: bool) -> list[tuple[int, int]]:
@@ -89,18 +115,31 @@ class CountTree:
             out.append((len(name), 1))
             start = at + len(name)
 
-    def _plant(self, blocks: list[list[tuple[int, int]]]) -> None:
+    def _plant(self, blocks: list) -> None:
         self.blocks = blocks
         self.width = 1 << max(0, (len(blocks) - 1).bit_length())
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for k, b in enumerate(blocks):
-            self.chars[self.width + k], self.tokens[self.width + k] = sum(x[0] for x in b), sum(x[1] for x in b)
-        for k in range(self.width - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+        sums = np.zeros((2 * self.width, 2), np.int64)
+        if all(isinstance(b, np.ndarray) for b in blocks):
+            ends = np.cumsum([0, *map(len, blocks)])
+            upto = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(np.concatenate(blocks), axis=0)])
+            sums[self.width : self.width + len(blocks)] = upto[ends[1:]] - upto[ends[:-1]]
+        else:
+            for k, b in enumerate(blocks):
+                sums[self.width + k] = np.array(b, np.int64).reshape(-1, 2).sum(0)
+        level = self.width
+        while level > 1:
+            sums[level // 2 : level] = sums[level : 2 * level].reshape(-1, 2, 2).sum(1)
+            level //= 2
+        self.chars, self.tokens = sums[:, 0].tolist(), sums[:, 1].tolist()
+
+    def _block(self, k: int) -> list[tuple[int, int]]:
+        """A block as a list of pairs, from now on."""
+        if isinstance(self.blocks[k], np.ndarray):
+            self.blocks[k] = list(map(tuple, self.blocks[k].tolist()))
+        return self.blocks[k]
 
     def _update(self, k: int) -> None:
-        b, at = self.blocks[k], self.width + k
+        b, at = self._block(k), self.width + k
         self.chars[at], self.tokens[at] = sum(x[0] for x in b), sum(x[1] for x in b)
         while at > 1:
             at //= 2
@@ -126,7 +165,7 @@ class CountTree:
                 before += self.chars[k]
                 k += 1
         block = k - self.width
-        for place, (size, _) in enumerate(self.blocks[block]):
+        for place, (size, _) in enumerate(self._block(block)):
             if at - before < size:
                 return block, place, before
             before += size
@@ -143,7 +182,7 @@ class CountTree:
             place = len(self.blocks[first])
         if place:
             place -= 1
-            at -= self.blocks[first][place][0]
+            at -= self._block(first)[place][0]
         text = self.text[:start] + new + self.text[end:]
         shift, goal = len(new) - (end - start), start + len(new)
         size = goal - at + REACH
@@ -163,7 +202,7 @@ class CountTree:
                 break
             size *= 2
         last, until = match if match else (len(self.blocks) - 1, len(self.blocks[-1]))
-        merged = self.blocks[first][:place] + found[:taken] + self.blocks[last][until:]
+        merged = self._block(first)[:place] + found[:taken] + self._block(last)[until:]
         self.text = text
         if first == last and len(merged) <= 2 * BLOCK:
             self.blocks[first] = merged
@@ -186,26 +225,27 @@ class CountTree:
 
     def stored(self) -> bytes:
         """Characters and tokens of the pre-tokens, block by block: what load() makes the tree of without encoding."""
-        out = [struct.pack("<I", len(self.blocks))]
-        for b in self.blocks:
-            out.append(struct.pack("<I", len(b)) + np.array(b, "<u4").reshape(-1, 2).T.tobytes())
-        return zlib.compress(b"".join(out), 1)
+        sizes = np.fromiter(map(len, self.blocks), np.int64, len(self.blocks))
+        rows = np.concatenate([np.asarray(b, np.int64).reshape(-1, 2) for b in self.blocks])
+        parts = [_narrow(x) for x in (sizes, rows[:, 0], rows[:, 1])]
+        head = struct.pack("<3I3B", *map(len, parts), *(x.itemsize for x in parts))
+        return zstandard.ZstdCompressor(level=3).compress(head + b"".join(x.tobytes() for x in parts))
 
     @classmethod
     def load(cls, text: str, data: bytes, count: Counter) -> CountTree:
         """The tree of ``text`` as stored(); only sums are computed."""
         tree = cls.__new__(cls)
         tree.text, tree.count, tree.encoded, tree.special = text, count, 0, tuple(count.merges.special)
-        raw, at = zlib.decompress(data), 4
-        blocks = []
-        for _ in range(struct.unpack_from("<I", raw)[0]):
-            (n,) = struct.unpack_from("<I", raw, at)
-            pairs = np.frombuffer(raw, "<u4", 2 * n, at + 4).reshape(2, n).T
-            blocks.append(list(map(tuple, pairs.tolist())))
-            at += 4 + 8 * n
-        tree._plant(blocks)
-        if tree.chars[1] != len(text):
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        *ns, a, b, c = struct.unpack_from("<3I3B", raw)
+        at, found = struct.calcsize("<3I3B"), []
+        for n, width in zip(ns, (a, b, c)):
+            found.append(np.frombuffer(raw, "u1" if width == 1 else "<u4", n, at).astype(np.int64))
+            at += n * width
+        rows, ends = np.stack(found[1:], axis=1), np.cumsum(found[0]).tolist()
+        if int(found[1].sum()) != len(text):
             raise ValueError("a stored tree doesn't belong to its text")
+        tree._plant([rows[x:y] for x, y in zip([0, *ends], ends)])
         return tree
 
 
@@ -230,7 +270,6 @@ def plant(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: s
                     rows.append((tree.total, tree.pretokens, tree.stored()))
                 n, words, trees = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(trees, pa.binary())], ["key", "text", "n_tokens", "n_pretokens", "tree"])
-        count.known.clear()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(frugal(run), f"key {kind}, text string, n_tokens long, n_pretokens long, tree binary")
@@ -252,7 +291,6 @@ def edited(trees: DataFrame, edits: Edits = sample_edits, tokenizer: str = TOKEN
                     rows.append((tree.text, tree.total, tree.pretokens, tree.stored(), tree.encoded))
                 columns = zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in columns)], ["key", "text", "n_tokens", "n_pretokens", "tree", "n_reencoded"])
-        count.known.clear()
 
     schema = f"key {kind}, text string, n_tokens long, n_pretokens long, tree binary, n_reencoded long"
     return trees.select("key", "text", "tree", F.col("n_tokens").alias("before"), F.col("n_pretokens").alias("words")).mapInArrow(frugal(_with(run)), schema + ", n_tokens_before long, n_pretokens_before long")

@@ -172,7 +172,8 @@ def test_stored_trees(merges):
     count, text = token_counts.Counter(merges), "some words in a row, " * 300
     tree = token_counts.CountTree(text, count)
     again = token_counts.CountTree.load(text, tree.stored(), count)
-    assert (again.total, again.pretokens, again.blocks) == (tree.total, tree.pretokens, tree.blocks)
+    assert (again.total, again.pretokens) == (tree.total, tree.pretokens)
+    assert all((a == b).all() for a, b in zip(again.blocks, tree.blocks, strict=True))
     again.edit(5, 9, "x")
     tree.edit(5, 9, "x")
     assert again.total == tree.total and 0 < again.encoded < 200
