@@ -37,8 +37,8 @@ from tessera.llm.common import MAX_ROWS_PER_SLICE, Memo, frugal, table
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters fed at once; any other number gives the same ids.
 PIECE = 1 << 13
-#: Bytes that a task's memo of pre-tokens takes.
-MEMO_BYTES = 32 << 20
+#: Bytes that a worker's memo of pre-tokens takes.
+MEMO_BYTES = 48 << 20
 #: Ids are below 2**BITS; NEVER is beyond every rule.
 BITS = 20
 MASK, NEVER = (1 << BITS) - 1, 1 << 62
@@ -211,6 +211,12 @@ def merges_of(path: str) -> Merges:
     return Merges(path)
 
 
+@lru_cache(maxsize=1)
+def memo_of(path: str) -> Memo:
+    """Ids of short pre-tokens of a file's merges, for a worker's tasks one after the other; of bounded bytes."""
+    return Memo(MEMO_BYTES)
+
+
 class WordStream:
     """Ids of pre-tokens, one after the other, whose bytes arrive in pieces."""
 
@@ -360,7 +366,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = merges_of(public_tokenizers.path(tokenizer))
-        encoder = TextEncoder(merges)
+        encoder = TextEncoder(merges, memo_of(public_tokenizers.path(tokenizer)))
         for batch in batches:
             for at in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
                 part = batch.slice(at, MAX_ROWS_PER_SLICE)
@@ -384,7 +390,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(merges_of(public_tokenizers.path(tokenizer)))
+        path = public_tokenizers.path(tokenizer)
+        encoder = TextEncoder(merges_of(path), memo_of(path))
         for batch in batches:
             found = [digest(encoder, t.as_py() or "") for t in batch.column(1)]
             n, ids, texts = zip(*found) if found else ((), (), ())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -53,12 +54,14 @@ def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of save() that nothing reads any more."""
+    """Delete tables of save() that nothing reads any more; shuffle files of finished steps go with them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+    gc.collect()
+    jvm.System.gc()  # Spark cleans up after plans that are no longer referred to
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -91,10 +94,13 @@ class Memo(dict):
         size += 160 + len(key)
         if self.used + size > self.limit:
             self.clear()
-            self.used = 0
         self.used += size
         self[key] = value
 
+    def clear(self) -> None:
+        super().clear()
+        self.used = 0
+
 
 def release_memory() -> None:
     """Give freed memory back to the system: workers live on between tasks."""

@@ -364,6 +364,7 @@ def _linked(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataF
         .withColumn("cid", F.monotonically_increasing_id())
     )
     with_prefix, prefix_path = save(classes, "jaccard-prefixes")
+    del full, classes
     drop(spark, full_path)
     families = components(family_edges(with_prefix, percent), "cid", "lead")
     classes, _ = save(with_prefix.drop("prefix", "common"), "jaccard-classes")

@@ -139,7 +139,6 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 counts.append(len(ids) // len(end))
                 frames.append(pack(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["key", "n", "frame"])
-        encoder.words.clear()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(path)
