@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -295,6 +296,29 @@ def test_word_order_and_copies_matter(spark, monkeypatch):
     assert min(twice) > max(once)  # documents that occur twice stand apart
 
 
+def test_tokens_of_texts():
+    rng = random.Random(5)
+    signs = "aBcÉİß日 \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2028\0 "
+    texts = pa.array([None, "", " \n", "x", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000))])
+    word, low = re.compile(r"[^\x20\x09-\x0D]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for some in (texts, texts.slice(1, 2), texts.slice(700, 900), texts[:0]):
+        ids, words, sizes = pitman_yor.tokens(some)
+        want = [[*(w.encode() for w in word.findall((t or "").translate(low))), pitman_yor.END] for t in some.to_pylist()]
+        assert words.take(pa.array(ids)).to_pylist() == [w for t in want for w in t]
+        assert sizes.tolist() == [len(t) for t in want]
+
+
+def test_scores_without_a_head(spark, monkeypatch):
+    """All words are looked up in the join where no words fit the head."""
+    df = spark.createDataFrame([(k, "one two three " * k) for k in range(12)], "doc_id long, text string")
+    want = {r.doc_id: r for r in contexts.score(df).collect()}
+    monkeypatch.setattr(pitman_yor, "HEAD_WORDS", 0)
+    got = contexts.score(df).collect()
+    assert [(r.n_known, r.train_tokens) for r in got] == [(want[r.doc_id].n_known, want[r.doc_id].train_tokens) for r in got]
+    assert [r.base_score for r in got] == pytest.approx([want[r.doc_id].base_score for r in got])
+    assert len(got) == 12
+
+
 def test_scores_without_training_rows(spark):
     got = contexts.score(spark.createDataFrame([], "doc_id long, text string"))
     assert got.count() == 0 and got.columns[0] == "doc_id"
