@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MAX_ROWS_PER_SLICE, Memo, frugal, table
+from tessera.llm.common import MAX_ROWS_PER_SLICE, Generations, Memo, frugal, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters fed at once; any other number gives the same ids.
@@ -158,6 +158,9 @@ class Merges:
         #: left id and right id in one number -> rank and merged id in one number, which orders by rank
         self.rules = {vocab[a] << BITS | vocab[b]: rank << BITS | vocab[a + b] for rank, (a, b) in reversed(list(enumerate(pairs)))}
         self.lookahead = sufficient_lookahead([(as_bytes(a), as_bytes(b)) for a, b in pairs])
+        ids = [self.byte_ids[b] for b in range(256)]
+        self.byte_rules = [self.rules.get(a << BITS | b, NEVER) for a in ids for b in ids]
+        self.numbers = list(range(len(self.token_bytes)))  # so that memos share them
         self.id_text = [str(k) for k in range(len(self.token_bytes))]
 
     def merge(self, word: bytes) -> list[int]:
@@ -165,22 +168,25 @@ class Merges:
         ids = [self.byte_ids[b] for b in word]
         if len(ids) < 2:
             return ids
-        return self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
+        if len(ids) > 48:
+            return self._merge_long(ids)
+        first = self.byte_rules
+        return self._merge_short(ids, [first[a << 8 | b] for a, b in zip(word, word[1:])])
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
+    def _merge_short(self, ids: list[int], found: list[int]) -> list[int]:
+        """``found`` are the rules of neighbours."""
         get = self.rules.get
-        found = [get(a << BITS | b, NEVER) for a, b in zip(ids, ids[1:])]
         while found:
             first = min(found)
             if first == NEVER:
                 break
             at = found.index(first)
-            ids[at : at + 2] = [first & MASK]
-            del found[at]
+            merged = ids[at] = first & MASK
+            del found[at], ids[at + 1]
             if at < len(found):
-                found[at] = get(ids[at] << BITS | ids[at + 1], NEVER)
+                found[at] = get(merged << BITS | ids[at + 1], NEVER)
             if at:
-                found[at - 1] = get(ids[at - 1] << BITS | ids[at], NEVER)
+                found[at - 1] = get(ids[at - 1] << BITS | merged, NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -212,9 +218,9 @@ def merges_of(path: str) -> Merges:
 
 
 @lru_cache(maxsize=1)
-def memo_of(path: str) -> Memo:
+def memo_of(path: str) -> Generations:
     """Ids of short pre-tokens of a file's merges, for a worker's tasks one after the other; of bounded bytes."""
-    return Memo(MEMO_BYTES)
+    return Generations(MEMO_BYTES)
 
 
 class WordStream:
@@ -222,16 +228,18 @@ class WordStream:
 
     def __init__(self, merges: Merges, memo: Memo | None = None):
         self.merges, self.held = merges, b""
-        self.memo = Memo(MEMO_BYTES) if memo is None else memo
+        self.memo = Generations(MEMO_BYTES) if memo is None else memo
         self.window = 4 * max(merges.lookahead, 64)
         self.fed = 0  # pre-tokens that went through feed and finish, not through the memo
 
-    def word(self, text: str) -> list[int]:
+    def word(self, text: str) -> tuple[int, ...]:
         """Ids of a whole pre-token."""
-        ids = self.feed(text.encode()) + self.finish()
-        self.fed += 1
+        ids = self.memo.old.get(text)
+        if ids is None:
+            ids = tuple(map(self.merges.numbers.__getitem__, self.feed(text.encode()) + self.finish()))
+            self.fed += 1
         if len(text) <= 40:
-            self.memo.put(text, ids, 100 + 36 * len(ids))
+            self.memo.put(text, ids, 60 + 8 * len(ids))
         return ids
 
     def words(self, texts: list[str], out: list[int]) -> None:

@@ -88,6 +88,7 @@ class Memo(dict):
     def __init__(self, limit: int):
         super().__init__()
         self.limit, self.used = limit, 0
+        self.old: dict = {}  # what Generations keep longer
 
     def put(self, key: str | bytes, value: object, size: int) -> None:
         """Remember ``value`` of about ``size`` bytes; keys are charged with 160 bytes of overhead."""
@@ -102,6 +103,17 @@ class Memo(dict):
         self.used = 0
 
 
+class Generations(Memo):
+    """A Memo that keeps its older half when the newer one is full: what is found there may be put again."""
+
+    def __init__(self, limit: int):
+        super().__init__(limit // 2)
+
+    def clear(self) -> None:
+        self.old = dict(self)
+        super().clear()
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: workers live on between tasks."""
     pa.default_memory_pool().release_unused()
