@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, contexts, decontaminate, jaccard, quality, secret_scan, sharding, token_counts, tokenbin, warc
+from tessera.llm import bpe, centroids, contexts, decontaminate, jaccard, phrases, quality, secret_scan, sharding, token_counts, tokenbin, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_lm_scoring": contexts.op9_lm_scoring,
         "op10_secret_scans": secret_scan.op10_secret_scans,
+        "op11_centroids": centroids.op11_centroids,
+        "op12_phrases": phrases.op12_phrases,
     }
 
 
@@ -29,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": warc.ORACLE,
         "op4_decontamination": decontaminate.ORACLE,
         "op6_quality_rules": quality.ORACLE,
+        "op11_centroids": centroids.ORACLE,
+        "op12_phrases": phrases.ORACLE,
     }
