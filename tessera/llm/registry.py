@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, centroids, contexts, decontaminate, jaccard, phrases, quality, secret_scan, sharding, token_counts, tokenbin, warc
+from tessera.llm import bpe, centroids, contexts, decontaminate, jaccard, phrases, quality, sanitise, secret_scan, sharding, token_counts, tokenbin, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_scans": secret_scan.op10_secret_scans,
         "op11_centroids": centroids.op11_centroids,
         "op12_phrases": phrases.op12_phrases,
+        "op13_pii": sanitise.op13_pii,
     }
 
 
