@@ -4,11 +4,12 @@ Texts are lower-cased (A-Z), split at `[.,;:!?\x0A-\x0D]` into pieces and those
 per lang (null: ``und``). A task packs its pieces into blocks of about BLOCK words: an array of the block's own numbers
 of words, -1 between pieces, beside the block's distinct words with their counts.
 
-Each level joins the distinct entries of the blocks to the global table of frequent ones (at least MIN_COUNT times in the
-lang) and sends their ids home to the block. There the numbers of frequent (k-1)-grams replace the former array, and two
-adjacent numbers make a k-gram: it is named by its pair of ids, counted within the block, and summed over all blocks. As
-no part of a frequent phrase is rarer than the phrase, nothing frequent is lost. What travels is one row per block and
-distinct pair; a pair that stands in every block is one row of each, so no key is hot and no text is shuffled.
+Each level sums the distinct entries of the blocks over all blocks, joins those that are frequent (at least MIN_COUNT
+times in the lang) to the global table of their ids, and sends these home to the blocks. There the numbers of frequent
+(k-1)-grams replace the former array, and two adjacent numbers make a k-gram: it is named by its pair of ids and counted
+within the block. As no part of a frequent phrase is rarer than the phrase, nothing frequent is lost. What travels is one
+row per block and distinct pair, once, and then the frequent ones; a pair that stands in every block is one row of each,
+so no key is hot and no text is shuffled.
 
 The pair is also a pair of pointers to the parents, the phrase without its last and without its first word. Following
 them gives the words, the counts of all first and last parts for the cuts, and, as a longer phrase is never more
@@ -24,6 +25,7 @@ read, whatever their names. Products are decimals of 38 digits, so no count pass
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,8 @@ PARTS = 64
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz,,,,,,,,, ")
 
 WORDS = "block long, local int, lang string, word string, n long, state binary"
-PAIRS = "block long, local int, left long, right long, n long, state binary"
+PAIRS = "block long, local int, left long, right long, n long"
+BLOCKS = "block long, state binary, ids binary"
 
 
 def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -91,22 +94,18 @@ class Block:
             counts.append(count)
             base += len(known)
         self.parts, self.words = {}, 0
-        return _rows(number, [pa.array(langs, pa.string()), pa.concat_arrays(words)], np.concatenate(counts), np.concatenate(states), WORDS)
-
-
-def _rows(number: int, keys: list[pa.Array], counts: np.ndarray, state: np.ndarray, schema: str) -> pa.RecordBatch:
-    n = len(counts)
-    blank = [pa.concat_arrays([k, pa.nulls(1, k.type)]) for k in keys]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n + 1, number)),
-            pa.concat_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(1, pa.int32())]),
-            *blank,
-            pa.concat_arrays([pa.array(counts), pa.nulls(1, pa.int64())]),
-            pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([state.astype(np.int32).tobytes()], pa.binary())]),
-        ],
-        [c.split()[0] for c in schema.split(", ")],
-    )
+        n, state = base, np.concatenate(states)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(n + 1, number)),
+                pa.concat_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(1, pa.int32())]),
+                pa.array([*langs, None], pa.string()),
+                pa.concat_arrays([*words, pa.nulls(1, words[0].type)]),
+                pa.concat_arrays([pa.array(np.concatenate(counts)), pa.nulls(1, pa.int64())]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([state.tobytes()], pa.binary())]),
+            ],
+            ["block", "local", "lang", "word", "n", "state"],
+        )
 
 
 def word_blocks(docs: DataFrame, lang: str, text: str, size: int = BLOCK) -> DataFrame:
@@ -132,38 +131,63 @@ def word_blocks(docs: DataFrame, lang: str, text: str, size: int = BLOCK) -> Dat
     return rows.mapInArrow(frugal(run), WORDS)
 
 
-def next_blocks(blocks: DataFrame, named: DataFrame) -> DataFrame:
-    """PAIRS: blocks of pairs of adjacent frequent entries; ``named`` has block, local, id of those."""
-
-    def run(key: tuple, states: pa.Table, ids: pa.Table) -> pa.Table:
-        empty = pa.Table.from_batches([], _rows(0, [pa.array([], pa.int64())] * 2, np.zeros(0, np.int64), np.zeros(0), PAIRS).schema)
-        if not states.num_rows or not ids.num_rows:
-            return empty
-        state = np.frombuffer(states.column("state")[0].as_py(), np.int32)
-        local, name = ids.column("local").to_numpy(), ids.column("id").to_numpy()
-        rank = np.full(max(state.max(), local.max()) + 2, -1, np.int64)  # the last entry stands for -1
-        rank[local] = np.arange(len(local))
-        state = rank[state]
-        first, second = state[:-1], state[1:]
-        both = (first >= 0) & (second >= 0)
-        pairs, number, counts = np.unique(first[both] * len(local) + second[both], return_inverse=True, return_counts=True)
-        if not len(pairs):
-            return empty
-        new = np.full(len(both), -1, np.int64)
-        new[both] = number
-        new = new[(new >= 0) | (np.append(-1, new[:-1]) >= 0)]  # one -1 of each run
-        keys = [pa.array(name[pairs // len(local)]), pa.array(name[pairs % len(local)])]
-        return pa.Table.from_batches([_rows(key[0].as_py(), keys, counts.astype(np.int64), new, PAIRS)])
-
-    states = blocks.where("state IS NOT NULL").select("block", "state")
+def adjacent(state: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (left * known + right) of adjacent numbers, their counts, and the pair's number at each place or -1."""
+    first, second = state[:-1].astype(np.int64), state[1:]
+    both = (first >= 0) & (second >= 0)
+    pairs, number, counts = np.unique(first[both] * known + second[both], return_inverse=True, return_counts=True)
+    places = np.full(len(both), -1, np.int64)
+    places[both] = number
+    return pairs, counts, places
+
+
+def pairs_of(blocks: DataFrame) -> DataFrame:
+    """PAIRS: the distinct pairs of adjacent numbers of BLOCKS, by the ids that the numbers stand for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, state, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(ids, np.int64)
+                pairs, counts, _ = adjacent(np.frombuffer(state, np.int32), len(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(pairs), block)), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]), pa.array(counts.astype(np.int64))],
+                    ["block", "local", "left", "right", "n"],
+                )
+
+    return blocks.mapInArrow(frugal(run), PAIRS)
+
+
+def renamed(blocks: DataFrame, named: DataFrame) -> DataFrame:
+    """BLOCKS with the numbers of frequent entries only; ``named`` has block, local, id of these.
+
+    Entries are the numbers in ``blocks`` themselves where they have no ids yet (words), else pairs of adjacent ones.
+    """
+
+    def run(key: tuple, states: pa.Table, names: pa.Table) -> pa.Table:
+        if not states.num_rows or not names.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "state": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+        state, ids = np.frombuffer(states.column("state")[0].as_py(), np.int32), states.column("ids")[0].as_py()
+        if ids is not None:
+            state = adjacent(state, len(ids) // 8)[2]
+        local, name = names.column("local").to_numpy(), names.column("id").to_numpy()
+        rank = np.full(max(state.max(), local.max()) + 2, -1, np.int32)  # the last entry stands for -1
+        rank[local] = np.arange(len(local), dtype=np.int32)
+        new = rank[state]
+        new = new[(new >= 0) | (np.append(np.int32(-1), new[:-1]) >= 0)]  # one -1 of each run
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([new.tobytes()], pa.binary()), "ids": pa.array([name.tobytes()], pa.binary())})
+
     homes = named.select(F.col("block").alias("home"), "local", "id")
-    return states.groupBy("block").cogroup(homes.groupBy("home")).applyInArrow(run, PAIRS)
+    return blocks.groupBy("block").cogroup(homes.groupBy("home")).applyInArrow(run, BLOCKS)
+
 
+def frequent(entries: DataFrame, key: list[str], least: int) -> DataFrame:
+    """Rows of entries that occur ``least`` times or more in all blocks, with that count ``a``; ``first`` marks one of each.
 
-def frequent(blocks: DataFrame, key: list[str], least: int) -> DataFrame:
-    """id, key, a: entries that occur ``least`` times or more, summed over all blocks."""
-    sums = blocks.where("local IS NOT NULL").groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return sums.withColumn("id", F.monotonically_increasing_id())
+    A window's rows of a key are at most one of each block, and are spilled if many.
+    """
+    whole = Window.partitionBy(*key)
+    summed = entries.withColumn("a", F.sum("n").over(whole)).withColumn("first", F.min("block").over(whole) == F.col("block"))
+    return summed.where(F.col("a") >= least).drop("n")
 
 
 def described(pairs: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -199,29 +223,33 @@ def uncovered(phrases: DataFrame, longer: DataFrame, share: int = SUBSUMED) -> D
 def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, share: int = SUBSUMED, scale: int = SCALE, size: int = BLOCK) -> DataFrame:
     """The best ``top`` phrases of each lang: lang, rank, phrase, a, l, r, n, score."""
     spark = docs.sparkSession
-    blocks, path = save(word_blocks(docs, lang, text, size), "phrase-words")
-    totals, _ = save(blocks.where("local IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    names, _ = save(frequent(blocks, ["lang", "word"], least), "phrase-names")
-    nothing = F.array().cast("array<bigint>")
-    levels = [names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", nothing.alias("firsts"), nothing.alias("lasts"))]
-    key, found = ["lang", "word"], None
-    for words in range(2, longest + 1):
-        named = blocks.where("local IS NOT NULL").select("block", "local", *key).join(names, key).select("block", "local", "id")
-        former = path
-        blocks, path = save(next_blocks(blocks, named), f"phrase-pairs-{words}")
-        drop(spark, former)
-        key = ["left", "right"]
-        pairs = frequent(blocks, key, least)
-        level, _ = save(described(save(pairs, f"phrase-names-{words}")[0], levels[-1]), f"phrase-level-{words}")
-        names = level.select("id", *key)
-        levels.append(level)
-    drop(spark, path)
+    blocks, words_path = save(word_blocks(docs, lang, text, size), "phrase-words")
+    entries = blocks.where("local IS NOT NULL").drop("state")
+    totals, _ = save(entries.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    blocks = blocks.where("state IS NOT NULL").select("block", "state", F.lit(None).cast("binary").alias("ids"))
+    nothing, key, old = F.array().cast("array<bigint>"), ["lang", "word"], [words_path]
+    levels: list[DataFrame] = []
+    for words in range(1, longest + 1):
+        if words == longest:
+            sums = entries.groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        else:
+            found, rows_path = save(frequent(entries, key, least), f"phrase-entries-{words}")
+            sums = found.where("first").select(*key, "a")
+        names, _ = save(sums.withColumn("id", F.monotonically_increasing_id()), f"phrase-names-{words}")
+        if words == 1:
+            levels.append(names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", nothing.alias("firsts"), nothing.alias("lasts")))
+        else:
+            levels.append(save(described(names, levels[-1]), f"phrase-level-{words}")[0])
+        if words < longest:
+            named = found.join(names.select("id", *key), key).select("block", "local", "id")
+            blocks, path = save(renamed(blocks, named), f"phrase-blocks-{words}")
+            drop(spark, rows_path, *old)
+            entries, key, old = pairs_of(blocks), ["left", "right"], [path]
+    drop(spark, *old)
     kept = [scored(uncovered(level, longer, share), n, scale) for n, (level, longer) in enumerate(zip(levels[1:], levels[2:]), 2)]
     kept.append(scored(levels[-1], longest, scale))
-    for part in kept:
-        part = part.select("lang", "phrase", "a", "l", "r", "score")
-        found = part if found is None else found.unionByName(part)
-    return best(found, top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    every = reduce(DataFrame.unionByName, [k.select("lang", "phrase", "a", "l", "r", "score") for k in kept])
+    return best(every, top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def best(found: DataFrame, top: int) -> DataFrame:
