@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.quantile import exact_quantiles
+
 
 def top_n(df: DataFrame, keys: Sequence[str], value: str, n: int, *ties: str) -> DataFrame:
     """Rows of the n largest non-null values of each group; the limit runs before the shuffle, too."""
@@ -105,8 +107,9 @@ def mean_and_size(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def class_medians(df: DataFrame, kind: str, value: str, top: str, bottom: str) -> DataFrame:
     """One row with the medians of two classes and their ratio."""
-    of = lambda k: F.median(F.when(F.col(kind) == k, F.col(value)))
-    return df.agg(of(top).alias("top_median"), of(bottom).alias("bottom_median")).withColumn("ratio", F.try_divide("top_median", "bottom_median"))
+    medians = exact_quantiles(df.where(F.col(kind).isin(top, bottom)), [kind], value, median=0.5)
+    of = lambda k: F.max(F.when(F.col(kind) == k, F.col("median")))
+    return medians.agg(of(top).alias("top_median"), of(bottom).alias("bottom_median")).withColumn("ratio", F.try_divide("top_median", "bottom_median"))
 
 
 def leaders(df: DataFrame, group: str, key: str, value: str, n: int = 10) -> DataFrame:

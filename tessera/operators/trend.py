@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import capped_growth
+from tessera.operators.quantile import exact_quantiles
 
 
 def yearly_quantile(df: DataFrame, day: str, value: str, q: float) -> DataFrame:
     """Exact interpolated quantile per year of positive values."""
-    return df.where(F.col(value) > 0).groupBy(F.year(day).alias("year")).agg(F.percentile(value, q).alias("value"))
+    return exact_quantiles(df.where(F.col(value) > 0).withColumn("year", F.year(day)), ["year"], value, **{"value": q})
 
 
 def log_slope(yearly: DataFrame, least: int = 3) -> DataFrame:

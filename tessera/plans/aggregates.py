@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.catalog import register
 from tessera.functions import numeric
 from tessera.operators import aggregate as agg
-from tessera.operators import ranking
+from tessera.operators import placing, ranking
+from tessera.operators.quantile import exact_quantiles
 from tessera.sources.readers import table
 
 REFERENCE = "2001-08-01"
@@ -46,7 +47,8 @@ register("q_topn_then_agg", q_topn_then_agg, "SELECT c_nationkey, round(median(o
 
 
 def q_quantile_by_year(spark, d):
-    return table(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(F.round(F.percentile("o_totalprice", 0.92), 4).alias("p92"), F.round(F.percentile("o_totalprice", 0.75) - F.percentile("o_totalprice", 0.25), 4).alias("iqr"))
+    rows = table(spark, d, "orders").withColumn("y", F.year("o_orderdate").cast("long"))
+    return exact_quantiles(rows, ["y"], "o_totalprice", p92=0.92, p75=0.75, p25=0.25).select("y", F.round("p92", 4).alias("p92"), F.round(F.col("p75") - F.col("p25"), 4).alias("iqr"))
 
 
 register("q_quantile_by_year", q_quantile_by_year, "SELECT year(o_orderdate)::BIGINT AS y, round(quantile_cont(o_totalprice, 0.92), 4) AS p92, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 4) AS iqr FROM orders GROUP BY 1")
@@ -139,7 +141,8 @@ register("q_zscore", q_zscore, "SELECT p_partkey, round((p_retailprice - (SELECT
 
 def q_rank_min(spark, d):
     spent = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 1000).cast("long").alias("k"))
-    return spent.select("c_custkey", ranking.rank_min(F.col("k"), "c_nationkey").cast("long").alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("c_nationkey")).alias("peers"))
+    peers = spent.groupBy("c_nationkey").agg(n("peers"))
+    return placing.rank(spent, ["k"], [F.desc_nulls_last("k")], "rank", ["c_nationkey"]).join(peers, "c_nationkey").select("c_custkey", "rank", "peers")
 
 
 register("q_rank_min", q_rank_min, "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal / 1000) DESC) AS rank, count(*) OVER (PARTITION BY c_nationkey) AS peers FROM customer")
@@ -169,19 +172,22 @@ register("q_minmax", q_minmax, "WITH b AS (SELECT min(s_acctbal) AS lo, max(s_ac
 
 
 def q_sort_mixed_nulls(spark, d):
-    """O1, O2: all rows with their place in a sort of mixed directions; one partition per value of the first key, as its places start after those before."""
+    """O1, O2: all rows with their place in a sort of mixed directions, missing values last."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.col("quality").cast("long").alias("quality"), "toxic")
-    sizes = rows.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(F.desc_nulls_last("quality"), F.asc_nulls_last("toxic")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("quality").alias("q"), F.col("toxic").alias("t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # one row per pair of values
-    placed = rows.join(F.broadcast(sizes), F.col("quality").eqNullSafe(F.col("q")) & F.col("toxic").eqNullSafe(F.col("t")))
-    place = F.row_number().over(Window.partitionBy("quality", "toxic").orderBy("doc_id"))
-    return placed.select("doc_id", "quality", (F.col("before") + place).alias("place")).orderBy("place")
+    return placing.place(rows, [F.desc_nulls_last("quality"), F.asc_nulls_last("toxic"), F.asc("doc_id")]).select("doc_id", "quality", "place")
 
 
 register("q_sort_mixed_nulls", q_sort_mixed_nulls, "SELECT doc_id, quality::BIGINT AS quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, toxic ASC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id)")
 
 
+def q_sort_by_label(spark, d):
+    """Counts in the order of their labels."""
+    return placing.sorted_counts(table(spark, d, "lineitem").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd")), "day")
+
+
+register("q_sort_by_label", q_sort_by_label, "SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS n, row_number() OVER (ORDER BY strftime(l_shipdate, '%Y-%m-%d')) AS place FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY day")
+
+
 def q_topk(spark, d):
     c = table(spark, d, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("price"))
     top = c.orderBy(F.desc("price"), "o_orderkey").limit(10).withColumn("end", F.lit("top"))

@@ -11,6 +11,7 @@ from tessera.catalog import register
 from tessera.functions import nested, numeric, rules, text
 from tessera.operators import aggregate as agg
 from tessera.operators import joins, ranking, simulate, trend
+from tessera.operators.quantile import exact_quantiles
 from tessera.plans import families, labor
 from tessera.plans.joins import FEATURES_SQL, nation_features
 from tessera.plans.statistics import INDEX_SQL, WEIGHTS, composite
@@ -145,7 +146,8 @@ def forecast_inputs(spark, d) -> DataFrame:
     facts = facts.crossJoin(slope(lines, "l_shipdate", "l_extendedprice", 0.85, "context_slope")).crossJoin(slope(lines, "l_shipdate", "unit", 0.2, "price_slope"))
     facts = facts.crossJoin(orders.agg((of("F") - of("O")).alias("gap"))).crossJoin(composite(spark, d).agg(F.max("index").alias("top_score")))
     parts = table(spark, d, "part")
-    return facts.crossJoin(parts.agg((F.median("p_size") / 100).alias("exposure"), (F.percentile("p_size", F.lit(0.9)) / 100).alias("pressure")))
+    sizes = exact_quantiles(parts, [], "p_size", exposure=0.5, pressure=0.9)
+    return facts.crossJoin(sizes.select((F.col("exposure") / 100).alias("exposure"), (F.col("pressure") / 100).alias("pressure")))
 
 
 _SLOPE = "(SELECT CASE WHEN count(*) >= 3 THEN regr_slope(log10(v), y::DOUBLE) ELSE 0.0 END FROM (SELECT year({1}) AS y, quantile_cont({2}, {3}) AS v FROM {0} WHERE {2} > 0 GROUP BY 1)) AS {4}"

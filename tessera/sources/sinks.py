@@ -7,8 +7,10 @@ import logging
 import math
 import subprocess
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +95,28 @@ class Sink:
         return self.spark.read.parquet(f"{self.out_dir}/{name}.parquet")
 
 
+def write_quoted_csv(df: DataFrame, path: str) -> None:
+    """K1: headed CSV whose cells may hold quotes and line breaks; null cells are bare, empty ones quoted."""
+    kept = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(**kept).csv(path)
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """K7: a JSON array in each file, one element on a line; null fields are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held = "[", None
+        for batch in batches:
+            for element in batch.column(0).to_pylist():
+                if held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{before}{held},"])], ["value"])
+                    before = ""
+                held = element
+        yield pa.RecordBatch.from_arrays([pa.array([f"{before}{held or ''}]"])], ["value"])
+
+    df.select(F.to_json(F.struct(*df.columns))).mapInArrow(run, "value string").write.text(path)
+
+
 def to_json_text(rows: list[dict]) -> str:
     """K7: JSON of small driver-side rows; NaN and infinities become null, dates ISO text, numbers of arrays plain."""
 
