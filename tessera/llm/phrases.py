@@ -4,8 +4,8 @@ Texts are lower-cased (A-Z), split at `[.,;:!?\x0A-\x0D]` into pieces and those
 per lang (null: ``und``). A task packs its pieces into blocks of about BLOCK words: an array of the block's own numbers
 of words, -1 between pieces, beside the block's distinct words with their counts.
 
-Each level sums the distinct entries of the blocks over all blocks, joins those that are frequent (at least MIN_COUNT
-times in the lang) to the global table of their ids, and sends these home to the blocks. There the numbers of frequent
+Each level sums the distinct entries of the blocks over all blocks, puts those that are frequent (at least MIN_COUNT
+times in the lang) under one id, the place of the first, and sends the ids home to the blocks. There the numbers of frequent
 (k-1)-grams replace the former array, and two adjacent numbers make a k-gram: it is named by its pair of ids and counted
 within the block. As no part of a frequent phrase is rarer than the phrase, nothing frequent is lost. What travels is one
 row per block and distinct pair, once, and then the frequent ones; a pair that stands in every block is one row of each,
@@ -44,8 +44,11 @@ PARTS = 64
 #: Letters become lower case, the marks between pieces a comma, tabs a space; every other byte stays.
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz,,,,,,,,, ")
 
-WORDS = "block long, local int, lang string, word string, n long, state binary"
-PAIRS = "block long, local int, left long, right long, n long"
+#: An entry's place: its block, and in the low bits its number there. A task numbers its blocks in 12 bits.
+LOW, SEQUENCE = 31, 12
+
+WORDS = "at long, lang string, word string, n long, block long, state binary"
+PAIRS = "at long, left long, right long, n long"
 BLOCKS = "block long, state binary, ids binary"
 
 
@@ -94,17 +97,16 @@ class Block:
             counts.append(count)
             base += len(known)
         self.parts, self.words = {}, 0
-        n, state = base, np.concatenate(states)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(n + 1, number)),
-                pa.concat_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(1, pa.int32())]),
+                pa.concat_arrays([pa.array((number << LOW) + np.arange(base)), pa.nulls(1, pa.int64())]),
                 pa.array([*langs, None], pa.string()),
                 pa.concat_arrays([*words, pa.nulls(1, words[0].type)]),
                 pa.concat_arrays([pa.array(np.concatenate(counts)), pa.nulls(1, pa.int64())]),
-                pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([state.tobytes()], pa.binary())]),
+                pa.concat_arrays([pa.nulls(base, pa.int64()), pa.array([number])]),
+                pa.concat_arrays([pa.nulls(base, pa.binary()), pa.array([np.concatenate(states).tobytes()], pa.binary())]),
             ],
-            ["block", "local", "lang", "word", "n", "state"],
+            ["at", "lang", "word", "n", "block", "state"],
         )
 
 
@@ -113,7 +115,8 @@ def word_blocks(docs: DataFrame, lang: str, text: str, size: int = BLOCK) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 32
+        first = (context.partitionId() if context else 0) << SEQUENCE
+        number = first
         block = Block()
         for batch in batches:
             for lo in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
@@ -121,7 +124,7 @@ def word_blocks(docs: DataFrame, lang: str, text: str, size: int = BLOCK) -> Dat
                 codes = part.column(0).dictionary_encode()
                 for code, name in enumerate(codes.dictionary.to_pylist()):
                     block.add(name, part.column(1).filter(pc.equal(codes.indices, code)))
-                if block.words >= size:
+                if block.words >= size and number - first < (1 << SEQUENCE) - 1:
                     yield block.rows(number)
                     number += 1
         if block.words:
@@ -150,15 +153,15 @@ def pairs_of(blocks: DataFrame) -> DataFrame:
                 ids = np.frombuffer(ids, np.int64)
                 pairs, counts, _ = adjacent(np.frombuffer(state, np.int32), len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pairs), block)), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]), pa.array(counts.astype(np.int64))],
-                    ["block", "local", "left", "right", "n"],
+                    [pa.array((block << LOW) + np.arange(len(pairs))), pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]), pa.array(counts.astype(np.int64))],
+                    ["at", "left", "right", "n"],
                 )
 
     return blocks.mapInArrow(frugal(run), PAIRS)
 
 
 def renamed(blocks: DataFrame, named: DataFrame) -> DataFrame:
-    """BLOCKS with the numbers of frequent entries only; ``named`` has block, local, id of these.
+    """BLOCKS with the numbers of frequent entries only; ``named`` has at and id of these.
 
     Entries are the numbers in ``blocks`` themselves where they have no ids yet (words), else pairs of adjacent ones.
     """
@@ -170,24 +173,25 @@ def renamed(blocks: DataFrame, named: DataFrame) -> DataFrame:
         if ids is not None:
             state = adjacent(state, len(ids) // 8)[2]
         local, name = names.column("local").to_numpy(), names.column("id").to_numpy()
+        order = np.argsort(name)
+        local, name = local[order], name[order]
         rank = np.full(max(state.max(), local.max()) + 2, -1, np.int32)  # the last entry stands for -1
         rank[local] = np.arange(len(local), dtype=np.int32)
         new = rank[state]
         new = new[(new >= 0) | (np.append(np.int32(-1), new[:-1]) >= 0)]  # one -1 of each run
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([new.tobytes()], pa.binary()), "ids": pa.array([name.tobytes()], pa.binary())})
 
-    homes = named.select(F.col("block").alias("home"), "local", "id")
+    homes = named.select(F.shiftright("at", LOW).alias("home"), F.col("at").bitwiseAND((1 << LOW) - 1).alias("local"), "id")
     return blocks.groupBy("block").cogroup(homes.groupBy("home")).applyInArrow(run, BLOCKS)
 
 
 def frequent(entries: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Rows of entries that occur ``least`` times or more in all blocks, with that count ``a``; ``first`` marks one of each.
+    """key, at, id, a: entries that occur ``least`` times or more in all blocks, that count, and where the first stands.
 
     A window's rows of a key are at most one of each block, and are spilled if many.
     """
     whole = Window.partitionBy(*key)
-    summed = entries.withColumn("a", F.sum("n").over(whole)).withColumn("first", F.min("block").over(whole) == F.col("block"))
-    return summed.where(F.col("a") >= least).drop("n")
+    return entries.withColumns({"a": F.sum("n").over(whole), "id": F.min("at").over(whole)}).where(F.col("a") >= least).drop("n")
 
 
 def described(pairs: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -224,25 +228,24 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = M
     """The best ``top`` phrases of each lang: lang, rank, phrase, a, l, r, n, score."""
     spark = docs.sparkSession
     blocks, words_path = save(word_blocks(docs, lang, text, size), "phrase-words")
-    entries = blocks.where("local IS NOT NULL").drop("state")
+    entries = blocks.where("at IS NOT NULL").select("at", "lang", "word", "n")
     totals, _ = save(entries.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     blocks = blocks.where("state IS NOT NULL").select("block", "state", F.lit(None).cast("binary").alias("ids"))
     nothing, key, old = F.array().cast("array<bigint>"), ["lang", "word"], [words_path]
     levels: list[DataFrame] = []
     for words in range(1, longest + 1):
         if words == longest:
-            sums = entries.groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+            names = entries.groupBy(*key).agg(F.sum("n").alias("a"), F.min("at").alias("id")).where(F.col("a") >= least)
         else:
             found, rows_path = save(frequent(entries, key, least), f"phrase-entries-{words}")
-            sums = found.where("first").select(*key, "a")
-        names, _ = save(sums.withColumn("id", F.monotonically_increasing_id()), f"phrase-names-{words}")
+            drop(spark)  # the shuffle of all entries
+            names = found.where("at = id").select(*key, "a", "id")
         if words == 1:
-            levels.append(names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", nothing.alias("firsts"), nothing.alias("lasts")))
+            levels.append(save(names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", nothing.alias("firsts"), nothing.alias("lasts")), "phrase-level-1")[0])
         else:
             levels.append(save(described(names, levels[-1]), f"phrase-level-{words}")[0])
         if words < longest:
-            named = found.join(names.select("id", *key), key).select("block", "local", "id")
-            blocks, path = save(renamed(blocks, named), f"phrase-blocks-{words}")
+            blocks, path = save(renamed(blocks, found.select("at", "id")), f"phrase-blocks-{words}")
             drop(spark, rows_path, *old)
             entries, key, old = pairs_of(blocks), ["left", "right"], [path]
     drop(spark, *old)
