@@ -3,8 +3,10 @@
 The base finds three kinds of spans (positions in code points, end exclusive; a span is the whole match):
 ``assign`` (a name of a secret, a sign and a value of 8 characters or more), ``access`` (AKIA and more, 16 or more in
 all) and ``hex`` (32 lower-case hexadecimal digits or more). Candidates of the kind ``net`` are runs of 12 or more
-characters of tokens and keys that hold both a letter and a digit, values of 8 characters or more of any make after a
-name of a secret and a sign, and passwords within URLs. The network, in numpy, reads every candidate, however long, with
+characters of tokens and keys that hold both a letter and a digit, runs of 16 or more with capitals amid small letters,
+values of 8 characters or more of any make after a name of a secret and a sign or after "Bearer", and passwords within
+URLs. Names are looked for first, as literal words; what surrounds them is read once, so the time is linear in the text
+whatever runs it holds. The network, in numpy, reads every candidate, however long, with
 CONTEXT characters on either side: two convolutions, maxima over the candidate and over its context, a dense layer. It is
 trained on labelled findings (text, start, end, label), by default `labelled_findings`: three fifths train it, a fifth
 calibrates its logit, and the threshold is the highest that keeps MIN_RECALL of the last fifth. A candidate over the threshold that overlaps no base span is added; base spans always stay.
@@ -37,9 +39,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Runs, values after a name of a secret, and passwords in URLs, which the network judges.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
-NAMED = re.compile(r"(?i)[a-z0-9_-]*(?:key|pass|pwd|secret|token|auth|credential)[a-z0-9_-]*[\"']?\x20*[:=]\x20*[\"']?([^\x20\x09-\x0D\"',;<>(){}]{8,})")
+NAME = re.compile(r"(?i)key|pass|pwd|secret|token|auth|credential|(?<![a-z])pw(?![a-z])|(?<![a-z])bearer(?=\x20)")
+#: The rest of a name; then a sign (or, after "Bearer", blanks) and a value.
+NAME_REST = re.compile(r"[A-Za-z0-9_-]*+")
+VALUE = re.compile(r"[\"']?+\x20*+[:=]\x20*+[\"']?+([^\x20\x09-\x0D\"',;<>(){}]{8,}+)")
+BEARER = re.compile(r"\x20++([^\x20\x09-\x0D\"',;<>(){}]{8,}+)")
 USERINFO = re.compile(r"://[^\s/@:]*:([^\s/@]{4,})@")
 LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
+#: Capitals amid small letters, as in keys without digits.
+MIXED = re.compile(r"[a-z][^a-z]*?[A-Z][^A-Z]*?[a-z]")
 CONTEXT = 24
 #: Longest piece of a candidate that the network reads at once; longer ones are read in pieces that overlap by half.
 PIECE = 64
@@ -62,11 +70,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def named_values(text: str) -> Iterator[tuple[int, int]]:
+    """Values after names of secrets: a name's run of letters and digits is read to its end once."""
+    at = 0
+    while found := NAME.search(text, at):
+        at = NAME_REST.match(text, found.end()).end()
+        value = VALUE.match(text, at) or (BEARER.match(text, at) if found.group().lower() == "bearer" and at == found.end() else None)
+        if value:
+            yield value.span(1)
+            at = value.end()
+
+
+def judged(run: str) -> bool:
+    """Whether a run of a token's characters is one that the network reads."""
+    if DIGIT.search(run):
+        return LETTER.search(run) is not None
+    return len(run) >= 16 and MIXED.search(run) is not None
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans for the network, by start; one within another is left out."""
-    found = [m.span() for m in TOKEN.finditer(text) if DIGIT.search(m.group()) and LETTER.search(m.group())]
-    if ":" in text or "=" in text:
-        found += [m.span(1) for m in NAMED.finditer(text)]
+    found = [m.span() for m in TOKEN.finditer(text) if judged(m.group())]
+    found += named_values(text)
+    if "://" in text:
         found += [m.span(1) for m in USERINFO.finditer(text)]
     out: list[tuple[int, int]] = []
     for start, end in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -92,6 +118,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         lambda: rng.choice(("ghp_", "gho_", "glpat-", "sk-", "sk_live_", "xoxb-", "npm_", "pk_live_")) + draw(alnum, rng.randint(20, 40)),
         lambda: "eyJ" + draw(alnum, rng.randint(20, 60)),
         lambda: draw(alnum + "-_", rng.randint(32, 48)),
+        lambda: draw(b64[:52], rng.randint(24, 44)),
     )
     # values that are secrets by what stands before them
     spoken = (
@@ -125,13 +152,16 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         lambda: "your-" + word() + "-key-here-" + str(rng.randint(1, 9)),
         lambda: "1234567890abcdefghij"[: rng.randint(16, 20)],
         lambda: "-".join(word() for _ in range(5)) + "1",
+        lambda: "".join((word() + word()).title() for _ in range(rng.randint(3, 6))),
+        lambda: word() + "".join((word() + word()).title() for _ in range(rng.randint(2, 5))),
+        lambda: "/".join((word() + word()).title() for _ in range(rng.randint(3, 5))),
     )
-    names = ("token", "secret", "api_key", "apikey", "password", "auth", "key", "Authorization: Bearer", "credential")
+    names = ("token", "secret", "api_key", "apikey", "password", "auth", "key", "Authorization: Bearer", "credential", "pw")
     out = []
     for k in range(n):
         label = k % 2
         before = " ".join(word() for _ in range(6))
-        if rng.random() < 0.25:  # the name decides, not the make
+        if rng.random() < 0.4:  # the name decides, not the make
             url = label and rng.random() < 0.3
             body = rng.choice(spoken if label else unspoken)().replace("'", "")
             body += draw(alnum[:26], max(0, 8 - len(body)))
@@ -145,7 +175,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         if len(body) < 12:
             body += draw("0123456789", 12 - len(body))
         style = rng.random()
-        if style < (0.45 if label else 0.1):
+        if style < (0.45 if label else 0.05):
             before += " " + rng.choice(names) + rng.choice((" = ", "=", ": ", ' = "', '":"'))
         elif style < 0.6:
             before += " " + word() + rng.choice((" ", " is ", ": ", " = "))
@@ -323,6 +353,20 @@ def default_network() -> Network:
     return train(labelled_findings())
 
 
+class Covered:
+    """What spans cover, for questions in the order of their starts."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.spans, self.at, self.end = sorted(s[:2] for s in spans), 0, -1
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether a span overlaps [start, end); starts never fall from one call to the next."""
+        while self.at < len(self.spans) and self.spans[self.at][0] <= start:
+            self.end = max(self.end, self.spans[self.at][1])
+            self.at += 1
+        return self.end > start or self.at < len(self.spans) and self.spans[self.at][0] < end
+
+
 def find_all(texts: list[str], net: Network) -> list[list[tuple[int, int, str]]]:
     """All spans of each text by start, then kind."""
     spans, asked, owner = [], [], []
@@ -333,8 +377,9 @@ def find_all(texts: list[str], net: Network) -> list[list[tuple[int, int, str]]]
             asked.append((text, start, end))
             owner.append(k)
     if asked:
+        taken = [Covered(base) for base in spans]
         for k, (_, start, end), p in zip(owner, asked, net.probabilities(asked)):
-            if p >= net.threshold and not any(s < end and start < e for s, e, kind in spans[k] if kind != "net"):
+            if p >= net.threshold and not taken[k].meets(start, end):
                 spans[k].append((start, end, "net"))
     return [sorted(s, key=lambda x: (x[0], KINDS.index(x[2]))) for s in spans]
 

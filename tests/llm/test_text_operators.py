@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -207,6 +208,36 @@ def test_secret_spans(spark):
     assert secret_scan.scan(spark.createDataFrame([], df.schema)).count() == 0
 
 
+@pytest.mark.parametrize("run", ["a", "aA", "a1", "-", "_", "key", "key:", "key=a ", "pass\"", "secret ", "://a:b", ":", "=", "0", "f", "AKIA", "é", "\n", "token=abcdefgh "])
+def test_long_runs_of_secrets_take_linear_time(run):
+    text = run * (1_000_000 // len(run)) + " x:y"
+    began = time.process_time()
+    secret_scan.base_spans(text)
+    found = secret_scan.candidates(text)
+    assert time.process_time() - began < 5 and all(0 <= s < e <= len(text) for s, e in found)
+
+
+def test_candidates_are_the_plain_pattern():
+    named = re.compile(r"""(?i)[a-z0-9_-]*(?:key|pass|pwd|secret|token|auth|credential)[a-z0-9_-]*["']?\x20*[:=]\x20*["']?([^\x20\x09-\x0D"',;<>(){}]{8,})""")
+    rng = random.Random(9)
+    parts = ["key", "pass", "PWD", "a", "_", "-", "0", ":", "=", " ", '"', "'", ";", "value123", "é", "secret", "abcdefgh"]
+    for _ in range(4000):
+        x = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert list(secret_scan.named_values(x)) == [m.span(1) for m in named.finditer(x)], x
+    spans = lambda t: [t[a:b] for a, b in secret_scan.candidates(t)]
+    assert spans("Bearer abcdefghijklmnopqrstuvwxyzABCDEFGH") == ["abcdefghijklmnopqrstuvwxyzABCDEFGH"] and spans("pw: hunter22") == ["hunter22"]
+
+
+def test_added_spans_meet_no_base_span():
+    rng = random.Random(3)
+    for _ in range(300):
+        base = [(s := rng.randint(0, 60), s + rng.randint(1, 9), "hex") for _ in range(rng.randint(0, 6))]
+        covered = secret_scan.Covered(base)
+        for start in sorted(rng.randint(0, 70) for _ in range(12)):
+            end = start + rng.randint(1, 8)
+            assert covered.meets(start, end) == any(s < end and start < e for s, e, _ in base)
+
+
 def test_network_on_unseen_findings():
     net = secret_scan.default_network()
     found = secret_scan.labelled_findings(1200, seed=77)
