@@ -8,7 +8,7 @@ stores the edited map as the next version. No record is hashed anew, and only re
 The law is ``bytes``: shards hold nearly equal bytes, to within the smallest slot of the heaviest shard. A record's
 size is its text's UTF-8 bytes (null: none) plus 1. A null key has a slot like any other. Rows with the same key
 share a slot; repeated rows are dealt like others and get positions of their own in arbitrary order among equals.
-A text counts whole, however long. An empty table gives an empty result. Columns other than key and text aren't read.
+A text counts whole, however long (its length is read, never its characters). An empty table gives an empty result. Columns other than key and text aren't read.
 """
 
 from __future__ import annotations
@@ -48,16 +48,19 @@ class SlotMap:
     def rebalanced(self, bytes_of: dict[int, int], shards: int | None = None) -> SlotMap:
         """The next version: slots move from the heaviest to the lightest shard while that narrows their gap.
 
-        ``shards`` above the present number adds empty shards, which only take slots.
+        ``shards`` above the present number adds empty shards; that edit moves slots into these alone.
         """
         n = shards or self.shards
+        if n < self.shards:
+            raise ValueError(f"the map has {self.shards} shards, which can't become {n}")
+        takers = range(self.shards, n) if n > self.shards else range(n)
         shard_of, held, load = list(self.shard_of), [[] for _ in range(n)], [0] * n
         for slot, shard in enumerate(shard_of):
             if size := bytes_of.get(slot, 0):
                 insort(held[shard], (size, slot))
                 load[shard] += size
         while True:
-            top, low = max(range(n), key=load.__getitem__), min(range(n), key=load.__getitem__)
+            top, low = max(range(n), key=load.__getitem__), min(takers, key=load.__getitem__)
             gap = load[top] - load[low]
             at = bisect_left(held[top], (gap / 2, -1))
             near = [held[top][k] for k in (at - 1, at) if 0 <= k < len(held[top]) and held[top][k][0] < gap]
@@ -98,21 +101,22 @@ def slot_loads(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, path: str | None = None, former: SlotMap | None = None) -> DataFrame:
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int | None = None, path: str | None = None, former: SlotMap | None = None) -> DataFrame:
     """One row per record: key, size, text_crc32, law, shard, slot (its position in the shard), grown_shard, virtual_slot.
 
     A ``former`` map (as load_map() gives) is edited; without one the first version is made and stored, too. The edited
-    version is stored under ``path``.
+    version is stored under ``path``. ``shards`` is the map's own number by default (SHARDS without a map); a larger one
+    adds shards, which take records from the others while nothing moves between those.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "slot-map")
     loads = {r[0]: (r[1], r[2]) for r in slot_loads(docs, key, text).collect()}  # at most SLOTS rows
-    first = former or SlotMap.initial(shards)
+    first = former or SlotMap.initial(shards or SHARDS)
     if former is None:
         first.store(spark, path)
-    edited = first.rebalanced({slot: x[0] for slot, x in loads.items()})
+    edited = first.rebalanced({slot: x[0] for slot, x in loads.items()}, shards)
     edited.store(spark, path)
-    before, placed = [0] * shards, [0] * SLOTS
+    before, placed = [0] * edited.shards, [0] * SLOTS
     for slot, shard in enumerate(edited.shard_of):
         placed[slot] = before[shard]
         before[shard] += loads.get(slot, (0, 0))[1]
@@ -141,6 +145,12 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     )
 
 
+#: The query in SQL but for the shard of each slot, which the map decides: what the laws leave open isn't in it.
+RECORDS = """
+SELECT doc_id, (octet_length(encode(coalesce(text, ''))) * (text IS NOT NULL)::INT + 1)::BIGINT AS size, 'bytes' AS law FROM documents
+"""
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7."""
     return assign(table(spark, sf_dir, "documents"))

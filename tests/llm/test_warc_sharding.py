@@ -1,10 +1,13 @@
 """WARC round trips and sharding laws."""
 
 import base64
+import collections
 import hashlib
 import io
+import random
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +98,45 @@ def test_sharding(spark):
     assert empty.count() == 0 and "slot" in empty.columns
 
 
+def test_a_map_grows_through_assign(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, "x" * rng.randint(0, 300)) for k in range(600)] + [(None, None), (7, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    place = lambda found: {(r.doc_id, r.text_crc32, r.size): r.shard for r in found.collect()}
+    path = str(tmp_path / "map")
+    first = place(sharding.assign(df, path=path))
+    grown = sharding.assign(df, path=path, former=sharding.load_map(spark, path), shards=9)
+    after = place(grown)
+    assert set(first.values()) == set(range(8)) and set(after.values()) == set(range(9))
+    assert all(after[k] in (first[k], 8) for k in first)
+    size = collections.Counter()
+    for (_, _, n), shard in after.items():
+        size[shard] += n
+    assert max(size.values()) - size[8] <= 302  # the ninth is filled up to a slot of the heaviest
+    nine = sharding.load_map(spark, path)
+    assert (nine.shards, nine.version) == (9, 3)
+    again = sharding.assign(df, path=path, former=nine)
+    assert {r.shard for r in again.collect()} == set(range(9)) and sharding.load_map(spark, path).shards == 9
+    for shard in range(9):
+        slots = sorted(r.slot for r in again.where(f"shard = {shard}").collect())
+        assert slots == list(range(len(slots)))
+    with pytest.raises(ValueError):
+        sharding.assign(df, path=path, former=nine, shards=8)
+
+
+def test_query_holds_its_law(spark):
+    data = "/root/testdata/sf0.001"
+    rows = sharding.op2_sharding(spark, data).toPandas().set_index("doc_id").sort_index()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = con.execute(sharding.RECORDS).df().set_index("doc_id").sort_index()
+    assert (rows[["size", "law"]] == want[["size", "law"]]).all().all()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert all(zlib.crc32(texts[k].encode()) == crc for k, crc in rows["text_crc32"].items())
+    loads = rows.groupby("shard")["size"].sum()
+    assert set(loads.index) == set(range(8)) and loads.max() - loads.min() <= rows["size"].max()
+
+
 def test_sharding_is_native(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string").where(F.col("doc_id") > 0)
     plan = sharding.assign(df)._jdf.queryExecution().executedPlan().toString()
