@@ -45,11 +45,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files all executors see."""
+#: Shuffle files go when the execution that made them ends, instead of with the driver's garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, name: str, tidy: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: lineage ends at files all executors see.
+
+    ``tidy``: what was shuffled for it is deleted at once.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, "false") if tidy else None
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -227,9 +227,9 @@ def uncovered(phrases: DataFrame, longer: DataFrame, share: int = SUBSUMED) -> D
 def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, share: int = SUBSUMED, scale: int = SCALE, size: int = BLOCK) -> DataFrame:
     """The best ``top`` phrases of each lang: lang, rank, phrase, a, l, r, n, score."""
     spark = docs.sparkSession
-    blocks, words_path = save(word_blocks(docs, lang, text, size), "phrase-words")
+    blocks, words_path = save(word_blocks(docs, lang, text, size), "phrase-words", tidy=True)
     entries = blocks.where("at IS NOT NULL").select("at", "lang", "word", "n")
-    totals, _ = save(entries.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    totals, _ = save(entries.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals", tidy=True)
     blocks = blocks.where("state IS NOT NULL").select("block", "state", F.lit(None).cast("binary").alias("ids"))
     nothing, key, old = F.array().cast("array<bigint>"), ["lang", "word"], [words_path]
     levels: list[DataFrame] = []
@@ -237,15 +237,14 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = M
         if words == longest:
             names = entries.groupBy(*key).agg(F.sum("n").alias("a"), F.min("at").alias("id")).where(F.col("a") >= least)
         else:
-            found, rows_path = save(frequent(entries, key, least), f"phrase-entries-{words}")
-            drop(spark)  # the shuffle of all entries
+            found, rows_path = save(frequent(entries, key, least), f"phrase-entries-{words}", tidy=True)
             names = found.where("at = id").select(*key, "a", "id")
         if words == 1:
-            levels.append(save(names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", nothing.alias("firsts"), nothing.alias("lasts")), "phrase-level-1")[0])
+            levels.append(save(names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", nothing.alias("firsts"), nothing.alias("lasts")), "phrase-level-1", tidy=True)[0])
         else:
-            levels.append(save(described(names, levels[-1]), f"phrase-level-{words}")[0])
+            levels.append(save(described(names, levels[-1]), f"phrase-level-{words}", tidy=True)[0])
         if words < longest:
-            blocks, path = save(renamed(blocks, found.select("at", "id")), f"phrase-blocks-{words}")
+            blocks, path = save(renamed(blocks, found.select("at", "id")), f"phrase-blocks-{words}", tidy=True)
             drop(spark, rows_path, *old)
             entries, key, old = pairs_of(blocks), ["left", "right"], [path]
     drop(spark, *old)
