@@ -16,6 +16,13 @@ def top_n(df: DataFrame, keys: Sequence[str], value: str, n: int, *ties: str) ->
     return df.where(F.col(value).isNotNull()).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
 
 
+def first_n(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[Column], value: str) -> DataFrame:
+    """Each group's first n values in order, as an array; at most n rows of a group and task are shuffled."""
+    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n)
+    listed = F.array_sort(F.collect_list(F.struct("__n", F.col(value).alias("v"))))  # n values
+    return ranked.groupBy(*keys).agg(F.transform(listed, lambda x: x["v"]).alias(value))
+
+
 def top_n_then(df: DataFrame, keys: Sequence[str], value: str, n: int, **aggs: Column) -> DataFrame:
     """Aggregates over the n largest values of each group."""
     return top_n(df, keys, value, n).groupBy(*keys).agg(*(c.alias(k) for k, c in aggs.items()))

@@ -14,7 +14,8 @@ def tiered_match(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     queries: id, name, model_id, family, aliases; candidates: ord (their order), name, family, aliases, sort_score, and
     what else the record shall have. Aliases don't include the family's own name. Tier 0: the candidate's name is the
     query's name or id (any case); tier 1: they share an alias; in both the first candidate by ``ord`` wins. Tier 3: the
-    candidate of the family with the highest score, the first among equals; missing scores count as 0.
+    candidate of the family with the highest score, the first among equals; missing scores count as 0. ``ord`` is a number
+    or a struct, and tells candidates apart.
 
     Every key (name, alias, family) is reduced to its first candidate before queries meet it, so work grows with keys
     and aliases, not with queries times candidates; no key brings more than one row to a query.
@@ -26,7 +27,7 @@ def tiered_match(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     words = queries.select("id", F.explode("aliases").alias("k"))
     alias = words.join(first(candidates.select(F.explode("aliases").alias("k"), "ord")), "k").select("id", F.lit(1).alias("tier"), "ord")
     score = F.coalesce(F.col("sort_score").cast("double"), F.lit(0.0))
-    best = candidates.where("family IS NOT NULL").groupBy("family").agg(F.max_by("ord", F.struct(score, -F.col("ord"))).alias("ord"))
+    best = candidates.where("family IS NOT NULL").groupBy("family").agg(F.min(F.struct((-score).alias("s"), "ord"))["ord"].alias("ord"))
     family = queries.select("id", "family").join(best, "family").select("id", F.lit(3).alias("tier"), "ord")
     chosen = exact.unionByName(alias).unionByName(family).groupBy("id").agg(F.min(F.struct("tier", "ord")).alias("m"))
     record = candidates.select("ord", F.struct(*candidates.columns).alias("record"))

@@ -217,8 +217,9 @@ def match_audit(catalogue: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every catalogue model against every benchmark source: 17 columns with the tier of its best match.
 
     candidates: benchmark_source, name, model_id, family, sort_score, benchmark_score, benchmark_metric,
-    benchmark_category, source_url. Of candidates with equal claims the one with the highest score, then the first name,
-    is taken. Sources are a few; models meet candidates by key only.
+    benchmark_category, source_url. Candidates of a source are in the order of their names: the first one with the name
+    or an alias is taken; the score decides among those of a family only. Sources are a few; models meet candidates by
+    key only.
     """
     sources = candidates.select("benchmark_source").distinct()
     mark = lambda c: F.concat_ws("\x01", "benchmark_source", c)
@@ -229,12 +230,10 @@ def match_audit(catalogue: DataFrame, candidates: DataFrame) -> DataFrame:
         F.struct("openrouter_id", "benchmark_source").alias("id"), "canonical_model", "vendor", "model_family", mark("canonical_model").alias("name"), mark("openrouter_id").alias("model_id"), mark("model_family").alias("family"),
         forms(F.col("canonical_model"), F.col("openrouter_id"), F.col("model_family")).alias("aliases"),
     )
-    known = candidates.withColumn("ord", F.struct(-F.coalesce("sort_score", F.lit(0.0)), F.col("name"), F.col("model_id"), F.col("benchmark_source")))
+    known = candidates.withColumn("ord", F.struct("name", "model_id", "benchmark_source"))
     known = known.withColumns({"__name": F.col("name"), "__family": F.col("family"), "aliases": forms(F.col("name"), F.col("model_id"), F.col("family"))})
     known = known.withColumns({"name": mark("name"), "family": mark("family")})
-    number = known.select("ord").distinct().withColumn("n", F.row_number().over(Window.partitionBy(F.col("ord.benchmark_source")).orderBy("ord")))
-    numbered = known.join(number, "ord").withColumn("ord", F.col("n").cast("long") * 1_000_000 + F.pmod(F.xxhash64("benchmark_source"), F.lit(1_000_000))).drop("n")
-    found = match.tiered_match(asked, numbered).join(asked.select("id", "canonical_model", "vendor", "model_family"), "id")
+    found = match.tiered_match(asked, known).join(asked.select("id", "canonical_model", "vendor", "model_family"), "id")
     bare = lambda c: F.substring_index(c, "\x01", -1)
     r = lambda c: F.coalesce(F.col(f"record.{c}"), F.lit(""))
     return found.select(
@@ -245,42 +244,64 @@ def match_audit(catalogue: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def family_coverage(catalogue: DataFrame, audit: DataFrame) -> DataFrame:
-    """Per family, coverage of four fields and of matches, their mean and the number of gaps."""
+def family_coverage(scores: DataFrame, catalogue: DataFrame, audit: DataFrame) -> DataFrame:
+    """Per scored family, coverage of four fields of its catalogue models and of its matches, their mean and the gaps.
+
+    scores: model_family, lmarena_models (models of the family on the leaderboard), api_model_count; absent ones are 0.
+    A part that is 0 is a gap.
+    """
+    c, zero = F.col, F.lit(0.0)
+    fields = {
+        "price_coverage": agg.field_coverage(c("input_usd_per_1m"), c("output_usd_per_1m"), positive=True), "release_date_coverage": agg.field_coverage(c("release_date")),
+        "access_class_coverage": agg.field_coverage(c("access_class")), "context_window_coverage": agg.field_coverage(c("context_window"), positive=True),
+    }
+    base = catalogue.groupBy("model_family").agg(*(F.bround(v, 4).alias(k) for k, v in fields.items()))
+    direct = audit.where("direct_model_match").groupBy("model_family").agg(F.count(F.lit(1)).alias("direct_benchmark_match_count"))
+    count = lambda name: F.coalesce(resolve(scores, [name], "double").cast("long"), F.lit(0))
+    families = scores.select("model_family", count("api_model_count").alias("api_model_count"), count("lmarena_models").alias("family_proxy_benchmark_count"))
+    out = joins.left_fill(joins.left_fill(families, base, ["model_family"], list(fields)), direct, ["model_family"], ["direct_benchmark_match_count"])
+    parts = [c(k) for k in fields] + [F.least(F.lit(1.0), c("direct_benchmark_match_count") / 3), F.least(F.lit(1.0), c("family_proxy_benchmark_count") / 5)]
+    gaps = sum(((p <= zero).cast("int") for p in parts), F.lit(0))
+    out = joins.with_lookup(out, "model_family", rules.FAMILY_VENDOR, "vendor", F.col("model_family")).withColumn("labor_signal_coverage", F.lit(1.0))
+    return out.withColumn("source_gap_count", gaps).withColumn("coverage_score", F.bround(sum(parts, zero) / len(parts) * 100, 2))
+
+
+def releases(research: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Distinct dated releases of known families in both sources: release_date, model_family, vendor, product_line, model_name, release_type.
+
+    The type is open_weight by the access class, else api_catalog or research_metadata by the source.
+    """
     c = F.col
-    base = catalogue.groupBy("model_family").agg(
-        F.count(F.lit(1)).alias("models"),
-        agg.field_coverage(c("input_usd_per_1m"), c("output_usd_per_1m"), positive=True).alias("price_coverage"),
-        agg.field_coverage(c("release_date")).alias("release_date_coverage"),
-        F.avg((F.coalesce(c("access_class"), F.lit("unknown")) != "unknown").cast("double")).alias("access_class_coverage"),
-        agg.field_coverage(c("context_window"), positive=True).alias("context_window_coverage"),
-    )
-    found = audit.groupBy("model_family").agg(
-        F.count_if("direct_model_match").alias("direct_matches"), F.count_if(c("match_confidence") == "family_only").alias("proxy_matches")
-    )
-    out = joins.left_fill(base, found, ["model_family"], ["direct_matches", "proxy_matches"])
-    parts = [c(k) for k in ("price_coverage", "release_date_coverage", "access_class_coverage", "context_window_coverage")]
-    parts += [F.least(F.lit(1.0), c("direct_matches") / 3), F.least(F.lit(1.0), c("proxy_matches") / 5)]
-    gaps = sum(((p < 0.5).cast("int") for p in parts), F.lit(0))
-    return out.withColumn("coverage_score", F.round(numeric.row_mean(*parts) * 100, 2)).withColumn("source_gap_count", gaps)
+
+    def of(df: DataFrame, opened: Column, other: str) -> DataFrame:
+        kind = F.when(F.coalesce(opened, F.lit(False)), "open_weight").otherwise(F.lit(other))
+        named = F.coalesce(F.nullif(text.clean_text(c("vendor")), F.lit("")), F.lit("Unknown"))
+        rows = joins.with_lookup(df.withColumn("__vendor", named), "model_family", rules.FAMILY_VENDOR, "__mapped", c("__vendor"))
+        line = F.coalesce(F.nullif(text.clean_text(c("product_line")), F.lit("")), c("model_family"))
+        return rows.where(c("release_date").isNotNull() & c("model_family").isin(*rules.FAMILY_VENDOR)).select(
+            c("release_date").cast("date").alias("release_date"), "model_family", c("__mapped").alias("vendor"), line.alias("product_line"), c("canonical_model").alias("model_name"), kind.alias("release_type")
+        )
+
+    access = F.lower(text.clean_text(c("access_class")))
+    return of(catalogue, F.startswith(access, F.lit("open")), "api_catalog").unionByName(of(research, F.contains(access, F.lit("open")), "research_metadata")).distinct()
 
 
 def release_cadence(research: DataFrame, catalogue: DataFrame, by: str, reference: str) -> DataFrame:
-    """Cadence over distinct releases of both sources, with the mix of sources and, by vendor, its families."""
-    cols = ["model_family", "vendor", "product_line", "canonical_model", "release_date"]
-    every = research.select(*cols, F.lit("research").alias("source")).unionByName(catalogue.select(*cols, F.lit("api").alias("source")))
-    every = every.where(~F.coalesce(F.col("model_family"), F.lit("")).isin("", "Other", "unknown")).dropDuplicates([*cols, "source"])
-    counts = every.groupBy(by, "source").count().groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("count"), "source", "count"))), lambda x: F.concat_ws(":", x["source"], x["count"])).alias("m"))
-    out = ranking.cadence(every, [by], F.col("release_date"), reference).join(counts.select(by, F.array_join("m", ",").alias("source_mix")), by)
-    if by != "vendor":
-        return out
-    return out.join(every.groupBy("vendor").agg(agg.sorted_join(F.col("model_family")).alias("portfolio_families")), "vendor")
+    """Cadence over distinct dated releases, with the mix of release types (most frequent first) and, by vendor, its families."""
+    every = releases(research, catalogue)
+    mix = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("m"), "release_type", "count"))), lambda x: F.concat_ws(":", x["release_type"], x["count"]))  # three types
+    counts = every.groupBy(by, "release_type").count().groupBy(by).agg(F.array_join(mix, ",").alias("source_mix"))
+    out = ranking.cadence(every, [by], F.col("release_date"), reference).join(counts, by)
+    if by == "vendor":
+        return out.join(every.groupBy("vendor").agg(agg.sorted_join(F.col("model_family")).alias("portfolio_families")), "vendor")
+    return out.join(every.groupBy(by).agg(F.min("vendor").alias("vendor")), by)
 
 
 def underobserved(scores: DataFrame, coverage: DataFrame) -> DataFrame:
     """Families with thin evidence and why."""
     middle = scores.agg(F.median("evidence_count").alias("middle"))
-    rows = scores.join(coverage.select("model_family", "direct_matches", "coverage_score"), "model_family", "left").crossJoin(F.broadcast(middle))
+    direct = resolve(coverage, ["direct_benchmark_match_count", "direct_matches"], "long").alias("direct_matches")
+    rows = scores.join(coverage.select("model_family", direct, "coverage_score"), "model_family", "left").crossJoin(F.broadcast(middle))
     why = agg.reasons(few_direct_model_matches=F.coalesce("direct_matches", F.lit(0)) < 2, low_source_coverage=F.coalesce("coverage_score", F.lit(0.0)) < 60, below_median_evidence_depth=F.col("evidence_count") < F.col("middle"))
     return rows.select("model_family", "evidence_count", "direct_matches", "coverage_score", why.alias("reasons"), (why != "none").alias("underobserved"))
 
@@ -300,12 +321,13 @@ def rank_intervals(scores: DataFrame, draws: int = 700) -> DataFrame:
 # Families of the leadership audit and its notes; names that make a key model.
 AUDITED = ["GPT", "Qwen", "Claude", "Gemini", "Mistral", "DeepSeek", "Llama", "Grok"]
 AUDIT_NOTES = {
-    "Mistral": "Strong openness and cost; performance and release velocity below the leaders.",
-    "Qwen": "Strong open ecosystem and good performance; upside under open distribution.",
-    "GPT": "Strongest current composite and release velocity.",
-    "Claude": "Strong benchmark and coding signal, less release breadth and ecosystem pull.",
-    "Gemini": "Strong benchmark breadth and ecosystem; weaker openness and cost.",
+    "Mistral": "Strong openness/cost, but current performance and release-velocity signals are below GPT/Qwen/Claude/Gemini; should not be called raw frontier leader from this dataset.",
+    "Qwen": "Strong open ecosystem and good performance; credible upside, especially under open-distribution scenarios.",
+    "GPT": "Strongest current composite and release velocity; remains top frontier-quality prior in this dataset.",
+    "Claude": "Strong benchmark/coding signal but lower release breadth and ecosystem pull in this snapshot.",
+    "Gemini": "Strong benchmark breadth and ecosystem signal; weaker openness/cost signal.",
 }
+OTHER_NOTE = "Interpret with caution; public signals are incomplete and component-dependent."
 KEY_MODELS = ["gpt-5.5", "gpt-5.5-pro", "claude-opus-4.7", "claude-opus-4.7-fast", "gpt-5", "claude-opus-4"]
 
 
@@ -314,7 +336,7 @@ def leadership_audit(scores: DataFrame, shares: DataFrame) -> DataFrame:
     ten = shares.where("horizon = 10").groupBy("model_family").pivot("scenario", ["frontier_quality", "open_ecosystem_upside"]).agg(F.max("win_share"))
     ten = ten.select("model_family", F.col("frontier_quality").alias("frontier_quality_10y_probability"), F.col("open_ecosystem_upside").alias("open_ecosystem_10y_probability"))
     rows = scores.where(F.col("model_family").isin(*AUDITED)).select("model_family", "index", F.col("rank").alias("current_rank"), *COMPONENTS).join(ten, "model_family", "left")
-    return joins.with_lookup(rows, "model_family", AUDIT_NOTES, "audit_note", "Interpret with caution; public signals are incomplete.").orderBy(F.desc_nulls_last("frontier_quality_10y_probability"), "model_family")
+    return joins.with_lookup(rows, "model_family", AUDIT_NOTES, "audit_note", OTHER_NOTE).orderBy(F.desc_nulls_last("frontier_quality_10y_probability"), "model_family")
 
 
 def key_models(catalogue: DataFrame, urls: dict[str, str]) -> DataFrame:
@@ -367,9 +389,10 @@ def capability_forecasts(facts: DataFrame) -> DataFrame:
     first = F.least(F.lit(0.95), c("top_score") / 100 + 0.03 * h * (c("w_compute") - 0.7))
     none = F.lit(None).cast("boolean")
     metrics = (
-        ("frontier_training_compute_multiplier", compute, 2, compute_hit, "x current trend"), ("frontier_context_window_multiplier", context, 2, context_hit, "x current trend"),
-        ("frontier_output_price_factor", price, 4, none, "fraction of current price"), ("open_weight_gap_remaining", left, 1, none, "rating points"),
-        ("share_of_occupation_tasks_touched", touched, 3, none, "share of activity"), ("leading_concentration", first, 3, none, "index, 1 is winner takes most"),
+        # Names and units of the published table.
+        ("frontier_training_compute_multiplier", compute, 2, compute_hit, "x current frontier trend"), ("frontier_context_window_multiplier", context, 2, context_hit, "x current API catalog trend"),
+        ("frontier_output_price_factor", price, 4, none, "fraction of current low-price frontier API output cost"), ("open_weight_lmarena_gap_remaining", left, 1, none, "arena rating points"),
+        ("share_of_us_occupation_tasks_materially_touched", touched, 3, none, "share of task-weighted occupation activity"), ("leading_lab_concentration", first, 3, none, "index, 1 means winner-take-most frontier"),
     )
     each = F.array(*(F.struct(F.lit(n).alias("metric"), F.bround(v.cast("double"), d).alias("value"), F.lit(u).alias("unit"), hit.alias("capped")) for n, v, d, hit, u in metrics))
     return rows.select("scenario", "horizon_years", (h + 2026).alias("target_year"), F.inline(each))

@@ -131,9 +131,14 @@ def domain_heatmap(scored: DataFrame) -> DataFrame:
     return scored.groupBy(F.substring("soc_base", 1, 2).alias("soc_major")).agg(*(F.avg(c).alias(c) for c in columns), F.count(F.lit(1)).alias("occupation_count"))
 
 
-def _weighted(scored: DataFrame) -> DataFrame:
-    weight = F.coalesce(numeric.to_number(F.col("bls_employment")), numeric.to_number(F.col("job_forecast")), F.lit(1.0))
-    return scored.withColumn("__w", F.greatest(weight, F.lit(1.0)))
+def _weighted(scored: DataFrame, allocated: bool = False) -> DataFrame:
+    """``__w``: employment, else the forecast, else 1. ``allocated``: a family's employment is shared among its occupations."""
+    employed = numeric.to_number(F.col("bls_employment"))
+    if allocated:  # one row per family
+        peers = scored.where(F.col("job_family").isNotNull()).groupBy("job_family").agg(F.count("title").alias("__peers"))
+        scored, employed = scored.join(peers, "job_family", "left"), F.try_divide(employed, F.nullif(F.col("__peers"), F.lit(0)))
+    weight = F.coalesce(employed, numeric.to_number(F.col("job_forecast")), F.lit(1.0))
+    return scored.withColumn("__w", F.greatest(weight, F.lit(1.0))).drop("__peers")
 
 
 def domain_pressure(scored: DataFrame) -> DataFrame:
@@ -145,18 +150,19 @@ def domain_pressure(scored: DataFrame) -> DataFrame:
     empty = domains.join(rows.select("business_domain").distinct(), "business_domain", "left_anti")
     every = rows.unionByName(empty.crossJoin(F.broadcast(top.drop("business_domain"))))
     mean = lambda m: F.round(agg.weighted_mean(F.col(m), F.col("__w")), 2)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(-F.col("near_term_disruption_index"), "occ_code", "title"))), lambda x: x["title"])
     out = every.groupBy("business_domain").agg(
         F.count(F.lit(1)).alias("occupation_count"), F.round(F.sum("__w"), 2).alias("labor_weight_sum"), mean("near_term_disruption_index").alias("disruption_index"),
         mean("augmentation_index").alias("augmentation_index"), mean("full_job_automation_feasibility_index").alias("replacement_feasibility_index"),
         mean("human_bottleneck_index").alias("human_bottleneck_index"), agg.mode(F.col("dominant_outcome")).alias("dominant_outcome"),
-        text.sentence_join(listed, 4).alias("example_occupations"),
     )
+    first = agg.first_n(every, ["business_domain"], 4, [F.desc("near_term_disruption_index"), F.asc("occ_code"), F.asc("title")], "title")
+    named = first.select("business_domain", text.sentence_join(F.col("title"), 4).alias("example_occupations"))
+    out = out.join(named, "business_domain", "left")
     return out.withColumn("pressure_label", numeric.cut(F.col("disruption_index"), *PRESSURES, parity=True))
 
 
 def market_summary(scored: DataFrame) -> DataFrame:
-    """Weighted means over three groupings, in one pass."""
+    """Means over three groupings in one pass, weighted with employment allocated to the occupations of a family."""
     mean = lambda m: F.round(agg.weighted_mean(F.col(m), F.col("__w")), 2)
     measures = ("near_term_disruption_index", "augmentation_index", "full_job_automation_feasibility_index", "human_bottleneck_index")
-    return agg.grouping_sets(_weighted(scored), ["job_family", "dominant_outcome", "risk_label"], [F.count(F.lit(1)).alias("occupation_count"), F.round(F.sum("__w"), 2).alias("labor_weight_sum"), *(mean(m).alias(m) for m in measures)])
+    return agg.grouping_sets(_weighted(scored, allocated=True), ["job_family", "dominant_outcome", "risk_label"], [F.count(F.lit(1)).alias("occupation_count"), F.round(F.sum("__w"), 2).alias("labor_weight_sum"), *(mean(m).alias(m) for m in measures)])

@@ -75,10 +75,23 @@ def test_catalogue_audit_and_coverage(spark, catalogue):
     assert len(catalogue.columns) == 22 and len(families.pricing(catalogue).columns) == 13
     short = families.key_models(catalogue, {"gpt-5.5": "https://release"}).collect()
     assert [(r.openrouter_id, r.source_url, r.secondary_source_url) for r in short] == [("openai/gpt-5.5", "https://release", "https://openai/gpt-5.5")]
-    covered = {r.model_family: r for r in families.family_coverage(catalogue, audit).collect()}
-    assert covered["GPT"].price_coverage == 1.0 and 0 <= covered["GPT"].coverage_score <= 100
-    cadence = families.release_cadence(catalogue, catalogue, "model_family", "2026-05-15").collect()
-    assert {r.model_family for r in cadence} == {"GPT", "Claude"}
+    scored = spark.createDataFrame([("GPT", 4, 2), ("Grok", 0, 0)], "model_family string, lmarena_models long, api_model_count long")
+    covered = {r.model_family: r for r in families.family_coverage(scored, catalogue, audit).collect()}
+    assert set(covered) == {"GPT", "Grok"} and covered["GPT"].price_coverage == 1.0 and covered["GPT"].vendor == "OpenAI"
+    assert (covered["GPT"].direct_benchmark_match_count, covered["GPT"].family_proxy_benchmark_count, covered["GPT"].source_gap_count) == (2, 4, 0)
+    assert covered["GPT"].coverage_score == pytest.approx((4 + 2 / 3 + 0.8) / 6 * 100, abs=0.006)
+    assert (covered["Grok"].coverage_score, covered["Grok"].source_gap_count) == (0.0, 6)
+    # the first name with a claim, not the best score; within a family the best score
+    twins = spark.createDataFrame([("s", n, n, "GPT", x, x, "m", "c", "u") for n, x in (("GPT 5.5", 1.0), ("gpt-5.5", 9.0))] + [("s", "claude-x", "claude-x", "Claude", 3.0, 3.0, "m", "c", "u"), ("s", "claude-a", "claude-a", "Claude", 2.0, 2.0, "m", "c", "u")],
+        "benchmark_source string, name string, model_id string, family string, sort_score double, benchmark_score double, benchmark_metric string, benchmark_category string, source_url string")
+    took = {r.openrouter_id: (r.benchmark_model_name, r.match_confidence) for r in families.match_audit(catalogue, twins).collect()}
+    assert took["openai/gpt-5.5"] == ("GPT 5.5", "normalized_exact") and took["anthropic/claude-sonnet-4.5"] == ("claude-x", "family_only")
+    undated = catalogue.unionByName(catalogue.withColumn("release_date", F.lit(None).cast("date"))).unionByName(catalogue)
+    research = catalogue.withColumn("access_class", F.lit("likely_open_weight"))
+    cadence = {r.model_family: r for r in families.release_cadence(research, undated, "model_family", "2026-05-15").collect()}
+    assert set(cadence) == {"GPT", "Claude"} and cadence["GPT"].total == 2 and cadence["GPT"].source_mix == "api_catalog:1,open_weight:1" and cadence["GPT"].vendor == "OpenAI"
+    vendors = {r.vendor: r for r in families.release_cadence(research, undated, "vendor", "2026-05-15").collect()}
+    assert vendors["Anthropic"].portfolio_families == "Claude"
     priced = families.price_performance(catalogue.withColumn("rating", F.col("context_window")), direct=True)
     assert priced.where("on_frontier").count() >= 1
 
