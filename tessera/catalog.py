@@ -18,7 +18,7 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
 
 
 def _load() -> None:
-    from tessera.plans import aggregates, exposure, ingest, joins, scalars, statistics  # noqa: F401
+    from tessera.plans import aggregates, exposure, ingest, joins, profiles, scalars, statistics  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

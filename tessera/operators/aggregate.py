@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +78,24 @@ def latest_date(df: DataFrame, *columns: str) -> DataFrame:
     return df.agg(F.greatest(*(F.max(F.col(c).try_cast("date")) for c in columns), *([F.lit(None).cast("date")] if len(columns) < 2 else [])).alias("latest_date"))
 
 
+def table_profile(df: DataFrame, name: str, fields: Mapping[str, tuple[Sequence[str], bool]], listed: int = 40) -> DataFrame:
+    """One row about any table, from its schema and one scan.
+
+    Rows, columns, the latest of all columns whose name holds "date" or ends in "_at" (empty text without), the share of
+    rows where any of the aliases of a field is known (aliases in any case; the flag: above 0), and the first columns' names.
+    """
+    have = {c.lower(): c for c in df.columns}
+    days = [c for k, c in have.items() if "date" in k or k.endswith("_at")]
+    latest = [F.max(F.col(f"`{c}`").try_cast("date")) for c in days] + [F.lit(None).cast("date")] * 2
+    covered = []
+    for field, (aliases, positive) in fields.items():
+        found = [F.col(f"`{have[a.lower()]}`") for a in aliases if a.lower() in have]
+        share = field_coverage(*found, positive=positive) if found else F.lit(0.0)
+        covered.append(F.round(F.coalesce(share, F.lit(0.0)), 4).alias(field))
+    counts = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.greatest(*latest).cast("string"), F.lit("")).alias("latest_source_date"), *covered]
+    return df.agg(*counts).select(F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"), "latest_source_date", *fields, F.lit(",".join(df.columns[:listed])).alias("columns_present"))
+
+
 def most_frequent(df: DataFrame, key: str) -> DataFrame:
     """Value, count and share of the most frequent value; the smallest among equals."""
     counts = df.groupBy(F.col(key).alias("value")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import placing, quantile
+from tessera.operators import aggregate, placing, quantile
 
 
 def values(seed, n):
@@ -63,3 +63,18 @@ def test_no_window_over_the_table(spark):
 def test_sorted_labels(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,), ("",)], "label string")
     assert sorted(tuple(r) for r in placing.sorted_counts(df, "label").collect()) == [("", 1, 1), ("a", 1, 2), ("b", 2, 3)]
+
+
+def test_profiles_of_odd_tables(spark):
+    fields = {"price": (["price", "cost"], True), "name": (["NAME"], False), "none": (["absent"], False)}
+    df = spark.createDataFrame([("a", None, 0.0, "2020-01-05", None), (" ", 2.0, None, "no date", "2021-03-01"), (None, None, None, None, None)], "name string, price double, cost double, some_date string, made_at string")
+    r = aggregate.table_profile(df, "t", fields).first()
+    assert (r["table"], r.rows, r.columns, r.latest_source_date, r.price, r.name, r.none) == ("t", 3, 5, "2021-03-01", 0.3333, 0.3333, 0.0)
+    e = aggregate.table_profile(df.limit(0).select("name"), "e", fields).first()
+    assert (e.rows, e.latest_source_date, e.price, e.columns_present) == (0, "", 0.0, "name")
+
+
+def test_first_n(spark):
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", 2, "z"), ("b", 1, None), (None, 5, "n")], "g string, k int, v string")
+    got = {r.g: r.v for r in aggregate.first_n(df, ["g"], 2, [F.desc("k")], "v").collect()}
+    assert got == {"a": ["x", "z"], "b": [None], None: ["n"]}
