@@ -52,7 +52,7 @@ _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def save(df: DataFrame, name: str, tidy: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends at files all executors see.
 
-    ``tidy``: what was shuffled for it is deleted at once.
+    ``tidy``: what was shuffled for it is deleted at once, and the files are packed tighter.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -60,7 +60,7 @@ def save(df: DataFrame, name: str, tidy: bool = False) -> tuple[DataFrame, str]:
     if tidy:
         spark.conf.set(_TIDY, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd" if tidy else None)
     finally:
         if tidy:
             spark.conf.set(_TIDY, before)

@@ -38,7 +38,7 @@ from tessera.llm.common import MAX_ROWS_PER_SLICE, drop, frugal, save, table
 
 MIN_COUNT, LONGEST, SUBSUMED, SCALE, TOP = 30, 4, 80, 2_000_000, 2000
 #: Words of a block: a block's arrays are all that a task holds.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Parts in which a lang's best are found before they meet.
 PARTS = 64
 #: Letters become lower case, the marks between pieces a comma, tabs a space; every other byte stays.
