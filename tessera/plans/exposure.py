@@ -166,6 +166,14 @@ def q_domain_pressure(spark, d):
 register("q_domain_pressure", q_domain_pressure)  # held to tests
 
 
+def q_labor_clusters(spark, d):
+    """Seven clusters of all occupations with their labels."""
+    return labor.cluster_profiles(settled(scored_jobs(spark, d), "scored-jobs"), families.cluster_label)
+
+
+register("q_labor_clusters", q_labor_clusters)  # starts are hashes; held to tests
+
+
 # --- forecasts (Z10) over the driver's tables
 
 FORECAST_FACTS = "compute_slope, context_slope, price_slope, gap, top_score, exposure, pressure"

@@ -7,11 +7,14 @@ tasks (soc, task); penetration (task, penetration); shares (task_name, pct); mod
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric, text
 from tessera.operators import aggregate as agg
+from tessera.operators import cluster
 
 # Words whose substrings mark tasks, brakes and business domains.
 TASK_WORDS = {
@@ -161,6 +164,22 @@ def domain_pressure(scored: DataFrame) -> DataFrame:
     return out.withColumn("pressure_label", numeric.cut(F.col("disruption_index"), *PRESSURES, parity=True))
 
 
+CLUSTER_FEATURES = [
+    "observed_exposure", "capability_exposure_index", "substitution_pressure_index", "augmentation_index", "human_bottleneck_index", "full_job_automation_feasibility_index",
+    *(f"{k}_task_share" for k in TASK_WORDS), *(f"{k}_bottleneck" for k in BRAKE_WORDS),
+]
+
+
+def cluster_profiles(scored: DataFrame, label: Callable[[], Column], k: int = 7) -> DataFrame:
+    """K-means over standardised indexes, shares and brakes; per cluster its means, label, first five occupations by
+    code, median salary and sum of forecasts. ``label`` names a cluster by its means."""
+    rows = scored.withColumns({f: F.coalesce(numeric.to_number(F.col(f)), F.lit(0.0)) for f in CLUSTER_FEATURES}).withColumn("__row", F.concat_ws(":", "occ_code", "title"))
+    scaled = numeric.zscore(rows, CLUSTER_FEATURES)
+    clustered = cluster.kmeans(scaled, "__row", [f"{f}_z" for f in CLUSTER_FEATURES], k)
+    order = [F.asc("occ_code"), F.asc("title")]
+    return cluster.profile(clustered, CLUSTER_FEATURES, "title", order, "median_salary", "job_forecast").withColumn("cluster_label", label())
+
+
 def market_summary(scored: DataFrame) -> DataFrame:
     """Means over three groupings in one pass, weighted with employment allocated to the occupations of a family."""
     mean = lambda m: F.round(agg.weighted_mean(F.col(m), F.col("__w")), 2)

@@ -178,7 +178,8 @@ def q_kmeans_profile(spark, d):
     rolled = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).cast("double").alias("orders"), F.sum("o_totalprice").alias("spent"))
     rows = joins.left_fill(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("balance")), rolled, ["c_custkey"], ["orders", "spent"])
     z = numeric.zscore(rows, CUSTOMER_FEATURES)
-    return cluster.profile(cluster.kmeans(z, "c_custkey", [f"{c}_z" for c in CUSTOMER_FEATURES]), CUSTOMER_FEATURES)
+    clustered = cluster.kmeans(z, "c_custkey", [f"{c}_z" for c in CUSTOMER_FEATURES])
+    return cluster.profile(clustered, CUSTOMER_FEATURES, "c_custkey", [F.asc("c_custkey")], "balance", "spent")
 
 
 register("q_kmeans_profile", q_kmeans_profile)

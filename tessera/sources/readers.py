@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from tessera.sources.scratch import settled
+
 BAD = "_corrupt"
 
 
@@ -126,8 +128,8 @@ def read_yaml(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 
 
 def dead_letters(df: DataFrame, path: str, bad: str = BAD) -> DataFrame:
-    """Good rows without the mark; bad ones are appended as JSON under ``path``, with the time."""
-    kept = df.persist()
+    """Good rows without the mark; bad ones are appended as JSON under ``path``, with the time. ``df`` is read once."""
+    kept = settled(df, "dead-letters")
     kept.where(F.col(bad).isNotNull()).select(F.col(bad).alias("error"), F.current_timestamp().alias("failed_at")).write.mode("append").json(path)
     return kept.where(F.col(bad).isNull()).drop(bad)
 

@@ -138,6 +138,12 @@ def test_labor(spark):
     empty = [d for d in domains.values() if d.example_occupations == worst.title and d.occupation_count == 1]
     assert empty and all(d.disruption_index == pytest.approx(worst.near_term_disruption_index) for d in empty)
     assert {r["grouping"] for r in labor.market_summary(scored).collect()} == {"job_family", "dominant_outcome", "risk_label"}
+    groups = labor.cluster_profiles(scored, families.cluster_label, k=3).collect()
+    assert sum(g.n for g in groups) == len(rows) and all(g.cluster_label for g in groups)
+    members = sorted(t for g in groups for t in g.examples.split("; "))
+    assert members == sorted(rows) and sum(g.job_forecast_sum or 0 for g in groups) == sum(r.job_forecast or 0 for r in rows.values())
+    alone = [g for g in groups if g.n == 1]
+    assert all(g.median_salary_median == rows[g.examples].median_salary for g in alone)
     assert scored.select(families.cluster_label(lambda k: F.col(k)).alias("l")).count() == len(rows)
 
 
