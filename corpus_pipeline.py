@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and reads it again as the
 next stage's docs. All stages but the last return the columns of documents.
+
+A null or empty text fails the quality rules and goes. Repeated rows are copies, of which one stays; null ids are ids like
+any other, and rows with one id are judged by their texts. Very long texts are read whole in every stage. Further columns,
+whatever their names, stay as they are up to the last stage, which drops them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
