@@ -274,6 +274,25 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    rng = random.Random(4)
+    stop = "the of and to in a is that for".split()
+    clean = lambda n=90: " ".join(rng.choice(stop) if rng.random() < 0.4 else "w" + str(rng.randrange(5000)) for _ in range(n))
+    one, two, three, long = clean(), clean(), clean(), clean(30_000)
+    rows = [(1, one, 1, "k"), (1, one, 1, "k"), (1, two, 2, None), (None, three, 3, "s"), (None, three, 3, "s"), (None, None, 4, None), (5, "", 5, None), (6, long, 6, ""), (7, one, 7, "other")]
+    schema = "doc_id long, text string, n long, key string"
+    write = lambda data, name: spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    for name, data in (("odd", rows), ("none", [])):
+        write(data, name)
+        spark.createDataFrame([(1, "q r s"), (2, None), (3, "")] if data else [], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (None, three), (6, long)], key=str)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, f"{tmp_path}/odd").columns == docs.columns
+
+
 def test_pipeline_drops_near_copies(spark, tmp_path):
     def copies(k):
         """A text of 200 words and its copy with one changed run of 12, 14 or 16 words: 0.80 to 0.85 of 5 words, below 0.9 of 3."""
