@@ -7,9 +7,11 @@ WORDS words, or as many as the caller says (the whole sequence for texts of fewe
 1. Frequencies: shingles are counted in BUCKETS hash buckets over all documents; the counts (a fixed size) go to all tasks.
 2. Classes: documents with equal sets are one class from here on, so copies cost one row each and are never paired.
 3. Prefix join: of each class the n - ceil(0.9 n) + 1 rarest shingles are its prefix; linked sets share one of those.
-   Classes that share a prefix shingle, in a chain of lengths each at least 0.9 of the next, are one *family*;
-   they are tied to the first of the chain, so a shingle of k classes makes k rows, not k * k pairs. Chains of common
-   shingles (whose counter is full) are built in SALTS parts, and the parts' ranges of lengths are tied afterwards.
+   A pair that shares one is a candidate unless its lengths, its sketches (parities of SKETCH_BITS cells of shingles: sets
+   differ in as many shingles at least as their sketches in bits) or the number of prefix shingles shared rule a link out.
+   Classes joined by candidates are one *family*: it grows with the copies of a text, not with what texts have in common.
+   A shingle whose counter isn't full has fewer than FULL classes, whose pairs are compared by a join. Classes of the others
+   are dealt into parts; a task compares two parts and hands on a spanning forest of their candidates, not the pairs.
 4. Verification: sets meet by family, in blocks of about BLOCK_SHINGLES shingles (block pairs whose lengths can't link
    don't meet), so a task holds two blocks, or two sets that are longer. Blocks are ranges of lengths, dealt from counts
    by length and, among equal lengths, by hash: no task sorts a family. Within a block pair, the prefix index with length, positional and
@@ -42,9 +44,12 @@ WORDS, PERCENT = 3, 90
 BUCKETS, CHUNK, MERGE = 1 << 24, 1 << 16, 512
 #: Shingles of a block of sets, 8 bytes each; a set counts as LEAST_WEIGHT at least, so a block has 128 sets at most or so.
 BLOCK_SHINGLES, LEAST_WEIGHT = 1 << 17, 1 << 10
-#: Parts in which the chains of a common shingle are built.
-SALTS = 64
+#: Classes of a part of a common shingle, about, and the most parts into which those are dealt.
+PART_CLASSES, SALTS = 1 << 11, 64
 FULL = 255
+#: Cells of a sketch, and the columns of 64 that hold them.
+SKETCH_BITS = 256
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 #: Bits of the filter that picks the texts of classes with a family; a fixed 4 MB.
 FILTER_BITS = 1 << 25
 CACHE_WORDS = 60_000
@@ -144,8 +149,13 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(data, 1) - 2**63, xxhash.xxh64_intdigest(data, 2) - 2**63
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls into each of SKETCH_BITS cells, as 64-bit numbers."""
+    return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.uint8), minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def signatures(rows: DataFrame, counts: object, percent: int, words: int = WORDS) -> DataFrame:
-    """(id, d1, d2, n, prefix, common): digests and size of each row's set, and its rarest shingles.
+    """(id, d1, d2, n, sketch, prefix, common): digests, size and sketch of each row's set, and its rarest shingles.
 
     Those whose counter is full are in ``common``. Columns of ``rows`` beyond id and text come first.
     """
@@ -156,11 +166,12 @@ def signatures(rows: DataFrame, counts: object, percent: int, words: int = WORDS
         for batch in batches:
             for lo in range(0, batch.num_rows, MAX_ROWS_PER_SLICE):
                 part = batch.slice(lo, MAX_ROWS_PER_SLICE)
-                digests, sizes, prefixes, commons = [], [], [], []
+                digests, sizes, sketches, prefixes, commons = [], [], [], [], []
                 for t in part.column(1).to_pylist():
                     s = sets(t)
                     sizes.append(len(s))
                     digests.append(_digests(s))
+                    sketches.append(sketch(s))
                     rare = rarity[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
                     if len(s):
                         p = prefix_size(len(s), percent)
@@ -172,36 +183,73 @@ def signatures(rows: DataFrame, counts: object, percent: int, words: int = WORDS
                 d1, d2 = zip(*digests)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[2:], part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, longs), pa.array(commons, longs)],
-                    [*extra, "id", "d1", "d2", "n", "prefix", "common"],
+                    [*part.columns[2:], part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(c) for c in np.stack(sketches).T), pa.array(prefixes, longs), pa.array(commons, longs)],
+                    [*extra, "id", "d1", "d2", "n", *SKETCH, "prefix", "common"],
                 )
 
     more = "".join(f"{c} long, " for c in extra)
-    return rows.mapInArrow(frugal(run), more + "id long, d1 long, d2 long, n long, prefix array<long>, common array<long>")
-
-
-def _chained(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """``rows`` (keys, cid, low, high) with ``lead``: the first of the chain of overlapping or near ranges of lengths."""
-    order = Window.partitionBy(*keys).orderBy("low", "cid")
-    before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    first = before.isNull() | (100 * before < percent * F.col("low"))
-    marked = rows.withColumn("first", F.when(first, F.col("cid")))
-    return marked.withColumn("lead", F.last("first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("first")
+    parities = "".join(f"{c} long, " for c in SKETCH)
+    return rows.mapInArrow(frugal(run), f"{more}id long, d1 long, d2 long, n long, {parities}prefix array<long>, common array<long>")
+
+
+def candidate_forest(cids: np.ndarray, n: np.ndarray, sketches: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs of a left and a right member (one may be both) whose lengths and sketches allow a link."""
+    order = np.lexsort((cids, n))
+    cids, n, sketches, left, right = (x[order] for x in (cids, n, sketches, left, right))
+    label, found = np.arange(len(n)), []
+    first = np.searchsorted(n, required(n, percent))
+    for x in range(1, len(n)):
+        lo = int(first[x])
+        at = lo + np.flatnonzero((label[lo:x] != label[x]) & (left[x] & right[lo:x] | right[x] & left[lo:x]))
+        if not len(at):
+            continue
+        apart = np.bitwise_count((sketches[at] ^ sketches[x]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        both = n[at] + n[x]
+        at = at[apart <= both - 2 * -(-percent * both // (100 + percent))]
+        labels, one = np.unique(label[at], return_index=True)
+        found += [(int(cids[x]), int(cids[y])) for y in at[one].tolist()]
+        label[np.isin(label, labels)] = label[x]
+    return found
+
+
+def _rare_edges(classes: DataFrame, percent: int) -> DataFrame:
+    """(cid, lead): candidates with a prefix shingle in common that fewer than FULL classes have.
+
+    If a pair shares c prefix shingles, the rest of the one whose prefix ends first, at most ceil(percent * n / 100) - 1, is all
+    that it can share besides.
+    """
+    rows = classes.select("cid", F.explode("prefix").alias("h")).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    facts = classes.select("cid", "n", F.size("common").alias("q"), *SKETCH)
+    met = rows.where("k > 1").select("h", "cid").join(facts, "cid")
+    a, b = (met.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "q", *SKETCH))) for side in "ab")
+    need = f"(({percent} * (n_a + n_b) + {99 + percent}) DIV {100 + percent})"
+    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in SKETCH)
+    near = F.expr(f"(n_a < n_b OR n_a = n_b AND cid_a < cid_b) AND 100 * n_a >= {percent} * n_b AND {apart} <= n_a + n_b - 2 * {need}")
+    shared = a.join(b, "h").where(near).groupBy("cid_a", "cid_b", "n_a", "n_b", "q_a", "q_b").agg(F.count(F.lit(1)).alias("c"))
+    enough = F.expr(f"c + least(q_a, q_b) + ({percent} * n_b + 99) DIV 100 - 1 >= {need}")
+    return shared.where(enough).select(F.col("cid_b").alias("cid"), F.col("cid_a").alias("lead"))
+
+
+def _common_edges(classes: DataFrame, percent: int) -> DataFrame:
+    """(cid, lead): a spanning forest, by pair of parts, of the candidates with a common prefix shingle."""
+    rows = classes.select("cid", "n", *SKETCH, F.explode("common").alias("h"))
+    parts = rows.groupBy("h").agg(F.least(F.lit(SALTS), F.ceil(F.count(F.lit(1)) / PART_CLASSES)).cast("int").alias("parts"), F.count(F.lit(1)).alias("k"))
+    dealt = rows.join(parts.where("k > 1").drop("k"), "h").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = other.select("cid", "n", *SKETCH, "h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
+
+    def compare(group: pa.Table) -> pa.Table:
+        part, i, j = (group[c].to_numpy() for c in ("part", "i", "j"))
+        found = candidate_forest(group["cid"].to_numpy(), group["n"].to_numpy(), np.stack([group[c].to_numpy() for c in SKETCH], axis=1), part == i, part == j, percent)
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"cid": pa.array(a, pa.int64()), "lead": pa.array(b, pa.int64())})
+
+    return pairs.groupBy("h", "i", "j").applyInArrow(compare, "cid long, lead long")
 
 
 def family_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """(cid, lead): classes with a prefix shingle in common, each tied to the first of its chain of lengths.
-
-    Chains of a common shingle come from SALTS parts, whose pieces (first class and range of lengths) are chained again.
-    """
-    sized = lambda h: classes.select("cid", F.col("n").alias("low"), F.col("n").alias("high"), F.explode(h).alias("h"))
-    rare = _chained(sized("prefix"), ["h"], percent)
-    salted = sized("common").withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
-    common = _chained(salted, ["h", "salt"], percent)
-    pieces = common.groupBy("h", "salt", F.col("lead").alias("cid")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    found = [rare, common, _chained(pieces, ["h"], percent)]
-    edges = [x.where(F.col("lead") != F.col("cid")).select("cid", "lead") for x in found]
-    return edges[0].unionByName(edges[1]).unionByName(edges[2]).distinct()
+    """(cid, lead): candidates for a link, enough to join into a family what may be linked."""
+    return _rare_edges(classes, percent).unionByName(_common_edges(classes, percent)).distinct()
 
 
 def member_filter(members: DataFrame) -> np.ndarray:
@@ -356,18 +404,18 @@ def _linked(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataF
     counts = spark.sparkContext.broadcast(shingle_counts(rows, words))
     full, full_path = save(signatures(rows, counts, percent, words), "jaccard-signatures")
     counts.destroy()
-    each, _ = save(full.drop("prefix", "common"), "jaccard-documents")
+    each, _ = save(full.drop(*SKETCH, "prefix", "common"), "jaccard-documents")
     classes = (
         full.where("n > 0")
         .groupBy("d1", "d2", "n")
-        .agg(F.min("id").alias("id"), F.any_value("prefix").alias("prefix"), F.any_value("common").alias("common"))
+        .agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in [*SKETCH, "prefix", "common"]))
         .withColumn("cid", F.monotonically_increasing_id())
     )
     with_prefix, prefix_path = save(classes, "jaccard-prefixes")
     del full, classes
     drop(spark, full_path)
     families = components(family_edges(with_prefix, percent), "cid", "lead")
-    classes, _ = save(with_prefix.drop("prefix", "common"), "jaccard-classes")
+    classes, _ = save(with_prefix.drop(*SKETCH, "prefix", "common"), "jaccard-classes")
     drop(spark, prefix_path)  # its rows are edges now
     members = classes.join(
         families.select(F.col("node").alias("cid"), F.col("root").alias("family")), "cid"

@@ -109,6 +109,41 @@ def test_jaccard(spark, monkeypatch, buckets):
     assert jaccard.near_duplicates(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_families_hold_candidates_only(spark, monkeypatch):
+    """Texts that share a line, but too little for a link, were one family, whose sets met in all pairs of blocks."""
+    rng = random.Random(8)
+    line = " ".join(f"line{k}" for k in range(9))
+    texts = [line + " " + " ".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(60)]
+    near = [t.rsplit(" ", 1)[0] + f" end{k}" for k, t in enumerate(texts[:20])]
+    df = spark.createDataFrame(list(enumerate(texts + near)), "id long, text string")
+    for full, part in ((255, 2048), (2, 7)):  # all rare; most common, dealt into parts
+        monkeypatch.setattr(jaccard, "FULL", full)
+        monkeypatch.setattr(jaccard, "PART_CLASSES", part)
+        counts = spark.sparkContext.broadcast(jaccard.shingle_counts(df))
+        classes = jaccard.signatures(df, counts, 90).withColumn("cid", F.col("id")).cache()
+        assert classes.agg(F.max(F.size("common"))).first()[0] > 0 or full == 255
+        edges = {(min(r), max(r)) for r in jaccard.family_edges(classes, 90).collect()}
+        assert edges == {(k, 60 + k) for k in range(20)}
+
+
+def test_candidate_forest_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (9, 30, 80, 300)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > drop], rng.integers(0, 2**63, 2).astype(np.uint64)])) for b in base for drop in (0, 0.01, 0.05, 0.3) for _ in range(6)]
+    n, sketches = np.array([len(s) for s in sets]), np.stack([jaccard.sketch(s) for s in sets])
+    for percent in (80, 90):
+        left = rng.random(len(sets)) < 0.5
+        edges = jaccard.candidate_forest(np.arange(len(sets)), n, sketches, left, ~left, percent)
+        root = list(range(len(sets)))
+        for a, b in edges:
+            root = [root[a] if r == root[b] else r for r in root]
+        linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+        assert len(linked) > 20 and all(root[a] == root[b] for a, b in linked if left[a] != left[b])
+        assert len(edges) < len(sets) and len(set(root)) >= 4
+
+
 def test_keep_one_decides_by_row(spark):
     a, b, c = ("one two three four five six", "completely other words here now", "nothing like the rest of them")
     rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (2, a, "y"), (None, a, "x"), (None, c, "x"), (None, c, "x"), (3, None, "x"), (3, " ", "x"), (None, None, "x"), (4, b, "z")]
