@@ -45,6 +45,11 @@ def rounded(c: Column, digits: int, parity: bool = False) -> Column:
     return F.bround(c, digits) if parity else F.round(c, digits)
 
 
+def round_even(c: Column, digits: int) -> Column:
+    """Half to even as the SQL's round_even: what is a tie is decided on the scaled double, not on its decimal text."""
+    return F.rint(c.cast("double") * float(10**digits)) / float(10**digits)
+
+
 def capped_growth(raw: Column, cap: float | Column) -> tuple[Column, Column]:
     """M5: (value, whether the cap was hit); not finite counts as hit."""
     known, most = finite(raw), cap if isinstance(cap, Column) else F.lit(float(cap))

@@ -50,11 +50,11 @@ SHARES = {2: (0.16, 0.22), 5: (0.34, 0.39), 10: (0.56, 0.58)}
 
 
 def wage_rollup(wages: DataFrame) -> DataFrame:
-    """One row per base code: best measures, the first family, the first two names by code."""
+    """One row per base code: best measures, the first family (by name among equal codes), the first two names by code."""
     names = F.transform(F.array_sort(F.collect_list(F.struct("SOCcode", "JobName"))), lambda x: x["JobName"])
     return wages.groupBy(text.code_prefix(F.col("SOCcode")).alias("soc_base")).agg(
         F.max("MedianSalary").alias("median_salary"), F.max("JobForecast").alias("job_forecast"), F.max("ChanceAuto").alias("chance_auto"),
-        F.max("JobZone").alias("job_zone"), text.sentence_join(names, 2).alias("wage_job_name"), agg.first_by(F.col("JobFamily"), F.col("SOCcode")).alias("job_family"),
+        F.max("JobZone").alias("job_zone"), text.sentence_join(names, 2).alias("wage_job_name"), agg.first_by(F.col("JobFamily"), F.struct("SOCcode", "JobFamily")).alias("job_family"),
         F.max("isBright").alias("bright_outlook"), F.max("isGreen").alias("green_job"),
     )
 
@@ -70,27 +70,38 @@ def with_employment(jobs: DataFrame, employment: DataFrame) -> DataFrame:
     return out.withColumn("bls_employment", F.coalesce("__own", "bls_major_group_employment")).drop("__own")
 
 
-def task_features(tasks: DataFrame, penetration: DataFrame, shares: DataFrame, modes: DataFrame) -> DataFrame:
-    """Per base code, means over its tasks of penetration, share, modes and keyword scores, and example tasks.
+def text_features(texts: DataFrame, penetration: DataFrame, shares: DataFrame, modes: DataFrame) -> DataFrame:
+    """``texts`` with what is known of each ``task``: penetration, share, modes and keyword scores.
 
     The three lookups are by lower-case text of the task; each is reduced to one row per text before the join.
     """
     key = lambda c: F.lower(F.trim(c))
-    one = lambda df, c, *values: df.groupBy(key(c).alias("k")).agg(*(F.avg(v).alias(v) for v in values))
-    rows = tasks.where("soc IS NOT NULL AND task IS NOT NULL").withColumn("k", key("task"))
-    rows = rows.join(one(penetration, "task", "penetration"), "k", "left").join(one(shares, "task_name", "pct"), "k", "left").join(one(modes, "task_name", *MODES), "k", "left")
+    one = lambda df, c, *values: df.groupBy(key(c).alias("__key")).agg(*(F.avg(v).alias(v) for v in values))
+    rows = texts.where("task IS NOT NULL").withColumn("__key", key("task"))
+    rows = rows.join(one(penetration, "task", "penetration"), "__key", "left").join(one(shares, "task_name", "pct"), "__key", "left").join(one(modes, "task_name", *MODES), "__key", "left")
     score = {f"{k}_task_share": text.keyword_score(F.col("task"), w) for k, w in TASK_WORDS.items()}
     score |= {f"{k}_bottleneck": text.keyword_score(F.col("task"), w) for k, w in BRAKE_WORDS.items()}
-    return rows.groupBy(text.code_prefix(F.col("soc")).alias("soc_base")).agg(
+    return rows.withColumns(score).drop("__key")
+
+
+def rolled_features(rows: DataFrame) -> DataFrame:
+    """Per base code of ``soc``, means over its tasks of the columns of text_features(), and example tasks."""
+    own = [f"{k}_task_share" for k in TASK_WORDS] + [f"{k}_bottleneck" for k in BRAKE_WORDS]
+    return rows.where("soc IS NOT NULL").groupBy(text.code_prefix(F.col("soc")).alias("soc_base")).agg(
         F.count("task").alias("task_count"), F.avg("penetration").alias("mean_task_penetration"), F.avg("pct").alias("mean_aei_task_pct"),
-        *(F.avg(m).alias(f"{m}_share") for m in MODES), *(F.avg(c).alias(k) for k, c in score.items()),
+        *(F.avg(m).alias(f"{m}_share") for m in MODES), *(F.avg(c).alias(c) for c in own),
         text.sentence_join(F.slice(F.array_sort(F.collect_set("task")), 1, 3), 3).alias("example_tasks"),
     )
 
 
+def task_features(tasks: DataFrame, penetration: DataFrame, shares: DataFrame, modes: DataFrame) -> DataFrame:
+    """The rolled features of tasks (soc, task)."""
+    return rolled_features(text_features(tasks, penetration, shares, modes))
+
+
 def job_scores(jobs: DataFrame, wages: DataFrame, employment: DataFrame, features: DataFrame) -> DataFrame:
     """Seven indexes, three scenario shares, outcome and risk of every job."""
-    c, r2 = F.col, lambda x: F.bround(x, 2)
+    c, r2 = F.col, lambda x: numeric.round_even(x, 2)
     rows = jobs.withColumn("soc_base", text.code_prefix(c("occ_code"))).join(wage_rollup(wages), "soc_base", "left")
     rows = with_employment(rows, employment).join(features, "soc_base", "left")
     own = {f"{k}_task_share": w for k, w in TASK_WORDS.items()} | {f"{k}_bottleneck": w for k, w in BRAKE_WORDS.items()}
@@ -117,8 +128,8 @@ def job_scores(jobs: DataFrame, wages: DataFrame, employment: DataFrame, feature
     sub, more = c("substitution_pressure_index"), c("augmentation_index")
     rows = rows.withColumns({
         "near_term_disruption_index": r2(sub * 0.48 + more * 0.30 + c("__salary") * 0.12 + c("__growth") * 0.10),
-        "full_job_automation_feasibility_index": r2(sub * gate),
-        "augmentation_dominance_ratio": F.bround(numeric.safe_divide(more, sub, 0.0), 3),
+        "full_job_automation_feasibility_index": F.bround(sub * gate, 2),
+        "augmentation_dominance_ratio": numeric.round_even(numeric.safe_divide(more, sub, 0.0), 3),
         **{f"scenario_{h}y_task_share_base": F.bround(F.least(sub / 100 * a + more / 100 * b, F.lit(0.92 if h == 10 else 1e9)), 3) for h, (a, b) in SHARES.items()},
     })
     (first, full), (second, ratio), (third, brake) = OUTCOMES

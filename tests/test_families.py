@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import numeric
 from tessera.plans import exposure, families, labor
 
 FAMILIES = ["GPT", "Claude", "Gemini", "Gemma", "Qwen"]
@@ -117,6 +118,35 @@ def test_research_files_gaps_outcomes(spark, tmp_path):
     assert families.unified_index(("a", raw.select(F.col("model").alias("name"))), ("b", hub.select(F.col("id").alias("name"), "likes"))).count() == 4
 
 
+def test_round_even_is_that_of_the_sql(spark):
+    import duckdb
+
+    values = [float(x) for k in range(0, 4000, 5) for x in (k / 1000, k / 1000 * (1 + 2**-52), -k / 1000)] + [1.015, 1.145, 8.345, 35.855, 0.0]
+    want = duckdb.sql(f"SELECT round_even(x, 2), round_even(x, 3) FROM (SELECT unnest({values}::DOUBLE[]) AS x)").fetchall()
+    got = spark.createDataFrame([(x,) for x in values], "x double").select(numeric.round_even(F.col("x"), 2), numeric.round_even(F.col("x"), 3)).collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_first_family_among_equal_codes(spark):
+    rows = [("11-0001", "n", f, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0) for f in ("SMALL", "ECONOMY", "PROMO")]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        found = labor.wage_rollup(spark.createDataFrame(order, exposure.JOBS["wages"].schema).coalesce(1)).collect()
+        assert [r.job_family for r in found] == ["ECONOMY"]
+
+
+def test_document_features_are_those_of_the_tasks(spark):
+    """Parts meet the numbers of documents; the tasks, with their texts, give the same."""
+    parts = spark.createDataFrame([(k, f"p{k}", "SMALL", k % 50, 900.0 + k) for k in [*range(40), 827_759, 827_760]] + [(None, "p", "SMALL", 1, 1.0)], "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double")
+    docs = spark.createDataFrame([(0, "Write code", 10), (1, " repair and plan ", 12), (2, "write code ", 11), (2, "Draft an email", 14), (4, None, 0), (None, "lost", 4)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
+    t = {k: spark.sql(sql, **{n: df for n, df in {"part": parts, "documents": docs, "labels": labels}.items() if "{" + n + "}" in sql}) for k, sql in exposure.INPUTS.items()}
+    lookups = (t["penetration"], t["shares"], t["modes"])
+    texts = labor.text_features(docs.select("doc_id", F.col("text").alias("task")), *lookups)
+    assert texts.count() == 5  # one row per text, not per part
+    got, want = (sorted(map(str, df.collect())) for df in (exposure.document_features(parts, docs, *lookups), labor.task_features(t["tasks"], *lookups)))
+    assert got == want and len(got) > 20
+
+
 def test_labor(spark):
     t = {k: v.frame(spark) for k, v in exposure.JOBS.items()}
     features = labor.task_features(t["tasks"], t["penetration"], t["shares"], t["modes"]).cache()
