@@ -6,12 +6,15 @@ import ctypes
 import gc
 import os
 import re
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,6 +152,29 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, 8 * n), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def pack_piece(columns: list[np.ndarray]) -> bytes:
+    """Columns of 64-bit numbers, of one length."""
+    parts = [packed(x) for x in columns]
+    return struct.pack(f"<I{len(parts)}I", len(columns[0]), *map(len, parts)) + b"".join(parts)
+
+
+def unpack_piece(data: bytes, columns: int) -> list[np.ndarray]:
+    n, *sizes = struct.unpack_from(f"<I{columns}I", data)
+    ends = np.cumsum([4 + 4 * columns, *sizes]).tolist()
+    return [unpacked(data[a:b], n) for a, b in zip(ends, ends[1:])]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row, also where a lambda inside refers to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -38,7 +38,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    now, path = save(start, "cc")
+    now, path = save(start, "cc", tidy=True)
     mark = None
     while True:
         new, new_path = save(_small_star(_large_star(now).distinct()).distinct(), "cc")

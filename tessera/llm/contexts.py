@@ -11,18 +11,16 @@ nobody. The shared folder holds the corpus once, in coded form.
 from __future__ import annotations
 
 import math
-import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, frugal, new_path, open_store, save, table
+from tessera.llm.common import drop, frugal, new_path, open_store, pack_piece, packed, save, table, unpack_piece, unpacked
 from tessera.llm.pitman_yor import FOLDS, HELD_OUT, STRENGTH, Head, count_words, discount, head_of, is_held_out, mix, pair, sample_tables, slices, tokens, train, word_hash
 
 CHUNK_TOKENS = 1 << 20
@@ -124,28 +122,6 @@ def splits_of(head: Head) -> np.ndarray:
     return -(-head.n[head.n > ROOM] // ROOM).astype(np.uint64)
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """64-bit numbers, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, 8 * n), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
-
-
-def pack_piece(columns: list[np.ndarray]) -> bytes:
-    parts = [_packed(x) for x in columns]
-    return struct.pack(f"<I{len(parts)}I", len(columns[0]), *map(len, parts)) + b"".join(parts)
-
-
-def unpack_piece(data: bytes, columns: int) -> list[np.ndarray]:
-    n, *sizes = struct.unpack_from(f"<I{columns}I", data)
-    ends = np.cumsum([4 + 4 * columns, *sizes]).tolist()
-    return [_unpacked(data[a:b], n) for a, b in zip(ends, ends[1:])]
-
-
 class Chunk:
     """Tokens of some documents, written by part."""
 
@@ -330,8 +306,8 @@ def followers(chunks: DataFrame, root: str, head: object, parts: int) -> DataFra
             ranks, k = codes[~rare].astype(np.int64), k[~rare]
             blocks = [(b, np.bincount(ranks[x] % BLOCK, k[x], BLOCK)) for b in np.unique(ranks // BLOCK).tolist() if (x := ranks // BLOCK == b).any()]
             nulls = [pa.nulls(len(blocks), t) for t in (pa.int32(), pa.int64(), pa.int64())]
-            packed = pa.array([_packed(x.astype(np.uint64)) for _, x in blocks], pa.binary())
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array([b for b, _ in blocks], pa.int32()), packed], ["part", "hash", "k", "block", "counts"])
+            counts = pa.array([packed(x.astype(np.uint64)) for _, x in blocks], pa.binary())
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array([b for b, _ in blocks], pa.int32()), counts], ["part", "hash", "k", "block", "counts"])
 
     return part_rows(chunks, parts).mapInArrow(frugal(run), "part int, hash long, k long, block int, counts binary")
 
@@ -341,7 +317,7 @@ def head_customers(found: DataFrame, head: object) -> DataFrame:
 
     def add(group: pa.Table) -> pa.Table:
         most, block = head.value, group["block"][0].as_py()
-        total = sum(_unpacked(x, BLOCK) for x in group["counts"].to_pylist()).astype(np.int64)
+        total = sum(unpacked(x, BLOCK) for x in group["counts"].to_pylist()).astype(np.int64)
         hashes = np.empty(len(most.hashes), np.uint64)
         hashes[most.rank] = most.hashes
         mine = hashes[block * BLOCK : (block + 1) * BLOCK]
@@ -371,7 +347,7 @@ def document_sums(chunks: DataFrame, root: str, head: object, p_head: object, ta
                 total = np.bincount(doc, logs[part.at[at : at + size]])
                 at += size
                 here = np.flatnonzero(total)
-                docs.append(_packed(np.diff(here, prepend=0).astype(np.uint64)))
+                docs.append(packed(np.diff(here, prepend=0).astype(np.uint64)))
                 sums.append(total[here].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in pieces], pa.int64()), pa.array(docs, pa.binary()), pa.array(sums, pa.binary())], ["row", "docs", "sums"])
 
@@ -383,7 +359,7 @@ def _summed(group: pa.Table) -> pa.Table:
     first, total = group["row"][0].as_py(), np.zeros(0)
     for docs, sums in zip(group["docs"].to_pylist(), group["sums"].to_pylist()):
         sums = np.frombuffer(sums, "<f4").astype(float)
-        at = np.cumsum(_unpacked(docs, len(sums)).astype(np.int64))
+        at = np.cumsum(unpacked(docs, len(sums)).astype(np.int64))
         if len(at) and at[-1] >= len(total):
             total = np.append(total, np.zeros(at[-1] + 1 - len(total)))
         total[at] += sums

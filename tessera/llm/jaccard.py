@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import MAX_ROWS_PER_SLICE, SPACE_CHARS, drop, fresh, frugal, row_hashes, save, table
+from tessera.llm.common import MAX_ROWS_PER_SLICE, SPACE_CHARS, drop, fresh, frugal, pack_piece, row_hashes, save, table, unpack_piece
 from tessera.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -47,6 +47,10 @@ BLOCK_SHINGLES, LEAST_WEIGHT = 1 << 17, 1 << 10
 #: Classes of a part of a common shingle, about, and the most parts into which those are dealt.
 PART_CLASSES, SALTS = 1 << 11, 64
 FULL = 255
+#: Bytes of a rare prefix shingle: the upper ones of its hash, so that a collision adds a candidate and loses none.
+SHORT = 6
+#: Prefix shingles of a range of hashes, about, and those that a task packs at a time.
+RANGE, PACK = 1 << 20, 1 << 20
 #: Cells of a sketch, and the columns of 64 that hold them.
 SKETCH_BITS = 256
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
@@ -137,10 +141,11 @@ def shingle_counts(rows: DataFrame, words: int = WORDS) -> np.ndarray:
         return pa.table({"chunk": pa.array(group["chunk"][:1].to_pylist(), pa.int32()), "counts": pa.array([packed], pa.binary())})
 
     lots = rows.select("id", "text").mapInArrow(frugal(run), "chunk int, lot int, counts binary").groupBy("chunk", "lot").applyInArrow(merge, "chunk int, counts binary")
-    lots = lots.groupBy("chunk").applyInArrow(merge, "chunk int, counts binary")
+    lots, path = save(lots.groupBy("chunk").applyInArrow(merge, "chunk int, counts binary"), "jaccard-counts", tidy=True)
     out = np.zeros(BUCKETS, np.uint8)
     for chunk, counts in lots.collect():  # one packed row per chunk, BUCKETS / CHUNK in all
         out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.minimum(_summed([counts]), FULL)
+    drop(rows.sparkSession, path)
     return out
 
 
@@ -154,10 +159,23 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.uint8), minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
 
 
+def shortened(s: np.ndarray) -> bytes:
+    """The upper SHORT bytes of each hash."""
+    return np.ascontiguousarray(s, "<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SHORT :].tobytes()
+
+
+def lengthened(data: bytes) -> np.ndarray:
+    """Numbers of SHORT bytes."""
+    out = np.zeros((len(data) // SHORT, 8), np.uint8)
+    out[:, :SHORT] = np.frombuffer(data, np.uint8).reshape(-1, SHORT)
+    return out.view("<u8").ravel()
+
+
 def signatures(rows: DataFrame, counts: object, percent: int, words: int = WORDS) -> DataFrame:
     """(id, d1, d2, n, sketch, prefix, common): digests, size and sketch of each row's set, and its rarest shingles.
 
-    Those whose counter is full are in ``common``. Columns of ``rows`` beyond id and text come first.
+    Those whose counter is full are in ``common``, the others, shortened, in ``prefix``. Columns of ``rows`` beyond id and
+    text come first.
     """
     extra = rows.columns[2:]
 
@@ -178,18 +196,63 @@ def signatures(rows: DataFrame, counts: object, percent: int, words: int = WORDS
                         if p < len(s):
                             at = np.argpartition(rare.astype(np.uint64) << np.uint64(56) | s >> np.uint64(8), p - 1)[:p]
                             s, rare = s[at], rare[at]
-                    prefixes.append(s[rare < FULL].view(np.int64))
+                    prefixes.append(shortened(s[rare < FULL]))
                     commons.append(s[rare == FULL].view(np.int64))
                 d1, d2 = zip(*digests)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[2:], part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(c) for c in np.stack(sketches).T), pa.array(prefixes, longs), pa.array(commons, longs)],
+                    [*part.columns[2:], part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(c) for c in np.stack(sketches).T), pa.array(prefixes, pa.binary()), pa.array(commons, longs)],
                     [*extra, "id", "d1", "d2", "n", *SKETCH, "prefix", "common"],
                 )
 
     more = "".join(f"{c} long, " for c in extra)
     parities = "".join(f"{c} long, " for c in SKETCH)
-    return rows.mapInArrow(frugal(run), f"{more}id long, d1 long, d2 long, n long, {parities}prefix array<long>, common array<long>")
+    return rows.mapInArrow(frugal(run), f"{more}id long, d1 long, d2 long, n long, {parities}prefix binary, common array<long>")
+
+
+def met_shingles(classes: DataFrame, percent: int) -> DataFrame:
+    """(h, cid): rare prefix shingles that two classes have at least, with those classes.
+
+    Most have one class. So that those cost little, tasks sort what they hold and send it packed, by ranges of hashes.
+    """
+    size = F.sum(F.col("n") - F.expr(f"({percent} * n + 99) DIV 100") + 1)
+    ranges = max(1, -(-(classes.agg(size).first()[0] or 0) // RANGE))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cids, prefixes, held = [], [], 0
+
+        def packs() -> pa.RecordBatch:
+            h = lengthened(b"".join(prefixes))
+            cid = np.repeat(np.array(cids, np.int64), [len(x) // SHORT for x in prefixes])
+            order = np.argsort(h)
+            h, cid = h[order], cid[order]
+            part = ((h >> np.uint64(8 * SHORT - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            blobs = [pack_piece([np.diff(h[lo:hi], prepend=np.uint64(0)), cid[lo:hi]]) for lo, hi in zip(at, [*at[1:], len(h)])]
+            return pa.RecordBatch.from_arrays([pa.array(part[at], pa.int64()), pa.array(blobs, pa.binary())], ["part", "packed"])
+
+        for batch in batches:
+            for cid, prefix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cids.append(cid)
+                prefixes.append(prefix)
+                held += len(prefix) // SHORT
+                if held >= PACK:
+                    yield packs()
+                    cids, prefixes, held = [], [], 0
+        if held:
+            yield packs()
+
+    def meet(group: pa.Table) -> pa.Table:
+        pieces = [unpack_piece(x, 2) for x in group["packed"].to_pylist()]
+        h, cid = np.concatenate([np.cumsum(x, dtype=np.uint64) for x, _ in pieces]), np.concatenate([x for _, x in pieces])
+        del pieces
+        order = np.argsort(h)
+        h, cid = h[order], cid[order]
+        same = h[1:] == h[:-1]
+        met = np.append(same, False) | np.append(False, same)
+        return pa.table({"h": pa.array(h[met].view(np.int64)), "cid": pa.array(cid[met].view(np.int64))})
+
+    return classes.select("cid", "prefix").mapInArrow(frugal(deal), "part long, packed binary").groupBy("part").applyInArrow(meet, "h long, cid long")
 
 
 def candidate_forest(cids: np.ndarray, n: np.ndarray, sketches: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -212,15 +275,14 @@ def candidate_forest(cids: np.ndarray, n: np.ndarray, sketches: np.ndarray, left
     return found
 
 
-def _rare_edges(classes: DataFrame, percent: int) -> DataFrame:
+def _rare_edges(classes: DataFrame, met: DataFrame, percent: int) -> DataFrame:
     """(cid, lead): candidates with a prefix shingle in common that fewer than FULL classes have.
 
     If a pair shares c prefix shingles, the rest of the one whose prefix ends first, at most ceil(percent * n / 100) - 1, is all
     that it can share besides.
     """
-    rows = classes.select("cid", F.explode("prefix").alias("h")).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h")))
     facts = classes.select("cid", "n", F.size("common").alias("q"), *SKETCH)
-    met = rows.where("k > 1").select("h", "cid").join(facts, "cid")
+    met = met.join(facts, "cid")
     a, b = (met.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "q", *SKETCH))) for side in "ab")
     need = f"(({percent} * (n_a + n_b) + {99 + percent}) DIV {100 + percent})"
     apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in SKETCH)
@@ -247,20 +309,25 @@ def _common_edges(classes: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("h", "i", "j").applyInArrow(compare, "cid long, lead long")
 
 
-def family_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """(cid, lead): candidates for a link, enough to join into a family what may be linked."""
-    return _rare_edges(classes, percent).unionByName(_common_edges(classes, percent)).distinct()
+def family_edges(classes: DataFrame, percent: int, met: DataFrame | None = None) -> DataFrame:
+    """(cid, lead): candidates for a link, enough to join into a family what may be linked; ``met`` is met_shingles()."""
+    met = met_shingles(classes, percent) if met is None else met
+    return _rare_edges(classes, met, percent).unionByName(_common_edges(classes, percent)).distinct()
 
 
-def member_filter(members: DataFrame) -> np.ndarray:
-    """Bits of the members' id and digest: a filter of fixed size without false negatives."""
-    at = F.col("d1").bitwiseXOR(F.col("id")).bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = (
-        members.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+def flags(hashes: DataFrame) -> DataFrame:
+    """(w, bits): one bit of FILTER_BITS for each hash (the only column), by words of 64; at most FILTER_BITS / 64 rows."""
+    at = F.col(hashes.columns[0]).bitwiseAND(F.lit(FILTER_BITS - 1))
+    return (
+        hashes.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
         .groupBy("w")
         .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-        .toArrow()
-    )  # at most FILTER_BITS / 64 rows
+    )
+
+
+def member_filter(members: DataFrame) -> np.ndarray:
+    """Bits of the members' id and digest: a filter of fixed size without false negatives."""
+    words = flags(members.select(F.col("d1").bitwiseXOR(F.col("id")).alias("h"))).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words["w"].to_numpy()] = words["bits"].to_numpy()
     return out
@@ -402,7 +469,7 @@ def _linked(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataF
     """
     spark = rows.sparkSession
     counts = spark.sparkContext.broadcast(shingle_counts(rows, words))
-    full, full_path = save(signatures(rows, counts, percent, words), "jaccard-signatures")
+    full, full_path = save(signatures(rows, counts, percent, words), "jaccard-signatures", tidy=True)
     counts.destroy()
     each, _ = save(full.drop(*SKETCH, "prefix", "common"), "jaccard-documents")
     classes = (
@@ -411,12 +478,15 @@ def _linked(rows: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataF
         .agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in [*SKETCH, "prefix", "common"]))
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    with_prefix, prefix_path = save(classes, "jaccard-prefixes")
+    with_prefix, prefix_path = save(classes, "jaccard-prefixes", tidy=True)
     del full, classes
     drop(spark, full_path)
-    families = components(family_edges(with_prefix, percent), "cid", "lead")
+    met, met_path = save(met_shingles(with_prefix, percent), "jaccard-met", tidy=True)  # few of the prefix shingles
+    facts, facts_path = save(with_prefix.drop("prefix"), "jaccard-facts", tidy=True)
     classes, _ = save(with_prefix.drop(*SKETCH, "prefix", "common"), "jaccard-classes")
-    drop(spark, prefix_path)  # its rows are edges now
+    drop(spark, prefix_path)
+    families = components(family_edges(facts, percent, met), "cid", "lead")
+    drop(spark, met_path, facts_path)  # their rows are edges now
     members = classes.join(
         families.select(F.col("node").alias("cid"), F.col("root").alias("family")), "cid"
     )
@@ -449,17 +519,29 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
 
     Rows are told apart by all their columns, so a row that repeats a key, or has none, stays if its text is no near
     copy; of rows equal in every column one stays. Rows with empty sets are linked with nothing and all stay.
+    Rows that go, or may be repeated, set a bit each; only rows that meet such a bit are shuffled with their texts.
     """
-    h1, h2 = row_hashes(docs)
+    spark, (h1, h2) = docs.sparkSession, row_hashes(docs)
     a, b = fresh(docs, "row_a"), fresh(docs, "row_b")
+    blank_text = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE_CHARS)) == ""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"), h1.alias("h1"), h2.alias("h2"))
     each, named = _linked(rows, percent, words)
     counted = each.where("n > 0").join(named.select("d1", "d2", "cid"), ["d1", "d2"]).groupBy("cid", "id", "h1", "h2").count()
+    counted, counted_path = save(counted, "jaccard-rows", tidy=True)
     first = counted.groupBy("cid").agg(F.min(F.struct("id", "h1", "h2", "count")).alias("row"))
-    marks, _ = save(first.select(F.col("row.h1").alias(a), F.col("row.h2").alias(b), F.col("row.count").alias("times")), "jaccard-kept")
-    held = lambda of: docs.join(marks.where(of).drop("times"), (h1 == F.col(a)) & (h2 == F.col(b)), "left_semi")
-    blank = docs.where(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE_CHARS)) == "")
-    return held("times = 1").unionByName(held("times > 1").dropDuplicates()).unionByName(blank)
+    kept, _ = save(first.select("cid", F.col("row.id").alias("id"), F.col("row.h1").alias("h1"), F.col("row.h2").alias("h2"), F.col("row.count").alias("times")), "jaccard-kept", tidy=True)
+    settled = kept.where("times = 1").select("cid", "id", "h1", "h2")
+    doubtful, _ = save(flags(counted.join(settled, ["cid", "id", "h1", "h2"], "left_anti").select("h1")), "jaccard-doubtful", tidy=True)
+    drop(spark, counted_path)
+    word, bits = fresh(docs, "word"), fresh(docs, "bits")
+    named_bits = F.broadcast(doubtful.select(F.col("w").alias(word), F.col("bits").alias(bits)))  # at most FILTER_BITS / 64 rows
+    at = h1.bitwiseAND(F.lit(FILTER_BITS - 1))
+    flagged = docs.where(~blank_text).join(named_bits, F.shiftright(at, 6) == F.col(word), "left")
+    hit = F.coalesce(F.getbit(F.col(bits), at.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    sure, rest = (flagged.where(of).select(*(docs[c] for c in docs.columns)) for of in (~hit, hit))
+    marks = kept.select(F.col("h1").alias(a), F.col("h2").alias(b), "times")
+    held = lambda of: rest.join(marks.where(of).drop("times"), (h1 == F.col(a)) & (h2 == F.col(b)), "left_semi")
+    return sure.unionByName(held("times = 1")).unionByName(held("times > 1").dropDuplicates()).unionByName(docs.where(blank_text))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,3 +349,44 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
     kept = corpus_pipeline.near_duplicates(spark, df.repartition(3), str(tmp_path))
     assert {r.doc_id for r in kept.collect()} == want and len(want) < len(rows)
     assert {100, 101} <= want
+
+
+def test_prefix_shingles_travel_packed(spark, monkeypatch):
+    """Every prefix shingle was a row of a shuffle, though most have one class: only packed ranges are sent now."""
+    rng = random.Random(12)
+    words = [rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(3000)]
+    texts = [" ".join(words[lo : lo + 60]) for lo in range(0, 2400, 40)] + [" "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    monkeypatch.setattr(jaccard, "RANGE", 100)
+    monkeypatch.setattr(jaccard, "PACK", 150)
+    counts = spark.sparkContext.broadcast(jaccard.shingle_counts(df, 2))
+    classes = jaccard.signatures(df, counts, 50, 2).withColumn("cid", F.col("id")).repartition(3).cache()
+    holders = collections.defaultdict(set)
+    for r in classes.collect():
+        for h in jaccard.lengthened(bytes(r.prefix)).tolist():
+            holders[h].add(r.cid)
+    met = jaccard.met_shingles(classes, 50)
+    got = collections.Counter((r.h, r.cid) for r in met.collect())
+    assert got == collections.Counter((h, c) for h, held in holders.items() if len(held) > 1 for c in held)
+    assert 0 < len(got) < sum(map(len, holders.values()))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and "hashpartitioning(h" not in plan
+    far = jaccard.met_shingles(classes.where("id < 0"), 50)
+    assert far.count() == 0
+
+
+def test_kept_texts_are_not_shuffled(spark, monkeypatch):
+    """All texts were shuffled to meet the marks of kept rows; now only rows that share a bit with one that goes."""
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 64 * 16)
+    rows = near_copies(120, 9)
+    df = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string").withColumn("word", F.lit(1)).withColumn("bits", F.lit(2))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = jaccard.keep_one(df)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        got = [r.doc_id for r in kept.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(got) == sorted({c for _, c in brute_links(rows).values()}) and kept.columns == df.columns
+    assert plan.count("LeftOuter") >= 1 and "getbit" in plan.lower()
