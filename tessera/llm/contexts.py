@@ -3,9 +3,9 @@
 Every task cuts its texts into chunks of about CHUNK_TOKENS tokens and writes each to a file of the shared folder: for
 each part the tokens (u1, u2, w, document) whose word before, u1, belongs to it. Words are coded by rank, rare ones by
 hash. A part reads its piece of each chunk, so all restaurants of u1 and of (u2, u1) are whole in one task; it seats and
-sweeps them, and hands back the sums of log probabilities per document of a chunk. A u1 of more than ROOM tokens is
-split into that many restaurants, by a hash of u2, so a frequent word fills no task. Files of failed attempts are read by
-nobody. The shared folder holds the corpus once, in coded form.
+sweeps them, and hands back the sums of log probabilities per document of a chunk. The long contexts of a u1 of more than
+ROOM tokens go to several parts, by a hash of u2, so a frequent word fills no task; they seat its one restaurant together
+(module `frequent`), with the result one task would have. Files of failed attempts are read by nobody. The shared folder holds the corpus once, in coded form.
 """
 
 from __future__ import annotations
@@ -20,30 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import frequent
 from tessera.llm.common import drop, frugal, new_path, open_store, pack_piece, packed, save, table, unpack_piece, unpacked
+from tessera.llm.frequent import BLOCK, BURN_IN, SAMPLES, SHARED, TAIL, Share, distinct, grouped
 from tessera.llm.pitman_yor import FOLDS, HELD_OUT, STRENGTH, Head, count_words, discount, head_of, is_held_out, mix, pair, sample_tables, slices, tokens, train, word_hash
 
 CHUNK_TOKENS = 1 << 20
-#: Tokens of a part, about, and of a restaurant of one word before.
+#: Tokens of a part, about, and of one word before in a part.
 PART_TOKENS, ROOM = 1 << 20, 1 << 19
 #: Parts of small corpora: this many tokens, up to SMALL_PARTS of them.
 SMALL_TOKENS, SMALL_PARTS = 1 << 17, 32
-BURN_IN, SAMPLES = 2, 3
-#: Ranks whose customers are counted in one row.
-BLOCK = 1 << 14
-#: Codes from here on are hashes of words outside the head.
-TAIL = np.uint64(1 << 63)
-
-
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct key is found, in their order, and the number of each key's."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order[new], number
 
 
 class Rooms:
@@ -108,17 +94,17 @@ class Rooms:
         return total / SAMPLES
 
 
-def room_of(u1: np.ndarray, u2: np.ndarray, splits: np.ndarray) -> np.ndarray:
-    """The restaurant of the word before; a word of more than ROOM tokens (those of the first ranks) has several."""
-    room = mix(u1)
+def place_of(u1: np.ndarray, u2: np.ndarray, splits: np.ndarray) -> np.ndarray:
+    """Where tokens after (u2, u1) go, all of a u1 to one place; a u1 of more than ROOM tokens (the first ranks) has several."""
+    place = mix(u1)
     hot = np.flatnonzero(u1 < np.uint64(len(splits)))
     if len(hot):
-        room[hot] = pair(room[hot], mix(u2[hot]) % splits[u1[hot].astype(np.int64)])
-    return room
+        place[hot] = pair(place[hot], mix(u2[hot]) % splits[u1[hot].astype(np.int64)])
+    return place
 
 
 def splits_of(head: Head) -> np.ndarray:
-    """Restaurants of the words with more than ROOM tokens, by rank: at most one word for each ROOM tokens."""
+    """Places of the words with more than ROOM tokens, by rank: at most one word for each ROOM tokens."""
     return -(-head.n[head.n > ROOM] // ROOM).astype(np.uint64)
 
 
@@ -144,7 +130,7 @@ class Chunk:
         u2[(starts + 1)[sizes > 1]] = end
         doc = np.repeat(np.arange(len(sizes)), sizes)
         trains = np.array(self.trains)[doc]
-        part = (mix(room_of(u1, u2, self.splits)) % np.uint64(self.parts)).astype(np.uint32)
+        part = (mix(place_of(u1, u2, self.splits)) % np.uint64(self.parts)).astype(np.uint32)
         order = np.argsort(part.astype(np.uint16) if self.parts <= 1 << 16 else part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
         store, root = open_store(self.root)
@@ -162,7 +148,7 @@ class Chunk:
         return name, at
 
 
-def write_chunks(rows: DataFrame, root: str, head: object, floor: float, parts: int) -> DataFrame:
+def write_chunks(rows: DataFrame, root: str, head: object, floor: float, parts: int, splits: np.ndarray) -> DataFrame:
     """Rows of three kinds, after writing the chunks of (key, text).
 
     Documents: (row, key, n_tokens, n_known and base of head words). Words outside the head: (row, hash, tf).
@@ -173,7 +159,7 @@ def write_chunks(rows: DataFrame, root: str, head: object, floor: float, parts:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = head.value
-        splits, task, seq = splits_of(most), TaskContext.get().partitionId() << 40, 0
+        task, seq = TaskContext.get().partitionId() << 40, 0
         chunk, first = Chunk(root, parts, splits), 0
         known_head, base_head = np.append(most.c > 0, False), np.append(np.log10(most.c + 1.0) - floor, 0.0)  # rank -1 is outside
 
@@ -220,9 +206,9 @@ def write_chunks(rows: DataFrame, root: str, head: object, floor: float, parts:
 
 
 class Part:
-    """The tokens of one part: distinct (room, u2, w) with training counts, and where each token is."""
+    """The tokens of one part: distinct (u1, u2, w) with training counts, and where each token is."""
 
-    def __init__(self, root: str, splits: np.ndarray, pieces: list[tuple[str, int, int, int]]):
+    def __init__(self, root: str, pieces: list[tuple[str, int, int, int]]):
         store, folder = open_store(root)
         found = []
         for name, _, lo, hi in pieces:
@@ -233,15 +219,17 @@ class Part:
         trains = np.concatenate([x[3] for x in found]) & np.uint64(1)
         u1, u2, w = (np.concatenate([x[k] for x in found]) for k in range(3))
         del found
-        room = room_of(u1, u2, splits)
-        del u1
-        first, self.at = distinct(pair(pair(room, u2), w))
-        self.room, self.u2, self.w = room[first], u2[first], w[first]
+        first, self.at = distinct(pair(pair(mix(u1), u2), w))
+        self.u1, self.u2, self.w = u1[first], u2[first], w[first]
         self.c = np.bincount(self.at, trains, len(first)).astype(np.int64)
 
+    def share(self, shared: np.ndarray, blocks: np.ndarray) -> Share:
+        """The dishes of words before that other parts seat as well."""
+        return Share(self.u1[shared], self.u2[shared], self.w[shared], self.c[shared], blocks)
+
 
 def part_rows(chunks: DataFrame, parts: int, more: DataFrame | None = None) -> DataFrame:
-    """(part, hash, p, file, row, low, high): pieces of chunks and, by part, rows of ``more`` (part, hash, p), part after part."""
+    """(part, hash, p, file, row, low, high): pieces of chunks and, by part, rows of ``more`` (part and others), part after part."""
     pieces = chunks.select("file", "row", "offsets", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).select(
         "part", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("double").alias("p"), "file", "row",
         F.get("offsets", F.col("part")).alias("low"), F.get("offsets", F.col("part") + 1).alias("high"),
@@ -251,65 +239,40 @@ def part_rows(chunks: DataFrame, parts: int, more: DataFrame | None = None) -> D
     return pieces.repartitionByRange(parts, "part").sortWithinPartitions("part", "row")
 
 
-def by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[str, int, int, int]]]]:
-    """(part, hashes, their p, pieces) of rows in the order of parts."""
-    now, hashes, ps, pieces = None, [], [], []
+def by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, list[tuple[str, int, int, int]]]]:
+    """(part, its rows, pieces) of rows in the order of parts."""
+    for number, rows in grouped(batches):
+        files = rows.filter(rows["file"].is_valid())
+        yield number, rows, list(zip(*(files[k].to_pylist() for k in ("file", "row", "low", "high"))))
 
-    def group() -> tuple:
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return now, join(hashes, np.uint64), join(ps, float), pieces
 
-    for batch in batches:
-        part = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi == lo:
-                continue
-            if part[lo] != now:
-                if now is not None:
-                    yield group()
-                now, hashes, ps, pieces = int(part[lo]), [], [], []
-            mine = batch.slice(lo, hi - lo)
-            words = mine.filter(mine.column(1).is_valid())
-            hashes.append(words.column(1).to_numpy().view(np.uint64))
-            ps.append(words.column(2).to_numpy())
-            files = mine.filter(mine.column(3).is_valid())
-            pieces += list(zip(*(files.column(k).to_pylist() for k in (3, 4, 5, 6))))
-    if now is not None:
-        yield group()
-
-
-def followers(chunks: DataFrame, root: str, head: object, parts: int) -> DataFrame:
-    """(part, hash, k, block, counts): in how many restaurants of one word before (u1) words have a table at first.
+def followers(chunks: DataFrame, root: str, share_root: str, parts: int, blocks: np.ndarray) -> DataFrame:
+    """(part, hash, k, block, counts) and rows of ``frequent``: in how many restaurants of one word before (u1) words have a
+    table at first.
 
     Words outside the head have a row (part, hash, k) for each part they occur in; of the head, each part gives counts by
     blocks of ranks. Counts of dishes with one and with two customers come as parts -1, -2 (two words before) and -3, -4.
+    Restaurants that several parts seat are left to their blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splits = splits_of(head.value)
-        for number, _, _, pieces in by_part(batches):
-            part = Part(root, splits, pieces)
-            there = np.flatnonzero(part.c)
-            first, dish = distinct(pair(part.room[there], part.w[there]))
+        for number, _, pieces in by_part(batches):
+            part = Part(root, pieces)
+            shared = part.u1 < np.uint64(len(blocks))
+            there = np.flatnonzero((part.c > 0) & ~shared)
+            first, dish = distinct(pair(mix(part.u1[there]), part.w[there]))
             c2 = np.bincount(dish, minlength=len(first))
             stats = [int((x == n).sum()) for x in (part.c, c2) for n in (1, 2)]
             words, at = distinct(part.w)
-            codes = part.w[words]
-            k = np.bincount(at[there[first]], minlength=len(codes)).astype(np.int64)
-            rare = codes >= TAIL
-            n = int(rare.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(np.full(n, number), [-1, -2, -3, -4]), pa.int32()), pa.array(np.append(codes[rare].view(np.int64), [0] * 4)), pa.array(np.append(k[rare], stats)), pa.nulls(n + 4, pa.int32()), pa.nulls(n + 4, pa.binary())],
-                ["part", "hash", "k", "block", "counts"],
-            )
-            ranks, k = codes[~rare].astype(np.int64), k[~rare]
-            blocks = [(b, np.bincount(ranks[x] % BLOCK, k[x], BLOCK)) for b in np.unique(ranks // BLOCK).tolist() if (x := ranks // BLOCK == b).any()]
-            nulls = [pa.nulls(len(blocks), t) for t in (pa.int32(), pa.int64(), pa.int64())]
-            counts = pa.array([packed(x.astype(np.uint64)) for _, x in blocks], pa.binary())
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array([b for b, _ in blocks], pa.int32()), counts], ["part", "hash", "k", "block", "counts"])
-
-    return part_rows(chunks, parts).mapInArrow(frugal(run), "part int, hash long, k long, block int, counts binary")
+            k = np.bincount(at[there[first]], minlength=len(words)).astype(np.int64)
+            follows = np.bincount(at[shared], minlength=len(words)) > 0
+            for batch in frequent.counted(number, part.w[words], k, follows, stats):
+                yield frequent.wide(batch)
+            if shared.any():
+                del first, dish, words, at
+                yield frequent.wide(part.share(shared, blocks).rows(share_root, number))
+
+    return part_rows(chunks, parts).mapInArrow(frugal(run), frequent.FOUND_DDL)
 
 
 def head_customers(found: DataFrame, head: object) -> DataFrame:
@@ -326,22 +289,28 @@ def head_customers(found: DataFrame, head: object) -> DataFrame:
     return found.where(F.col("block").isNotNull()).groupBy("block").applyInArrow(add, "hash long, k long")
 
 
-def document_sums(chunks: DataFrame, root: str, head: object, p_head: object, tails: DataFrame, discounts: tuple[float, float], parts: int) -> DataFrame:
-    """(row, docs, sums) by chunk and part: places of documents after ``row`` and their sums of log10 probabilities."""
+def document_sums(chunks: DataFrame, root: str, p_head: object, more: DataFrame, discounts: tuple[float, float], parts: int, blocks: np.ndarray, known: object) -> DataFrame:
+    """(row, docs, sums) by chunk and part: places of documents after ``row`` and their sums of log10 probabilities.
+
+    ``more``: probabilities of words outside the head, and the sweeps of frequent words before with the sums ``known``.
+    """
     d2, d3 = discounts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splits, p_of = splits_of(head.value), p_head.value
-        for _, hashes, ps, pieces in by_part(batches):
+        for _, rows, pieces in by_part(batches):
             if not pieces:
                 continue
-            part = Part(root, splits, pieces)
-            order = np.argsort(hashes)
-            hashes, ps = hashes[order], ps[order]
-            p1, rare = np.zeros(len(part.w)), part.w >= TAIL
-            p1[~rare] = p_of[part.w[~rare].astype(np.int64)]
-            p1[rare] = ps[np.searchsorted(hashes, part.w[rare])]
-            logs = np.log10(np.maximum(Rooms(part.room, part.u2, part.w, part.c, np.maximum(p1, 1e-300)).averaged(d2, d3), 1e-300))
+            part = Part(root, pieces)
+            words = rows.filter(rows["hash"].is_valid())
+            p1 = frequent.p_of_words(part.w, p_head.value, words["hash"].to_numpy().view(np.uint64), words["p"].to_numpy())
+            shared = part.u1 < np.uint64(len(blocks))
+            p, own = np.empty(len(p1)), ~shared
+            if own.any():
+                p[own] = Rooms(mix(part.u1[own]), part.u2[own], part.w[own], part.c[own], p1[own]).averaged(d2, d3)
+            if shared.any():
+                p[shared] = part.share(shared, blocks).averaged(rows.filter(rows["sweep"].is_valid()), p1[shared], discounts, known.value)
+            del part.u1, part.u2, part.w, part.c, p1
+            logs = np.log10(np.maximum(p, 1e-300))
             at, docs, sums = 0, [], []
             for size, doc in zip(part.sizes, part.docs):
                 total = np.bincount(doc, logs[part.at[at : at + size]])
@@ -351,7 +320,7 @@ def document_sums(chunks: DataFrame, root: str, head: object, p_head: object, ta
                 sums.append(total[here].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in pieces], pa.int64()), pa.array(docs, pa.binary()), pa.array(sums, pa.binary())], ["row", "docs", "sums"])
 
-    return part_rows(chunks, parts, tails).mapInArrow(frugal(run), "row long, docs binary, sums binary")
+    return part_rows(chunks, parts, more).mapInArrow(frugal(run), "row long, docs binary, sums binary")
 
 
 def _summed(group: pa.Table) -> pa.Table:
@@ -380,27 +349,43 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     parts = max(1, -(-n_all // PART_TOKENS), min(SMALL_PARTS, n_all // SMALL_TOKENS))
     most, cut = head_of(words)
     head = spark.sparkContext.broadcast(most)
-    root = new_path(spark, "lm-chunks")
-    store, folder = open_store(root)
-    store.create_dir(folder, recursive=True)
-    written, written_path = save(write_chunks(rows, root, head, floor, parts), "lm-documents")
+    root, share_root = new_path(spark, "lm-chunks"), new_path(spark, "lm-shares-of-parts")
+    for path in (root, share_root):
+        store, folder = open_store(path)
+        store.create_dir(folder, recursive=True)
+    splits = splits_of(most)
+    blocks = frequent.blocks_of(splits)
+    written, written_path = save(write_chunks(rows, root, head, floor, parts, splits), "lm-documents")
     chunks = written.where(F.col("file").isNotNull()).select("file", "row", "offsets")
 
-    found, found_path = save(followers(chunks, root, head, parts), "lm-followers")
-    stats = dict(found.where("part < 0").groupBy("part").agg(F.sum("k")).collect())  # 4 rows
+    found, found_path = save(followers(chunks, root, share_root, parts, blocks), "lm-followers", tidy=True)
+    old, tasks = [found_path], min(parts, int(splits.sum()))
+    counts = found.select(*frequent.COUNTED)
+    if len(splits):
+        first, first_path = save(frequent.opened(found, share_root, tasks), "lm-blocks", tidy=True)
+        old.append(first_path)
+        counts = counts.unionByName(first.select(*frequent.COUNTED))
+    stats = dict(counts.where("part between -4 and -1").groupBy("part").agg(F.sum("k")).collect())  # 4 rows
     one_two = lambda a: discount(np.array([1, 2]), np.array([stats.get(a, 0), stats.get(a - 1, 0)]))
     d3, d2 = one_two(-1), one_two(-3)
-    customers = found.where("part >= 0").groupBy("hash").agg(F.sum("k").alias("k")).unionByName(head_customers(found, head))
+    customers = counts.where(f"part >= 0 or part = {SHARED}").groupBy("hash").agg(F.sum("k").alias("k")).unionByName(head_customers(counts, head))
     seats, seats_path = save(words.join(customers, "hash", "left").select("word", "hash", F.coalesce("k", F.lit(0)).alias("k"), "c", "n"), "lm-seats")
     drop(spark, words_path)
     shares, shares_path = save(train(spark, seats), "lm-shares")
+    old.append(shares_path)
     in_head = seats.where(F.col("n") >= cut).select("hash").join(shares, "hash").toArrow()  # at most HEAD_WORDS rows
     p_head = np.zeros(len(most.hashes))
     p_head[most.find(in_head["hash"].to_numpy().view(np.uint64))] = in_head["p"].to_numpy()
-    tails = found.where("part >= 0").select("part", "hash").join(shares, "hash").select("part", "hash", "p")
-
-    sums, sums_path = save(document_sums(chunks, root, head, spark.sparkContext.broadcast(p_head), tails, (d2, d3), parts), "lm-sums")
-    drop(spark, root, found_path, shares_path)
+    tails, tails_path = save(found.where("part >= 0").join(shares, "hash").select("part", "hash", "p", "shared"), "lm-tails", tidy=True)
+    p_head, known, more = spark.sparkContext.broadcast(p_head), {}, tails.select("part", "hash", "p")
+    if len(splits):
+        sweeps, known, swept = frequent.swept(found, first, tails, share_root, p_head, (d2, d3), blocks, tasks, old)
+        more = more.unionByName(sweeps, allowMissingColumns=True)
+    else:
+        swept = old
+    drop(spark, share_root)
+    sums, sums_path = save(document_sums(chunks, root, p_head, more, (d2, d3), parts, blocks, spark.sparkContext.broadcast(known)), "lm-sums", tidy=True)
+    drop(spark, root, tails_path, *swept)
     scores = sums.groupBy("row").applyInArrow(_summed, "row long, score double")
     c = F.col("c")
     rare = (

@@ -296,6 +296,24 @@ def test_word_order_and_copies_matter(spark, monkeypatch):
     assert min(twice) > max(once)  # documents that occur twice stand apart
 
 
+def test_scores_do_not_depend_on_frequent_words(spark, monkeypatch):
+    """A word before has one restaurant, however many parts seat it."""
+    rng = random.Random(5)
+    vocabulary = [rng.choice("abcdefghijklm") + rng.choice("aeiou") for _ in range(60)]
+    rows = [(k, " ".join(vocabulary[min(59, int(rng.expovariate(0.1)))] for _ in range(rng.randint(0, 60)))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for head in (1 << 19, 25):  # words after frequent ones inside and outside the head
+        monkeypatch.setattr(pitman_yor, "HEAD_WORDS", head)
+        found = []
+        for room, part in ((1 << 19, 1 << 20), (300, 1 << 20), (20, 700)):
+            splits = lambda head, room=room: (-(-head.n[head.n > room] // room)).astype(np.uint64)
+            monkeypatch.setattr(contexts, "splits_of", splits)  # reaches workers as well, which a changed ROOM does not
+            monkeypatch.setattr(contexts, "PART_TOKENS", part)
+            found.append({r.doc_id: r.score for r in contexts.score(df).collect()})
+        assert found[1] == pytest.approx(found[0], rel=1e-5)
+        assert found[2] == pytest.approx(found[0], rel=1e-5)
+
+
 def test_tokens_of_texts():
     rng = random.Random(5)
     signs = "aBcÉİß日 \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2028\0 "
