@@ -9,6 +9,7 @@ and elements of several braces are shuffled for that (JSON: pieces are numbered
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ def _blocks_before() -> WindowSpec:
     return Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _quoted(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-    """Each line's place under both assumptions; or (not ``whole``) one row a block: parity of quotes and records begun."""
+def _quoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line's place in its block under both assumptions: parity of quotes before and after it, records begun up to it."""
     last, odd, begun = None, 0, [0, 0]
     for batch in batches:
         file, block, _, value = (batch.column(k) for k in range(4))
@@ -47,36 +48,27 @@ def _quoted(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Recor
             if lo == hi:
                 continue
             if (names[lo], starts[lo]) != last:
-                if last and not whole:
-                    yield _block_row(last, odd, begun)
                 last, odd, begun = (names[lo], starts[lo]), 0, [0, 0]
             after = (odd + np.cumsum(quotes[lo:hi])) & 1
             before = np.append(odd, after[:-1])
             record = [begun[h] + np.cumsum(before == h) for h in (0, 1)]
-            if whole:
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x.astype(np.int64)) for x in (before, after, *record))], [*part.schema.names, "before", "after", "record0", "record1"])
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x.astype(np.int64)) for x in (before, after, *record))], [*part.schema.names, "before", "after", "record0", "record1"])
             odd, begun = int(after[-1]), [int(r[-1]) for r in record]
-    if last and not whole:
-        yield _block_row(last, odd, begun)
-
-
-def _block_row(block: tuple[str, int], odd: int, begun: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"file": block[0], "block": int(block[1]), "odd": odd, "begun0": begun[0], "begun1": begun[1]}])
 
 
 def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, first (whether the file begins with it), record: records of quoted CSV, with the line breaks in their cells.
 
-    As in any reader, a quote that is never closed takes what follows, up to the next one, into its record.
+    As in any reader, a quote that is never closed takes what follows, up to the next one, into its record. Lines are read
+    once: where Spark cuts blocks hangs on settings and on the executors of the moment, so a second scan may have others.
     """
-    lines = _pieces(spark, path, "\n")
-    blocks = lines.mapInArrow(lambda x: _quoted(x, False), "file string, block long, odd long, begun0 long, begun1 long")
-    blocks = settled(blocks.groupBy("file", "block").agg(F.sum("odd").alias("odd"), F.sum("begun0").alias("begun0"), F.sum("begun1").alias("begun1")), "csv-blocks")
+    scanned = _pieces(spark, path, "\n").mapInArrow(_quoted, "file string, block long, at long, value string, before long, after long, record0 long, record1 long")
+    scanned = settled(scanned, "csv-lines")
+    blocks = scanned.groupBy("file", "block").agg(F.max_by("after", "at").alias("odd"), F.max("record0").alias("begun0"), F.max("record1").alias("begun1"))
     blocks = blocks.withColumn("inside", F.coalesce(F.sum("odd").over(_blocks_before()), F.lit(0)) % 2).withColumn("begun", F.when(F.col("inside") == 1, F.col("begun1")).otherwise(F.col("begun0")))
     opener = F.when(F.col("begun") > 0, F.struct(F.col("block").alias("home"), F.col("begun").alias("number")))
     blocks = blocks.withColumn("open", F.last(opener, True).over(_blocks_before())).select(F.col("file").alias("f"), F.col("block").alias("b"), "inside", "open")
-    scanned = lines.mapInArrow(lambda x: _quoted(x, True), "file string, block long, at long, value string, before long, after long, record0 long, record1 long")
     known = scanned.join(blocks, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
     number = F.when(F.col("inside") == 1, F.col("record1")).otherwise(F.col("record0"))
     own = number > 0
@@ -93,11 +85,12 @@ def csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_quoted_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, header: bool = True) -> DataFrame:
     """Rows of the schema from quoted CSV; what doesn't fit it is kept in ``_corrupt``, with the cells that do.
 
-    Blank records are left out, unquoted empty cells are null, ``nan`` is null in numbers.
+    Blank records are left out, ``nan`` is null in numbers. Unquoted empty cells are null, quoted ones are empty texts (no number).
     """
+    null = f"null-{uuid.uuid4().hex}"  # what no cell holds; "" would make quoted empty cells null, too
     declared = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     kind = StructType([*declared.fields]).add(BAD, "string")
-    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "nanValue": "nan", "nullValue": "", "maxCharsPerColumn": "-1"}
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "nanValue": "nan", "nullValue": null, "maxCharsPerColumn": "-1", "charToEscapeQuoteEscaping": '"'}
     record = F.regexp_replace("record", "\r$", "")
     records = csv_records(spark, path).where(~F.col("first") if header else F.lit(True)).select(record.alias("record")).where(F.trim("record") != "")
     rows = records.select(F.from_csv("record", _ddl(kind), options).alias("r")).select("r.*")

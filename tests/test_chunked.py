@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tessera.sources import chunked
+from tessera.sources import chunked, sinks
 
 
 @pytest.fixture()
@@ -62,3 +62,18 @@ def test_json_arrays(small_blocks, tmp_path, depth, indent):
     got = chunked.read_json_array(small_blocks, str(tmp_path), "id long, text string, sub struct<t:array<string>>", depth)
     assert sorted((r.id, r.text, r.sub.t[0]) for r in got.collect()) == sorted(want)
     assert all(r[chunked.BAD] is None and r.source_path.endswith(".json") for r in got.collect())
+
+
+def test_empty_cells_and_nul(small_blocks, tmp_path):
+    rows = [(1, "", None), (2, None, ""), (3, 'x\0"y', '\0"'), (4, "\r", '"\r\n"'), (None, "", None), (None, None, None)]
+    sinks.write_quoted_csv(small_blocks.createDataFrame(rows, "k long, v string, x string"), str(tmp_path / "out"))
+    got = chunked.read_quoted_csv(small_blocks, str(tmp_path / "out"), "k long, v string, x string").collect()
+    assert sorted(((r.k, r.v, r.x) for r in got), key=repr) == sorted(rows, key=repr)
+    assert all(r[chunked.BAD] is None for r in got)
+
+
+def test_blocks_cut_anew(small_blocks, tmp_path):
+    (tmp_path / "x.csv").write_text("k,v\n" + "".join(f'{k},"two\nlines {k}"\n' for k in range(50)))
+    got = chunked.read_quoted_csv(small_blocks, str(tmp_path), "k long, v string")
+    small_blocks.conf.set("spark.sql.files.maxPartitionBytes", "61")  # as other executors do between two scans
+    assert sorted((r.k, r.v) for r in got.collect()) == [(k, f"two\nlines {k}") for k in range(50)]
