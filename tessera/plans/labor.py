@@ -50,11 +50,15 @@ SHARES = {2: (0.16, 0.22), 5: (0.34, 0.39), 10: (0.56, 0.58)}
 
 
 def wage_rollup(wages: DataFrame) -> DataFrame:
-    """One row per base code: best measures, the first family (by name among equal codes), the first two names by code."""
+    """One row per base code: best measures, the first family, the first two names by code.
+
+    Among equal codes the family of the smallest ``line`` is first, as a reader in order finds it; by name without that column.
+    """
+    first = F.struct("SOCcode", *(["line"] if "line" in wages.columns else []), "JobFamily")
     names = F.transform(F.array_sort(F.collect_list(F.struct("SOCcode", "JobName"))), lambda x: x["JobName"])
     return wages.groupBy(text.code_prefix(F.col("SOCcode")).alias("soc_base")).agg(
         F.max("MedianSalary").alias("median_salary"), F.max("JobForecast").alias("job_forecast"), F.max("ChanceAuto").alias("chance_auto"),
-        F.max("JobZone").alias("job_zone"), text.sentence_join(names, 2).alias("wage_job_name"), agg.first_by(F.col("JobFamily"), F.struct("SOCcode", "JobFamily")).alias("job_family"),
+        F.max("JobZone").alias("job_zone"), text.sentence_join(names, 2).alias("wage_job_name"), agg.first_by(F.col("JobFamily"), first).alias("job_family"),
         F.max("isBright").alias("bright_outlook"), F.max("isGreen").alias("green_job"),
     )
 

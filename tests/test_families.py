@@ -134,6 +134,20 @@ def test_first_family_among_equal_codes(spark):
         assert [r.job_family for r in found] == ["ECONOMY"]
 
 
+def test_first_family_among_equal_codes_is_that_of_the_first_line(spark, tmp_path):
+    import duckdb
+
+    where = f"{tmp_path}/part.parquet"
+    duckdb.sql("COPY (SELECT k AS p_partkey, 'n' || k AS p_name, ['SMALL', 'ECONOMY', 'PROMO'][1 + k // 7 % 3] AS p_type, 1::INT AS p_size, 9.5 AS p_retailprice FROM (SELECT unnest([3, 827762, 1655521, 4, 827763, 12]) AS k)) TO '" + where + "'")
+    wages = exposure.INPUTS["wages"].format(part=f"'{where}'")
+    con = duckdb.connect(config={"threads": 1})
+    want = con.execute(f"SELECT SOCcode, first(JobFamily ORDER BY SOCcode) FROM ({wages}) GROUP BY 1 ORDER BY 1").fetchall()
+    parts = spark.read.parquet(where)
+    for df in (parts, parts.orderBy(F.desc("p_partkey"))):
+        lines = spark.sql(exposure.wages_by_line(), part=df)
+        assert [(r.soc_base, r.job_family) for r in labor.wage_rollup(lines).orderBy("soc_base").collect()] == want and len(want) == 3
+
+
 def test_document_features_are_those_of_the_tasks(spark):
     """Parts meet the numbers of documents; the tasks, with their texts, give the same."""
     parts = spark.createDataFrame([(k, f"p{k}", "SMALL", k % 50, 900.0 + k) for k in [*range(40), 827_759, 827_760]] + [(None, "p", "SMALL", 1, 1.0)], "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double")
