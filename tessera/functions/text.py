@@ -93,14 +93,35 @@ def keyword_score(c: Column, words: list[str]) -> Column:
 def best_by_keywords(c: Column, groups: dict[str, list[str]], default: str) -> Column:
     """The group with most substring hits, the first among equals, the default without hits."""
     low = F.lower(F.coalesce(c, F.lit("")))
+    return _most_hits(lambda w: F.contains(low, F.lit(w)), groups, default)
+
+
+def _most_hits(hit: Callable[[str], Column], groups: dict[str, list[str]], default: str) -> Column:
     rows = [
-        F.struct(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-k).alias("o"), F.lit(name).alias("g"))
+        F.struct(sum((hit(w).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-k).alias("o"), F.lit(name).alias("g"))
         for k, (name, words) in enumerate(groups.items())
     ]
     best = F.array_max(F.array(*rows))
     return F.when(best["n"] > 0, best["g"]).otherwise(F.lit(default))
 
 
+def _bits(groups: dict[str, list[str]]) -> dict[str, int]:
+    """A bit for each of at most 63 different keywords."""
+    return {w: 1 << k for k, w in enumerate(dict.fromkeys(w for words in groups.values() for w in words))}
+
+
+def keyword_bits(c: Column, groups: dict[str, list[str]]) -> Column:
+    """Which keywords a text holds, as a long: what best_by_keyword_bits() needs instead of the text."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return sum((F.when(F.contains(low, F.lit(w)), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")) for w, bit in _bits(groups).items()), F.lit(0).cast("long"))
+
+
+def best_by_keyword_bits(c: Column, bits: Column, groups: dict[str, list[str]], default: str) -> Column:
+    """best_by_keywords() over a text ``c`` and texts known by their keyword_bits()."""
+    low, own = F.lower(F.coalesce(c, F.lit(""))), _bits(groups)
+    return _most_hits(lambda w: F.contains(low, F.lit(w)) | (bits.bitwiseAND(F.lit(own[w]).cast("long")) != 0), groups, default)
+
+
 def mentions(c: Column, pattern: str) -> Column:
     """Distinct matches, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?i)(" + pattern + ")"), F.lit(1))))

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric, text
 from tessera.operators import aggregate as agg
-from tessera.operators import cluster
+from tessera.operators import cluster, placing
+from tessera.sources.scratch import settled
 
 # Words whose substrings mark tasks, brakes and business domains.
 TASK_WORDS = {
@@ -77,27 +78,54 @@ def with_employment(jobs: DataFrame, employment: DataFrame) -> DataFrame:
 def text_features(texts: DataFrame, penetration: DataFrame, shares: DataFrame, modes: DataFrame) -> DataFrame:
     """``texts`` with what is known of each ``task``: penetration, share, modes and keyword scores.
 
-    The three lookups are by lower-case text of the task; each is reduced to one row per text before the join.
+    The three lookups are by lower-case text of the task; each is reduced to one row per text before the join. Texts meet by
+    their MD5 and are scored where they are read, so none is shuffled unless what follows reads ``task``.
     """
-    key = lambda c: F.lower(F.trim(c))
+    key = lambda c: F.coalesce(F.md5(F.lower(F.trim(c)).cast("binary")), F.lit(""))  # noqa: E731, "": no text, met by no task
     one = lambda df, c, *values: df.groupBy(key(c).alias("__key")).agg(*(F.avg(v).alias(v) for v in values))
-    rows = texts.where("task IS NOT NULL").withColumn("__key", key("task"))
-    rows = rows.join(one(penetration, "task", "penetration"), "__key", "left").join(one(shares, "task_name", "pct"), "__key", "left").join(one(modes, "task_name", *MODES), "__key", "left")
     score = {f"{k}_task_share": text.keyword_score(F.col("task"), w) for k, w in TASK_WORDS.items()}
     score |= {f"{k}_bottleneck": text.keyword_score(F.col("task"), w) for k, w in BRAKE_WORDS.items()}
-    return rows.withColumns(score).drop("__key")
+    rows = texts.where("task IS NOT NULL").withColumn("__key", key("task")).withColumns(score)
+    rows = rows.join(one(penetration, "task", "penetration"), "__key", "left").join(one(shares, "task_name", "pct"), "__key", "left").join(one(modes, "task_name", *MODES), "__key", "left")
+    return rows.drop("__key")
 
 
 def rolled_features(rows: DataFrame) -> DataFrame:
     """Per base code of ``soc``, means over its tasks of the columns of text_features(), and example tasks."""
     own = [f"{k}_task_share" for k in TASK_WORDS] + [f"{k}_bottleneck" for k in BRAKE_WORDS]
     return rows.where("soc IS NOT NULL").groupBy(text.code_prefix(F.col("soc")).alias("soc_base")).agg(
-        F.count("task").alias("task_count"), F.avg("penetration").alias("mean_task_penetration"), F.avg("pct").alias("mean_aei_task_pct"),
+        F.count(F.lit(1)).alias("task_count"), F.avg("penetration").alias("mean_task_penetration"), F.avg("pct").alias("mean_aei_task_pct"),
         *(F.avg(m).alias(f"{m}_share") for m in MODES), *(F.avg(c).alias(c) for c in own),
         text.sentence_join(F.slice(F.array_sort(F.collect_set("task")), 1, 3), 3).alias("example_tasks"),
     )
 
 
+#: Characters by which texts are ordered first; those that share them are placed by the whole text.
+LEAD = 48
+#: A keyword that begins before a text ends within so many of its characters.
+REACH = max(len(w) for words in DOMAIN_WORDS.values() for w in words) - 1
+
+
+def example_marks(socs: DataFrame, texts: DataFrame) -> DataFrame:
+    """What domain_pressure() needs of rolled_features()'s ``example_tasks``, without carrying texts to codes.
+
+    ``socs`` (soc, doc_id), ``texts`` (doc_id, task). Per base code, of its first three different tasks in text order:
+    ``example_hits``, the keywords in any of them (none reaches over the ``; `` between two), and ``example_head``, how the
+    first that is not blank begins, as a keyword may begin in what stands before.
+    """
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    texts = texts.where("task IS NOT NULL").withColumn("lead", F.substring("task", 1, LEAD))
+    known = texts.select("doc_id", "lead", digest("task").alias("digest"), text.keyword_bits(F.col("task"), DOMAIN_WORDS).alias("bits"), F.substring(F.ltrim("task"), 1, REACH).alias("head"), (F.trim("task") == "").alias("blank"))
+    known = settled(known, "task-marks")
+    shared = known.groupBy("lead").agg((F.min("digest") < F.max("digest")).alias("shared")).where("shared").select("lead")
+    placed = placing.place(texts.join(shared, "lead", "left_semi").select("task").distinct(), [F.asc("task")])
+    placed = placed.select(digest("task").alias("digest"), "place")
+    known = known.join(placed, "digest", "left").withColumn("order", F.struct("lead", F.coalesce("place", F.lit(0).cast("long")).alias("place")))
+    rows = socs.where("soc IS NOT NULL").join(known.drop("digest", "lead", "place"), "doc_id").withColumn("soc_base", text.code_prefix(F.col("soc")))
+    rows = rows.withColumn("__n", F.dense_rank().over(Window.partitionBy("soc_base").orderBy("order"))).where("__n <= 3")
+    return rows.groupBy("soc_base").agg(F.bit_or("bits").alias("example_hits"), F.min_by("head", F.when(~F.col("blank"), F.col("order"))).alias("example_head"))
+
+
 def task_features(tasks: DataFrame, penetration: DataFrame, shares: DataFrame, modes: DataFrame) -> DataFrame:
     """The rolled features of tasks (soc, task)."""
     return rolled_features(text_features(tasks, penetration, shares, modes))
@@ -159,10 +187,24 @@ def _weighted(scored: DataFrame, allocated: bool = False) -> DataFrame:
     return scored.withColumn("__w", F.greatest(weight, F.lit(1.0))).drop("__peers")
 
 
+def business_domain(scored: DataFrame) -> Column:
+    """The domain with most keywords in title, family and example tasks, or their example_marks()."""
+    marked = "example_hits" in scored.columns
+    words = F.concat_ws(" ", *(text.clean_text(F.col(x)) for x in ("title", "job_family", "example_head" if marked else "example_tasks")))
+    if marked:
+        return text.best_by_keyword_bits(words, F.coalesce("example_hits", F.lit(0).cast("long")), DOMAIN_WORDS, "operations_back_office")
+    return text.best_by_keywords(words, DOMAIN_WORDS, "operations_back_office")
+
+
+PRESSURE_INPUTS = [
+    "occ_code", "title", "job_family", "bls_employment", "job_forecast", "near_term_disruption_index", "augmentation_index", "full_job_automation_feasibility_index",
+    "human_bottleneck_index", "dominant_outcome",
+]
+
+
 def domain_pressure(scored: DataFrame) -> DataFrame:
     """Weighted means per business domain; a domain without jobs takes the most disrupted job alone."""
-    words = F.lower(F.concat_ws(" ", *(text.clean_text(F.col(x)) for x in ("title", "job_family", "example_tasks"))))
-    rows = _weighted(scored).withColumn("business_domain", text.best_by_keywords(words, DOMAIN_WORDS, "operations_back_office"))
+    rows = _weighted(scored).withColumn("business_domain", business_domain(scored))
     top = rows.orderBy(F.desc("near_term_disruption_index"), "occ_code").limit(1)
     domains = scored.sparkSession.range(1).select(F.explode(F.array(*(F.lit(d) for d in DOMAIN_WORDS))).alias("business_domain"))
     empty = domains.join(rows.select("business_domain").distinct(), "business_domain", "left_anti")

@@ -1,11 +1,12 @@
 """Composed pipelines on small literal tables: contracts of their outputs."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import numeric
+from tessera.functions import numeric, text
 from tessera.plans import exposure, families, labor
 
 FAMILIES = ["GPT", "Claude", "Gemini", "Gemma", "Qwen"]
@@ -161,6 +162,26 @@ def test_document_features_are_those_of_the_tasks(spark):
     assert got == want and len(got) > 20
 
 
+def test_marks_of_tasks_stand_for_their_texts(spark):
+    """Keywords over borders, blank, equal and nearly equal texts: the domains are those of texts carried to the occupations."""
+    long = "x" * 60
+    texts = ["  center for claims", "center", "   ", "", "nan", long + "b web", long + "a legal", long + "c tutor", "Desk; help", "entry", long, "budget " * 9, "Budget", None, "relations", long + "a legal"]
+    rng, pairs = random.Random(5), [(f"11-{k // 6:04d}", k % len(texts)) for k in range(600)]
+    pairs += [(f"12-{k:04d}", rng.randrange(len(texts))) for k in range(120) for _ in range(rng.randrange(6))] + [(None, 3), ("13-0001", None)]
+    socs = spark.createDataFrame(pairs, "soc string, doc_id long")
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, "audit loan"), (None, "web")], "doc_id long, task string")
+    own = F.slice(F.array_sort(F.collect_set("task")), 1, 3)
+    carried = socs.where("soc IS NOT NULL").join(docs.where("task IS NOT NULL"), "doc_id").groupBy(text.code_prefix(F.col("soc")).alias("soc_base")).agg(text.sentence_join(own, 3).alias("example_tasks"))
+    titles = spark.createDataFrame([("call", "Public"), ("a help", "data"), ("x", None), ("insurance", "call"), (None, "help")], "title string, job_family string")
+    marks = labor.example_marks(socs, docs)
+    found = []
+    for features in (carried, marks):
+        rows = features.crossJoin(titles)
+        found.append(sorted(map(str, rows.select("soc_base", "title", "job_family", labor.business_domain(rows).alias("d")).collect())))
+    assert found[0] == found[1] and len(found[0]) > 900
+    assert len({r.split("d=")[1] for r in found[0]}) >= 6
+
+
 def test_labor(spark):
     t = {k: v.frame(spark) for k, v in exposure.JOBS.items()}
     features = labor.task_features(t["tasks"], t["penetration"], t["shares"], t["modes"]).cache()
